@@ -17,10 +17,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from heronlake.llm.common import chunks
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of more bytes get a tree of their own.
 LONG = 64
-#: Pieces whose ids a worker remembers.
-MEMO = 200_000
+#: Pieces whose ids a worker remembers at least; at most twice as many and a step's.
+MEMO = 150_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -65,13 +66,13 @@ class BytePairCodec:
                 self.first[data[0]] = vocab[token]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         code = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
-        order = np.argsort(code, kind="stable")
-        self.codes, self.ranks = np.append(code[order], NONE), np.append(order, 0)
+        self._slots(code)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.rank_of = dict(zip(code.tolist(), range(len(merges)), strict=True))
         self.split = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     # one tree per piece -------------------------------------------------
     def merge_long(self, data: bytes) -> tuple[int, ...]:
@@ -115,60 +116,88 @@ class BytePairCodec:
         return tuple(x for x in symbol if x >= 0)
 
     # many trees at once -------------------------------------------------
+    def _slots(self, code: np.ndarray) -> None:
+        """A hash table of pair codes for numpy: a pair is at most ``self.steps`` slots after its own."""
+        self.shift = np.uint64(64 - 19)
+        self.codes, self.ranks, self.steps = np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, np.int64), 0
+        rest, at = np.arange(len(code)), self._slot(code)
+        while len(rest):
+            self.steps += 1
+            free = self.codes[at] < 0
+            self.codes[at[free]] = code[rest[free]]
+            put = self.codes[at] == code[rest]
+            self.ranks[at[put]] = rest[put]
+            rest, at = rest[~put], (at[~put] + 1) & (len(self.codes) - 1)
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _keys(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         """Leaf values for pairs; right < 0 means there is no next symbol."""
-        code = left << 32 | np.maximum(right, 0)
-        i = np.searchsorted(self.codes, code)
-        return np.where((self.codes[i] == code) & (right >= 0), self.ranks[i] * width + at, NONE)
+        code = np.where(right >= 0, left << 32 | right, -2)
+        slot = self._slot(code)
+        out = np.where(self.codes[slot] == code, self.ranks[slot] * width + at, NONE)
+        open_ = np.flatnonzero((out == NONE) & (self.codes[slot] >= 0) & (code >= 0))
+        for _ in range(self.steps - 1):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) & (len(self.codes) - 1)
+            there = self.codes[slot[open_]]
+            hit = open_[there == code[open_]]
+            out[hit] = self.ranks[slot[hit]] * width + at[hit]
+            open_ = open_[(there >= 0) & (there != code[open_])]
+        return out
 
     def merge_rows(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
         """Ids of pieces of at most *width* bytes each (a power of two): row r of the matrix is piece r's tree."""
         count = len(pieces)
         data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(count, width)
         size = np.fromiter(map(len, pieces), np.int64, count)
-        at = np.arange(width)
-        symbol = np.where(at < size[:, None], self.first[data], -1)
-        after = np.broadcast_to(at + 1, (count, width)).copy()
-        before = np.broadcast_to(at - 1, (count, width)).copy()
+        at = np.broadcast_to(np.arange(width), (count, width))
+        symbols = np.where(at < size[:, None], self.first[data], -1)
         following = np.full((count, width), -1, np.int64)
-        following[:, :-1] = symbol[:, 1:]
-        tree = np.full((count, 2 * width), NONE, np.int64)
-        tree[:, width:] = np.where(symbol >= 0, self._keys(np.maximum(symbol, 0), following, at, width), NONE)
+        following[:, :-1] = symbols[:, 1:]
+        trees = np.full((count, 2 * width), NONE, np.int64)
+        trees[:, width:] = self._keys(symbols.ravel(), np.where(symbols >= 0, following, -1).ravel(), at.ravel(), width).reshape(count, width)
         level = width
         while level > 1:
             level >>= 1
-            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
-
-        def put(rows: np.ndarray, i: np.ndarray, key: np.ndarray | int) -> None:
-            i = i + width
-            tree[rows, i] = key
-            for _ in range(width.bit_length() - 1):
-                i = i >> 1
-                tree[rows, i] = np.minimum(tree[rows, 2 * i], tree[rows, 2 * i + 1])
-
-        def symbol_at(rows: np.ndarray, i: np.ndarray) -> np.ndarray:
-            return np.where(i < size[rows], symbol[rows, np.minimum(i, width - 1)], -1)
-
-        rows = np.flatnonzero(tree[:, 1] != NONE)
+            trees[:, level : 2 * level] = np.minimum(trees[:, 2 * level : 4 * level : 2], trees[:, 2 * level + 1 : 4 * level : 2])
+        # flat views: cell (row, i) of a matrix is at row * width + i
+        symbol, tree = symbols.ravel(), trees.ravel()
+        after, before = (at + 1).ravel(), (at - 1).ravel()
+        levels = width.bit_length() - 1
+
+        def repair(base: np.ndarray, leaf: np.ndarray) -> None:
+            leaf = leaf + width
+            for _ in range(levels):
+                leaf = leaf >> 1
+                low = base + 2 * leaf
+                tree[base + leaf] = np.minimum(tree[low], tree[low + 1])
+
+        rows = np.flatnonzero(trees[:, 1] != NONE)
         while len(rows):
-            root = tree[rows, 1]
+            own, base, n = rows * width, rows * (2 * width), size[rows]
+            root = tree[base + 1]
             i = root % width
-            j = after[rows, i]
-            symbol[rows, i] = self.made[root // width]
-            symbol[rows, j] = -1
-            k = after[rows, j]
-            after[rows, i] = k
-            inside = k < size[rows]
-            before[rows[inside], k[inside]] = i[inside]
-            put(rows, j, NONE)
-            put(rows, i, self._keys(symbol[rows, i], symbol_at(rows, k), i, width))
-            h = before[rows, i]
+            j = after[own + i]
+            k = after[own + j]
+            made = self.made[root // width]
+            symbol[own + i], symbol[own + j], after[own + i] = made, -1, k
+            inside = k < n
+            before[(own + k)[inside]] = i[inside]
+            tree[base + width + j] = NONE
+            tree[base + width + i] = self._keys(made, np.where(inside, symbol[own + np.minimum(k, width - 1)], -1), i, width)
+            h = before[own + i]
+            left = np.maximum(h, 0)
             some = h >= 0
-            r, h = rows[some], h[some]
-            put(r, h, self._keys(symbol[r, h], symbol[r, i[some]], h, width))
-            rows = rows[tree[rows, 1] != NONE]
-        live = symbol >= 0
-        flat, ends = symbol[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+            tree[(base + width + left)[some]] = self._keys(symbol[own + left], np.where(some, made, -1), left, width)[some]
+            # where no symbol is on the left, its path is repaired in vain
+            repair(np.concatenate([base, base, base]), np.concatenate([j, i, left]))
+            rows = rows[tree[base + 1] != NONE]
+        live = symbols >= 0
+        flat, ends = symbols[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
         return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
@@ -193,15 +222,11 @@ class BytePairCodec:
         for text in texts:
             parts = self.cut.split(text) if self.cut else [text]
             runs.append([(self.special.get(x) if i % 2 else None, self.split.findall(x) if not i % 2 else []) for i, x in enumerate(parts)])
-        wanted = set(chain.from_iterable(pieces for run in runs for _, pieces in run)) - self.memo.keys()
+        wanted = set(filterfalse(self.memo.__contains__, chain.from_iterable(pieces for run in runs for _, pieces in run)))
+        self.memo.update({x: self.old[x] for x in wanted & self.old.keys()} | self.learn(wanted - self.old.keys()))
         known = self.memo
-        if wanted:
-            fresh = self.learn(wanted)
-            if len(self.memo) + len(fresh) > MEMO:
-                known = self.memo | fresh
-                self.memo = fresh if len(fresh) <= MEMO // 2 else {}
-            else:
-                self.memo.update(fresh)
+        if len(self.memo) > MEMO:  # what isn't asked for during the next MEMO pieces is forgotten
+            self.old, self.memo = {k: v for k, v in self.memo.items() if len(k) <= LONG}, {}
         of = known.__getitem__
         return [[i for special, pieces in run for i in ([special] if special is not None else chain.from_iterable(map(of, pieces)))] if len(run) > 1 else list(chain.from_iterable(map(of, run[0][1]))) for run in runs]
 
@@ -241,7 +266,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [tool.decode(x or []) for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
+                column = part.column(part.schema.get_field_index(ids))
+                flat, ends = column.flatten().to_numpy().tolist(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+                texts = [tool.decode(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [f.name for f in schema.fields])
 
     return encoded.mapInArrow(run, schema)
