@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -202,33 +202,53 @@ class BytePairCodec:
 
     def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of pieces that aren't in the memo."""
-        out: dict[str, tuple[int, ...]] = {}
-        widths: dict[int, list[str]] = {}
+        ids: dict[str, tuple[int, ...]] = {}
+        widths: dict[int, tuple[list[str], list[bytes]]] = {}
         for piece in pieces:
-            n = len(piece.encode())
-            if n > LONG:
-                out[piece] = self.merge_long(piece.encode())
+            data = piece.encode()
+            if len(data) > LONG:
+                ids[piece] = self.merge_long(data)
             else:
-                widths.setdefault(1 << max(1, (n - 1).bit_length()), []).append(piece)
-        for width, group in widths.items():
-            for start in range(0, len(group), 20_000):
-                part = group[start : start + 20_000]
-                out.update(zip(part, self.merge_rows([x.encode() for x in part], width), strict=True))
-        return out
+                names, group = widths.setdefault(1 << max(1, (len(data) - 1).bit_length()), ([], []))
+                names.append(piece)
+                group.append(data)
+        for width, (names, group) in widths.items():
+            for start in range(0, len(group), 4096):
+                ids.update(zip(names[start : start + 4096], self.merge_rows(group[start : start + 4096], width), strict=True))
+        return ids
+
+    def encode_flat(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of all texts on end, and where each text's end; a special token's string becomes its id."""
+        keys: list[str] = []
+        ends: list[int] = []
+        marks: list[tuple[int, int]] = []
+        for text in texts:
+            for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
+                if i % 2:
+                    marks.append((len(keys), self.special[part]))
+                    keys.append("")
+                elif part:
+                    keys += self.split.findall(part)
+            ends.append(len(keys))
+        found = list(map(self.memo.get, keys))
+        if None in found:
+            wanted = {k for k, ids in zip(keys, found, strict=True) if ids is None} - {""}
+            fresh = {k: self.old[k] for k in wanted & self.old.keys()}
+            fresh |= self.learn(wanted - fresh.keys())
+            fresh[""] = ()
+            found = [fresh[k] if ids is None else ids for k, ids in zip(keys, found, strict=True)]
+            self.memo.update((k, x) for k, x in fresh.items() if len(k) <= LONG)
+            if len(self.memo) > MEMO:  # what isn't asked for until the next MEMO pieces are known is forgotten
+                self.old, self.memo = self.memo, {}
+        for at, token in marks:
+            found[at] = (token,)
+        sizes = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        stops = [int(sizes[e - 1]) if e else 0 for e in ends]
+        return list(chain.from_iterable(found)), stops
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; a special token's string in a text becomes that token's id."""
-        runs: list[list[tuple[int | None, list[str]]]] = []
-        for text in texts:
-            parts = self.cut.split(text) if self.cut else [text]
-            runs.append([(self.special.get(x) if i % 2 else None, self.split.findall(x) if not i % 2 else []) for i, x in enumerate(parts)])
-        wanted = set(filterfalse(self.memo.__contains__, chain.from_iterable(pieces for run in runs for _, pieces in run)))
-        self.memo.update({x: self.old[x] for x in wanted & self.old.keys()} | self.learn(wanted - self.old.keys()))
-        known = self.memo
-        if len(self.memo) > MEMO:  # what isn't asked for during the next MEMO pieces is forgotten
-            self.old, self.memo = {k: v for k, v in self.memo.items() if len(k) <= LONG}, {}
-        of = known.__getitem__
-        return [[i for special, pieces in run for i in ([special] if special is not None else chain.from_iterable(map(of, pieces)))] if len(run) > 1 else list(chain.from_iterable(map(of, run[0][1]))) for run in runs]
+        flat, ends = self.encode_flat(texts)
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -247,10 +267,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for part, texts in chunks(batches, "text"):
-            ids = tool.encode_many(texts)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [key, "ids"])
+            flat, ends = tool.encode_flat(texts)
+            ids = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(np.array(flat, np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], [key, "ids"])
 
     return source.mapInArrow(run, schema)
 
