@@ -239,7 +239,10 @@ def read(manifest: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 if held:
                     yield _batch(held, names, types)
 
-    return manifest.select("archive", "first", "count").repartition("archive", "first").mapInArrow(run, schema)
+    # a row stands for RUN records, so tasks are counted by rows: sizes in bytes would put all rows in one task
+    runs = manifest.count()
+    tasks = max(1, min(runs, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, runs // 64)))
+    return manifest.select("archive", "first", "count").repartition(tasks).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], names: list[str], types: dict) -> pa.RecordBatch:
