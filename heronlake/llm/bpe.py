@@ -34,7 +34,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Pieces of more bytes get a tree of their own.
 LONG = 64
 #: Pieces whose ids a worker remembers at least; at most twice as many and a step's.
-MEMO = 150_000
+MEMO = 120_000
+#: Bytes of text encoded at once.
+STEP = 700_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -266,7 +268,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
-        for part, texts in chunks(batches, "text"):
+        for part, texts in chunks(batches, "text", STEP):
             flat, ends = tool.encode_flat(texts)
             ids = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(np.array(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([part.column(0), ids], [key, "ids"])
