@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronlake.llm.common import chunks, forget, store
-from heronlake.llm.components import components
+from heronlake.operators.graph import components
 
 WORDS, SEED, BITS, SHARED = 3, 42, 2, 6
 #: Postings of more fingerprints are intersected further instead of paired.

@@ -143,7 +143,7 @@ def test_simhash_links_lose_nothing(spark, monkeypatch, light):
             prints.add(near)
     prints |= {seeds[9] ^ (1 << r.randrange(16)) ^ (1 << r.randrange(16)) for _ in range(80)}
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    from heronlake.llm.components import components as connect
+    from heronlake.operators.graph import components as connect
 
     edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
     assert all(((e.a ^ e.b) & (2**64 - 1)).bit_count() <= 2 for e in edges.collect())
