@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from heronlake.sources.storage import table
 
 AS_OF = "2024-01-31 00:00:00"
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
+def now() -> F.Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def hours_before(hours) -> F.Column:
-    return NOW - F.make_dt_interval(hours=hours)
+    return now() - F.make_dt_interval(hours=hours)
 
 
 class Tables:
