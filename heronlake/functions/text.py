@@ -54,7 +54,12 @@ def persian_digits(n: Column) -> Column:
 
 
 def sentences(text: Column, least: int = 15) -> Column:
-    return F.filter(F.transform(F.split(text, "[.!?؟۔؛]"), F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(text, "[.!?؟۔؛]"), strip), lambda s: F.length(s) >= least)
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end (Spark's trim takes spaces only)."""
+    return F.regexp_replace(text, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
 
 
 def truncate(text: Column, most: int = 200) -> Column:

@@ -1 +1,129 @@
-"""To come."""
+"""Ageing of stories, retention, capacity, and the health overview."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from heronlake.functions import scores
+from heronlake.plans.ranking import CLUSTER_SQL, clusters, scored
+from heronlake.plans.registry import query
+from heronlake.sources.adapters import Tables, hours_before, now
+
+AGE = "date_diff('second', {}, TIMESTAMP '2024-01-31') / 86400.0::DOUBLE"
+
+
+@query("P24 T10 M41", CLUSTER_SQL + f"""SELECT cluster_id, CASE WHEN {AGE.format('last_updated_at')} > 60 AND article_count < 3 THEN 'deleted' WHEN {AGE.format('last_updated_at')} > 30 THEN 'archived'
+ WHEN frozen_at IS NOT NULL OR article_count > 100 OR ({AGE.format('last_updated_at')} > 7 AND {AGE.format('first_published_at')} > 1) THEN 'frozen' ELSE 'active' END AS state FROM clusters""")
+def lifecycle_states(t: Tables) -> DataFrame:
+    return clusters(t).select("cluster_id", scores.lifecycle(F.col("article_count"), F.col("last_updated_at"), F.col("first_published_at"), F.col("frozen_at"), now()).alias("state"))
+
+
+@query("T11", CLUSTER_SQL + """, recent AS (SELECT article_id % 97 AS cluster_id, count(*) AS n FROM v_articles WHERE ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 48 HOUR GROUP BY 1)
+SELECT cluster_id, priority AS old_priority, CASE WHEN frozen_at IS NULL THEN priority WHEN coalesce(n, 0) >= 2 THEN 0 ELSE -50 END AS new_priority FROM clusters LEFT JOIN recent USING (cluster_id)""")
+def demote_quiet(t: Tables) -> DataFrame:
+    """Frozen stories drop to -50 until enough articles come in two days (test value two)."""
+    recent = t.articles.where(F.col("ingested_at") >= hours_before(F.lit(48))).groupBy((F.col("article_id") % 97).alias("cluster_id")).agg(F.count("*").alias("n"))
+    new = F.when(F.col("frozen_at").isNull(), F.col("priority")).when(F.coalesce("n", F.lit(0)) >= 2, 0).otherwise(-50)
+    return clusters(t).join(recent, "cluster_id", "left").select("cluster_id", F.col("priority").alias("old_priority"), new.alias("new_priority"))
+
+
+@query("P25", CLUSTER_SQL + f"SELECT cluster_id FROM clusters WHERE (article_count <= 8 AND {AGE.format('last_updated_at')} > 2) OR (article_count BETWEEN 9 AND 11 AND {AGE.format('last_updated_at')} > 0.5::DOUBLE)")
+def stagnant_stories(t: Tables) -> DataFrame:
+    """Small stories that got nothing new (test sizes)."""
+    age = scores.days_between(now(), F.col("last_updated_at"))
+    return clusters(t).where(((F.col("article_count") <= 8) & (age > 2)) | (F.col("article_count").between(9, 11) & (age > 0.5))).select("cluster_id")
+
+
+@query("P27 P28", "SELECT event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS kept, count(*) FILTER (ts < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS dropped FROM events GROUP BY event_type")
+def retention_audit(t: Tables) -> DataFrame:
+    old = F.expr("ts < TIMESTAMP_NTZ '2024-01-24 00:00:00'")
+    return t["events"].groupBy("event_type").agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("dropped"))
+
+
+@query("P3 P30 T4", "SELECT source_id, count(*) AS n FROM v_articles WHERE story_id IS NULL AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR AND (published_at IS NULL OR published_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR) AND content_type IS NOT NULL GROUP BY source_id")
+def candidate_pool(t: Tables) -> DataFrame:
+    """Unclustered articles that are fresh on both clocks; no publication time passes."""
+    week = hours_before(F.lit(168))
+    a = t.articles.where(F.col("story_id").isNull() & (F.col("ingested_at") >= week) & (F.col("published_at").isNull() | (F.col("published_at") >= week)) & F.col("content_type").isNotNull())
+    return a.groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query("P6", "SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'rated' WHEN e.vec_id IS NOT NULL THEN 'vector' ELSE 'free' END AS blocked_by, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.n_chars < 900 GROUP BY 1")
+def safe_delete(t: Tables) -> DataFrame:
+    """Rows to delete, with what still refers to the blocked ones."""
+    d = t["documents"].where("n_chars < 900").select("doc_id")
+    rated, vector = t["labels"].select("doc_id").distinct().withColumn("r", F.lit(True)), t["embeddings"].select(F.col("vec_id").alias("doc_id")).distinct().withColumn("v", F.lit(True))
+    j = d.join(rated, "doc_id", "left").join(vector, "doc_id", "left")
+    return j.groupBy(F.when(F.col("r"), "rated").when(F.col("v"), "vector").otherwise("free").alias("blocked_by")).agg(F.count("*").alias("n"))
+
+
+@query("A39 A36 M30", CLUSTER_SQL + """
+, c AS (SELECT count(*) FILTER (article_count > 30) AS oversized, count(*) FILTER (first_published_at IS NULL) AS undated, count(*) FILTER (frozen_at IS NOT NULL AND last_updated_at > frozen_at) AS bumped, count(*) FILTER (trending > 0.5) AS pool FROM scored)
+, a AS (SELECT count(*) FILTER (embedding IS NULL) / count(*)::DOUBLE AS null_rate, count(*) FILTER (story_id IS NULL AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR) AS orphans FROM v_articles)
+, u AS (SELECT sum(cost) FILTER (ts >= TIMESTAMP '2024-01-29') AS today, sum(cost) FILTER (ts < TIMESTAMP '2024-01-29' AND ts >= TIMESTAMP '2024-01-22') / 7 AS usual FROM v_usage)
+, v(canary, value, threshold, bad) AS (SELECT 'oversized_active_stories', oversized::DOUBLE, 0, oversized > 0 FROM c UNION ALL SELECT 'null_first_published', undated, 0, undated > 0 FROM c UNION ALL SELECT 'frozen_recently_bumped', bumped, 0, bumped > 0 FROM c
+ UNION ALL SELECT 'homepage_fresh_pool', pool, 8, pool < 8 FROM c UNION ALL SELECT 'embedding_null_rate_24h', null_rate, 0.05, null_rate >= 0.05 FROM a UNION ALL SELECT 'breaking_news_unclustered', orphans, 25, orphans >= 25 FROM a UNION ALL SELECT 'cost_anomaly_today', today / usual, 1.5, today / usual >= 1.5 FROM u)
+SELECT canary, round(value, 5) AS value, CASE WHEN bad THEN 'alert' ELSE 'ok' END AS status FROM v""")
+def health_overview(t: Tables) -> DataFrame:
+    """Named canaries with value and status: one aggregate per table, then one row per canary."""
+    s = scored(t).agg(F.count_if(F.col("article_count") > 30).alias("oversized"), F.count_if(F.col("first_published_at").isNull()).alias("undated"), F.count_if(F.col("frozen_at").isNotNull() & (F.col("last_updated_at") > F.col("frozen_at"))).alias("bumped"), F.count_if(F.col("trending") > 0.5).alias("pool"))
+    a = t.articles.agg((F.count_if(F.col("embedding").isNull()) / F.count("*")).alias("null_rate"), F.count_if(F.col("story_id").isNull() & (F.col("ingested_at") >= hours_before(F.lit(24)))).alias("orphans"))
+    day = F.expr("ts >= TIMESTAMP_NTZ '2024-01-29 00:00:00'")
+    week = F.expr("ts >= TIMESTAMP_NTZ '2024-01-22 00:00:00'")
+    u = t.usage.agg((F.sum(F.when(day, F.col("cost"))) / (F.sum(F.when(~day & week, F.col("cost"))) / 7)).alias("ratio"))
+    one = s.join(a).join(u)  # three single rows
+    rules = {
+        "oversized_active_stories": ("oversized", F.col("oversized") > 0), "null_first_published": ("undated", F.col("undated") > 0), "frozen_recently_bumped": ("bumped", F.col("bumped") > 0), "homepage_fresh_pool": ("pool", F.col("pool") < 8),
+        "embedding_null_rate_24h": ("null_rate", F.col("null_rate") >= 0.05), "breaking_news_unclustered": ("orphans", F.col("orphans") >= 25), "cost_anomaly_today": ("ratio", F.col("ratio") >= 1.5),
+    }
+    rows = F.array(*(F.struct(F.lit(n).alias("canary"), F.round(F.col(c).cast("double"), 5).alias("value"), F.when(bad, "alert").otherwise("ok").alias("status")) for n, (c, bad) in rules.items()))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query("M31 T17", """
+, cur AS (SELECT user_id % 40 AS slug, bool_or(event_type = 'error') AS bad FROM events WHERE ts >= TIMESTAMP '2024-01-30' GROUP BY 1), old AS (SELECT user_id % 45 AS slug, max_by(event_type = 'error', (ts, event_id)) AS open FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1)
+SELECT slug, CASE WHEN coalesce(bad, false) AND NOT coalesce(open, false) THEN 'log' WHEN coalesce(open, false) AND NOT coalesce(bad, false) THEN 'close' ELSE 'keep' END AS action FROM cur FULL OUTER JOIN old USING (slug)""")
+def canary_incident_sync(t: Tables) -> DataFrame:
+    """New alerts to log and recovered ones to close: current state against the latest status row (full outer join)."""
+    e, day = t["events"], F.expr("ts >= TIMESTAMP_NTZ '2024-01-30 00:00:00'")
+    error = F.col("event_type") == "error"
+    cur = e.where(day).groupBy((F.col("user_id") % 40).alias("slug")).agg(F.bool_or(error).alias("bad"))
+    old = e.where(~day).groupBy((F.col("user_id") % 45).alias("slug")).agg(F.max_by(error, F.struct("ts", "event_id")).alias("open"))
+    bad, was = F.coalesce("bad", F.lit(False)), F.coalesce("open", F.lit(False))
+    return cur.join(old, "slug", "full").select("slug", F.when(bad & ~was, "log").when(was & ~bad, "close").otherwise("keep").alias("action"))
+
+
+@query("A30 W10 M17", "SELECT doc_id, keeper FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS keeper, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE length(trim(text)) >= 10) WHERE n > 1")
+def duplicate_keepers(t: Tables) -> DataFrame:
+    """Equal texts with the earliest as keeper; grouped by a hash, so long texts aren't shuffled."""
+    d = t["documents"].where(F.length(F.trim("text")) >= 10).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    k = d.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    return d.join(k, "h").select("doc_id", "keeper")
+
+
+@query("M3 F42", """
+, s AS (SELECT doc_id, sha1(lower(substr(text, 1, 80)) || '|' || substr(text, 1, 400)) AS sig FROM documents) SELECT sig, min(doc_id) AS representative, count(*) AS members FROM s GROUP BY sig HAVING count(*) >= 2""")
+def content_signature_groups(t: Tables) -> DataFrame:
+    from heronlake.functions import text
+
+    s = t["documents"].select("doc_id", text.content_signature(F.substring("text", 1, 80), F.col("text")).alias("sig"))
+    return s.groupBy("sig").agg(F.min("doc_id").alias("representative"), F.count("*").alias("members")).where("members >= 2")
+
+
+@query("W7 T8 M12", """
+, e AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type = 'purchase')
+, s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 2 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM e)
+SELECT user_id, CAST(part AS BIGINT) AS part, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM s GROUP BY ALL""")
+def gap_split(t: Tables) -> DataFrame:
+    """A user's purchases cut where two days pass without one."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = t["events"].where("event_type = 'purchase'").select("user_id", "ts", "event_id", F.lag("ts").over(w).alias("before"))
+    cut = F.when(F.col("before").isNull() | (F.timestamp_diff("MICROSECOND", F.col("before"), F.col("ts")) > 2 * 86_400_000_000), 1).otherwise(0)
+    s = e.withColumn("cut", cut).withColumn("part", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.groupBy("user_id", "part").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+
+
+@query("F66", CLUSTER_SQL + f"""SELECT cluster_id, round(least(0.95::DOUBLE, CASE WHEN article_count < 10 THEN 0.45::DOUBLE WHEN {AGE.format('last_updated_at')} >= 5 THEN 0.65::DOUBLE WHEN {AGE.format('last_updated_at')} > 2 THEN 0.55::DOUBLE ELSE 0.40::DOUBLE END / greatest((cluster_id % 10) / 10.0::DOUBLE, 0.5::DOUBLE)), 6) AS threshold FROM clusters""")
+def match_thresholds(t: Tables) -> DataFrame:
+    return clusters(t).select("cluster_id", F.round(scores.match_threshold(F.col("article_count"), scores.days_between(now(), F.col("last_updated_at")), (F.col("cluster_id") % 10) / 10.0), 6).alias("threshold"))

@@ -36,7 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return {name: f"WITH {ORACLE_VIEWS}\n{sql}" for name, (_, sql, _) in _QUERIES.items() if sql}
+    return {name: f"WITH RECURSIVE {ORACLE_VIEWS}\n{sql}" for name, (_, sql, _) in _QUERIES.items() if sql}
 
 
 def coverage() -> dict[str, str]:

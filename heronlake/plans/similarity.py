@@ -1 +1,115 @@
-"""To come."""
+"""Vector and set similarity: centroids, pairs, components, matching.
+
+Thresholds are the test values; the product's are the operators' defaults or in the docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from heronlake.functions import text, vector
+from heronlake.operators import similarity
+from heronlake.operators.graph import components
+from heronlake.plans.registry import query
+from heronlake.sources.adapters import Tables
+
+COSINE = "coalesce(list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[]), 0)"
+CENTROID_SQL = """
+, cell AS (SELECT label AS story_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings WHERE vec_id < 250)
+, cent AS (SELECT story_id, list(x ORDER BY p) AS centroid FROM (SELECT story_id, p, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY story_id)
+"""
+
+
+def vectors(t: Tables) -> DataFrame:
+    return t["embeddings"].select(F.col("vec_id").alias("article_id"), F.col("label").alias("story_id"), "embedding")
+
+
+def story_centroids(t: Tables) -> DataFrame:
+    return vector.centroids(vectors(t).where("article_id < 250"), "story_id", "embedding")
+
+
+@query("F52 A2 X1", CENTROID_SQL + "SELECT story_id, round(centroid[1], 6) AS first, round(centroid[64], 6) AS last, round(sqrt(list_sum(list_transform(centroid, lambda x: x * x))), 6) AS norm FROM cent")
+def centroid_mean(t: Tables) -> DataFrame:
+    c = F.col("centroid")
+    return story_centroids(t).select("story_id", F.round(c[0], 6).alias("first"), F.round(c[63], 6).alias("last"), F.round(vector.norm(c), 6).alias("norm"))
+
+
+@query("M16 M33 F51", CENTROID_SQL + f"SELECT vec_id AS article_id, round({COSINE.format('embedding', 'centroid')}, 6) AS score FROM embeddings JOIN cent ON story_id = label WHERE vec_id < 250 AND {COSINE.format('embedding', 'centroid')} < 0.25")
+def unrelated_articles(t: Tables) -> DataFrame:
+    """Articles below a cosine of .25 to the centroid of their own story."""
+    score = vector.cosine(F.col("embedding"), F.col("centroid"))
+    return vectors(t).where("article_id < 250").join(F.broadcast(story_centroids(t)), "story_id").select("article_id", score.alias("s")).where("s < 0.25").select("article_id", F.round("s", 6).alias("score"))
+
+
+@query("M10 M35 J16", CENTROID_SQL + f"""SELECT story_id, other, score FROM (SELECT a.story_id, b.story_id AS other, round({COSINE.format('a.centroid', 'b.centroid')}, 6) AS score, row_number() OVER (PARTITION BY a.story_id ORDER BY {COSINE.format('a.centroid', 'b.centroid')} DESC, b.story_id) AS k FROM cent a JOIN cent b ON a.story_id <> b.story_id) WHERE k <= 3""")
+def related_topk(t: Tables) -> DataFrame:
+    """Three nearest stories of each story."""
+    c = story_centroids(t)
+    pairs = c.alias("a").join(F.broadcast(c.select(F.col("story_id").alias("other"), F.col("centroid").alias("oc"))), F.col("story_id") != F.col("other"))
+    s = pairs.select("story_id", "other", vector.cosine(F.col("centroid"), F.col("oc")).alias("s"))
+    return s.withColumn("k", F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("s"), "other"))).where("k <= 3").select("story_id", "other", F.round("s", 6).alias("score"))
+
+
+BEST_SQL = CENTROID_SQL + f"""
+, sc AS (SELECT vec_id AS article_id, story_id, {COSINE.format('embedding', 'centroid')} AS s FROM embeddings CROSS JOIN cent WHERE vec_id >= 250)
+, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY s DESC, story_id) AS k FROM sc WHERE s >= 0.10) WHERE k = 1)
+"""
+
+
+def orphan_matches(t: Tables) -> DataFrame:
+    return similarity.best_match(vectors(t).where("article_id >= 250").select("article_id", "embedding"), "article_id", "embedding", story_centroids(t), "story_id", "centroid", 0.10)
+
+
+@query("M14 M15 W12 J23", BEST_SQL + "SELECT article_id, story_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY s DESC, article_id) AS c FROM best) WHERE c <= 7")
+def orphan_best_match(t: Tables) -> DataFrame:
+    """Orphans and the story they fit best, seven per story at most."""
+    return similarity.within_capacity(orphan_matches(t), "story_id", "article_id", "score", 7).select("article_id", "story_id", F.round("score", 6).alias("score"))
+
+
+@query("M21 M19", BEST_SQL + "SELECT floor(s * 20)::BIGINT AS band, count(*) AS n FROM best GROUP BY 1")
+def triage_bands(t: Tables) -> DataFrame:
+    return orphan_matches(t).groupBy(F.floor(F.col("score") * 20).alias("band")).agg(F.count("*").alias("n"))
+
+
+TOKEN_SQL = """
+, tok AS (SELECT article_id, embedding, list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 5)) AS w FROM v_articles WHERE embedding IS NOT NULL)
+, pr AS (SELECT a.article_id AS a, b.article_id AS b, len(list_intersect(a.w, b.w)) AS shared, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS un, coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0) AS c FROM tok a JOIN tok b ON a.article_id < b.article_id)
+"""
+
+
+def same_event(t: Tables) -> DataFrame:
+    a = t.articles.where("embedding IS NOT NULL").select("article_id", "embedding", text.tokens(F.col("title"), 5).alias("w"))
+    pairs = similarity.shared_token_pairs(a, "article_id", "w", 2)
+    side = lambda n: a.select(F.col("article_id").alias(n), F.col("w").alias(f"w{n}"), F.col("embedding").alias(f"e{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "shared", text.jaccard(F.col("wa"), F.col("wb")).alias("j"), vector.cosine(F.col("ea"), F.col("eb")).alias("c"))
+
+
+@query("M4 M9 M8 J16", TOKEN_SQL + "SELECT a, b, shared, round(c, 6) AS cosine FROM pr WHERE shared >= 2 AND shared / un::DOUBLE >= 0.12 AND c >= -0.05")
+def same_event_pairs(t: Tables) -> DataFrame:
+    """Pairs with two shared title tokens, a Jaccard of .12 and a cosine (test value)."""
+    return same_event(t).where("j >= 0.12 AND c >= -0.05").select("a", "b", "shared", F.round("c", 6).alias("cosine"))
+
+
+@query("U6 M2 M11 M5 U8", TOKEN_SQL + """
+, edge AS (SELECT a, b FROM pr WHERE shared >= 2 UNION SELECT b, a FROM pr WHERE shared >= 2)
+, reach(a, b) AS (SELECT a, a FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b)
+SELECT a AS article_id, min(b) AS component, count(*) AS size FROM reach GROUP BY a""")
+def event_components(t: Tables) -> DataFrame:
+    """Connected components of pairs that share two title tokens."""
+    c = components(same_event(t).select("a", "b"))
+    size = c.groupBy("root").agg(F.count("*").alias("size"))
+    return c.join(size, "root").select(F.col("node").alias("article_id"), F.col("root").alias("component"), "size")
+
+
+@query("J17 M24", f"""
+, a AS (SELECT article_id, state_alignment, source_id, article_id % 720 AS h, embedding FROM v_articles JOIN v_sources USING (source_id) WHERE embedding IS NOT NULL)
+SELECT x.article_id AS a, y.article_id AS b, round({COSINE.format('x.embedding', 'y.embedding')}, 6) AS cosine FROM a x JOIN a y ON x.state_alignment = y.state_alignment AND x.source_id <> y.source_id AND abs(x.h - y.h) <= 6 AND x.article_id < y.article_id WHERE {COSINE.format('x.embedding', 'y.embedding')} > 0.1""")
+def coordination_pairs(t: Tables) -> DataFrame:
+    """Same alignment, other outlet, within six hours, similar (test cosine .1)."""
+    a = t.articles.where("embedding IS NOT NULL").select("article_id", "source_id", "embedding", ((F.col("article_id") % 720) * 3600).alias("s")).join(F.broadcast(t.sources.select("source_id", "state_alignment")), "source_id")
+    pairs = similarity.band_pairs(a, "article_id", "state_alignment", "s", 6 * 3600)
+    side = lambda n: a.select(F.col("article_id").alias(n), F.col("source_id").alias(f"s{n}"), F.col("embedding").alias(f"e{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("sa <> sb").select("a", "b", vector.cosine(F.col("ea"), F.col("eb")).alias("c"))
+    return both.where("c > 0.1").select("a", "b", F.round("c", 6).alias("cosine"))

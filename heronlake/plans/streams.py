@@ -1 +1,53 @@
-"""To come."""
+"""Streaming queries; each ends with what the batch query gives."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from heronlake.plans.registry import query
+from heronlake.sources.adapters import Tables
+from heronlake.streaming import events
+
+
+@query("T1 T5", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_events(t: Tables) -> DataFrame:
+    out = events.run(events.windowed(events.event_stream(t.spark, t.sf_dir), "1 day", None), "tumbling", "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("T6", "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events) GROUP BY ALL")
+def sliding_events(t: Tables) -> DataFrame:
+    out = events.run(events.windowed(events.event_stream(t.spark, t.sf_dir), "2 days", "1 day"), "sliding", "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("T7", "SELECT date_trunc('week', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def weekly_events(t: Tables) -> DataFrame:
+    """Weeks that begin on Monday."""
+    s = events.event_stream(t.spark, t.sf_dir).withWatermark("ts", "7 days")
+    g = s.groupBy(F.window("ts", "7 days", None, "4 days").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return events.run(g, "weekly", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("T8", """
+, e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE event_type = 'signup')
+, s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 2 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM e)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, part""")
+def session_events(t: Tables) -> DataFrame:
+    out = events.run(events.sessions(events.event_stream(t.spark, t.sf_dir).where("event_type = 'signup'"), "2 days"), "sessions", "complete")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("T3 T9", "SELECT event_type, count(DISTINCT (user_id, event_type)) AS n FROM events GROUP BY event_type")
+def stream_dedup(t: Tables) -> DataFrame:
+    """The first event per user and type, counted by type."""
+    out = events.run(events.first_of_each(events.event_stream(t.spark, t.sf_dir), ["user_id", "event_type"]), "dedup", "append")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("T2 S12", "SELECT user_id, max(event_id) AS high_water, count(*) AS n FROM events GROUP BY user_id")
+def high_water_marks(t: Tables) -> DataFrame:
+    """Offsets per channel after the stream has run."""
+    g = events.event_stream(t.spark, t.sf_dir).groupBy("user_id").agg(F.max("event_id").alias("high_water"), F.count("*").alias("n"))
+    return events.run(g, "high-water", "complete")
