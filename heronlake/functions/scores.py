@@ -33,7 +33,7 @@ def blindspot_by_shares(inside: Column, outside: Column, loud: int = 70, quiet:
 
 def dispute(state: Column, diaspora: Column) -> Column:
     """How far two sides' framing words (arrays) differ, 0 to 1; 0.15 if a side has none."""
-    clean = lambda a: F.array_distinct(F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), F.trim), lambda w: w != ""))
+    clean = lambda a: F.array_distinct(F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda w: F.trim(w)), lambda w: w != ""))
     s, d = clean(state), clean(diaspora)
     distinct = 1 - F.size(F.array_intersect(s, d)) / F.size(F.array_union(s, d))
     depth = F.least(F.size(s), F.size(d), F.lit(3)) / 3.0

@@ -106,11 +106,11 @@ def clean_post(text: Column) -> Column:
     """A post without markdown links, urls, mentions and its attribution tail."""
     x = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]*\)", "$1")
     x = F.regexp_replace(F.regexp_replace(x, r"https?://\S+", ""), r"(?m)\|[^\n]+$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"@[A-Za-z0-9_]+", ""), r"[ \t]+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(x, r"@[A-Za-z0-9_]+", ""), r"[ \t]+", " "))
 
 
 def first_line(text: Column, most: int = 100) -> Column:
-    return F.substring(F.get(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != ""), F.lit(0)), 1, most)
+    return F.substring(F.get(F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != ""), F.lit(0)), 1, most)
 
 
 def content_signature(title: Column, body: Column) -> Column:
