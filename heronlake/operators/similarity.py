@@ -38,24 +38,29 @@ def band_pairs(df: DataFrame, key: str, equal: str, seconds: str, within: int) -
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def best_match(rows: DataFrame, key: str, vec: str, targets: DataFrame, target: str, target_vec: str, least: float, bound: int = 10_000) -> DataFrame:
-    """*key*, *target*, ``score``: the target of greatest cosine, if it is *least* or more (ties: least target).
+def scored_blocks(rows: DataFrame, vec: str, targets: DataFrame, target: str, target_vec: str, bound: int = 10_000) -> list[DataFrame]:
+    """*rows* with *target* and ``score`` (cosine) for every target, one table per block of targets.
 
-    Every row meets every target, so the target side must be small: it is counted, and
-    broadcast up to *bound* rows; beyond that it is met in blocks of *bound*, keeping the
-    best so far by a partial maximum.
+    The targets are a stated set, counted first: up to *bound* of them are broadcast, more
+    are met in blocks of about *bound*, so no more than a block is ever held.
     """
-    n = targets.count()
-    blocks = max(1, -(-n // bound))
-    parts = None
+    blocks = max(1, -(-targets.count() // bound))
+    out = []
     for block in range(blocks):
         some = targets if blocks == 1 else targets.where(F.pmod(F.xxhash64(target), F.lit(blocks)) == block)
-        scored = rows.select(key, vec).join(F.broadcast(some.select(target, target_vec))).select(key, target, vector.cosine(F.col(vec), F.col(target_vec)).alias("score"))
-        here = scored.where(F.col("score") >= least).groupBy(key).agg(F.max(F.struct("score", -F.col(target), F.col(target))).alias("m")).select(key, F.col(f"m.{target}").alias(target), "m.score")
-        parts = here if parts is None else parts.unionByName(here)
-    if blocks == 1:
-        return parts
-    return parts.groupBy(key).agg(F.max(F.struct("score", -F.col(target), F.col(target))).alias("m")).select(key, F.col(f"m.{target}").alias(target), "m.score")
+        met = rows.join(F.broadcast(some.select(F.col(target).alias("_t"), F.col(target_vec).alias("_v"))))
+        out.append(met.withColumn("score", vector.cosine(F.col(vec), F.col("_v"))).drop("_v").withColumnRenamed("_t", target))
+    return out
+
+
+def best_match(rows: DataFrame, key: str, vec: str, targets: DataFrame, target: str, target_vec: str, least: float, bound: int = 10_000) -> DataFrame:
+    """*key*, *target*, ``score``: the target of greatest cosine, if it is *least* or more (ties: least target)."""
+    best = lambda df: df.groupBy(key).agg(F.max(F.struct("score", -F.col(target), F.col(target))).alias("m")).select(key, F.col(f"m.{target}").alias(target), "m.score")
+    parts = [best(p.where(F.col("score") >= least)) for p in scored_blocks(rows.select(key, vec), vec, targets, target, target_vec, bound)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out if len(parts) == 1 else best(out)
 
 
 def within_capacity(matches: DataFrame, target: str, key: str, score: str, capacity: int) -> DataFrame:

@@ -37,7 +37,7 @@ def grouped_sources(t: Tables) -> DataFrame:
 
 def cells(t: Tables, outlets: bool) -> DataFrame:
     """Per story and group the articles (or outlets); all four groups for every story."""
-    joined = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id").join(F.broadcast(grouped_sources(t).select("source_id", "narrative_group")), "source_id")
+    joined = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id").join(grouped_sources(t).select("source_id", "narrative_group"), "source_id")
     per = joined.groupBy("story_id", "narrative_group").agg((F.countDistinct("source_id") if outlets else F.count("*")).alias("n"))
     wide = per.groupBy("story_id").pivot("narrative_group", list(groups.GROUPS)).agg(F.first("n"))
     rows = F.array(*(F.struct(F.lit(g).alias("narrative_group"), F.lit(i + 1).alias("ord"), F.coalesce(F.col(g), F.lit(0)).cast("long").alias("n")) for i, g in enumerate(groups.GROUPS)))
@@ -67,7 +67,7 @@ SELECT cluster_id, s AS state_count, d AS diaspora_count, CASE WHEN s + d = 0 TH
   WHEN s * 100 < 20 * (s + d) THEN 'diaspora_only' WHEN d * 100 < 20 * (s + d) THEN 'state_only' END AS blindspot_type FROM c""")
 def blindspot_articles(t: Tables) -> DataFrame:
     """The article-count rule over small clusters."""
-    a = t.articles.select((F.col("article_id") % 900).alias("cluster_id"), "source_id").join(F.broadcast(t.sources.select("source_id", "state_alignment")), "source_id")
+    a = t.articles.select((F.col("article_id") % 900).alias("cluster_id"), "source_id").join(t.sources.select("source_id", "state_alignment"), "source_id")
     c = a.groupBy("cluster_id").agg(F.count_if(F.col("state_alignment") == "state").alias("state_count"), F.count_if(F.col("state_alignment") == "diaspora").alias("diaspora_count"))
     return c.withColumn("blindspot_type", scores.blindspot_by_articles(F.col("state_count"), F.col("diaspora_count")))
 
@@ -77,7 +77,7 @@ SELECT story_id, count(*) AS article_count, count(DISTINCT source_id) AS source_
   bool_or(state_alignment = 'state') AS covered_by_state, bool_or(state_alignment = 'diaspora') AS covered_by_diaspora, count(DISTINCT narrative_group) / 4.0::DOUBLE AS diversity, min(published_at) AS first_published_at
 FROM v_articles JOIN sided USING (source_id) WHERE story_id IS NOT NULL GROUP BY story_id""")
 def story_metadata(t: Tables) -> DataFrame:
-    a = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id", "published_at").join(F.broadcast(grouped_sources(t)), "source_id")
+    a = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id", "published_at").join(grouped_sources(t), "source_id")
     return a.groupBy("story_id").agg(
         F.count("*").alias("article_count"), F.countDistinct("source_id").alias("source_count"), F.count_if(F.col("side") == "inside").alias("inside_count"), F.count_if(F.col("side") == "outside").alias("outside_count"),
         F.bool_or(F.col("state_alignment") == "state").alias("covered_by_state"), F.bool_or(F.col("state_alignment") == "diaspora").alias("covered_by_diaspora"),
@@ -95,7 +95,7 @@ HOURLY_SQL = GROUP_SQL + """
 
 def hourly_counts(t: Tables, hours: int = 200) -> DataFrame:
     """Counts before and after a boundary *hours* ago, for stories touched since."""
-    a = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id", "ingested_at").join(F.broadcast(grouped_sources(t).select("source_id", "side")), "source_id")
+    a = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id", "ingested_at").join(grouped_sources(t).select("source_id", "side"), "source_id")
     new, inside = F.col("ingested_at") >= hours_before(F.lit(hours)), F.col("side") == "inside"
     return a.groupBy("story_id").agg(
         F.count_if(new).alias("new_count"), F.count_if(inside & ~new).alias("inside_before"), F.count_if(~inside & ~new).alias("outside_before"),
@@ -124,7 +124,7 @@ def hourly_update_signal(t: Tables) -> DataFrame:
 SELECT story_id, ip AS inside_pct, oip AS old_inside_pct, CASE WHEN abs(ip - oip) >= 15 THEN 'coverage_shift' WHEN n - old_n >= 3 THEN 'new_articles' END AS kind FROM p""")
 def snapshot_update_signal(t: Tables) -> DataFrame:
     """Today's counts against a snapshot of a day ago; the text counts as rewritten when articles came."""
-    a = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id", "ingested_at").join(F.broadcast(grouped_sources(t).select("source_id", "side")), "source_id")
+    a = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id", "ingested_at").join(grouped_sources(t).select("source_id", "side"), "source_id")
     old, inside = F.col("ingested_at") < hours_before(F.lit(24)), F.col("side") == "inside"
     c = a.groupBy("story_id").agg(F.count("*").alias("n"), F.count_if(old).alias("old_n"), F.count_if(inside).alias("i"), F.count_if(inside & old).alias("old_i"))
     share = lambda x, n: F.when(F.col(n) > 0, F.floor(F.col(x) * 100 / F.col(n))).otherwise(0).cast("long")
@@ -139,7 +139,7 @@ def snapshot_update_signal(t: Tables) -> DataFrame:
 SELECT cluster_id, CASE WHEN i >= 2 AND o = 0 THEN 'outside' ELSE 'inside' END AS silent_side, greatest(i, o) AS loud FROM c WHERE (i >= 2 AND o = 0) OR (o >= 2 AND i = 0)""")
 def silence_detection(t: Tables) -> DataFrame:
     """Clusters that one side covers twice or more and the other not at all (product value: three)."""
-    a = t.articles.select((F.col("article_id") % 500).alias("cluster_id"), "source_id").join(F.broadcast(grouped_sources(t).select("source_id", "side")), "source_id")
+    a = t.articles.select((F.col("article_id") % 500).alias("cluster_id"), "source_id").join(grouped_sources(t).select("source_id", "side"), "source_id")
     c = a.groupBy("cluster_id").agg(F.count_if(F.col("side") == "inside").alias("i"), F.count_if(F.col("side") == "outside").alias("o"))
     silent = F.when((F.col("i") >= 2) & (F.col("o") == 0), "outside").when((F.col("o") >= 2) & (F.col("i") == 0), "inside")
     return c.select("cluster_id", silent.alias("silent_side"), F.greatest("i", "o").alias("loud")).where("silent_side IS NOT NULL")
@@ -153,7 +153,7 @@ WHERE (narrative_group, content_type) NOT IN (SELECT narrative_group, content_ty
 def absence_detection(t: Tables) -> DataFrame:
     """Content types that two or more groups support (40 articles) and this group doesn't."""
     a = t.articles.where(F.col("content_type").isNotNull() & (F.col("article_id") % 7 != F.length("source_id") % 7)).select("source_id", "content_type")
-    n = a.join(F.broadcast(grouped_sources(t).select("source_id", "narrative_group")), "source_id").groupBy("narrative_group", "content_type").agg(F.count("*").alias("c")).where("c >= 40")
+    n = a.join(grouped_sources(t).select("source_id", "narrative_group"), "source_id").groupBy("narrative_group", "content_type").agg(F.count("*").alias("c")).where("c >= 40")
     loud = n.groupBy("content_type").agg(F.count("*").alias("bundles"), F.sum("c").alias("support")).where("bundles >= 2").drop("bundles")
     # four groups by the content types that exist
     every = grouped_sources(t).select("narrative_group").distinct().join(F.broadcast(loud))
@@ -167,7 +167,7 @@ def absence_detection(t: Tables) -> DataFrame:
 SELECT cluster_id, CASE WHEN ni = 0 OR no = 0 THEN 0.15::DOUBLE ELSE round_even(least(1.0::DOUBLE, 0.35::DOUBLE + 0.55::DOUBLE * (1 - both_::DOUBLE / (ni + no - both_)) * (least(ni, no, 3) / 3.0::DOUBLE) + 0.10::DOUBLE * (least(ni, no, 3) / 3.0::DOUBLE)), 2) END AS dispute_score FROM k""")
 def dispute_score(t: Tables) -> DataFrame:
     """Dispute between the sides' first title words per cluster."""
-    a = t.articles.select("source_id", F.get(F.split(F.lower("title"), " "), F.lit(0)).alias("a"), (F.col("article_id") % 200).alias("cluster_id")).join(F.broadcast(grouped_sources(t).select("source_id", "side")), "source_id")
+    a = t.articles.select("source_id", F.get(F.split(F.lower("title"), " "), F.lit(0)).alias("a"), (F.col("article_id") % 200).alias("cluster_id")).join(grouped_sources(t).select("source_id", "side"), "source_id")
     s = a.groupBy("cluster_id").agg(F.collect_set(F.when(F.col("side") == "inside", F.col("a"))).alias("i"), F.collect_set(F.when(F.col("side") == "outside", F.col("a"))).alias("o"))
     return s.select("cluster_id", scores.dispute(F.col("i"), F.col("o")).alias("dispute_score"))
 
@@ -190,6 +190,6 @@ def sentiment_snapshot(t: Tables) -> DataFrame:
 SELECT story_id, CAST(round(i * 100.0::DOUBLE / n) AS BIGINT) AS inside_pct, CAST(greatest(0, 100 - round(i * 100.0::DOUBLE / n)) AS BIGINT) AS outside_pct FROM c""")
 def side_percentages(t: Tables) -> DataFrame:
     """Two shares for display: the first rounded half up, the second its complement."""
-    a = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id").join(F.broadcast(grouped_sources(t).select("source_id", "side")), "source_id")
+    a = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id").join(grouped_sources(t).select("source_id", "side"), "source_id")
     c = a.groupBy("story_id").agg(F.round(F.count_if(F.col("side") == "inside") * 100.0 / F.count("*")).cast("long").alias("inside_pct"))
     return c.withColumn("outside_pct", F.greatest(F.lit(0), 100 - F.col("inside_pct")).cast("long"))

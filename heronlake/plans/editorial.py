@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.functions import dates, text, vector
+from heronlake.operators import similarity
 from heronlake.plans.coverage import GROUP_SQL, grouped_sources
 from heronlake.plans.ranking import CLUSTER_SQL, scored
 from heronlake.plans.registry import query
@@ -118,17 +119,26 @@ SELECT story_id, side, min_by(w, (length(w), w)) AS word, count(DISTINCT w) AS w
 def loaded_words(t: Tables) -> DataFrame:
     """The shortest word of four letters or more per story and side."""
     a = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id", F.explode(F.split(F.lower("title"), " ")).alias("w")).where(F.length("w") >= 4)
-    j = a.join(F.broadcast(grouped_sources(t).select("source_id", "side")), "source_id")
+    j = a.join(grouped_sources(t).select("source_id", "side"), "source_id")
     return j.groupBy("story_id", "side").agg(F.min_by("w", F.struct(F.length("w"), "w")).alias("word"), F.countDistinct("w").alias("words"))
 
 
+def against_stories(t: Tables) -> DataFrame:
+    """Orphans with their cosine to every story's centroid."""
+    rows = vectors(t).where("article_id >= 250").select("article_id", F.col("story_id").alias("label"), "embedding")
+    parts = similarity.scored_blocks(rows, "embedding", story_centroids(t), "story_id", "centroid")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("M1 P31 J15", CENTROID_SQL + f"""
 , pr AS (SELECT vec_id AS article_id, c.story_id, {COSINE.format('embedding', 'centroid')} AS s, vec_id % 10 AS age FROM embeddings CROSS JOIN cent c WHERE vec_id >= 250)
 SELECT decision, count(*) AS n FROM (SELECT CASE WHEN (article_id + story_id) % 11 = 0 THEN 'negative_pair' WHEN s < 0 OR age > 7 THEN 'auto_reject' WHEN s >= 0.25 AND age <= 2 THEN 'auto_match' WHEN s >= CASE WHEN age >= 5 THEN 0.2 WHEN age > 2 THEN 0.15 ELSE 0.1 END THEN 'candidate' ELSE 'below_tier' END AS decision FROM pr) GROUP BY decision""")
 def match_decisions(t: Tables) -> DataFrame:
     """The matcher's gates in order, over orphans and the (few) stories; thresholds for the test vectors."""
-    c = story_centroids(t)
-    pr = vectors(t).where("article_id >= 250").select("article_id", "embedding").join(F.broadcast(c)).select("article_id", "story_id", vector.cosine(F.col("embedding"), F.col("centroid")).alias("s"), (F.col("article_id") % 10).alias("age"))
+    pr = against_stories(t).select("article_id", "story_id", F.col("score").alias("s"), (F.col("article_id") % 10).alias("age"))
     tier = F.when(F.col("age") >= 5, 0.2).when(F.col("age") > 2, 0.15).otherwise(0.1)
     decision = F.when((F.col("article_id") + F.col("story_id")) % 11 == 0, "negative_pair").when((F.col("s") < 0) | (F.col("age") > 7), "auto_reject").when((F.col("s") >= 0.25) & (F.col("age") <= 2), "auto_match").when(F.col("s") >= tier, "candidate").otherwise("below_tier")
     return pr.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"))
@@ -140,7 +150,7 @@ def match_decisions(t: Tables) -> DataFrame:
 SELECT article_id, to_story FROM b WHERE best - own >= 0.08 AND best >= 0.15""")
 def reassignments(t: Tables) -> DataFrame:
     """Rows that fit another story better by .08 or more (and .15 at least)."""
-    sc = vectors(t).where("article_id >= 250").select("article_id", F.col("story_id").alias("label"), "embedding").join(F.broadcast(story_centroids(t))).select("article_id", "label", "story_id", vector.cosine(F.col("embedding"), F.col("centroid")).alias("s"))
+    sc = against_stories(t).withColumnRenamed("score", "s")
     b = sc.groupBy("article_id").agg(F.max(F.when(F.col("story_id") == F.col("label"), F.col("s"))).alias("own"), F.max("s").alias("best"), F.max_by("story_id", F.struct("s", -F.col("story_id"))).alias("to_story"))
     return b.where("best - own >= 0.08 AND best >= 0.15").select("article_id", "to_story")
 
@@ -154,7 +164,7 @@ def medoids(t: Tables) -> DataFrame:
     and how many members point the way of the others."""
     u = vectors(t).select("article_id", "story_id", vector.unit(F.col("embedding")).alias("u"))
     total = u.select("story_id", F.posexplode("u").alias("p", "x")).groupBy("story_id", "p").agg(F.sum("x").alias("x")).groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("t"))
-    d = u.join(F.broadcast(total), "story_id").select("story_id", "article_id", vector.dot(F.col("u"), F.col("t")).alias("d"))
+    d = u.join(total, "story_id").select("story_id", "article_id", vector.dot(F.col("u"), F.col("t")).alias("d"))
     return d.groupBy("story_id").agg(F.max_by("article_id", F.struct(F.round("d", 9), -F.col("article_id"))).alias("medoid"), F.count_if(F.col("d") - 1 >= 0).alias("fits"))
 
 
@@ -182,7 +192,7 @@ def grounding_floor(t: Tables) -> DataFrame:
 SELECT narrative_group, date_trunc('week', ingested_at) AS week, count(*) AS articles, count(DISTINCT source_id) AS outlets, CASE WHEN count(*) >= 20 AND count(DISTINCT source_id) >= 2 THEN 'ok' ELSE 'insufficient' END AS status FROM v_articles JOIN sided USING (source_id) GROUP BY ALL""")
 def digest_gates(t: Tables) -> DataFrame:
     """Weekly bundles with their gate: twenty articles of two outlets."""
-    a = t.articles.select("source_id", F.date_trunc("week", "ingested_at").cast("timestamp_ntz").alias("week")).join(F.broadcast(grouped_sources(t).select("source_id", "narrative_group")), "source_id")
+    a = t.articles.select("source_id", F.date_trunc("week", "ingested_at").cast("timestamp_ntz").alias("week")).join(grouped_sources(t).select("source_id", "narrative_group"), "source_id")
     g = a.groupBy("narrative_group", "week").agg(F.count("*").alias("articles"), F.countDistinct("source_id").alias("outlets"))
     return g.withColumn("status", F.when((F.col("articles") >= 20) & (F.col("outlets") >= 2), "ok").otherwise("insufficient"))
 

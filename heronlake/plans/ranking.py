@@ -98,7 +98,7 @@ def alignment_sample(t: Tables) -> DataFrame:
     """Longest article per outlet, then two per alignment and story."""
     a = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id", "article_id", "n_chars")
     one = a.groupBy("story_id", "source_id").agg(F.max_by(F.struct("article_id", "n_chars"), F.struct("n_chars", -F.col("article_id"))).alias("x")).select("story_id", "source_id", "x.*")
-    one = one.join(F.broadcast(t.sources.select("source_id", "state_alignment")), "source_id")
+    one = one.join(t.sources.select("source_id", "state_alignment"), "source_id")
     k = F.row_number().over(Window.partitionBy("story_id", "state_alignment").orderBy(F.desc("n_chars"), "article_id"))
     return one.withColumn("k", k).where("k <= 2").select("story_id", "article_id")
 

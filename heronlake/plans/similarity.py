@@ -39,16 +39,19 @@ def centroid_mean(t: Tables) -> DataFrame:
 def unrelated_articles(t: Tables) -> DataFrame:
     """Articles below a cosine of .25 to the centroid of their own story."""
     score = vector.cosine(F.col("embedding"), F.col("centroid"))
-    return vectors(t).where("article_id < 250").join(F.broadcast(story_centroids(t)), "story_id").select("article_id", score.alias("s")).where("s < 0.25").select("article_id", F.round("s", 6).alias("score"))
+    return vectors(t).where("article_id < 250").join(story_centroids(t), "story_id").select("article_id", score.alias("s")).where("s < 0.25").select("article_id", F.round("s", 6).alias("score"))
 
 
 @query("M10 M35 J16", CENTROID_SQL + f"""SELECT story_id, other, score FROM (SELECT a.story_id, b.story_id AS other, round({COSINE.format('a.centroid', 'b.centroid')}, 6) AS score, row_number() OVER (PARTITION BY a.story_id ORDER BY {COSINE.format('a.centroid', 'b.centroid')} DESC, b.story_id) AS k FROM cent a JOIN cent b ON a.story_id <> b.story_id) WHERE k <= 3""")
 def related_topk(t: Tables) -> DataFrame:
     """Three nearest stories of each story."""
     c = story_centroids(t)
-    pairs = c.alias("a").join(F.broadcast(c.select(F.col("story_id").alias("other"), F.col("centroid").alias("oc"))), F.col("story_id") != F.col("other"))
-    s = pairs.select("story_id", "other", vector.cosine(F.col("centroid"), F.col("oc")).alias("s"))
-    return s.withColumn("k", F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("s"), "other"))).where("k <= 3").select("story_id", "other", F.round("s", 6).alias("score"))
+    others = c.select(F.col("story_id").alias("other"), F.col("centroid").alias("oc"))
+    top = None
+    for part in similarity.scored_blocks(c, "centroid", others, "other", "oc"):
+        here = part.where("story_id <> other").select("story_id", "other", F.col("score").alias("s"))
+        top = here if top is None else top.unionByName(here)
+    return top.withColumn("k", F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("s"), "other"))).where("k <= 3").select("story_id", "other", F.round("s", 6).alias("score"))
 
 
 BEST_SQL = CENTROID_SQL + f"""
@@ -108,7 +111,7 @@ def event_components(t: Tables) -> DataFrame:
 SELECT x.article_id AS a, y.article_id AS b, round({COSINE.format('x.embedding', 'y.embedding')}, 6) AS cosine FROM a x JOIN a y ON x.state_alignment = y.state_alignment AND x.source_id <> y.source_id AND abs(x.h - y.h) <= 6 AND x.article_id < y.article_id WHERE {COSINE.format('x.embedding', 'y.embedding')} > 0.1""")
 def coordination_pairs(t: Tables) -> DataFrame:
     """Same alignment, other outlet, within six hours, similar (test cosine .1)."""
-    a = t.articles.where("embedding IS NOT NULL").select("article_id", "source_id", "embedding", ((F.col("article_id") % 720) * 3600).alias("s")).join(F.broadcast(t.sources.select("source_id", "state_alignment")), "source_id")
+    a = t.articles.where("embedding IS NOT NULL").select("article_id", "source_id", "embedding", ((F.col("article_id") % 720) * 3600).alias("s")).join(t.sources.select("source_id", "state_alignment"), "source_id")
     pairs = similarity.band_pairs(a, "article_id", "state_alignment", "s", 6 * 3600)
     side = lambda n: a.select(F.col("article_id").alias(n), F.col("source_id").alias(f"s{n}"), F.col("embedding").alias(f"e{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("sa <> sb").select("a", "b", vector.cosine(F.col("ea"), F.col("eb")).alias("c"))

@@ -39,7 +39,7 @@ def content_type_rollup(t: Tables) -> DataFrame:
 def content_type_gate(t: Tables) -> DataFrame:
     """Articles whose label is in their outlet's JSON whitelist; no label is outside."""
     allowed = t.sources.select("source_id", F.from_json("content_filters", "allowed array<string>")["allowed"].alias("allowed"))
-    a = t.articles.where("content_type IS NOT NULL").select("source_id", "content_type").join(F.broadcast(allowed), "source_id")
+    a = t.articles.where("content_type IS NOT NULL").select("source_id", "content_type").join(allowed, "source_id")
     return a.where(F.array_contains("allowed", F.col("content_type"))).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
@@ -97,7 +97,7 @@ def llm_price_longest_prefix(t: Tables) -> DataFrame:
     rates = t.spark.sql("SELECT * FROM VALUES ('mini', 0.15D), ('mini-pro', 3.0D) AS r(prefix, rate)")
     models = t.usage.select("model").distinct()
     found = models.join(F.broadcast(rates), F.col("model").startswith(F.col("prefix")), "left").groupBy("model").agg(F.max_by("rate", F.length("prefix")).alias("rate"))
-    u = t.usage.join(F.broadcast(found), "model")
+    u = t.usage.join(found, "model")
     return u.groupBy("model").agg(F.count("*").alias("calls"), F.count_if(F.col("rate").isNull()).alias("unpriced"), F.round(F.sum(F.col("cost") * F.coalesce("rate", F.lit(0.0))), 3).alias("priced_cost"))
 
 
@@ -201,4 +201,4 @@ def comparison_sets(t: Tables) -> DataFrame:
     """Per outlet the stories that others cover too, and how many outlets it meets there: from counts, no pairs."""
     p = t.articles.where("story_id IS NOT NULL").select("story_id", "source_id").distinct()
     n = p.groupBy("story_id").agg((F.count("*") - 1).alias("others"))
-    return p.join(F.broadcast(n), "story_id").where("others > 0").groupBy("source_id").agg(F.count("*").alias("stories"), F.sum("others").alias("pairs"))
+    return p.join(n, "story_id").where("others > 0").groupBy("source_id").agg(F.count("*").alias("stories"), F.sum("others").alias("pairs"))
