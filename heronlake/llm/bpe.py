@@ -14,10 +14,10 @@ the key and text columns are read, so clashing names of other columns don't matt
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Pieces of more bytes get a tree of their own.
 LONG = 64
 #: Pieces whose ids a worker remembers at least; at most twice as many and a step's.
-MEMO = 120_000
+MEMO = 160_000
 #: Bytes of text encoded at once.
 STEP = 700_000
 NONE = np.iinfo(np.int64).max
@@ -73,11 +73,12 @@ class BytePairCodec:
         self.rank_of = dict(zip(code.tolist(), range(len(merges)), strict=True))
         self.split = regex.compile(PIECES)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        # ids of pieces, as the bytes of 32-bit integers: joining these makes an array of ids
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     # one tree per piece -------------------------------------------------
-    def merge_long(self, data: bytes) -> tuple[int, ...]:
+    def merge_long(self, data: bytes) -> bytes:
         """Ids of one piece of any length: a merge costs a logarithmic number of steps."""
         n = len(data)
         width = 1 << max(1, (n - 1).bit_length())
@@ -115,7 +116,7 @@ class BytePairCodec:
             put(i, leaf(i))
             if before[i] >= 0:
                 put(before[i], leaf(before[i]))
-        return tuple(x for x in symbol if x >= 0)
+        return np.array([x for x in symbol if x >= 0], np.int32).tobytes()
 
     # many trees at once -------------------------------------------------
     def _slots(self, code: np.ndarray) -> None:
@@ -151,7 +152,7 @@ class BytePairCodec:
             open_ = open_[(there >= 0) & (there != code[open_])]
         return out
 
-    def merge_rows(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+    def merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids of pieces of at most *width* bytes each (a power of two): row r of the matrix is piece r's tree."""
         count = len(pieces)
         data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(count, width)
@@ -199,12 +200,12 @@ class BytePairCodec:
             repair(np.concatenate([base, base, base]), np.concatenate([j, i, left]))
             rows = rows[tree[base + 1] != NONE]
         live = symbols >= 0
-        flat, ends = symbols[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        flat, ends = symbols[live].astype(np.int32).tobytes(), (4 * np.cumsum(live.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that aren't in the memo."""
-        ids: dict[str, tuple[int, ...]] = {}
+        ids: dict[str, bytes] = {}
         widths: dict[int, tuple[list[str], list[bytes]]] = {}
         for piece in pieces:
             data = piece.encode()
@@ -219,7 +220,7 @@ class BytePairCodec:
                 ids.update(zip(names[start : start + 4096], self.merge_rows(group[start : start + 4096], width), strict=True))
         return ids
 
-    def encode_flat(self, texts: list[str]) -> tuple[list[int], list[int]]:
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
         """Ids of all texts on end, and where each text's end; a special token's string becomes its id."""
         keys: list[str] = []
         ends: list[int] = []
@@ -233,24 +234,27 @@ class BytePairCodec:
                     keys += self.split.findall(part)
             ends.append(len(keys))
         found = list(map(self.memo.get, keys))
-        if None in found:
-            wanted = {k for k, ids in zip(keys, found, strict=True) if ids is None} - {""}
+        for at, token in marks:
+            found[at] = np.int32(token).tobytes()
+        missing, at = [], -1
+        with contextlib.suppress(ValueError):  # where there is none left
+            while True:
+                missing.append(at := found.index(None, at + 1))
+        if missing:
+            wanted = {keys[i] for i in missing}
             fresh = {k: self.old[k] for k in wanted & self.old.keys()}
             fresh |= self.learn(wanted - fresh.keys())
-            fresh[""] = ()
-            found = [fresh[k] if ids is None else ids for k, ids in zip(keys, found, strict=True)]
+            for i in missing:
+                found[i] = fresh[keys[i]]
             self.memo.update((k, x) for k, x in fresh.items() if len(k) <= LONG)
             if len(self.memo) > MEMO:  # what isn't asked for until the next MEMO pieces are known is forgotten
                 self.old, self.memo = self.memo, {}
-        for at, token in marks:
-            found[at] = (token,)
-        sizes = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        stops = [int(sizes[e - 1]) if e else 0 for e in ends]
-        return list(chain.from_iterable(found)), stops
+        sizes = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+        return np.frombuffer(b"".join(found), np.int32), [int(sizes[e - 1]) if e else 0 for e in ends]
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         flat, ends = self.encode_flat(texts)
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return [flat[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -270,7 +274,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         tool = codec(path)
         for part, texts in chunks(batches, "text", STEP):
             flat, ends = tool.encode_flat(texts)
-            ids = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(np.array(flat, np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([part.column(0), ids], [key, "ids"])
 
     return source.mapInArrow(run, schema)
