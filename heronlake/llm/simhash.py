@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heronlake.llm import resemblance
 from heronlake.llm.common import chunks, forget, store
 from heronlake.operators.graph import components
 
@@ -135,12 +136,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """*docs* with one row of each group of near-duplicates: that of the least key, of
     repeated keys the first in the table.  Columns stay as they are, whatever their names.
+
+    Documents are linked by fingerprints (:func:`near_duplicates`) and by a similarity of
+    0.8 of their five-word shingles (:mod:`heronlake.llm.resemblance`).
     """
     row = "_heron_row"
     while row in docs.columns:
         row += "_"
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     ids = numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("at")).alias("k"), F.col(text).alias("text"))
-    found = near_duplicates(ids, "k", "text")
-    losers = store(found.where("k <> component_id").select(F.col("k.at").alias(row)), "losers")
+    ids = store(ids, "numbered")
+    found = store(near_duplicates(ids, "k", "text"), "by-fingerprint")
+    alike = resemblance.links(ids.select(F.col("k.at").alias("row"), "text"))
+    joined = components(found.select(F.col("k.at").alias("a"), F.col("component_id.at").alias("b")).unionByName(alike))
+    member = store(joined.join(found.select(F.col("k.at").alias("node"), "k"), "node").select("root", "k"), "members")
+    first = member.groupBy("root").agg(F.min("k").alias("first"))
+    losers = store(member.join(first, "root").where("k <> first").select(F.col("k.at").alias(row)), "losers")
     return numbered.join(losers, row, "left_anti").select(*(docs[c] for c in docs.columns))

@@ -189,7 +189,7 @@ def test_pipeline_stages(spark):
     rows = corpus_pipeline.run(spark, sf).collect()
     docs = table(spark, sf, "documents")
     model = queries.quality_model(docs, table(spark, sf, "labels"))
-    from test_text_operators import brute_contamination, brute_print, components
+    from test_text_operators import brute_contamination, brute_print, components, similar_groups
 
     left = {r.doc_id: r.text for r in docs.collect()}
     items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
@@ -197,10 +197,11 @@ def test_pipeline_stages(spark):
     book = {r.doc_id: r.failed for r in rules.ledger(docs).collect()}
     left = {i: t for i, t in left.items() if not book[i] & rules.mask("v1")}
     prints = {i: brute_print(t) for i, t in left.items()}
-    root, first = components(list(prints.values())), {}
-    for i in sorted(left):
-        first.setdefault(root[prints[i]], i)
-    left = {i: left[i] for i in first.values()}
+    root, order = components(list(prints.values())), sorted(left)
+    first: dict = {}
+    linked = [(first.setdefault(root[prints[i]], at), at) for at, i in enumerate(order)]
+    groups = similar_groups([left[i] for i in order], linked)
+    left = {i: left[i] for at, i in enumerate(order) if groups[at] == at}
     bad = {i for i, t in left.items() for n, hit, _ in [brute_contamination(t, items)] if hit and 20 * hit >= n}
     assert {r.doc_id for r in rows} == set(left) - bad
     tool = bpe.codec(queries.vocabulary_path())

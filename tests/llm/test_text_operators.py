@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from heronlake.llm import bpe, crf, decontaminate, langmodel, queries, rules, simhash
+from heronlake.llm import bpe, crf, decontaminate, langmodel, queries, resemblance, rules, simhash
 
 WORD = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 LONG = " ".join(f"w{i % 977}" for i in range(40_000))
@@ -160,6 +160,50 @@ def test_simhash_keeps_one_of_each_group(spark, docs):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def similar_groups(texts, links=()):
+    """Texts by the least index that chains of similarity 0.8 (five-word shingles) and *links* connect."""
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    alike = [(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x and len(x) <= 1.25 * len(y) and len(y) <= 1.25 * len(x) and len(x & y) >= 0.8 * len(x | y)]
+    for i, j in [*alike, *links]:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("light", [2, 24])
+def test_similar_texts_are_linked(spark, monkeypatch, light):
+    """Groups of near copies, short and long lists, nulls, repeats and a passage that all share."""
+    import random
+
+    from heronlake.operators.graph import components as connect
+
+    monkeypatch.setattr(resemblance, "LIGHT", light)
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [None, "", " \n", "one", "One", "a b c d", LONG, LONG + " end"]
+    for size in (1, 1, 2, 5, 40):
+        words_ = passage + [f"w{r.randrange(5000)}" for _ in range(200)]
+        for _ in range(size):
+            w = list(words_)
+            for _ in range(r.randrange(0, 3)):
+                w[r.randrange(60, 260)] = f"x{r.randrange(5000)}"
+            texts.append(" ".join(w))
+    edges = resemblance.links(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    got = {x.node: x.root for x in connect(edges).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == similar_groups(texts)
+    assert resemblance.links(spark.createDataFrame([], "row long, text string")).count() == 0
+
+
 def brute_contamination(text, items):
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     w, hit, found = split(text), set(), set()
