@@ -138,14 +138,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     repeated keys the first in the table.  Columns stay as they are, whatever their names.
 
     Documents are linked by fingerprints (:func:`near_duplicates`) and by a similarity of
-    0.8 of their five-word shingles (:mod:`heronlake.llm.resemblance`).
+    0.8 of their five-word shingles (:mod:`heronlake.llm.resemblance`).  *docs* is read more
+    than once and has to be the same each time, as a stored table is.
     """
     row = "_heron_row"
     while row in docs.columns:
         row += "_"
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     ids = numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("at")).alias("k"), F.col(text).alias("text"))
-    ids = store(ids, "numbered")
     found = store(near_duplicates(ids, "k", "text"), "by-fingerprint")
     alike = resemblance.links(ids.select(F.col("k.at").alias("row"), "text"))
     joined = components(found.select(F.col("k.at").alias("a"), F.col("component_id.at").alias("b")).unionByName(alike))
