@@ -11,14 +11,20 @@ similarity.
 * the 64 bytes form 16 blocks of 4; nodes are posted under each block.  Texts of similarity
   0.8 share a block with probability 1 - (1 - 0.8^4)^16 = 0.9998;
 * in lists of at most ``LIGHT`` nodes all pairs are candidates.  Nodes of longer lists are
-  posted again under the 120 pairs of blocks (two blocks shared: 0.997 at similarity 0.8);
-  lists that are still long hold texts alike in 8 bytes: each node is a candidate with one
-  member that differs from list to list, so rows stay linear in the size of a group;
+  posted again under the 120 pairs of blocks; lists that are still long hold texts alike in
+  8 bytes: each node is a candidate with one member that differs from list to list, so a
+  group of near copies is linked by rows that stay linear in its size;
 * candidates of fewer than ``MATCHES`` shared positional bytes are dropped (similarity 0.8
   has 51 of 64 on average; fewer than 38 once in 50,000), the rest verified exactly: first
-  one candidate per node, then those that no chain of links connects yet.
-
-No list is capped.  The two shares above are probabilities, not promises.
+  one candidate per node, then those that no chain of links connects yet;
+* a long list of the first posting that these links don't connect (a crowd of texts a
+  little below 0.8, whose stars are rejected) is finished exactly: its nodes meet under
+  their rarest shingles, as many as two texts of the least similarity can't both lack,
+  bounded by length and place (:func:`crowded`).  Only texts that no chain connects are compared;
+  long lists are split over tasks.
+
+No list is capped.  The shares above are probabilities, not promises; a pair that shares a
+long list of one block is found for certain (but for equal 64-bit hashes within a text).
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ WORDS, SIMILARITY, SEED = 5, 0.8, 42
 POSITIONS, BLOCK, MATCHES = 64, 4, 38
 #: Lists of more nodes are intersected further instead of paired.
 LIGHT = 24
+#: Posted members of a shingle's list that one task compares with the rest of the list.
+SPLIT = 1024
 _SALTS = np.random.default_rng(SEED).integers(1 << 63, size=(2, POSITIONS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -94,17 +102,78 @@ def paired(lists: DataFrame) -> DataFrame:
     return lists.alias("l").join(lists.alias("r"), "posting").where("l.node < r.node").select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b`` of *nodes* (``node``, ``sketch``) that share enough positional bytes."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a`` < ``b`` of *nodes* (``node``, ``sketch``) that share enough positional bytes, and
+    the long lists (``posting``, ``node``), not all of whose pairs were formed."""
     first = postings(nodes, 1)
-    heavy = nodes.join(first.where(F.col("n") > LIGHT).select("node").distinct(), "node")
+    long = first.where(F.col("n") > LIGHT).select("posting", "node")
+    heavy = nodes.join(long.select("node").distinct(), "node")
     second = postings(heavy, 2)
     starred = second.where((F.col("n") > LIGHT) & (F.col("node") != F.col("star"))).select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
     pairs = paired(first.where(F.col("n") <= LIGHT)).unionByName(paired(second.where(F.col("n") <= LIGHT))).unionByName(starred).distinct()
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"of_{name}"))
     same = [F.col("of_a")[i].bitwiseXOR(F.col("of_b")[i]) for i in range(POSITIONS // 8)]
     tally = sum((F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for x in same for i in range(8))
-    return store(pairs.join(side("a"), "a").join(side("b"), "b").where(tally >= MATCHES).select("a", "b"), "candidates")
+    return store(pairs.join(side("a"), "a").join(side("b"), "b").where(tally >= MATCHES).select("a", "b"), "candidates"), long
+
+
+def unconnected(long: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node``, ``root`` of the members of lists (``posting``, ``node``) of more than one root."""
+    placed = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("posting").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("posting")
+    return store(placed.join(several, "posting").select("node", "root").distinct(), "crowd")
+
+
+def grams(texts: DataFrame, words: int) -> DataFrame:
+    """``node``, ``root``, ``size`` (distinct shingles) and one of their hashes ``h``, of *texts* (``node``, ``root``, ``text``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, some in chunks(batches, "text", 300_000):
+            h = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(x, words)), np.uint64)) for x in some]
+            n = np.array([len(x) for x in h], np.int64)
+            node, root = (np.repeat(part.column(i).to_numpy(), n) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, root, np.repeat(n, n), np.concatenate(h).view(np.int64))], ["node", "root", "size", "h"])
+
+    return texts.select("node", "root", "text").mapInArrow(run, "node long, root long, size long, h long")
+
+
+def crowded(crowd: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs ``a`` < ``b`` of *crowd* (``node``, ``root``) of different roots, among them all that
+    are similar enough.
+
+    Texts x and y, y not the longer, share at least s / (1 + s) (|x| + |y|) shingles, so in
+    any common order the first shared one is among the first |x| - s |x| + 1 of x and the
+    first |y| - 2 s / (1 + s) |y| + 1 of y.  The order is by how many texts of the crowd hold
+    a shingle.  y is posted under its part, x asks with its own, and as many shingles as the
+    pair has to share must follow in both.
+    """
+    share, slack = similarity / (1 + similarity), 1e-9
+    held = store(grams(texts.withColumnRenamed("row", "node").join(crowd, "node"), words), "grams")
+    shared = held.join(store(held.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "gram-counts"), "h")
+    # shingles of one text come first in the order and meet nothing: they only take places
+    ordered = shared.groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("grams"))
+    ordered = ordered.withColumn("alone", F.col("size") - F.size("grams"))
+    asks = (F.col("size") - F.ceil(F.col("size") * similarity - slack) + 1 - F.col("alone")).cast("int")
+    marks = ordered.select("node", "root", "size", "alone", F.posexplode(F.slice("grams", F.lit(1), F.greatest(asks, F.lit(0)))).alias("at", "g"))
+    # rest: shingles from this one on
+    marks = marks.select("node", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("rest"), "g.h")
+    marks = store(marks.withColumn("posted", F.col("rest") >= F.ceil(F.col("size") * 2 * share - slack)), "marks")
+    lists = marks.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if("posted").alias("n")).where("lo <> hi AND n > 0")
+    lists = store(lists.select("h", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "gram-lists")
+    listed = marks.join(lists, "h")
+    posted = listed.where("posted").withColumn("part", F.pmod(F.xxhash64("root"), "parts").cast("int"))
+    asking = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # roots meet before their members, so that a list is not paired within one root
+    extent = lambda x: x.groupBy("h", "part", "root").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("rest").alias("rest"))
+    y, x = extent(posted).alias("y"), extent(asking).alias("x")
+    near = (F.col("y.root") != F.col("x.root")) & (F.col("y.most") >= F.col("x.least") * similarity - slack)
+    near &= F.least("y.rest", "x.rest") >= (F.col("y.least") + F.col("x.least")) * share - slack
+    met = y.join(x, ["h", "part"]).where(near).select("h", "part", F.col("y.root").alias("of_y"), F.col("x.root").alias("of_x"))
+    side = lambda rows, name: rows.select("h", "part", F.col("root").alias(f"of_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "rest")))
+    pairs = met.join(side(posted, "y"), ["h", "part", "of_y"]).join(side(asking, "x"), ["h", "part", "of_x"])
+    pairs = pairs.where(F.struct("size_y", "node_y") < F.struct("size_x", "node_x")).where(F.col("size_y") >= F.col("size_x") * similarity - slack)
+    pairs = pairs.where(F.least("rest_y", "rest_x") >= (F.col("size_y") + F.col("size_x")) * share - slack)
+    return pairs.select(F.least("node_y", "node_x").alias("a"), F.greatest("node_y", "node_x").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -134,9 +203,9 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     held = store(sketches(rows, words), "sketches")
     nodes = store(held.where("sketch IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.first("sketch").alias("sketch")), "sketch-nodes")
     same = held.join(nodes.select("digest", "node"), "digest").where("row <> node").select(F.col("row").alias("a"), F.col("node").alias("b"))
-    found = candidates(nodes)
-    # texts of candidates only: most texts have none
-    ends = found.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    found, long = candidates(nodes)
+    # texts of candidates and long lists only: most texts have none
+    ends = found.select(F.explode(F.array("a", "b")).alias("row")).unionByName(long.select(F.col("node").alias("row"))).distinct()
     texts = store(rows.select("row", "text").join(ends, "row"), "candidate-texts")
     tried = store(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     near = verified(tried, texts, words, similarity)
@@ -144,4 +213,9 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     apart = found.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return same.unionByName(near).unionByName(verified(apart, texts, words, similarity))
+    near = near.unionByName(verified(apart, texts, words, similarity))
+    if not long.isEmpty():
+        crowd = unconnected(long, store(components(near), "crowd-roots"))
+        if not crowd.isEmpty():
+            near = near.unionByName(verified(crowded(crowd, texts, words, similarity), texts, words, similarity))
+    return same.unionByName(near)

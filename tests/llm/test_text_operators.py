@@ -204,6 +204,29 @@ def test_similar_texts_are_linked(spark, monkeypatch, light):
     assert resemblance.links(spark.createDataFrame([], "row long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("split", [1024, 3])
+def test_similar_texts_are_linked_within_a_crowd(spark, monkeypatch, split):
+    """300 texts of mutual similarity 0.786 or a little less, and among them 60 pairs above 0.8."""
+    import random
+
+    from heronlake.operators.graph import components as connect
+
+    monkeypatch.setattr(resemblance, "SPLIT", split)
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(180)]
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    texts = [" ".join(passage + fresh(24 + i % 3)) for i in range(180)]
+    for i in range(60):
+        first = fresh(4 + i % 12)
+        texts += [" ".join(passage + first + fresh(24 - len(first) + j)) for j in (0, i % 2)]
+    r.shuffle(texts)
+    want = similar_groups(texts)
+    assert len(set(want)) == 240
+    edges = resemblance.links(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))
+    got = {x.node: x.root for x in connect(edges).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
+
+
 def brute_contamination(text, items):
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     w, hit, found = split(text), set(), set()
