@@ -177,7 +177,8 @@ def _shuffled(source: DataFrame, benchmark: DataFrame, key: str, window: int) ->
     spark = source.sparkSession
     cuts = store(benchmark.mapInArrow(cut, "item string, words binary, length long, codes array<long>"), "windows")
     kinds = store(cuts.groupBy("words").agg(F.min("length").alias("length"), F.min("codes").alias("codes")).withColumn("window", F.monotonically_increasing_id()), "window-kinds")
-    numbered = source.withColumn("row", F.monotonically_increasing_id())
+    # stored: how files are dealt out to tasks may differ from read to read
+    numbered = store(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
     widths = [r[0] for r in kinds.select(F.least("length", F.lit(SHINGLE)).cast("int")).distinct().collect()]
     grams = numbered.select("row", "text").mapInArrow(_grams(widths), "h long, n int, row long, place long, size long")
     places = kinds.select("window", "length", F.least("length", F.lit(SHINGLE)).cast("int").alias("n"), F.posexplode("codes").alias("at", "h"))
@@ -230,6 +231,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     row = "_heron_row"
     while row in docs.columns:
         row += "_"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     bad = contamination(numbered.select(F.col(row), F.col(text)), benchmark, row, text).where("n_hit > 0 AND 20 * n_hit >= n_words").select(row)
-    return numbered.join(store(bad, "contaminated"), row, "left_anti").select(*(docs[c] for c in docs.columns))
+    return numbered.join(store(bad, "contaminated"), row, "left_anti").drop(row)

@@ -138,13 +138,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     repeated keys the first in the table.  Columns stay as they are, whatever their names.
 
     Documents are linked by fingerprints (:func:`near_duplicates`) and by a similarity of
-    0.8 of their five-word shingles (:mod:`heronlake.llm.resemblance`).  *docs* is read more
-    than once and has to be the same each time, as a stored table is.
+    0.8 of their five-word shingles (:mod:`heronlake.llm.resemblance`).  Rows are numbered
+    once and stored: how files are dealt out to tasks may differ from read to read.
     """
     row = "_heron_row"
     while row in docs.columns:
         row += "_"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     ids = numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("at")).alias("k"), F.col(text).alias("text"))
     found = store(near_duplicates(ids, "k", "text"), "by-fingerprint")
     alike = resemblance.links(ids.select(F.col("k.at").alias("row"), "text"))
@@ -152,4 +152,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     member = store(joined.join(found.select(F.col("k.at").alias("node"), "k"), "node").select("root", "k"), "members")
     first = member.groupBy("root").agg(F.min("k").alias("first"))
     losers = store(member.join(first, "root").where("k <> first").select(F.col("k.at").alias(row)), "losers")
-    return numbered.join(losers, row, "left_anti").select(*(docs[c] for c in docs.columns))
+    return numbered.join(losers, row, "left_anti").drop(row)

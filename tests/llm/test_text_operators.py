@@ -160,6 +160,40 @@ def test_simhash_keeps_one_of_each_group(spark, docs):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_row_numbers_hold_when_files_are_dealt_anew(spark, monkeypatch, tmp_path):
+    """Between two steps, Spark packs the files of a table into other partitions."""
+    setting = "spark.sql.files.minPartitionNum"
+    turn = [0]
+
+    def dealt(of):
+        def store(df, name):
+            turn[0] += 1
+            spark.conf.set(setting, (1, 8)[turn[0] % 2])
+            return of(df, name)
+
+        return store
+
+    rows = [(i, " ".join(f"{w}{i % 20}" for w in WORD)) for i in range(40)]
+    item = spark.createDataFrame([(1, rows[7][1])], "item_id long, text string")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(simhash, "store", dealt(simhash.store))
+    monkeypatch.setattr(decontaminate, "store", dealt(decontaminate.store))
+    try:
+        kept = simhash.keep_one(docs)
+        for n in (1, 8):
+            spark.conf.set(setting, n)
+            assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+        for bound in (decontaminate.BROADCAST_WORDS, 1):
+            monkeypatch.setattr(decontaminate.contamination, "__defaults__", (*decontaminate.contamination.__defaults__[:-1], bound))
+            clean = decontaminate.drop_contaminated(docs, item)
+            for n in (1, 8):
+                spark.conf.set(setting, n)
+                assert sorted(r.doc_id for r in clean.collect()) == [i for i in range(40) if i % 20 != 7]
+    finally:
+        spark.conf.unset(setting)
+
+
 def similar_groups(texts, links=()):
     """Texts by the least index that chains of similarity 0.8 (five-word shingles) and *links* connect."""
     sets = []
