@@ -27,10 +27,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import chunks
+from heronlake.llm.common import chunks, mapped, spans
 
 #: Fixed value: how the vocabulary's byte-level pre-tokenizer splits text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Code points that the vocabulary's library (Unicode 16) takes for neither letters
+#: nor numbers, though later Unicode tables do.
+LATER = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1"
+    r"\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a"
+    r"\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686"
+    r"\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda"
+    r"\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128"
+    r"\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+    r"\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
+    r"\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479"
+    r"\U0003d000-\U0003fc3f"
+)
+#: The same split where a text holds some of these.
+PINNED = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{LATER}]]+| ?[\p{{N}}--[{LATER}]]+| ?[[^\s\p{{L}}\p{{N}}]||[{LATER}]]+|\s+(?!\S)|\s+"
 #: Pieces of more bytes get a tree of their own.
 LONG = 64
 #: Pieces whose ids a worker remembers at least; at most twice as many and a step's.
@@ -71,12 +86,15 @@ class BytePairCodec:
         self._slots(code)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.rank_of = dict(zip(code.tolist(), range(len(merges)), strict=True))
-        self.split = regex.compile(PIECES)
+        self.split, self.pinned, self.later = regex.compile(PIECES), regex.compile(PINNED, regex.V1), regex.compile(f"[{LATER}]")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # ids of pieces, as the bytes of 32-bit integers: joining these makes an array of ids
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        return (self.split if text.isascii() or not self.later.search(text) else self.pinned).findall(text)
+
     # one tree per piece -------------------------------------------------
     def merge_long(self, data: bytes) -> bytes:
         """Ids of one piece of any length: a merge costs a logarithmic number of steps."""
@@ -231,7 +249,7 @@ class BytePairCodec:
                     marks.append((len(keys), self.special[part]))
                     keys.append("")
                 elif part:
-                    keys += self.split.findall(part)
+                    keys += self.pieces(part)
             ends.append(len(keys))
         found = list(map(self.memo.get, keys))
         for at, token in marks:
@@ -259,6 +277,10 @@ class BytePairCodec:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_flat(self, flat: np.ndarray, ends: list[int]) -> list[str]:
+        """Texts of ids on end, *ends* telling where each text's end."""
+        return [self.decode(flat[a:b].tolist()) for a, b in zip([0, *ends], ends, strict=False)]
+
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> BytePairCodec:
@@ -267,17 +289,27 @@ def codec(path: str) -> BytePairCodec:
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: *key*, ``ids`` array<int>.  *path* must exist on every worker."""
+    return _coded(docs, path, key, text, ())
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """*key*, ``ids`` and ``decoded``, what :func:`decode` makes of the ids, in one pass of one worker."""
+    return _coded(docs, path, key, text, ("decoded",))
+
+
+def _coded(docs: DataFrame, path: str, key: str, text: str, more: tuple[str, ...]) -> DataFrame:
     source = docs.select(F.col(key), F.col(text).alias("text"))
-    schema = T.StructType([source.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([source.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *(T.StructField(c, T.StringType()) for c in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for part, texts in chunks(batches, "text", STEP):
             flat, ends = tool.encode_flat(texts)
             ids = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column(0), ids], [key, "ids"])
+            decoded = [pa.array(tool.decode_flat(flat, ends), pa.string())] if more else []
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, *decoded], [key, "ids", *more])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -289,11 +321,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                column = part.column(part.schema.get_field_index(ids))
-                flat, ends = column.flatten().to_numpy().tolist(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
-                texts = [tool.decode(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            column = batch.column(batch.schema.get_field_index(ids))
+            for start, stop in spans(pc.fill_null(pc.list_value_length(column), 0).to_pylist(), STEP // 4):
+                part = batch.slice(start, stop - start)
+                some = part.column(part.schema.get_field_index(ids))
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)).tolist()
+                texts = tool.decode_flat(some.flatten().to_numpy(), ends)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [f.name for f in schema.fields])
 
-    return encoded.mapInArrow(run, schema)
+    return mapped(encoded, run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import chunks
+from heronlake.llm.common import chunks, mapped
 
 #: The bounds of the training sample.
 SAMPLE, SAMPLE_LINES = 3000, 120
@@ -144,12 +144,14 @@ def train(sequences: list[np.ndarray], labels: list[int], steps: int = 150, rate
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Model:
     """Train on *labels* (*key*, *label* 0 or 1; several rows of a key: the least label) of rows in *docs*.
 
-    The sample is the *sample* keys of least hash; of those, texts of more lines than
-    *sample_lines* are left out whole.
+    The sample is the *sample* keys of least hash (of rows that repeat a key the greatest
+    text); of those, texts of more lines than *sample_lines* are left out whole.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(sample)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("y", "text")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")
+    # of repeated keys one row, so that the sample doesn't depend on the order of rows
+    rows = rows.groupBy("k").agg(F.first("y").alias("y"), F.max(F.coalesce("text", F.lit(""))).alias("text")).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
@@ -157,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             data = [np.array(text_features(x)[0], np.float32).tobytes() for _, x in short]
             yield pa.RecordBatch.from_pydict({"y": pa.array([y for y, _ in short], pa.int32()), "x": pa.array(data, pa.binary())})
 
-    found = sorted((r.y, bytes(r.x)) for r in rows.mapInArrow(run, "y int, x binary").limit(sample).collect())
+    found = sorted((r.y, bytes(r.x)) for r in mapped(rows, run, "y int, x binary").collect())
     return train([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for _, x in found], [y for y, _ in found])
 
 
@@ -170,18 +172,14 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         for part, texts in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(texts), pa.float64())], [key, "score"])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """Rows of *docs* that score *least* or more; columns stay as they are, whatever their names."""
-    position, schema = docs.columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                good = [s >= least for s in model.score([x or "" for x in part.column(position).to_pylist()])]
-                yield part.filter(pa.array(good))
+        for part, texts in chunks(batches, text):
+            yield part.filter(pa.array([s >= least for s in model.score(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, docs.schema)

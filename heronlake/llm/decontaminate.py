@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import chunks, forget, store
+from heronlake.llm.common import chunks, few, forget, mapped, store
 
 WINDOW, SHINGLE = 13, 3
 #: Benchmark words up to which prefix tokens and windows are broadcast.
@@ -115,7 +115,7 @@ def shingle_counts(docs: DataFrame, wanted: dict[int, set[bytes]], text: str = "
                         total.update((n, g) for g in grams if g in those)
         yield pa.RecordBatch.from_pydict({"n": pa.array([k[0] for k in total], pa.int32()), "shingle": pa.array([k[1] for k in total], pa.binary()), "c": pa.array(list(total.values()), pa.int64())})
 
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(run, "n int, shingle binary, c long")
+    parts = mapped(docs.select(F.col(text).alias("text")), run, "n int, shingle binary, c long")
     return {(r.n, bytes(r.shingle)): r.c for r in parts.groupBy("n", "shingle").agg(F.sum("c").alias("c")).toLocalIterator()}
 
 
@@ -143,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             found = [index.value.find(w) for w in split]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(w) for w in split], pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.string()))], [key, "n_words", "n_hit", "items"])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def _grams(widths: list[int]):
@@ -175,12 +175,12 @@ def _shuffled(source: DataFrame, benchmark: DataFrame, key: str, window: int) ->
                     yield pa.RecordBatch.from_pydict({"item": pa.array([name] * len(these)), "words": pa.array([b" ".join(y) for y in these], pa.binary()), "length": pa.array([len(y) for y in these], pa.int64()), "codes": pa.array([[code(s) for s in shingles(y, width(y))] for y in these], pa.list_(pa.int64()))})
 
     spark = source.sparkSession
-    cuts = store(benchmark.mapInArrow(cut, "item string, words binary, length long, codes array<long>"), "windows")
+    cuts = store(mapped(benchmark, cut, "item string, words binary, length long, codes array<long>"), "windows")
     kinds = store(cuts.groupBy("words").agg(F.min("length").alias("length"), F.min("codes").alias("codes")).withColumn("window", F.monotonically_increasing_id()), "window-kinds")
     # stored: how files are dealt out to tasks may differ from read to read
     numbered = store(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
     widths = [r[0] for r in kinds.select(F.least("length", F.lit(SHINGLE)).cast("int")).distinct().collect()]
-    grams = numbered.select("row", "text").mapInArrow(_grams(widths), "h long, n int, row long, place long, size long")
+    grams = mapped(numbered.select("row", "text"), _grams(widths), "h long, n int, row long, place long, size long")
     places = kinds.select("window", "length", F.least("length", F.lit(SHINGLE)).cast("int").alias("n"), F.posexplode("codes").alias("at", "h"))
     wanted = store(places.select("h", "n").distinct(), "wanted")
     hits = store(grams.join(wanted, ["h", "n"], "left_semi"), "gram-hits")
@@ -233,4 +233,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
         row += "_"
     numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     bad = contamination(numbered.select(F.col(row), F.col(text)), benchmark, row, text).where("n_hit > 0 AND 20 * n_hit >= n_words").select(row)
-    return numbered.join(store(bad, "contaminated"), row, "left_anti").drop(row)
+    return numbered.join(few(store(bad, "contaminated")), row, "left_anti").drop(row)

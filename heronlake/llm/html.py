@@ -22,7 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import chunks, store
+from heronlake.llm.common import BROADCAST_KEYS, chunks, mapped, store
 
 #: Sites have several templates, so one of them may stand on a small share of the pages.
 MIN_PAGES, SHARE, STRONG, SHORT = 3, 0.01, 0.3, 60
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)""", re.S)
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?<![\w-])(?:hidden(?![\w-])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
@@ -55,6 +56,7 @@ MARKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 #: An implied end doesn't reach beyond these.
+BARRIER = ("article", "main", "body")
 SCOPE = frozenset("article main body html table ul ol dl div section aside nav header footer form td th blockquote".split())
 
 
@@ -64,68 +66,92 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.marks, self.inner = ["#"], [-1], [""], [[]]
         self.hidden = [False]
-        stack, at, n = [0], 0, len(source)
+        # open elements, and where in that stack each name and each scope stands
+        self.stack, self.open, self.scopes = [0], {}, []
+        self.quotes = True
+        at, n, last = 0, len(source), source.rfind(">")
         while at < n:
-            m = TAG.search(source, at)
-            if not m:
-                self._text(stack[-1], source[at:])
+            m = TAG.search(source, at) if at <= last else None
+            if not m or m.start() > last:
+                self._text(self.stack[-1], source[at:])
                 break
             if m.start() > at:
-                self._text(stack[-1], source[at : m.start()])
+                self._text(self.stack[-1], source[at : m.start()])
             at = m.end()
-            name = (m[2] or m[5] or "").lower()
+            name = (m[2] or "").lower()
             if not name:
                 continue
-            if m[1] or m[4]:
-                self._end(stack, name)
+            close = self._close(source, at)
+            attributes, at = source[at:close], close + 1
+            if m[1]:
+                self._end(name)
                 continue
-            attributes = m[3] if m[2] else m[6]
-            self._begin(stack, name, attributes)
+            self._begin(name, attributes)
             if name in RAW:
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at, last + 1)
                 if name in ("textarea", "title", "noscript"):
-                    self._text(stack[-1], source[at : end.start() if end else n])
-                self._end(stack, name)
+                    self._text(self.stack[-1], source[at : end.start() if end else n])
+                self._end(name)
                 at = end.end() if end else n
             elif name in VOID or attributes.endswith("/"):
-                stack.pop()
+                self._cut(len(self.stack) - 1)
+
+    def _close(self, source: str, at: int) -> int:
+        """Where the tag ends whose attributes begin at *at* (there is a ">" behind).  A ">" in quotes
+        doesn't end it; a page where a quote stays open is read without quotes from there on, so
+        that the rest is looked through once only."""
+        i = at
+        while self.quotes:
+            m = STOP.search(source, i)
+            if m and m[0] == ">":
+                return m.start()
+            i = source.find(m[0], m.end()) + 1 if m else 0
+            self.quotes = i > 0
+        return source.find(">", at)
 
     def _text(self, node: int, text: str) -> None:
         self.inner[node].append(entities.unescape(text) if "&" in text else text)
 
-    def _begin(self, stack: list[int], name: str, attributes: str) -> None:
-        if name in BLOCK:
-            self._imply(stack, {"p"} if name not in ("option", "body", "html") else set())
+    def _begin(self, name: str, attributes: str) -> None:
+        if name in BLOCK and name not in ("option", "body", "html"):
+            self._imply({"p"})
         if name in CLOSES:
-            self._imply(stack, CLOSES[name])
+            self._imply(CLOSES[name])
         i = len(self.tag)
         self.tag.append(name)
-        self.parent.append(stack[-1])
+        self.parent.append(self.stack[-1])
         found = ATTRIBUTE.findall(attributes) if "=" in attributes else []
         self.marks.append(" ".join(a or b or c for _, a, b, c in found).lower())
         self.hidden.append(bool(attributes and HIDDEN.search(attributes)))
         self.inner.append([])
-        self.inner[stack[-1]].append(i)
-        stack.append(i)
+        self.inner[self.stack[-1]].append(i)
+        self.open.setdefault(name, []).append(len(self.stack))
+        if name in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(i)
+
+    def _cut(self, k: int) -> None:
+        """Close the open elements from place *k* of the stack on."""
+        while len(self.stack) > k:
+            tag = self.tag[self.stack.pop()]
+            self.open[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def _innermost(self, names: Iterable[str]) -> int:
+        return max((self.open[x][-1] for x in names if self.open.get(x)), default=0)
 
-    def _imply(self, stack: list[int], names: set[str]) -> None:
+    def _imply(self, names: set[str]) -> None:
         """Close the innermost open element of *names*, unless a scope lies between."""
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in SCOPE:
-                return
+        k = self._innermost(names)
+        if k and k >= (self.scopes[-1] if self.scopes else 0):
+            self._cut(k)
 
-    def _end(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag == name:
-                del stack[k:]
-                return
-            if tag in ("article", "main", "body") and name not in ("article", "main", "body", "html", tag):
-                return
+    def _end(self, name: str) -> None:
+        """Close the innermost open *name*; a stray end tag doesn't reach beyond an article or the body."""
+        k = self._innermost((name,))
+        if k and (name in BARRIER or name == "html" or k > self._innermost(BARRIER)):
+            self._cut(k)
 
     def hashes(self) -> list[int]:
         """Hash of each element's subtree (signed 64 bits); 0 where it has no text."""
@@ -154,16 +180,19 @@ class Page:
                     if not inside[i]:
                         found.append(i)
                     inside[i] = True
+            if found and name == "main":
+                articles, within = [], [False] * len(self.tag)
+                for i in range(1, len(self.tag)):
+                    within[i] = within[self.parent[i]]
+                    if inside[i] and self.tag[i] == "article" and not gone[i]:
+                        if not within[i]:
+                            articles.append(i)
+                        within[i] = True
+                return articles or found
             if found:
-                articles = [i for i in range(1, len(self.tag)) if inside[i] and self.tag[i] == "article" and not gone[i]] if name == "main" else []
-                return [i for i in articles if not any(self._within(i, j) for j in articles if j != i)] or found
+                return found
         return [0]
 
-    def _within(self, i: int, j: int) -> bool:
-        while i > j:
-            i = self.parent[i]
-        return i == j
-
     def text(self, template: set[int], weak: set[int] = frozenset()) -> str:
         """Main text, given the host's subtrees of a share of STRONG (*template*) and of SHARE (*weak*)."""
         n = len(self.tag)
@@ -256,7 +285,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
                 total.clear()
         yield out()
 
-    counted = pages.select(host(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+    counted = mapped(pages.select(host(url).alias("host"), F.col(html).alias("html")), run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
     counted = store(counted.where(F.col("n") >= min_pages), "subtrees")
     sizes = counted.where("hash = 0").select("host", F.col("n").alias("pages"))
     many = counted.where("hash <> 0").join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
@@ -264,16 +293,31 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     return many.groupBy("host").agg(F.collect_list(F.when(strong, F.col("hash"))).alias("template"), F.collect_list(F.when(~strong, F.col("hash"))).alias("weak"))
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """*key*, *url*, ``text`` and ``n_chars``: one row per row of *pages*."""
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, bound: int = BROADCAST_KEYS) -> DataFrame:
+    """*key*, *url*, ``text`` and ``n_chars``: one row per row of *pages*.
+
+    Templates of at most *bound* hashes in all are broadcast; more are joined by host.  Very
+    long pages are parsed in linear time; an empty table gives an empty table.
+    """
     known = store(templates(pages, url, html, min_pages, share), "templates")
-    source = pages.select(F.col(key), F.col(url), F.col(html).alias("html"), host(url).alias("host")).join(known, "host", "left").select(key, url, "html", "template", "weak")
-    schema = T.StructType([source.schema[key], source.schema[url], T.StructField("text", T.StringType())])
+    held = known.agg(F.coalesce(F.sum(F.size("template") + F.size("weak")), F.lit(0))).first()[0]
+    source = pages.select(F.col(key), F.col(url), F.col(html).alias("html"), host(url).alias("host"))
+    names = [key, url, "text"]
+    schema = T.StructType([*source.schema.fields[:2], T.StructField("text", T.StringType())])
+    if held <= bound:
+        sets = {r.host: (frozenset(r.template), frozenset(r.weak)) for r in known.toLocalIterator()}
+        shared = pages.sparkSession.sparkContext.broadcast(sets)
+    else:
+        shared, source = None, source.join(known, "host", "left").select(key, url, "html", "host", "template", "weak")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "html"):
-            lists = zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
-            out = [Page(x).text(set(t or ()), set(w or ())) for x, (t, w) in zip(texts, lists, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], [key, url, "text"])
-
-    return source.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+            hosts = part.column(3).to_pylist()
+            if shared:
+                of = shared.value
+            else:  # rows of one host hold the same lists
+                of = {h: tuple(frozenset(part.column(c)[i].as_py() or ()) for c in (4, 5)) for h, i in dict(zip(hosts, range(len(hosts)), strict=True)).items()}
+            out = [Page(x).text(*of.get(h, (frozenset(), frozenset()))) for x, h in zip(texts, hosts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(out, pa.string())], names)
+
+    return mapped(source, run, schema).withColumn("n_chars", F.length("text").cast("long"))

@@ -4,21 +4,21 @@ Counts are quantised to levels, ``1 + floor(log2 count)``, and an n-gram of leve
 entered once for each level 1..q.  A count is read by probing level after level until a
 membership probe fails; the levels passed give the quantised count back.
 
-What is held where:
-
-* unigram counts of the whole training text: a distributed table (they grow with the corpus);
-* *head*: the most frequent words, at most ``HEAD`` and ``HEAD_BYTES`` long each, so of
-  proven size.  It is broadcast with exact counts.  Every other word of a text (the tail)
-  gets its exact count by a shuffle join;
-* the filter: quantised counts of head words, of pairs of *frequent* words (those with at
-  least 1 / ``FREQUENT`` of all tokens, so at most ``FREQUENT`` words) and of the pairs that
-  begin with each.  It has a power of two of bits, at most ``FILTER_BITS``: as many as its
-  entries need, and where they need more, pairs are entered from the least count that fits.
-
-The model: P(w) is the smoothed unigram share (c + 1) / (N + V + 1) of the quantised count.
-For frequent words v, w: P(w | v) = M (c(v w) + MU P(w) / M) / (c(v .) + MU), where M is the
-share of frequent words and c(v .) counts pairs v x with x frequent; elsewhere P(w | v) =
-P(w).  A text starts after an "end".  The score is the sum of log10 P over words and end.
+* n-grams are the tokens of the training texts and their pairs, *all* of them, by 64-bit
+  hash (equal hashes count as one n-gram);
+* the filter has ``BITS_PER_ENTRY`` bits for each entry, so it grows with the corpus.  It is
+  made of blocks of ``BLOCK`` bits; a key's probes, of whatever level, fall into one block, so
+  blocks are filled by the tasks that hold their keys;
+* a filter of at most ``BROADCAST_BYTES`` is broadcast.  A larger one stays a table: keys to
+  probe are sent to their blocks, the levels found come back to the texts that asked.  Both
+  ways probe the same bits, so scores don't depend on the way;
+* *head*: the most frequent words, at most ``HEAD``, broadcast with exact counts for the exact
+  base score.  Words that the filter doesn't hold have count 0; the few others get their
+  exact count by a join.  The model's score takes counts from the filter alone.
+
+The model: P(w) = (c(w) + 1) / (N + V + 1), and P(w | v) = (c(v w) + MU P(w)) / (c(v) + MU),
+all counts as read from the filter (the middle of their level).  A text starts after an
+"end".  The score is the sum of log10 P(w | v) over words and end.
 
 Null texts are empty (one token, the end); repeated rows are scored alike; with no training
 rows every count is 0.  Only key and text are read.
@@ -26,32 +26,30 @@ rows every count is 0.  Only key and text are read.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from heronlake.llm.common import chunks, store
+from heronlake.llm.common import chunks, mapped, store
 
-HEAD, HEAD_BYTES, FREQUENT = 1 << 18, 48, 1 << 16
-FILTER_BITS, PROBES, MU = 1 << 28, 3, 200.0
-#: Bits a filter has for each entry: with PROBES probes about 3 % of absent entries seem present.
+HEAD, MU = 1 << 19, 20.0
+#: Bits of a block, a power of two of at most 2^21: a 64-bit hash gives PROBES places in it.
+BLOCK, PROBES = 1 << 18, 3
+#: With PROBES probes, about 3 % of absent entries seem present.
 BITS_PER_ENTRY = 8
-#: Distinct words a task counts before it hands them on.
-FLUSH = 180_000
-#: Pairs that a task holds before it counts them.
-PAIRS = 1_500_000
-END = b""
-_PAIR, _FIRST = 1 << 40, 1 << 41
-
-
-def tokens(text: str) -> list[bytes]:
-    return [*text.encode().lower().split(), END]
+BROADCAST_BYTES = 64 << 20
+#: Tokens that a task holds before it counts them.
+FLUSH = 1_000_000
+#: Chunks of texts that ask one copy of a block.
+ASKING = 1 << 16
+END = xxhash.xxh64_intdigest(b"")
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -66,250 +64,258 @@ def middle(levels: np.ndarray) -> np.ndarray:
 def mix(key: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit hash of integers (multiply and shift rounds)."""
     with np.errstate(over="ignore"):
-        x = key.astype(np.uint64) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+        x = key.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
 
-def positions(key: np.ndarray, at: int, bits: int) -> list[np.ndarray]:
-    """The bits of keys entered at a level."""
-    a, b = mix(key, 2 * at), mix(key, 2 * at + 1) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        return [((a + np.uint64(i) * b) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)]
-
+def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all tokens on end, keys of the pairs that each ends, and the texts' numbers of tokens."""
+    flat, sizes = [], []
+    for x in texts:
+        w = x.encode().lower().split()
+        flat += w
+        flat.append(b"")
+        sizes.append(len(w) + 1)
+    word = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
+    return word.view(np.int64), pair_keys(np.concatenate([[np.uint64(END)], word[:-1]]), word), np.array(sizes, np.int64)
 
-@dataclass
-class LogBloom:
-    data: np.ndarray  # bytes
-    bits: int
 
-    def level(self, key: np.ndarray) -> np.ndarray:
-        """Highest level up to which all probes succeed."""
-        out, alive, at = np.zeros(len(key), np.int64), np.arange(len(key)), 1
-        while len(alive) and at < 64:
-            k = key[alive]
-            ok = np.ones(len(alive), bool)
-            for p in positions(k, at, self.bits):
-                ok &= (self.data[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-            alive = alive[ok]
-            out[alive] = at
-            at += 1
-        return out
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(mix(first, 1) ^ second, 2).view(np.int64)
 
 
-BLOCK = 1 << 18  # bits
+def positions(key: np.ndarray, at: int) -> np.ndarray:
+    """The bits of keys entered at a level, in their block: one row per key."""
+    h, width = mix(key, 2 + at), BLOCK.bit_length() - 1
+    return np.stack([(h >> np.uint64(width * i)) & np.uint64(BLOCK - 1) for i in range(PROBES)], axis=1).astype(np.int64)
 
 
-def _bitmaps(bits: int):
-    """A step that enters rows (key, n: count) into filter blocks of its own."""
+def read_levels(data: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Highest level up to which all probes of each key succeed; *start*: first bit of its block in *data* (bytes)."""
+    out, alive, at = np.zeros(len(key), np.int64), np.arange(len(key)), 1
+    while len(alive) and at < 64:
+        bit = positions(key[alive], at) + start[alive, None]
+        alive = alive[(data[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).all(axis=1)]
+        out[alive] = at
+        at += 1
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            key, top = batch.column(0).to_numpy(), level(batch.column(1).to_numpy())
-            for at in range(1, int(top.max(initial=0)) + 1):
-                for p in positions(key[top >= at], at, bits):
-                    for block in np.unique(p // BLOCK).tolist():
-                        inside = p[p // BLOCK == block] % BLOCK if bits > BLOCK else p
-                        here = blocks.setdefault(block, np.zeros(min(BLOCK, bits) // 8, np.uint8))
-                        np.bitwise_or.at(here, inside >> 3, (1 << (inside & 7)).astype(np.uint8))
-        for block, data in blocks.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "bytes": pa.array([data.tobytes()], pa.binary())})
 
-    return run
+@dataclass
+class LogBloom:
+    data: np.ndarray  # bytes, block after block
+    blocks: int
 
+    def level(self, key: np.ndarray) -> np.ndarray:
+        return read_levels(self.data, key % self.blocks * BLOCK, key)
 
-def _merge(key, parts):
-    import pandas as pd
 
-    return pd.DataFrame({"block": [int(key[0])], "bytes": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts["bytes"]]).tobytes()]})
+@dataclass
+class Head:
+    """The most frequent words: sorted keys and their counts; sizes of the whole training text."""
 
+    key: np.ndarray
+    count: np.ndarray
+    total: int  # N
+    distinct: int  # V
 
-def build_filter(counts: DataFrame, bits: int) -> LogBloom:
-    """Filter of rows ``key`` and ``n`` (long): blocks are filled by tasks, merged per block, gathered."""
-    parts = counts.mapInArrow(_bitmaps(bits), "block int, bytes binary")
-    merged = parts.groupBy("block").applyInPandas(_merge, "block int, bytes binary")
-    data = np.zeros(max(bits // 8, 1), np.uint8)
-    for row in merged.toLocalIterator():
-        here = np.frombuffer(bytes(row.bytes), np.uint8)
-        data[row.block * (BLOCK // 8) : row.block * (BLOCK // 8) + len(here)] = here
-    return LogBloom(data, bits)
+    def exact(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words, and whether the word is in the head."""
+        if not len(self.key):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        here = self.key[at] == key
+        return np.where(here, self.count[at], 0), here
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``word`` (binary), ``c``: how often each token occurs in all texts."""
+def ngram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word`` (or else a pair), ``key``, ``n``: how often each n-gram occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "c": pa.array(list(total.values()), pa.int64())})
+        def out() -> Iterator[pa.RecordBatch]:
+            for i in (0, 1):
+                key, n = np.unique(np.concatenate([x[i] for x in held]), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(np.full(len(key), i == 0)), "key": pa.array(key), "n": pa.array(n.astype(np.int64))})
+            held.clear()
 
         for _, texts in chunks(batches, "text"):
-            for x in texts:
-                total.update(tokens(x))
-            if len(total) > FLUSH:
-                yield out()
-                total.clear()
-        yield out()
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-@dataclass
-class Vocabulary:
-    """Head words by falling count; the first *frequent* of them may stand in pairs."""
-
-    words: list[bytes]
-    counts: np.ndarray
-    total: int  # N
-    distinct: int  # V
-    frequent: int
-    ids: dict[bytes, int] = field(default_factory=dict)
-
-    def __getstate__(self):
-        return self.__dict__ | {"ids": {}}
+            held.append(keys(texts)[:2])
+            if sum(len(x[0]) for x in held) > FLUSH:
+                yield from out()
+        if held:
+            yield from out()
 
-    def number(self, w: list[bytes]) -> np.ndarray:
-        if not self.ids and self.words:
-            self.ids = {x: i for i, x in enumerate(self.words)}
-        get = self.ids.get
-        return np.fromiter((get(x, -1) for x in w), np.int64, len(w))
+    return mapped(docs.select(F.col(text).alias("text")), run, "word boolean, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+def head_of(words: DataFrame, most: int = HEAD) -> Head:
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # how many words have a count (exact up to 4096, by power of two beyond): at most 4200 rows
-    size = F.when(F.col("c") <= 4096, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("c"))).cast("long"))
-    short = counts.where(F.length("word") <= HEAD_BYTES)
-    histogram = sorted(short.groupBy(size.alias("at")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    size = F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
+    histogram = sorted(words.groupBy(size.alias("at")).agg(F.count("*").alias("n")).collect(), reverse=True)
     least, held = (histogram[0].at + 1 if histogram else 1), 0
     for row in histogram:
-        if held + row.n > head:
+        if held + row.n > most:
             break
         least, held = row.at, held + row.n
-    frame = short.where(F.col("c") >= least).toPandas()
-    frame = frame.assign(word=[bytes(x) for x in frame["word"]]).sort_values(["c", "word"], ascending=[False, True])
-    c = frame["c"].to_numpy(np.int64)
-    return Vocabulary(frame["word"].tolist(), c, total, distinct, int((c * FREQUENT >= total).sum()))
+    frame = words.where(F.col("n") >= least).select("key", "n").toPandas().sort_values("key")
+    return Head(frame["key"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), total, distinct)
 
 
-def pair_counts(docs: DataFrame, vocab: Broadcast, text: str = "text") -> DataFrame:
-    """``pair`` (first id * FREQUENT + second id), ``n``: neighbours that are both frequent words."""
+def filter_blocks(counts: DataFrame, blocks: int) -> DataFrame:
+    """``block``, ``bytes``: the filter of rows ``key``, ``n``; blocks without entries are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = vocab.value
-        end, held, waiting = v.number([END])[0], [], 0
-
-        def out() -> pa.RecordBatch:
-            pair, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            return pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(n.astype(np.int64))})
-
-        for _, texts in chunks(batches, "text"):
-            ids = v.number([w for x in texts for w in tokens(x)])
-            first = np.concatenate([[end], ids[:-1]])
-            both = (ids >= 0) & (ids < v.frequent) & (first >= 0) & (first < v.frequent)
-            held.append((first * FREQUENT + ids)[both])
-            waiting += len(held[-1])
-            if waiting > PAIRS:
-                yield out()
-                held, waiting = [], 0
-        yield out()
+        index: dict[int, int] = {}
+        data = np.zeros((16, BLOCK // 8), np.uint8)
+        for batch in batches:
+            block, key, n = (batch.column(i).to_numpy() for i in range(3))
+            here, back = np.unique(block, return_inverse=True)
+            rows = np.array([index.setdefault(b, len(index)) for b in here.tolist()], np.int64)
+            while len(index) > len(data):
+                data = np.concatenate([data, np.zeros_like(data)])
+            start, top, flat = rows[back] * BLOCK, level(n), data.reshape(-1)
+            for at in range(1, int(top.max(initial=0)) + 1):
+                some = top >= at
+                bit = (positions(key[some], at) + start[some, None]).ravel()
+                np.bitwise_or.at(flat, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+        for block, row in index.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bytes": pa.array([data[row].tobytes()], pa.binary())})
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return mapped(counts.select(F.pmod("key", F.lit(blocks)).alias("block"), "key", "n").repartition("block"), run, "block long, bytes binary")
 
 
 @dataclass
 class Model:
-    vocab: Broadcast
-    bloom: Broadcast
-    counts: DataFrame  # word, c
+    head: Broadcast
+    words: DataFrame  # key, n
+    blocks: int
+    table: DataFrame  # block, bytes
+    bloom: Broadcast | None  # None: too large to broadcast
 
 
-def fit(docs: DataFrame, text: str = "text") -> Model:
+def fit(docs: DataFrame, text: str = "text", head: int = HEAD, broadcast_bytes: int = BROADCAST_BYTES) -> Model:
     """Count all of *docs* and build the filter."""
     spark = docs.sparkSession
-    counts = store(word_counts(docs, text), "word-counts")
-    v = vocabulary(counts)
-    vocab = spark.sparkContext.broadcast(v)
-    pairs = store(pair_counts(docs, vocab, text), "pair-counts")
-    firsts = pairs.groupBy(F.floor(F.col("pair") / FREQUENT).cast("long").alias("first")).agg(F.sum("n").alias("n"))
-    # entries by level of count: at most 64 rows
-    by_level = sorted(pairs.groupBy((F.floor(F.log2("n")) + 1).cast("int").alias("q")).agg(F.count("*").alias("pairs")).collect(), reverse=True)
-    entries, least = int(level(v.counts).sum()) + 64 * v.frequent, 1 << 62
-    for row in by_level:
-        if (entries + row.pairs * row.q) * BITS_PER_ENTRY > FILTER_BITS:
-            break
-        entries, least = entries + row.pairs * row.q, 1 << (row.q - 1)
-    bits = 1 << max(10, int(np.ceil(np.log2(max(1, entries * BITS_PER_ENTRY)))))
+    counts = store(ngram_counts(docs, text), "ngram-counts")
+    words = counts.where("word").select("key", "n")
+    entries = counts.agg(F.coalesce(F.sum(F.floor(F.log2("n")) + 1), F.lit(0))).first()[0]
+    blocks = max(1, -(-entries * BITS_PER_ENTRY // BLOCK))
+    table = store(filter_blocks(counts, blocks), "filter")
+    bloom = None
+    if blocks * BLOCK // 8 <= broadcast_bytes:
+        data = np.zeros((blocks, BLOCK // 8), np.uint8)
+        for row in table.toLocalIterator():
+            data[row.block] = np.frombuffer(bytes(row.bytes), np.uint8)
+        bloom = spark.sparkContext.broadcast(LogBloom(data.reshape(-1), blocks))
+    return Model(spark.sparkContext.broadcast(head_of(words, head)), words, blocks, table, bloom)
+
+
+RESULT = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("tail_key", T.ArrayType(T.LongType())), T.StructField("tail_n", T.ArrayType(T.LongType()))]
+
+
+def judged(texts: list[str], head: Head, look: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
+    """RESULT's columns for some texts; *look* reads levels of distinct keys.  Tail: words whose exact count is missing yet."""
+    word, pair, sizes = keys(texts)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    below = float(head.total + head.distinct + 1)
+    distinct, at = np.unique(word, return_inverse=True)
+    levels = look(distinct)
+    count = middle(levels)[at]
+    pairs, back = np.unique(pair, return_inverse=True)
+    # every text ends with an end, so its count is that of the first text's last token
+    before = np.concatenate([[count[sizes[0] - 1]], count[:-1]])
+    chance = (middle(look(pairs))[back] + MU * (count + 1) / below) / (before + MU)
+    exact, here = head.exact(distinct)
+    settled = here | (levels == 0)
+    base = np.where(settled, np.log10((exact + 1) / below), 0.0)[at]
+    open_ = np.flatnonzero(~settled[at])
+    row = np.repeat(np.arange(len(texts)), sizes)
+    cell, times = np.unique(row[open_] * len(distinct) + at[open_], return_counts=True)
+    ends = pa.array(np.searchsorted(cell, np.arange(len(texts) + 1) * len(distinct)).astype(np.int32))
+    total = lambda x: pa.array(np.add.reduceat(x, starts))
+    return [
+        pa.array(sizes), total((exact > 0)[at].astype(np.int64)), total(base), total(np.log10(np.minimum(chance, 1.0))),
+        pa.ListArray.from_arrays(ends, pa.array(distinct[cell % len(distinct)])), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64))),
+    ]
+
+
+def _broadcast_scores(numbered: DataFrame, key: str, model: Model, schema: T.StructType) -> DataFrame:
+    head, bloom = model.head, model.bloom
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *judged(texts, head.value, bloom.value.level)], schema.names)
+
+    return mapped(numbered.select(key, "_row", "text"), run, schema)
+
+
+def _routed_scores(numbered: DataFrame, key: str, model: Model, schema: T.StructType) -> DataFrame:
+    """Chunks of 64 rows ask the filter's blocks for the levels of their keys.
+
+    A frequent key is asked for by every chunk, so blocks are copied: at most ASKING chunks
+    meet one copy.
+    """
     import pandas as pd
 
-    head = spark.createDataFrame(pd.DataFrame({"key": np.arange(len(v.words), dtype=np.int64), "n": v.counts}), "key long, n long")
-    rows = head.unionByName(pairs.where(F.col("n") >= least).select((F.col("pair") + _PAIR).alias("key"), "n")).unionByName(firsts.select((F.col("first") + _FIRST).alias("key"), "n"))
-    return Model(vocab, spark.sparkContext.broadcast(build_filter(rows, min(bits, FILTER_BITS))), counts)
+    head = model.head
+    rows = numbered.withColumn("chunk", F.shiftright("_row", 6))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in chunks(batches, "text"):
+            chunk, (word, pair, sizes) = part.column(0).to_numpy(), keys(texts)
+            where = np.repeat(chunk, sizes)
+            for x in (word, pair):
+                found = np.unique(np.stack([where, x], axis=1), axis=0)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array(found[:, 0].copy()), "key": pa.array(found[:, 1].copy())})
+
+    probes = mapped(rows.select("chunk", "text"), ask, "chunk long, key long")
+    copies = 1 + rows.count() // (64 * ASKING)
+    probes = probes.select("chunk", "key", F.pmod("key", F.lit(model.blocks)).alias("block"), F.pmod(F.xxhash64("chunk"), F.lit(copies)).alias("copy"))
+    blocks = model.table.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
 
+    def answer(block, asked):
+        asked_key = asked["key"].to_numpy(np.int64)
+        found = read_levels(np.frombuffer(bytes(block["bytes"].iloc[0]), np.uint8), np.zeros(len(asked), np.int64), asked_key) if len(block) else np.zeros(len(asked), np.int64)
+        return pd.DataFrame({"chunk": asked["chunk"], "key": asked_key, "level": found})
 
-def _estimate(count: Column) -> Column:
-    return F.when(count > 0, (3 * F.pow(F.lit(2.0), F.floor(F.log2(count))) - 1) / 2).otherwise(0.0)
+    levels = store(blocks.groupBy("block", "copy").cogroup(probes.groupBy("block", "copy")).applyInPandas(answer, "chunk long, key long, level long"), "levels")
+
+    def final(texts, known):
+        known = known.drop_duplicates("key").sort_values("key")
+        names, found = known["key"].to_numpy(np.int64), known["level"].to_numpy(np.int64)
+        if not len(texts):
+            return pd.DataFrame({f.name: [] for f in schema})
+        columns = judged([x or "" for x in texts["text"]], head.value, lambda k: found[np.searchsorted(names, k)])
+        return pd.DataFrame({key: texts[key], "_row": texts["_row"]} | {f.name: c.to_pylist() for f, c in zip(RESULT, columns, strict=True)})
+
+    return rows.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(final, schema)
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """*key*, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (exact add-one unigrams)
     and ``score`` (the model), one row per row of *docs*."""
     source = docs.select(F.col(key), F.col(text).alias("text"))
-    vocab, bloom = model.vocab, model.bloom
-    v = vocab.value
-    below = float(v.total + v.distinct + 1)
-    held = "n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, n: long>>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, f = vocab.value, bloom.value
-        exact = np.log10((np.append(v.counts, 0) + 1) / below)
-        quantised = middle(f.level(np.arange(len(v.words)))) if v.words else np.zeros(0)
-        share = (np.append(quantised, 0) + 1) / below
-        mass = max(float(share[: v.frequent].sum()), 1e-300)
-        following = middle(f.level(np.arange(v.frequent) + _FIRST)) if v.frequent else np.zeros(0)
-        logs = np.log10(share)
-        end = v.number([END])[0]
-        for part, texts in chunks(batches, "text"):
-            split = [tokens(x) for x in texts]
-            sizes = np.array([len(w) for w in split])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            ids = v.number([w for x in split for w in x])
-            known = ids >= 0
-            value = np.where(known, logs[ids], 0.0)
-            first = np.concatenate([[end], ids[:-1]])
-            both = np.flatnonzero(known & (ids < v.frequent) & (first >= 0) & (first < v.frequent))
-            if len(both):
-                pair, back = np.unique(first[both] * FREQUENT + ids[both], return_inverse=True)
-                seen = middle(f.level(pair + _PAIR))[back]
-                chance = mass * (seen + MU * share[ids[both]] / mass) / (following[first[both]] + MU)
-                value[both] = np.log10(np.minimum(chance, 1.0))
-            base = np.where(known, exact[ids], 0.0)
-            ends, words, times = [0], [], []
-            for w, at, n in zip(split, starts.tolist(), sizes.tolist(), strict=True):
-                rare = Counter(w[i] for i in np.flatnonzero(~known[at : at + n]).tolist())
-                words += rare
-                times += rare.values()
-                ends.append(len(words))
-            tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
-            total = lambda x, starts=starts: pa.array(np.add.reduceat(x, starts))
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sizes), total(known.astype(np.int64)), total(base), total(value), tail], [key, "_row", "n_tokens", "n_known", "base", "score", "tail"])
-
-    numbered = source.select(F.col(key), F.monotonically_increasing_id().alias("_row"), "text")
-    kind = dict(source.dtypes)[key]
-    passed = store(numbered.mapInArrow(run, f"`{key}` {kind}, _row long, {held}"), "scored")
-    tail = passed.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", "t.n")
-    # every tail word of a text with its exact count; unseen words have none
-    counted = tail.join(model.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    numbered = source.withColumn("_row", F.monotonically_increasing_id())
+    schema = T.StructType([source.schema[key], T.StructField("_row", T.LongType()), *RESULT])
+    if model.bloom is None:
+        passed = _routed_scores(store(numbered, "numbered"), key, model, schema)
+    else:
+        passed = _broadcast_scores(numbered, key, model, schema)
+    passed = store(passed, "scored")
+    below = float(model.head.value.total + model.head.value.distinct + 1)
+    tail = passed.where(F.size("tail_key") > 0).select("_row", F.explode(F.arrays_zip("tail_key", "tail_n")).alias("t")).select("_row", F.col("t.tail_key").alias("key"), F.col("t.tail_n").alias("times"))
+    counted = tail.join(model.words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     tails = counted.groupBy("_row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("t_known"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 1) / below)).alias("t_base"),
-        F.sum(F.col("n") * F.log10((_estimate(F.col("c")) + 1) / below)).alias("t_score"),
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("t_known"),
+        F.sum(F.col("times") * F.log10((F.col("n") + 1) / below)).alias("t_base"),
     )
-    none = lambda c: F.coalesce(c, F.lit(0))
-    return passed.drop("tail").join(tails, "_row", "left").select(
-        key, "n_tokens", (F.col("n_known") + none("t_known")).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + none("t_base")).alias("base_score"), (F.col("score") + none("t_score")).alias("score"),
+    none: Callable[[str], Column] = lambda c: F.coalesce(c, F.lit(0))
+    return passed.drop("tail_key", "tail_n").join(tails, "_row", "left").select(
+        key, "n_tokens", (F.col("n_known") + none("t_known")).alias("n_known"), F.lit(model.head.value.total).cast("long").alias("train_tokens"),
+        (F.col("base") + none("t_base")).alias("base_score"), "score",
     )

@@ -19,7 +19,7 @@ l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_m
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(list_distinct(w)) AS n_distinct FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 5 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_upper > word_chars THEN 8 ELSE 0 END
-  + CASE WHEN n_words >= 50 AND 20 * n_distinct < n_words AND n_words < 5000 THEN 16 ELSE 0 END + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END + CASE WHEN word_chars > 15 * n_words OR word_chars < 2 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed FROM m)
+  + CASE WHEN n_distinct * n_distinct < n_words THEN 16 ELSE 0 END + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END + CASE WHEN word_chars > 15 * n_words OR word_chars < 2 * n_words THEN 64 ELSE 0 END)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
 

@@ -33,8 +33,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_digest(docs: DataFrame) -> DataFrame:
-    path = vocabulary_path()
-    both = bpe.decode(bpe.encode(docs, path), path)
+    both = bpe.round_trip(docs, vocabulary_path())
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), hex_sha256("decoded").alias("decoded_sha256"))
 
 

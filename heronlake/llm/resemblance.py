@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import chunks, store
+from heronlake.llm.common import chunks, few, forget, mapped, store
 from heronlake.operators.graph import components
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
@@ -59,30 +59,30 @@ def shingles(text: str, words: int = WORDS) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
 
 
-def sketch(text: str, words: int = WORDS) -> tuple[bytes, bytes] | tuple[None, None]:
-    """Digest of the set of shingles and its positional bytes; (None, None) without words."""
+def sketch(text: str, words: int = WORDS) -> tuple[bytes, bytes, int] | tuple[None, None, int]:
+    """Digest of the set of shingles, its positional bytes and its size; (None, None, 0) without words."""
     found = shingles(text, words)
     if not found:
-        return None, None
+        return None, None, 0
     h = np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
     least = np.full(POSITIONS, ~np.uint64(0))
     with np.errstate(over="ignore"):
         for start in range(0, len(h), 4096):
             np.minimum(least, (h[start : start + 4096, None] * _SALTS[0] + _SALTS[1]).min(axis=0), out=least)
         drawn = ((least * _SALTS[1][0]) >> np.uint64(56)).astype(np.uint8)
-    return xxhash.xxh128_digest(h.tobytes()), drawn.tobytes()
+    return xxhash.xxh128_digest(h.tobytes()), drawn.tobytes(), len(found)
 
 
 def sketches(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """``row``, ``digest`` and ``sketch`` (positional bytes, eight to a long) of *rows* (``row`` long, ``text``)."""
+    """``row``, ``digest``, ``sketch`` (positional bytes, eight to a long) and ``size`` (distinct shingles) of *rows* (``row`` long, ``text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
-            digest, drawn = zip(*(sketch(x, words) for x in texts), strict=True)
+            digest, drawn, size = zip(*(sketch(x, words) for x in texts), strict=True)
             longs = [d and np.frombuffer(d, ">i8").astype(np.int64) for d in drawn]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(longs, pa.list_(pa.int64()))], ["row", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(longs, pa.list_(pa.int64())), pa.array(size, pa.int64())], ["row", "digest", "sketch", "size"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, digest binary, sketch array<long>")
+    return mapped(rows.select("row", "text"), run, "row long, digest binary, sketch array<long>, size long")
 
 
 def postings(nodes: DataFrame, per_list: int) -> DataFrame:
@@ -95,26 +95,30 @@ def postings(nodes: DataFrame, per_list: int) -> DataFrame:
     posted = nodes.select("node", F.explode(F.array(*lists)).alias("posting"))
     sizes = posted.groupBy("posting").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "posting")).alias("star")).where("n > 1")
     # lists of one are nearly all: they end here
-    return store(posted.join(store(sizes, "block-sizes"), "posting"), "block-postings")
+    held = store(sizes, "block-sizes")
+    out = store(posted.join(few(held), "posting"), "block-postings")
+    forget(held)
+    return out
 
 
 def paired(lists: DataFrame) -> DataFrame:
     return lists.alias("l").join(lists.alias("r"), "posting").where("l.node < r.node").select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a`` < ``b`` of *nodes* (``node``, ``sketch``) that share enough positional bytes, and
-    the long lists (``posting``, ``node``), not all of whose pairs were formed."""
+def candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a`` < ``b`` of *nodes* (``node``, ``sketch``, ``size``) that share enough positional bytes and
+    are near enough in size, and the long lists (``posting``, ``node``), not all of whose pairs were formed."""
     first = postings(nodes, 1)
     long = first.where(F.col("n") > LIGHT).select("posting", "node")
     heavy = nodes.join(long.select("node").distinct(), "node")
     second = postings(heavy, 2)
     starred = second.where((F.col("n") > LIGHT) & (F.col("node") != F.col("star"))).select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
     pairs = paired(first.where(F.col("n") <= LIGHT)).unionByName(paired(second.where(F.col("n") <= LIGHT))).unionByName(starred).distinct()
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"of_{name}"))
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"of_{name}"), F.col("size").alias(f"size_{name}"))
+    near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
     same = [F.col("of_a")[i].bitwiseXOR(F.col("of_b")[i]) for i in range(POSITIONS // 8)]
     tally = sum((F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for x in same for i in range(8))
-    return store(pairs.join(side("a"), "a").join(side("b"), "b").where(tally >= MATCHES).select("a", "b"), "candidates"), long
+    return store(pairs.join(side("a"), "a").join(side("b"), "b").where(near & (tally >= MATCHES)).select("a", "b"), "candidates"), long
 
 
 def unconnected(long: DataFrame, roots: DataFrame) -> DataFrame:
@@ -134,7 +138,7 @@ def grams(texts: DataFrame, words: int) -> DataFrame:
             node, root = (np.repeat(part.column(i).to_numpy(), n) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, root, np.repeat(n, n), np.concatenate(h).view(np.int64))], ["node", "root", "size", "h"])
 
-    return texts.select("node", "root", "text").mapInArrow(run, "node long, root long, size long, h long")
+    return mapped(texts.select("node", "root", "text"), run, "node long, root long, size long, h long")
 
 
 def crowded(crowd: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -189,9 +193,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     side = lambda name: texts.select(F.col("row").alias(name), F.col("text").alias(f"of_{name}"))
-    # ``a`` may be the star of a large group: it meets its text while rows are small
-    whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b")
-    return store(whole.mapInArrow(run, "a long, b long"), "verified")
+    # few pairs find their first text where it lies; ``b`` has few partners, ``a`` may be the star of a large group
+    whole = side("b").join(few(pairs), "b").join(side("a"), "a").select("a", "b", "of_a", "of_b")
+    return store(mapped(whole, run, "a long, b long"), "verified")
 
 
 def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -201,21 +205,27 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     *rows* is read twice and has to be the same each time, as a stored table is.
     """
     held = store(sketches(rows, words), "sketches")
-    nodes = store(held.where("sketch IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.first("sketch").alias("sketch")), "sketch-nodes")
+    nodes = store(held.where("sketch IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.first("sketch").alias("sketch"), F.first("size").alias("size")), "sketch-nodes")
     same = held.join(nodes.select("digest", "node"), "digest").where("row <> node").select(F.col("row").alias("a"), F.col("node").alias("b"))
-    found, long = candidates(nodes)
+    found, long = candidates(nodes, similarity)
     # texts of candidates and long lists only: most texts have none
-    ends = found.select(F.explode(F.array("a", "b")).alias("row")).unionByName(long.select(F.col("node").alias("row"))).distinct()
-    texts = store(rows.select("row", "text").join(ends, "row"), "candidate-texts")
+    ends = store(found.select(F.explode(F.array("a", "b")).alias("row")).unionByName(long.select(F.col("node").alias("row"))).distinct(), "ends")
+    texts = store(rows.select("row", "text").join(few(ends), "row"), "candidate-texts")
     tried = store(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     near = verified(tried, texts, words, similarity)
     roots = store(components(near), "near-roots")
     root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     apart = found.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    apart = store(apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "apart")
     near = near.unionByName(verified(apart, texts, words, similarity))
+    forget(tried, roots, apart, ends)
     if not long.isEmpty():
-        crowd = unconnected(long, store(components(near), "crowd-roots"))
+        grouped = store(components(near), "crowd-roots")
+        crowd = unconnected(long, grouped)
         if not crowd.isEmpty():
-            near = near.unionByName(verified(crowded(crowd, texts, words, similarity), texts, words, similarity))
+            pairs = store(crowded(crowd, texts, words, similarity), "crowd-pairs")
+            near = near.unionByName(verified(pairs, texts, words, similarity))
+            forget(pairs)
+        forget(grouped, crowd)
+    forget(found, texts)
     return same.unionByName(near)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import chunks
+from heronlake.llm.common import chunks, mapped
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct"]
@@ -61,7 +61,7 @@ RULES = (
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "5 * n_symbols > n_words"),
     Rule("upper_case", "2 * n_upper > word_chars"),
-    Rule("few_distinct_words", "n_words >= 50 AND 20 * n_distinct < n_words AND n_words < 5000"),
+    Rule("few_distinct_words", "n_distinct * n_distinct < n_words"),
     Rule("duplicate_lines", "n_lines >= 4 AND 2 * n_dup_lines > n_lines"),
     Rule("word_length", "word_chars > 15 * n_words OR word_chars < 2 * n_words"),
 )
@@ -86,7 +86,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             columns = zip(*map(measure, texts), strict=True)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in columns)], [key, *MEASURES])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -119,16 +119,12 @@ def ablations(book: DataFrame, policy: str, rules: tuple[Rule, ...] = RULES) ->
 def keep(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
     """*docs* without the rows that *policy* drops; columns stay as they are, whatever their names."""
     schema = T.StructType([*docs.schema.fields, T.StructField("_heron_measures", T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))])
-    position = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                columns = zip(*(measure(x or "") for x in part.column(position).to_pylist()), strict=True)
-                found = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], MEASURES)
-                yield pa.RecordBatch.from_arrays([*part.columns, found], schema.names)
-
-    rows = docs.mapInArrow(run, schema).select(F.struct(*docs.columns).alias("_heron_row"), "_heron_measures.*")
+        for part, texts in chunks(batches, text):
+            found = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*map(measure, texts), strict=True)], MEASURES)
+            yield pa.RecordBatch.from_arrays([*part.columns, found], schema.names)
+
+    rows = mapped(docs, run, schema).select(F.struct(*docs.columns).alias("_heron_row"), "_heron_measures.*")
     applied = [F.expr(r.fails) for i, r in enumerate(RULES) if mask(policy) >> i & 1]
     return rows.where(~reduce(lambda a, b: a | b, applied)).select("_heron_row.*")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronlake.llm import resemblance
-from heronlake.llm.common import chunks, forget, store
+from heronlake.llm.common import chunks, few, forget, mapped, store
 from heronlake.operators.graph import components
 
 WORDS, SEED, BITS, SHARED = 3, 42, 2, 6
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             fp = np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], [key, "fp"])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def byte(fp: str, position: int) -> Column:
@@ -97,7 +97,7 @@ def links(nodes: DataFrame) -> DataFrame:
     first = postings(nodes, BLOCK_PAIRS)
     sizes = first.groupBy("slot", "posting").agg(F.count("*").alias("n")).where("n > 1")
     # members of lists of one are nearly all rows: they end here
-    held = store(first.join(store(sizes, "posting-sizes"), ["slot", "posting"]), "postings")
+    held = store(first.join(few(store(sizes, "posting-sizes")), ["slot", "posting"]), "postings")
 
     light = held.where(F.col("n") <= LIGHT)
     pairs = light.alias("l").join(light.alias("r"), ["slot", "posting"]).where("l.fp < r.fp").select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
@@ -147,9 +147,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     ids = numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("at")).alias("k"), F.col(text).alias("text"))
     found = store(near_duplicates(ids, "k", "text"), "by-fingerprint")
-    alike = resemblance.links(ids.select(F.col("k.at").alias("row"), "text"))
+    alike = store(resemblance.links(ids.select(F.col("k.at").alias("row"), "text")), "alike")
     joined = components(found.select(F.col("k.at").alias("a"), F.col("component_id.at").alias("b")).unionByName(alike))
     member = store(joined.join(found.select(F.col("k.at").alias("node"), "k"), "node").select("root", "k"), "members")
     first = member.groupBy("root").agg(F.min("k").alias("first"))
     losers = store(member.join(first, "root").where("k <> first").select(F.col("k.at").alias(row)), "losers")
-    return numbered.join(losers, row, "left_anti").drop(row)
+    forget(found, alike, member)
+    return numbered.join(few(losers), row, "left_anti").drop(row)

@@ -22,6 +22,7 @@ import base64
 import contextlib
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -32,11 +33,11 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import chunks, new_path, store
+from heronlake.llm.common import chunks, few, mapped, new_path, store
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES, RUN = 64 << 20, 500
@@ -45,10 +46,18 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path in it for a URI or a local path."""
+    """File system and path in it for a URI."""
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """*path* with the scheme and host of Spark's default file system, if it names none."""
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", path):
+        return path
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 # records ---------------------------------------------------------------
@@ -161,10 +170,15 @@ def revisits(pages: DataFrame, key: str = "page_id", html: str = "html", min_byt
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write *pages* as archives under *path*; the manifest: ``archive``, ``first``, ``count``, one row per run of RUN records."""
+    """Write *pages* as archives under *path*; the manifest: ``archive``, ``first``, ``count``, one row per run of RUN records.
+
+    *path* belongs to Spark's default file system unless it names another.  The *key* is a
+    whole number (it is cast to long: what isn't a number is null); an empty table gives no archive.
+    """
+    path = qualified(pages.sparkSession, path)
     known = store(revisits(pages, key, html, min_bytes), "payloads")
     source = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    source = source.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary")))).join(known, "sha1", "left").select("id", "url", "html", "first")
+    source = source.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary")))).join(few(known), "sha1", "left").select("id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(path)
@@ -197,7 +211,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
             yield pa.RecordBatch.from_pydict({"archive": [f"{path}/{final}"] * len(firsts), "first": pa.array(firsts, pa.int64()), "count": pa.array([min(RUN, len(index) - i) for i in firsts], pa.int64())})
             number += 1
 
-    return store(source.mapInArrow(run, "archive string, first long, count long"), "manifest")
+    return store(mapped(source, run, "archive string, first long, count long"), "manifest")
 
 
 READ = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("archive", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
@@ -242,7 +256,7 @@ def read(manifest: DataFrame, columns: list[str] | None = None) -> DataFrame:
     # a row stands for RUN records, so tasks are counted by rows: sizes in bytes would put all rows in one task
     runs = manifest.count()
     tasks = max(1, min(runs, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, runs // 64)))
-    return manifest.select("archive", "first", "count").repartition(tasks).mapInArrow(run, schema)
+    return mapped(manifest.select("archive", "first", "count").repartition(tasks), run, schema)
 
 
 def _batch(rows: list[tuple], names: list[str], types: dict) -> pa.RecordBatch:
