@@ -2,21 +2,50 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query parameters that only track.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "ref", "ref_src", "mc_cid", "mc_eid")
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "yclid")
 #: Arabic letters and their Persian forms.
 GLYPHS = ("كيىؤئ", "کییوی")
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 ZWNJ = "‌"
 
 
+@F.pandas_udf("string")
+def nfc(text: pd.Series) -> pd.Series:
+    """Canonical composition, for which Spark has no function."""
+    return text.str.normalize("NFC")
+
+
 def normalize_glyphs(text: Column) -> Column:
-    """Persian letter forms, no zero-width marks but ZWNJ, single spaces."""
-    plain = F.regexp_replace(F.translate(text, *GLYPHS), "[​‍‎‏﻿]", "")
-    return F.trim(F.regexp_replace(plain, "[ \t]+", " "))
+    """For storage: Persian letter forms, composed characters, no zero-width marks but ZWNJ, single spaces."""
+    plain = F.regexp_replace(nfc(F.translate(text, *GLYPHS)), "[​‍‎‏﻿]", "")
+    return strip(F.regexp_replace(plain, r"\s+", " "))
+
+
+def normalize_words(text: Column) -> Column:
+    """For comparison: three letter forms, composed characters, single spaces; null is empty."""
+    return strip(F.regexp_replace(nfc(F.translate(F.coalesce(text, F.lit("")), GLYPHS[0][:3], GLYPHS[1][:3])), r"\s+", " "))
+
+
+def split_words(text: Column) -> Column:
+    """Words between white space, ZWNJ and punctuation."""
+    return F.filter(F.split(text, r"[\s\x{200c},.;:!?؟«»()\[\]{}\x{060c}\x{061b}\\]+"), lambda w: w != "")
+
+
+def split_sentences(text: Column) -> Column:
+    """Sentences: cut after a stop that white space follows."""
+    return F.filter(F.transform(F.split(text, r"[.!?؟۔]\s+"), strip), lambda x: x != "")
+
+
+def embedding_text(title: Column, body: Column, most: int = 512) -> Column:
+    """The title and as many of the body's words as bring it to *most* words."""
+    head, rest = normalize_words(title), split_words(normalize_words(body))
+    left = F.greatest(F.lit(most) - F.size(split_words(head)), F.lit(0))
+    return F.when(body.isNull() | (left == 0), head).otherwise(F.concat(head, F.lit(" "), F.array_join(F.slice(rest, F.lit(1), left), " ")))
 
 
 def words(text: Column) -> Column:
@@ -62,12 +91,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
 
 
-def truncate(text: Column, most: int = 200) -> Column:
-    """At most *most* characters, cut at the last space of the second half, with an ellipsis."""
+def truncate(text: Column, most: int = 200, mark: str = "...") -> Column:
+    """At most *most* characters, cut at the last space if that is in the second half, with a mark."""
     head = F.substring(text, 1, most)
-    space = F.length(head) - F.locate(" ", F.reverse(head)) + 1
-    cut = F.when((F.locate(" ", F.reverse(head)) > 0) & (space > most // 2), F.rtrim(F.substring(head, F.lit(1), space - 1))).otherwise(head)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(cut, F.lit("…")))
+    before = F.length(head) - F.locate(" ", F.reverse(head))  # characters before the last space
+    cut = F.when((F.locate(" ", F.reverse(head)) > 0) & (before > most // 2), F.substring(head, F.lit(1), before)).otherwise(head)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(cut, F.lit(mark)))
 
 
 def slug(text: Column, most: int = 150) -> Column:
@@ -96,21 +125,64 @@ def url_key(url: Column) -> Column:
     return F.lower(F.concat(domain(url), F.regexp_replace(url_part(url, "path"), "/+$", "")))
 
 
-def urls_in(text: Column, most: int = 5) -> Column:
+#: The messenger's own hosts, and marks that channels put before a line.
+OWN_HOSTS = ("t.me/", "telegram.me/", "telegram.org/")
+LEADS = "🔻🔺🔸🔹📢📻🎥▶⚠🔥⭐📌🔗🕑"
+#: Emoji and pictographs.
+EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{25A0}-\x{27BF}\x{2B00}-\x{2BFF}]"
+
+
+def urls_in(text: Column) -> Column:
     """URLs in a text without closing punctuation, longer than 10 characters."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"»«]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[).,;:!?\]}]+$", ""))
-    return F.slice(F.filter(found, lambda u: F.length(u) > 10), 1, most)
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(https?://[^\s<>\"')\],؛]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:!?)]+$", ""))
+    return F.filter(found, lambda u: F.length(u) > 10)
+
+
+def post_urls(text: Column, most: int = 5) -> Column:
+    """The first outbound URLs of a post."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(https?://\S+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:!؟،؛»)>\]]+$", ""))
+    own = lambda u: F.lower(u).contains(OWN_HOSTS[0]) | F.lower(u).contains(OWN_HOSTS[1]) | F.lower(u).contains(OWN_HOSTS[2])
+    return F.slice(F.filter(found, lambda u: ~own(u)), 1, most)
 
 
 def clean_post(text: Column) -> Column:
-    """A post without markdown links, urls, mentions and its attribution tail."""
-    x = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]*\)", "$1")
-    x = F.regexp_replace(F.regexp_replace(x, r"https?://\S+", ""), r"(?m)\|[^\n]+$", "")
-    return strip(F.regexp_replace(F.regexp_replace(x, r"@[A-Za-z0-9_]+", ""), r"[ \t]+", " "))
+    """A post without markdown links, urls, mentions and its attribution tails."""
+    x = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    x = F.regexp_replace(F.regexp_replace(x, r"https?://\S+", ""), r"(?U)@\w+", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"(?m)\|\s*[^\n]+$", ""), r"[ \t]+", " ")
+    return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+
+
+def display_post(text: Column) -> Column:
+    """A post as shown: cleaned, without bold marks, decorative leads, bullets and channel tails."""
+    x = F.regexp_replace(clean_post(text), r"\*\*([^*]+)\*\*", "$1")
+    x = F.regexp_replace(x, rf"(?m)^[\s\x{{202B}}\x{{202C}}]*[{LEADS}]+[\s\x{{202B}}\x{{202C}}]*", "")
+    x = F.regexp_replace(x, r"(?m)^[\s\x{202B}\x{202C}]*[•·▪◾◼·]\s*", "")
+    x = F.regexp_replace(x, r"(?m)[│|]\s*(کانال|@)\s*[^\n│|]+\s*$", "")
+    return strip(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 def first_line(text: Column, most: int = 100) -> Column:
-    return F.substring(F.get(F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != ""), F.lit(0)), 1, most)
+    """A post's title: its first line with something in it, cut at a word."""
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.regexp_replace(x, r"[\s\x{200c}]+", "") != "")
+    return truncate(F.get(lines, F.lit(0)), most, "…")
+
+
+def discussion(text: Column, urls: Column) -> Column:
+    """Whether a post discusses rather than announces: 120 characters (200 on a single line), at most 40 % of them urls."""
+    shown = display_post(text)
+    lines = F.size(F.filter(F.split(shown, "\n"), lambda x: F.trim(x) != ""))
+    chars = F.aggregate(urls, F.lit(0), lambda s, u: s + F.length(u))
+    return F.coalesce((F.length(shown) >= 120) & ((lines != 1) | (F.length(shown) >= 200)) & (chars <= 0.4 * F.length(text)), F.lit(False))
+
+
+def low_quality(text: Column) -> Column:
+    """Under 15 letters and digits, or five emoji and more of them than words."""
+    plain = F.regexp_replace(text, EMOJI, "")
+    letters = F.length(F.regexp_replace(plain, r"[^\p{L}\p{M}\p{N}_]", ""))
+    emoji = F.regexp_count(text, F.lit(EMOJI))
+    words = F.size(F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) >= 2))
+    return F.coalesce((letters < 15) | ((emoji >= 5) & (emoji > words)), F.lit(True))
 
 
 def content_signature(title: Column, body: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.functions import vector
+from heronlake.sources.storage import store
 
 
 def shared_token_pairs(df: DataFrame, key: str, tokens: str, least: int = 2) -> DataFrame:
@@ -44,6 +45,7 @@ def scored_blocks(rows: DataFrame, vec: str, targets: DataFrame, target: str, ta
     The targets are a stated set, counted first: up to *bound* of them are broadcast, more
     are met in blocks of about *bound*, so no more than a block is ever held.
     """
+    targets = store(targets.select(target, target_vec), "targets")
     blocks = max(1, -(-targets.count() // bound))
     out = []
     for block in range(blocks):
@@ -63,7 +65,23 @@ def best_match(rows: DataFrame, key: str, vec: str, targets: DataFrame, target:
     return out if len(parts) == 1 else best(out)
 
 
-def within_capacity(matches: DataFrame, target: str, key: str, score: str, capacity: int) -> DataFrame:
-    """The best *capacity* rows of each target."""
-    k = F.row_number().over(Window.partitionBy(target).orderBy(F.desc(score), key))
-    return matches.withColumn("_k", k).where(F.col("_k") <= capacity).drop("_k")
+def placed(wishes: DataFrame, key: str, target: str, score: str, capacity: int) -> DataFrame:
+    """*key*, *target*: each key in the target it likes best of those with room left, as if keys
+    came one after another in their order.
+
+    Deferred acceptance: each round every unplaced key asks its best target that hasn't turned
+    it away, and each target holds on to the *capacity* first keys that ever asked it.  Targets
+    agree on the order of keys, so this is the result of the serial rule, in rounds that run on
+    all keys at once (their number is bounded by the targets' number, not the keys').
+    """
+    best = Window.partitionBy(key).orderBy(F.desc(score), target)
+    ranked = store(wishes.select(key, target, F.row_number().over(best).alias("_k")), "wishes")
+    held = ranked.where("_k = 1")
+    while True:
+        first = Window.partitionBy(target).orderBy(key)
+        asked = store(held.withColumn("_p", F.row_number().over(first)), "asked")
+        gone = asked.where(F.col("_p") > capacity)
+        if gone.isEmpty():
+            return asked.select(key, target)
+        onward = gone.select(key, (F.col("_k") + 1).alias("_k")).join(ranked, [key, "_k"])
+        held = asked.where(F.col("_p") <= capacity).drop("_p").unionByName(onward.select(key, target, "_k"))

@@ -10,7 +10,7 @@ from heronlake.operators import similarity
 from heronlake.plans.coverage import GROUP_SQL, grouped_sources
 from heronlake.plans.ranking import CLUSTER_SQL, scored
 from heronlake.plans.registry import query
-from heronlake.plans.similarity import CENTROID_SQL, COSINE, story_centroids, vectors
+from heronlake.plans.similarity import COSINE, STORED_SQL, story_centroids, vectors
 from heronlake.sources.adapters import Tables, hours_before
 
 #: Fixed values for the tests' language: tokens of titles about the page, not the event.
@@ -124,17 +124,17 @@ def loaded_words(t: Tables) -> DataFrame:
 
 
 def against_stories(t: Tables) -> DataFrame:
-    """Orphans with their cosine to every story's centroid."""
-    rows = vectors(t).where("article_id >= 250").select("article_id", F.col("story_id").alias("label"), "embedding")
-    parts = similarity.scored_blocks(rows, "embedding", story_centroids(t), "story_id", "centroid")
+    """Arrivals with their cosine to every stored story's centroid."""
+    rows = vectors(t).where("arrived").select("article_id", F.col("story_id").alias("label"), "embedding")
+    parts = similarity.scored_blocks(rows, "embedding", story_centroids(t, "NOT arrived"), "story_id", "centroid")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-@query("M1 P31 J15", CENTROID_SQL + f"""
-, pr AS (SELECT vec_id AS article_id, c.story_id, {COSINE.format('embedding', 'centroid')} AS s, vec_id % 10 AS age FROM embeddings CROSS JOIN cent c WHERE vec_id >= 250)
+@query("M1 P31 J15", STORED_SQL + f"""
+, pr AS (SELECT article_id, c.story_id, {COSINE.format('embedding', 'centroid')} AS s, article_id % 10 AS age FROM vec CROSS JOIN cent c WHERE arrived)
 SELECT decision, count(*) AS n FROM (SELECT CASE WHEN (article_id + story_id) % 11 = 0 THEN 'negative_pair' WHEN s < 0 OR age > 7 THEN 'auto_reject' WHEN s >= 0.25 AND age <= 2 THEN 'auto_match' WHEN s >= CASE WHEN age >= 5 THEN 0.2 WHEN age > 2 THEN 0.15 ELSE 0.1 END THEN 'candidate' ELSE 'below_tier' END AS decision FROM pr) GROUP BY decision""")
 def match_decisions(t: Tables) -> DataFrame:
     """The matcher's gates in order, over orphans and the (few) stories; thresholds for the test vectors."""
@@ -144,8 +144,8 @@ def match_decisions(t: Tables) -> DataFrame:
     return pr.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"))
 
 
-@query("M20", CENTROID_SQL + f"""
-, sc AS (SELECT vec_id AS article_id, label, c.story_id, {COSINE.format('embedding', 'centroid')} AS s FROM embeddings CROSS JOIN cent c WHERE vec_id >= 250)
+@query("M20", STORED_SQL + f"""
+, sc AS (SELECT article_id, vec.story_id AS label, c.story_id, {COSINE.format('embedding', 'centroid')} AS s FROM vec CROSS JOIN cent c WHERE arrived)
 , b AS (SELECT article_id, max(s) FILTER (story_id = label) AS own, max(s) AS best, max_by(story_id, (s, -story_id)) AS to_story FROM sc GROUP BY article_id)
 SELECT article_id, to_story FROM b WHERE best - own >= 0.08 AND best >= 0.15""")
 def reassignments(t: Tables) -> DataFrame:
@@ -179,12 +179,12 @@ def coherence(t: Tables) -> DataFrame:
 
 
 @query("M27 X14 P37", """
-, item AS (SELECT user_id AS item, event_id * 3 % 1500 AS article_id FROM events WHERE event_type = 'signup' AND event_id % 5 = 0)
+, item AS (SELECT user_id AS item, event_id // 8 AS article_id FROM events WHERE event_type = 'signup')
 SELECT item, count(DISTINCT article_id) AS evidence, count(DISTINCT source_id) AS outlets FROM item JOIN v_articles USING (article_id) GROUP BY item HAVING count(DISTINCT article_id) >= 3 AND count(DISTINCT source_id) >= 2""")
 def grounding_floor(t: Tables) -> DataFrame:
     """Claims that keep three cited articles that exist, of two outlets."""
-    cited = t["events"].where("event_type = 'signup' AND event_id % 5 = 0").groupBy(F.col("user_id").alias("item")).agg(F.collect_set(F.col("event_id") * 3 % 1500).alias("ids"))
-    e = cited.select("item", F.explode("ids").alias("article_id")).join(t.articles.select("article_id", "source_id"), "article_id")
+    cited = t["events"].where("event_type = 'signup'").select(F.col("user_id").alias("item"), F.floor(F.col("event_id") / 8).alias("article_id")).distinct()
+    e = cited.join(t.articles.select("article_id", "source_id"), "article_id")
     return e.groupBy("item").agg(F.countDistinct("article_id").alias("evidence"), F.countDistinct("source_id").alias("outlets")).where("evidence >= 3 AND outlets >= 2")
 
 

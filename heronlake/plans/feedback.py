@@ -9,13 +9,13 @@ from heronlake.functions import scores
 from heronlake.plans.registry import query
 from heronlake.sources.adapters import Tables
 
-#: Feedback: clicks and errors stand for readers' reports; the target is the event number modulo 60.
-REPORT_SQL = ", reports AS (SELECT event_id % 60 AS target, CASE WHEN user_id % 4 = 0 THEN NULL ELSE 'c' || user_id % 9 END AS cookie, 'f' || user_id % 5 AS fingerprint, ts, event_type FROM events WHERE event_type IN ('click', 'error') AND event_id % 13 < 2)\n"
+#: Feedback: clicks and errors stand for readers' reports; ten event numbers in a row share a target.
+REPORT_SQL = ", reports AS (SELECT event_id // 10 AS target, CASE WHEN user_id % 4 = 0 THEN NULL ELSE 'c' || user_id % 9 END AS cookie, 'f' || user_id % 5 AS fingerprint, ts, event_type FROM events WHERE event_type IN ('click', 'error'))\n"
 
 
 def reports(t: Tables) -> DataFrame:
-    return t["events"].where("event_type IN ('click', 'error') AND event_id % 13 < 2").select(
-        (F.col("event_id") % 60).alias("target"), F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("c"), F.col("user_id") % 9)).alias("cookie"), F.concat(F.lit("f"), F.col("user_id") % 5).alias("fingerprint"), "ts", "event_type")
+    return t["events"].where("event_type IN ('click', 'error')").select(
+        F.floor(F.col("event_id") / 10).alias("target"), F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("c"), F.col("user_id") % 9)).alias("cookie"), F.concat(F.lit("f"), F.col("user_id") % 5).alias("fingerprint"), "ts", "event_type")
 
 
 @query("A27", REPORT_SQL + "SELECT target, count(DISTINCT coalesce(cookie, fingerprint)) AS identities FROM reports GROUP BY target HAVING count(DISTINCT coalesce(cookie, fingerprint)) >= 3")
@@ -24,11 +24,11 @@ def consensus(t: Tables) -> DataFrame:
     return reports(t).groupBy("target").agg(F.countDistinct(F.coalesce("cookie", "fingerprint")).alias("identities")).where("identities >= 3")
 
 
-@query("A28", REPORT_SQL + "SELECT target FROM reports WHERE ts < TIMESTAMP '2024-01-17' GROUP BY target HAVING count(DISTINCT coalesce(cookie, fingerprint)) < 10")
+@query("A28", REPORT_SQL + "SELECT target FROM reports WHERE ts < TIMESTAMP '2024-01-17' GROUP BY target HAVING count(DISTINCT coalesce(cookie, fingerprint)) < 3")
 def aged_out_feedback(t: Tables) -> DataFrame:
-    """Reports over 14 days old that never found enough others (test floor ten)."""
+    """Targets whose reports over 14 days old never found three identities."""
     old = reports(t).where("ts < TIMESTAMP_NTZ '2024-01-17 00:00:00'").groupBy("target").agg(F.countDistinct(F.coalesce("cookie", "fingerprint")).alias("n"))
-    return old.where("n < 10").select("target")
+    return old.where("n < 3").select("target")
 
 
 @query("A34 A25", REPORT_SQL + "SELECT event_type, count(*) AS total, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS fresh, count(DISTINCT fingerprint) AS identities, min(ts) AS oldest FROM reports GROUP BY event_type")
@@ -83,10 +83,10 @@ def negative_pairs(t: Tables) -> DataFrame:
     return a.join(neg, ["article_id", "story_id"], "left_anti").groupBy("story_id").agg(F.count("*").alias("n"))
 
 
-@query("J8", "SELECT source_id, count(*) AS flagged FROM v_articles a WHERE EXISTS (SELECT 1 FROM labels WHERE doc_id = article_id AND toxic = 1) OR EXISTS (SELECT 1 FROM events WHERE event_id % 1000 = article_id AND event_type = 'error' AND event_id % 7 = 0) GROUP BY source_id")
+@query("J8", "SELECT source_id, count(*) AS flagged FROM v_articles a WHERE EXISTS (SELECT 1 FROM labels WHERE doc_id = article_id AND toxic = 1) OR EXISTS (SELECT 1 FROM events WHERE event_id // 40 = article_id AND event_type = 'error') GROUP BY source_id")
 def flagged_by_either(t: Tables) -> DataFrame:
     """Articles rejected by a rater or by readers: one semi join with the union of keys."""
-    keys = t["labels"].where("toxic = 1").select(F.col("doc_id").alias("article_id")).union(t["events"].where("event_type = 'error' AND event_id % 7 = 0").select((F.col("event_id") % 1000).alias("article_id")))
+    keys = t["labels"].where("toxic = 1").select(F.col("doc_id").alias("article_id")).union(t["events"].where("event_type = 'error'").select(F.floor(F.col("event_id") / 40).alias("article_id")))
     return t.articles.select("article_id", "source_id").join(keys.distinct(), "article_id", "left_semi").groupBy("source_id").agg(F.count("*").alias("flagged"))
 
 

@@ -10,25 +10,33 @@ from heronlake.plans.registry import query
 from heronlake.sources.adapters import Tables, hours_before, now
 
 #: Clusters stand for stories where ten are too few: every 97th article number belongs together.
+#: The sides of a cluster are counted over its English articles.
 CLUSTER_SQL = """
 , clusters AS (SELECT article_id % 97 AS cluster_id, count(*) AS article_count, count(DISTINCT source_id) AS source_count, min(published_at) AS first_published_at, max(ingested_at) AS last_updated_at,
-   CASE WHEN article_id % 97 % 12 = 0 THEN 50 ELSE 0 END AS priority, CASE WHEN article_id % 97 % 9 = 0 THEN TIMESTAMP '2024-01-31' - to_hours(CAST(article_id % 97 * 5 AS INTEGER)) END AS frozen_at,
-   count(*) FILTER (CAST(substr(source_id, 4) AS INT) % 4 = 0) AS state_count, count(*) FILTER (CAST(substr(source_id, 4) AS INT) % 4 = 1) AS diaspora_count, min(title) AS title FROM v_articles WHERE article_id % 3 <> 1 OR article_id % 97 > 20 GROUP BY article_id % 97)
-, scored AS (SELECT *, CASE WHEN source_count <= 1 AND article_count >= 5 THEN 0.0::DOUBLE ELSE article_count * greatest(0.005::DOUBLE, pow(0.85::DOUBLE, greatest(0.0::DOUBLE, date_diff('second', coalesce(frozen_at, last_updated_at, first_published_at), TIMESTAMP '2024-01-31') / 86400.0::DOUBLE))) END AS trending FROM clusters)
+   CASE WHEN article_id % 97 % 12 = 0 THEN 50 WHEN article_id % 97 % 17 = 3 THEN -150 ELSE 0 END AS priority, CASE WHEN article_id % 97 % 13 = 5 THEN TIMESTAMP '2024-01-20' END AS archived_at, article_id % 97 % 19 = 4 AS is_edited, CASE WHEN article_id % 97 % 9 = 0 THEN TIMESTAMP '2024-01-31' - to_hours(CAST(article_id % 97 * 5 AS INTEGER)) END AS frozen_at,
+   count(*) FILTER (CAST(substr(source_id, 4) AS INT) % 4 = 0 AND language = 'en') AS state_count, count(*) FILTER (CAST(substr(source_id, 4) AS INT) % 4 = 1 AND language = 'en') AS diaspora_count, min(title) AS title FROM v_articles GROUP BY article_id % 97)
+, scored AS (SELECT *, CASE WHEN source_count <= 1 AND article_count >= 5 THEN 0.0::DOUBLE ELSE article_count * greatest(0.005::DOUBLE, pow(0.85::DOUBLE, greatest(0.0::DOUBLE, date_diff('second', coalesce(frozen_at, last_updated_at, first_published_at), TIMESTAMP '2024-01-31') / 86400.0::DOUBLE))) END AS trending, state_count + diaspora_count > 0 AND (least(state_count, diaspora_count) * 100 < 20 * (state_count + diaspora_count) OR (state_count + diaspora_count < 6 AND least(state_count, diaspora_count) = 1 AND greatest(state_count, diaspora_count) >= 2)) AS blindspot FROM clusters)
+, eligible AS (SELECT * FROM scored WHERE archived_at IS NULL AND priority > -100)
 """
 
 
 def clusters(t: Tables) -> DataFrame:
-    a = t.articles.where("article_id % 3 <> 1 OR article_id % 97 > 20")
+    a, english = t.articles, F.col("language") == "en"
     n, c = F.substring("source_id", 4, 10).cast("int") % 4, F.col("article_id") % 97
     return a.groupBy(c.alias("cluster_id")).agg(
         F.count("*").alias("article_count"), F.countDistinct("source_id").alias("source_count"), F.min("published_at").alias("first_published_at"), F.max("ingested_at").alias("last_updated_at"),
-        F.count_if(n == 0).alias("state_count"), F.count_if(n == 1).alias("diaspora_count"), F.min("title").alias("title"),
-    ).withColumns({"priority": F.when(F.col("cluster_id") % 12 == 0, 50).otherwise(0), "frozen_at": F.when(F.col("cluster_id") % 9 == 0, hours_before((F.col("cluster_id") * 5).cast("int")))})
+        F.count_if((n == 0) & english).alias("state_count"), F.count_if((n == 1) & english).alias("diaspora_count"), F.min("title").alias("title"),
+    ).withColumns({"priority": F.when(F.col("cluster_id") % 12 == 0, 50).when(F.col("cluster_id") % 17 == 3, -150).otherwise(0), "archived_at": F.when(F.col("cluster_id") % 13 == 5, F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")), "is_edited": F.col("cluster_id") % 19 == 4, "frozen_at": F.when(F.col("cluster_id") % 9 == 0, hours_before((F.col("cluster_id") * 5).cast("int")))})
 
 
 def scored(t: Tables) -> DataFrame:
-    return clusters(t).withColumn("trending", scores.trending(F.col("article_count"), F.col("source_count"), F.col("frozen_at"), F.col("last_updated_at"), F.col("first_published_at"), now()))
+    one_sided = scores.blindspot_by_articles(F.col("state_count"), F.col("diaspora_count")).isNotNull()
+    return clusters(t).withColumn("blindspot", one_sided).withColumn("trending", scores.trending(F.col("article_count"), F.col("source_count"), F.col("frozen_at"), F.col("last_updated_at"), F.col("first_published_at"), now()))
+
+
+def eligible(t: Tables) -> DataFrame:
+    """Stories that may stand on the homepage: not archived, not buried."""
+    return scored(t).where("archived_at IS NULL AND priority > -100")
 
 
 TREND_ORDER = "priority DESC, coalesce(frozen_at, first_published_at) DESC NULLS LAST, trending DESC, cluster_id"
@@ -38,20 +46,42 @@ def trend_order() -> list:
     return [F.desc("priority"), F.coalesce("frozen_at", "first_published_at").desc_nulls_last(), F.desc("trending"), F.col("cluster_id")]
 
 
-@query("L1 F55 P7", CLUSTER_SQL + f"SELECT cluster_id, priority, article_count, round(trending, 6) AS trending FROM scored WHERE article_count >= 3 AND trending > 0.5 ORDER BY {TREND_ORDER} LIMIT 20")
+TRENDING_SQL = f"SELECT cluster_id, priority, article_count, round(trending, 6) AS trending FROM eligible WHERE article_count >= 3 AND trending > 0.5 AND NOT blindspot ORDER BY {TREND_ORDER} LIMIT 60"
+
+
+@query("L1 F55 P7", CLUSTER_SQL + TRENDING_SQL)
 def trending_topk(t: Tables) -> DataFrame:
-    return scored(t).where("article_count >= 3 AND trending > 0.5").orderBy(*trend_order()).limit(20).select("cluster_id", "priority", "article_count", F.round("trending", 6).alias("trending"))
+    """Three times the twenty stories that the page shows (a re-ranking follows)."""
+    top = eligible(t).where("article_count >= 3 AND trending > 0.5 AND NOT blindspot").orderBy(*trend_order()).limit(min(3 * 20, 100))
+    return top.select("cluster_id", "priority", "article_count", F.round("trending", 6).alias("trending"))
+
+
+BLINDSPOT_SQL = """
+, week AS (SELECT * FROM eligible WHERE blindspot AND article_count >= 3 AND last_updated_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY)
+, blind AS (SELECT cluster_id, trending FROM week UNION ALL SELECT cluster_id, trending FROM eligible WHERE blindspot AND article_count >= 3 AND last_updated_at >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY AND NOT EXISTS (SELECT 1 FROM week))
+, blind_top AS (SELECT cluster_id FROM blind ORDER BY trending DESC, cluster_id LIMIT 20)
+"""
+
+
+def blindspots(t: Tables) -> DataFrame:
+    s = eligible(t).where("blindspot AND article_count >= 3")
+    days = lambda n: s.where(F.col("last_updated_at") >= hours_before(F.lit(24 * n)))
+    # the wider window counts only where the week has none: one row that says so
+    none = days(7).agg((F.count("*") == 0).alias("none"))
+    wider = days(14).join(F.broadcast(none)).where("none").drop("none")
+    return days(7).unionByName(wider).orderBy(F.desc("trending"), "cluster_id").limit(20).select("cluster_id")
 
 
-@query("L2 U1 L3", CLUSTER_SQL + f"""
-SELECT cluster_id FROM (SELECT cluster_id FROM scored WHERE article_count >= 3 AND trending > 0.5 ORDER BY {TREND_ORDER} LIMIT 20)
-UNION SELECT cluster_id FROM (SELECT cluster_id FROM scored WHERE (state_count = 0) <> (diaspora_count = 0) AND last_updated_at >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY ORDER BY trending DESC, cluster_id LIMIT 20)""")
+@query("L3", CLUSTER_SQL + BLINDSPOT_SQL + "SELECT cluster_id FROM blind_top")
+def blindspot_list(t: Tables) -> DataFrame:
+    """One-sided stories of seven days, or of fourteen if there is none."""
+    return blindspots(t)
+
+
+@query("L2 U1", CLUSTER_SQL + BLINDSPOT_SQL + f"SELECT cluster_id FROM ({TRENDING_SQL}) UNION SELECT cluster_id FROM blind_top")
 def homepage_ids(t: Tables) -> DataFrame:
-    """Trending top 20 together with the one-sided top 20 of 14 days."""
-    s = scored(t)
-    top = s.where("article_count >= 3 AND trending > 0.5").orderBy(*trend_order()).limit(20).select("cluster_id")
-    one = s.where("(state_count = 0) <> (diaspora_count = 0)").where(F.col("last_updated_at") >= hours_before(F.lit(336))).orderBy(F.desc("trending"), "cluster_id").limit(20).select("cluster_id")
-    return top.union(one).distinct()
+    """Trending and one-sided stories together."""
+    return trending_topk(t).select("cluster_id").union(blindspots(t)).distinct()
 
 
 @query("W9", CLUSTER_SQL + f"""
@@ -158,11 +188,11 @@ def verification_counts(t: Tables) -> DataFrame:
     return out
 
 
-@query("L7 L10 L22", "SELECT event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE user_id % 10 = 3) WHERE k <= 5")
+@query("L7 L10 L22", "SELECT event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5")
 def event_timeline(t: Tables) -> DataFrame:
-    """The five latest events of each type for a tenth of the users."""
+    """The five latest events of each type."""
     k = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
-    return t["events"].where("user_id % 10 = 3").select("event_type", "event_id", "ts", k.alias("k")).where("k <= 5").drop("k")
+    return t["events"].select("event_type", "event_id", "ts", k.alias("k")).where("k <= 5").drop("k")
 
 
 @query("L4 J9", "SELECT d.doc_id FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT 1")

@@ -11,7 +11,7 @@ from heronlake.plans.coverage import GROUP_SQL, grouped_sources
 from heronlake.plans.feedback import REPORT_SQL, reports
 from heronlake.plans.ranking import CLUSTER_SQL, scored
 from heronlake.plans.registry import query
-from heronlake.plans.similarity import CENTROID_SQL, COSINE, story_centroids, vectors
+from heronlake.plans.similarity import CENTROID_SQL, COSINE, VECTOR_SQL, story_centroids, vectors
 from heronlake.sources.adapters import Tables, hours_before
 
 
@@ -117,14 +117,14 @@ def borrowed_posts(t: Tables) -> DataFrame:
     return j.withColumn("k", k).where("k <= 30").select("story_id", "channel_id", "message_id")
 
 
-@query("M18", f"""
-, new AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id >= 450), seen AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 450 ORDER BY vec_id DESC LIMIT 30)
-SELECT new.vec_id AS article_id, bool_or({COSINE.format('new.embedding', 'seen.embedding')} > 0.2) AS duplicate FROM new CROSS JOIN seen GROUP BY new.vec_id""")
+@query("M18", VECTOR_SQL + f"""
+, seen AS (SELECT article_id, embedding, ingested_at FROM vec WHERE NOT arrived AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 216 HOUR ORDER BY ingested_at DESC, article_id DESC LIMIT 200)
+SELECT vec.article_id, bool_or({COSINE.format('vec.embedding', 'seen.embedding')} > 0.2) AS duplicate FROM vec CROSS JOIN seen WHERE arrived GROUP BY vec.article_id""")
 def arrival_duplicates(t: Tables) -> DataFrame:
-    """New rows against the thirty newest stored ones (test cosine .2)."""
+    """Arrivals against the two hundred newest stored rows of the 48 hours before them (test cosine .2)."""
     v = vectors(t)
-    seen = v.where("article_id < 450").orderBy(F.desc("article_id")).limit(30).select(F.col("article_id").alias("seen"), F.col("embedding").alias("e"))
-    new = v.where("article_id >= 450").select("article_id", "embedding").join(F.broadcast(seen))
+    seen = v.where(~F.col("arrived") & (F.col("ingested_at") >= hours_before(F.lit(216)))).orderBy(F.desc("ingested_at"), F.desc("article_id")).limit(200).select(F.col("embedding").alias("e"))
+    new = v.where("arrived").select("article_id", "embedding").join(F.broadcast(seen))
     return new.groupBy("article_id").agg(F.bool_or(vector.cosine(F.col("embedding"), F.col("e")) > 0.2).alias("duplicate"))
 
 

@@ -12,21 +12,32 @@ from heronlake.functions import text, vector
 from heronlake.operators import similarity
 from heronlake.operators.graph import components
 from heronlake.plans.registry import query
-from heronlake.sources.adapters import Tables
+from heronlake.sources.adapters import Tables, hours_before
 
 COSINE = "coalesce(list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[]), 0)"
-CENTROID_SQL = """
-, cell AS (SELECT label AS story_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings WHERE vec_id < 250)
+#: Embedded articles are *arrivals* if they came in during the last week, else *stored*.
+VECTOR_SQL = """
+, vec AS (SELECT article_id, story_id, embedding, ingested_at, ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR AS arrived FROM v_articles WHERE embedding IS NOT NULL)
+"""
+
+
+def centroid_sql(where: str) -> str:
+    return VECTOR_SQL + f"""
+, cell AS (SELECT story_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM vec WHERE {where})
 , cent AS (SELECT story_id, list(x ORDER BY p) AS centroid FROM (SELECT story_id, p, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY story_id)
 """
 
 
+CENTROID_SQL, STORED_SQL = centroid_sql("true"), centroid_sql("NOT arrived")
+
+
 def vectors(t: Tables) -> DataFrame:
-    return t["embeddings"].select(F.col("vec_id").alias("article_id"), F.col("label").alias("story_id"), "embedding")
+    arrived = F.col("ingested_at") >= hours_before(F.lit(168))
+    return t.articles.where("embedding IS NOT NULL").select("article_id", "story_id", "embedding", "ingested_at", arrived.alias("arrived"))
 
 
-def story_centroids(t: Tables) -> DataFrame:
-    return vector.centroids(vectors(t).where("article_id < 250"), "story_id", "embedding")
+def story_centroids(t: Tables, where: str = "true") -> DataFrame:
+    return vector.centroids(vectors(t).where(where), "story_id", "embedding")
 
 
 @query("F52 A2 X1", CENTROID_SQL + "SELECT story_id, round(centroid[1], 6) AS first, round(centroid[64], 6) AS last, round(sqrt(list_sum(list_transform(centroid, lambda x: x * x))), 6) AS norm FROM cent")
@@ -35,11 +46,11 @@ def centroid_mean(t: Tables) -> DataFrame:
     return story_centroids(t).select("story_id", F.round(c[0], 6).alias("first"), F.round(c[63], 6).alias("last"), F.round(vector.norm(c), 6).alias("norm"))
 
 
-@query("M16 M33 F51", CENTROID_SQL + f"SELECT vec_id AS article_id, round({COSINE.format('embedding', 'centroid')}, 6) AS score FROM embeddings JOIN cent ON story_id = label WHERE vec_id < 250 AND {COSINE.format('embedding', 'centroid')} < 0.25")
+@query("M16 M33 F51", CENTROID_SQL + f"SELECT article_id, round({COSINE.format('embedding', 'centroid')}, 6) AS score FROM vec JOIN cent USING (story_id) WHERE {COSINE.format('embedding', 'centroid')} < 0.25")
 def unrelated_articles(t: Tables) -> DataFrame:
     """Articles below a cosine of .25 to the centroid of their own story."""
     score = vector.cosine(F.col("embedding"), F.col("centroid"))
-    return vectors(t).where("article_id < 250").join(story_centroids(t), "story_id").select("article_id", score.alias("s")).where("s < 0.25").select("article_id", F.round("s", 6).alias("score"))
+    return vectors(t).join(story_centroids(t), "story_id").select("article_id", score.alias("s")).where("s < 0.25").select("article_id", F.round("s", 6).alias("score"))
 
 
 @query("M10 M35 J16", CENTROID_SQL + f"""SELECT story_id, other, score FROM (SELECT a.story_id, b.story_id AS other, round({COSINE.format('a.centroid', 'b.centroid')}, 6) AS score, row_number() OVER (PARTITION BY a.story_id ORDER BY {COSINE.format('a.centroid', 'b.centroid')} DESC, b.story_id) AS k FROM cent a JOIN cent b ON a.story_id <> b.story_id) WHERE k <= 3""")
@@ -54,20 +65,48 @@ def related_topk(t: Tables) -> DataFrame:
     return top.withColumn("k", F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("s"), "other"))).where("k <= 3").select("story_id", "other", F.round("s", 6).alias("score"))
 
 
-BEST_SQL = CENTROID_SQL + f"""
-, sc AS (SELECT vec_id AS article_id, story_id, {COSINE.format('embedding', 'centroid')} AS s FROM embeddings CROSS JOIN cent WHERE vec_id >= 250)
+BEST_SQL = STORED_SQL + f"""
+, sc AS (SELECT article_id, c.story_id, {COSINE.format('embedding', 'centroid')} AS s FROM vec CROSS JOIN cent c WHERE arrived)
 , best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY s DESC, story_id) AS k FROM sc WHERE s >= 0.10) WHERE k = 1)
 """
 
 
+def orphans(t: Tables) -> DataFrame:
+    """Arrivals: their stories are still to be found."""
+    return vectors(t).where("arrived").select("article_id", "embedding")
+
+
 def orphan_matches(t: Tables) -> DataFrame:
-    return similarity.best_match(vectors(t).where("article_id >= 250").select("article_id", "embedding"), "article_id", "embedding", story_centroids(t), "story_id", "centroid", 0.10)
+    return similarity.best_match(orphans(t), "article_id", "embedding", story_centroids(t, "NOT arrived"), "story_id", "centroid", 0.10)
 
 
-@query("M14 M15 W12 J23", BEST_SQL + "SELECT article_id, story_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY s DESC, article_id) AS c FROM best) WHERE c <= 7")
+@query("J15 J23", BEST_SQL + "SELECT article_id, story_id, round(s, 6) AS score FROM best")
 def orphan_best_match(t: Tables) -> DataFrame:
-    """Orphans and the story they fit best, seven per story at most."""
-    return similarity.within_capacity(orphan_matches(t), "story_id", "article_id", "score", 7).select("article_id", "story_id", F.round("score", 6).alias("score"))
+    """Arrivals and the stored story they fit best."""
+    return orphan_matches(t).select("article_id", "story_id", F.round("score", 6).alias("score"))
+
+
+#: Places left in a story; arrivals are placed in the order of their numbers.
+PLACES = 5
+
+
+@query("M14 W12", BEST_SQL + f"""
+, turn AS (SELECT article_id, row_number() OVER (ORDER BY article_id) AS i FROM (SELECT DISTINCT article_id FROM sc))
+, fits AS (SELECT i, article_id, story_id, s, row_number() OVER (PARTITION BY article_id ORDER BY s DESC, story_id) AS k FROM sc JOIN turn USING (article_id) WHERE s >= 0.10)
+, go(i, used, article_id, story_id) AS (
+  SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT
+  UNION ALL
+  SELECT go.i + 1, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, t.article_id, pick FROM (
+    SELECT g.i AS gi, (SELECT arg_min(f.story_id, f.k) FROM fits f WHERE f.i = g.i + 1 AND len(list_filter(g.used, lambda x: x = f.story_id)) < {PLACES}) AS pick FROM go g) p JOIN go ON go.i = p.gi JOIN turn t ON t.i = go.i + 1)
+SELECT article_id, story_id FROM go WHERE story_id IS NOT NULL""")
+def capacity_assignment(t: Tables) -> DataFrame:
+    """Arrivals placed one after another in the best story that still has room; what finds none stays out."""
+    parts = similarity.scored_blocks(orphans(t), "embedding", story_centroids(t, "NOT arrived"), "story_id", "centroid")
+    wishes = parts[0]
+    for p in parts[1:]:
+        wishes = wishes.unionByName(p)
+    wishes = wishes.where("score >= 0.10").select("article_id", "story_id", "score")
+    return similarity.placed(wishes, "article_id", "story_id", "score", PLACES)
 
 
 @query("M21 M19", BEST_SQL + "SELECT floor(s * 20)::BIGINT AS band, count(*) AS n FROM best GROUP BY 1")

@@ -109,12 +109,12 @@ def rating_aggregates(t: Tables) -> DataFrame:
 
 
 @query("A16", """
-, m AS (SELECT doc_id, (n_chars % 11) / 10.0::DOUBLE AS machine FROM documents WHERE doc_id % 3 = 0), p AS (SELECT doc_id, 1 + 4 * quality::DOUBLE AS people FROM labels)
+, m AS (SELECT doc_id, (n_chars % 11) / 10.0::DOUBLE AS machine FROM documents WHERE n_chars >= 800), p AS (SELECT doc_id, 1 + 4 * quality::DOUBLE AS people FROM labels)
 SELECT doc_id, round(CASE WHEN machine IS NOT NULL AND people IS NOT NULL THEN 0.4::DOUBLE * machine + 0.6::DOUBLE * (people - 1) / 4 ELSE coalesce(machine, (people - 1) / 4) END, 6) AS score,
  CASE WHEN machine IS NULL THEN 'human' WHEN people IS NULL THEN 'ai' ELSE 'combined' END AS basis FROM m FULL OUTER JOIN p USING (doc_id)""")
 def combined_score(t: Tables) -> DataFrame:
-    """Machine and human scores, blended where both exist (full outer join)."""
-    m = t["documents"].where("doc_id % 3 = 0").select("doc_id", ((F.col("n_chars") % 11) / 10.0).alias("machine"))
+    """Machine scores (texts long enough for one) and human scores, blended where both exist (full outer join)."""
+    m = t["documents"].where("n_chars >= 800").select("doc_id", ((F.col("n_chars") % 11) / 10.0).alias("machine"))
     p = t["labels"].select("doc_id", (1 + 4 * F.col("quality").cast("double")).alias("people"))
     both = m.join(p, "doc_id", "full")
     basis = F.when(F.col("machine").isNull(), "human").when(F.col("people").isNull(), "ai").otherwise("combined")
@@ -187,10 +187,10 @@ def recount_with_zero(t: Tables) -> DataFrame:
     return j.select("story_id", "cached", zero("n").alias("live"), zero("s").alias("live_sources"), (~F.col("cached").eqNullSafe(zero("n"))).alias("drift"))
 
 
-@query("A37", f"SELECT source_id, max(ingested_at) AS latest FROM v_sources LEFT JOIN (SELECT source_id, ingested_at FROM v_articles WHERE article_id % 9 = length(source_id)) USING (source_id) GROUP BY source_id HAVING max(ingested_at) IS NULL OR max(ingested_at) < {DAY}")
+@query("A37", f"SELECT source_id, max(ingested_at) AS latest FROM v_sources LEFT JOIN (SELECT source_id, ingested_at FROM v_articles) USING (source_id) GROUP BY source_id HAVING max(ingested_at) IS NULL OR max(ingested_at) < {DAY}")
 def source_silence(t: Tables) -> DataFrame:
     """Outlets without an article, or none in a day."""
-    a = t.articles.where(F.col("article_id") % 9 == F.length("source_id")).select("source_id", "ingested_at")
+    a = t.articles.select("source_id", "ingested_at")
     return t.sources.select("source_id").join(a, "source_id", "left").groupBy("source_id").agg(F.max("ingested_at").alias("latest")).where(F.col("latest").isNull() | (F.col("latest") < hours_before(F.lit(24))))
 
 

@@ -11,7 +11,7 @@ from heronlake.sources.adapters import Tables
 
 #: Regular expressions for URL parts, for the oracle.
 URL = r"'^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
-PARTS = f", u AS (SELECT page_id, url, regexp_extract(url, {URL}, 1) AS scheme, lower(regexp_extract(url, {URL}, 2)) AS host, regexp_replace(regexp_extract(url, {URL}, 3), '/+$', '') AS path, list_filter(string_split(regexp_extract(url, {URL}, 4), '&'), lambda p: contains(p, '=') AND NOT ends_with(p, '=') AND lower(string_split(p, '=')[1]) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'fbclid', 'gclid', 'ref', 'ref_src', 'mc_cid', 'mc_eid')) AS kept FROM pages)\n"
+PARTS = f", u AS (SELECT page_id, url, regexp_extract(url, {URL}, 1) AS scheme, lower(regexp_extract(url, {URL}, 2)) AS host, regexp_replace(regexp_extract(url, {URL}, 3), '/+$', '') AS path, list_filter(string_split(regexp_extract(url, {URL}, 4), '&'), lambda p: contains(p, '=') AND NOT ends_with(p, '=') AND lower(string_split(p, '=')[1]) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'yclid')) AS kept FROM pages)\n"
 
 
 @query("F18 P8", PARTS + "SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM u")
@@ -116,9 +116,10 @@ def json_scores(t: Tables) -> DataFrame:
     return t["events"].groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("parsed"), F.sum(F.when(k.isNotNull(), F.greatest(F.lit(10), F.least(F.lit(50), k)))).alias("clamped"))
 
 
-@query("F8 F25 F3", r"""
-, l AS (SELECT channel_id, message_id, substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], 1, 100) AS line, text FROM v_posts)
-SELECT channel_id, message_id, line AS title, len(list_filter(list_transform(string_split_regex(text, '[.!?]'), lambda x: regexp_replace(x, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')), lambda x: length(x) >= 15)) AS sentences FROM l""")
+@query("F25", r"""
+, l AS (SELECT channel_id, message_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] AS line, text FROM v_posts)
+, c AS (SELECT *, substr(line, 1, 100) AS head, length(substr(line, 1, 100)) - strpos(reverse(substr(line, 1, 100)), ' ') AS cut_at FROM l)
+SELECT channel_id, message_id, CASE WHEN length(line) <= 100 THEN line WHEN contains(head, ' ') AND cut_at > 50 THEN substr(head, 1, cut_at) || '…' ELSE head || '…' END AS title, len(list_filter(list_transform(string_split_regex(text, '[.!?]'), lambda x: regexp_replace(x, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')), lambda x: length(x) >= 15)) AS sentences FROM c""")
 def post_titles(t: Tables) -> DataFrame:
     """A post's first line as its title, and its number of sentences."""
     return t.posts.select("channel_id", "message_id", text.first_line(F.col("text")).alias("title"), F.size(text.sentences(F.col("text"))).alias("sentences"))

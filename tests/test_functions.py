@@ -91,7 +91,7 @@ def test_text_helpers(spark):
     assert one(spark, text.quoted(F.lit("a «b c» d «e»"))) == ["b c", "e"]
     assert one(spark, text.numbers(F.lit("in 2024, ۱۲۳ and 5"))) == ["2024", "۱۲۳"]
     assert one(spark, text.persian_digits(F.lit(1305))) == "۱۳۰۵"
-    assert one(spark, text.truncate(F.lit("aaaa bbbb cccc"), 12)) == "aaaa bbbb…"
+    assert one(spark, text.truncate(F.lit("aaaa bbbb cccc"), 12)) == "aaaa bbbb..."
     assert one(spark, text.truncate(F.lit("short"), 12)) == "short"
     assert one(spark, text.slug(F.lit("  Hello, World!  of_things "))) == "hello-world-of-things"
     assert one(spark, text.clean_post(F.lit("see [this](http://x.y) http://a.b/c @me now\n| channel"))) == "see this now"
