@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.functions import scores
-from heronlake.plans.ranking import CLUSTER_SQL, clusters, scored
+from heronlake.plans.ranking import CLUSTER_SQL, clusters, eligible, scored
 from heronlake.plans.registry import query
 from heronlake.sources.adapters import Tables, hours_before, now
 
@@ -58,27 +58,92 @@ def safe_delete(t: Tables) -> DataFrame:
     return j.groupBy(F.when(F.col("r"), "rated").when(F.col("v"), "vector").otherwise("free").alias("blocked_by")).agg(F.count("*").alias("n"))
 
 
-@query("A39 A36 M30", CLUSTER_SQL + """
-, c AS (SELECT count(*) FILTER (article_count > 30) AS oversized, count(*) FILTER (first_published_at IS NULL) AS undated, count(*) FILTER (frozen_at IS NOT NULL AND last_updated_at > frozen_at) AS bumped, count(*) FILTER (trending > 0.5) AS pool FROM scored)
-, a AS (SELECT count(*) FILTER (embedding IS NULL) / count(*)::DOUBLE AS null_rate, count(*) FILTER (story_id IS NULL AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR) AS orphans FROM v_articles)
-, u AS (SELECT sum(cost) FILTER (ts >= TIMESTAMP '2024-01-29') AS today, sum(cost) FILTER (ts < TIMESTAMP '2024-01-29' AND ts >= TIMESTAMP '2024-01-22') / 7 AS usual FROM v_usage)
-, v(canary, value, threshold, bad) AS (SELECT 'oversized_active_stories', oversized::DOUBLE, 0, oversized > 0 FROM c UNION ALL SELECT 'null_first_published', undated, 0, undated > 0 FROM c UNION ALL SELECT 'frozen_recently_bumped', bumped, 0, bumped > 0 FROM c
- UNION ALL SELECT 'homepage_fresh_pool', pool, 8, pool < 8 FROM c UNION ALL SELECT 'embedding_null_rate_24h', null_rate, 0.05, null_rate >= 0.05 FROM a UNION ALL SELECT 'breaking_news_unclustered', orphans, 25, orphans >= 25 FROM a UNION ALL SELECT 'cost_anomaly_today', today / usual, 1.5, today / usual >= 1.5 FROM u)
-SELECT canary, round(value, 5) AS value, CASE WHEN bad THEN 'alert' ELSE 'ok' END AS status FROM v""")
+#: Aggregates behind the canaries, per table; their text is SQL of Spark and of the oracle alike.
+CHECKS = {
+    "s": {
+        "total": "count(*)", "active": "count(*) FILTER (WHERE frozen_at IS NULL AND archived_at IS NULL)", "frozen": "count(*) FILTER (WHERE frozen_at IS NOT NULL)", "archived": "count(*) FILTER (WHERE archived_at IS NOT NULL)", "edited": "count(*) FILTER (WHERE is_edited)",
+        "oversized": "count(*) FILTER (WHERE frozen_at IS NULL AND article_count >= 30)", "grabbag": "count(*) FILTER (WHERE archived_at IS NULL AND priority > -100 AND article_count >= 120)", "joined_titles": "count(*) FILTER (WHERE title LIKE '%, %' AND NOT is_edited AND article_count BETWEEN 12 AND 119)",
+        "fresh_pool": "count(*) FILTER (WHERE archived_at IS NULL AND priority > -100 AND article_count >= 5 AND last_updated_at >= TIMESTAMP '2024-01-24 00:00:00')", "state_pool": "count(*) FILTER (WHERE state_count > 0 AND diaspora_count * 100 <= 30 * (state_count + diaspora_count))", "diaspora_pool": "count(*) FILTER (WHERE diaspora_count > 0 AND state_count * 100 <= 30 * (state_count + diaspora_count))",
+        "visible": "count(*) FILTER (WHERE archived_at IS NULL AND priority > -100)", "visible_frozen": "count(*) FILTER (WHERE archived_at IS NULL AND priority > -100 AND frozen_at IS NOT NULL)", "live_hero": "count(*) FILTER (WHERE priority >= 40 AND frozen_at IS NULL AND archived_at IS NULL)",
+        "bumped": "count(*) FILTER (WHERE frozen_at IS NOT NULL AND last_updated_at > frozen_at)", "undated": "count(*) FILTER (WHERE first_published_at IS NULL)", "new_stories": "count(*) FILTER (WHERE first_published_at >= TIMESTAMP '2024-01-30 00:00:00')",
+    },
+    "a": {
+        "articles": "count(*)", "off_topic": "count(*) FILTER (WHERE visible AND content_type IS NOT NULL AND NOT allowed)", "day": "count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2024-01-30 00:00:00')", "day_eligible": "count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2024-01-30 00:00:00' AND allowed)", "day_missing": "count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2024-01-30 00:00:00' AND allowed AND embedding IS NULL)",
+        "day_zero": "count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2024-01-30 00:00:00' AND zero)", "stuck": "count(*) FILTER (WHERE ingested_at >= TIMESTAMP '2024-01-17 00:00:00' AND embedding IS NULL)", "waiting": "count(*) FILTER (WHERE allowed AND story_id IS NULL AND ingested_at >= TIMESTAMP '2024-01-27 00:00:00' AND ingested_at < TIMESTAMP '2024-01-29 18:00:00')",
+        "passed": "count(*) FILTER (WHERE allowed AND ingested_at >= TIMESTAMP '2024-01-27 00:00:00' AND ingested_at < TIMESTAMP '2024-01-29 18:00:00')", "untranslated": "count(*) FILTER (WHERE language <> 'en' AND (content_type IS NULL OR allowed) AND n_chars < 300)", "newest": "max(ingested_at)", "reporting": "count(DISTINCT CASE WHEN ingested_at >= TIMESTAMP '2024-01-24 00:00:00' THEN source_id END)", "outlets": "count(DISTINCT source_id)",
+    },
+    "u": {
+        "today": "coalesce(sum(cost) FILTER (WHERE ts >= TIMESTAMP '2024-01-30 00:00:00'), 0.0)", "usual": "coalesce(sum(cost) FILTER (WHERE ts < TIMESTAMP '2024-01-30 00:00:00' AND ts >= TIMESTAMP '2024-01-23 00:00:00'), 0.0) / 7", "month": "coalesce(sum(cost), 0.0)", "unpriced": "count(*) FILTER (WHERE model = 'large' AND ts >= TIMESTAMP '2024-01-24 00:00:00')",
+        "failures": "count(*) FILTER (WHERE purpose = 'error' AND ts >= TIMESTAMP '2024-01-30 18:00:00')", "failures_before": "count(*) FILTER (WHERE purpose = 'error' AND ts >= TIMESTAMP '2024-01-30 12:00:00' AND ts < TIMESTAMP '2024-01-30 18:00:00')", "last_call": "max(ts)",
+    },
+}
+#: Canary: its value, when it is an error, when it warns.
+CANARIES = {
+    "oversized_active_stories": ("oversized", "oversized > 0", "false"),
+    "homepage_grabbag": ("grabbag", "false", "grabbag > 0"),
+    "midsize_grabbag_risk": ("joined_titles", "false", "joined_titles > 0"),
+    "homepage_offtopic_leak": ("off_topic", "off_topic > 50", "off_topic > 10"),
+    "homepage_fresh_pool": ("fresh_pool", "false", "fresh_pool < 8"),
+    "stale_frozen_homepage": ("visible_frozen / greatest(visible, 1)", "false", "visible_frozen >= 0.8 * visible AND waiting >= 15 AND live_hero = 0"),
+    "blindspot_fresh_pool": ("least(state_pool, diaspora_pool)", "false", "least(state_pool, diaspora_pool) < 1"),
+    "frozen_recently_bumped": ("bumped", "bumped > 0", "false"),
+    "embedding_zero_rate_24h": ("100.0 * day_zero / greatest(day, 1)", "100.0 * day_zero / greatest(day, 1) >= 10", "100.0 * day_zero / greatest(day, 1) >= 1"),
+    "embedding_null_rate_24h": ("100.0 * day_missing / greatest(day_eligible, 1)", "100.0 * day_missing / greatest(day_eligible, 1) >= 10", "100.0 * day_missing / greatest(day_eligible, 1) >= 5"),
+    "embedding_stuck_null_14d": ("stuck", "stuck >= 200", "stuck >= 50"),
+    "clustering_halt": ("new_stories", "day >= 50 AND new_stories = 0", "false"),
+    "breaking_news_unclustered": ("waiting", "false", "waiting >= 25 AND waiting >= 0.3 * passed"),
+    "cost_anomaly_today": ("today / greatest(usual, 0.000001)", "false", "today > 1.5 * usual"),
+    "monthly_budget": ("month * 31 / 30", "month * 31 / 30 > 300000", "month * 31 / 30 > 240000"),
+    "budget_guard": ("month", "month >= 0.8 * 300000", "month >= 0.6 * 300000"),
+    "unpriced_calls_7d": ("unpriced", "false", "unpriced > 0"),
+    "ingest_silence": ("hours_silent", "hours_silent > 48", "hours_silent > 28"),
+    "ghost_lock": ("minutes_idle", "minutes_idle > 30", "minutes_idle > 5"),
+    "rss_silent_7d": ("outlets - reporting", "false", "outlets > reporting"),
+    "null_first_published": ("undated", "false", "undated > 50"),
+    "maintenance_fails_last_run": ("failures", "false", "failures > failures_before"),
+    "translation_stuck": ("untranslated", "false", "untranslated > 200"),
+}
+CHECK_SQL = """
+, base_a AS (SELECT a.*, list_contains(allowed, content_type) IS TRUE AS allowed, coalesce(len(list_filter(embedding, lambda x: x <> 0)) = 0, false) AS zero, e.cluster_id IS NOT NULL AS visible FROM v_articles a JOIN v_sources USING (source_id) LEFT JOIN eligible e ON e.cluster_id = article_id % 97)
+""" + "".join(f", agg_{k} AS (SELECT {', '.join(f'{e} AS {n}' for n, e in c.items())} FROM {base})" for (k, c), base in zip(CHECKS.items(), ("scored", "base_a", "v_usage"), strict=True)) + """
+, checked AS (SELECT *, date_sub('second', newest, TIMESTAMP '2024-01-31') / 3600.0::DOUBLE AS hours_silent, date_sub('second', last_call, TIMESTAMP '2024-01-31') / 60.0::DOUBLE AS minutes_idle FROM agg_s, agg_a, agg_u)
+"""
+
+
+def checked(t: Tables) -> DataFrame:
+    """One row: every aggregate of CHECKS, each table read once."""
+    allowed = t.sources.select("source_id", F.from_json("content_filters", "allowed array<string>")["allowed"].alias("list"))
+    a = t.articles.join(allowed, "source_id").join(eligible(t).select("cluster_id", F.lit(True).alias("visible")), F.col("article_id") % 97 == F.col("cluster_id"), "left")
+    a = a.select("article_id", "source_id", "language", "content_type", "n_chars", "ingested_at", "story_id", "embedding", F.coalesce("visible", F.lit(False)).alias("visible"), F.coalesce(F.array_contains("list", F.col("content_type")), F.lit(False)).alias("allowed"), F.coalesce(~F.exists("embedding", lambda x: x != 0), F.lit(False)).alias("zero"))
+    spark_sql = lambda e: F.expr(e.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
+    rows = [df.agg(*(spark_sql(e).alias(n) for n, e in CHECKS[k].items())) for k, df in (("s", scored(t)), ("a", a), ("u", t.usage))]
+    one = rows[0].join(rows[1]).join(rows[2])  # three single rows
+    since = lambda c: F.timestamp_diff("SECOND", F.col(c), now())
+    return one.withColumns({"hours_silent": since("newest") / 3600.0, "minutes_idle": since("last_call") / 60.0})
+
+
+@query("M30", CLUSTER_SQL + CHECK_SQL + " UNION ALL ".join(f"SELECT '{n}' AS canary, round(({v})::DOUBLE, 4) AS value, CASE WHEN {bad} THEN 'error' WHEN {warn} THEN 'warn' ELSE 'ok' END AS status FROM checked" for n, (v, bad, warn) in CANARIES.items()))
 def health_overview(t: Tables) -> DataFrame:
-    """Named canaries with value and status: one aggregate per table, then one row per canary."""
-    s = scored(t).agg(F.count_if(F.col("article_count") > 30).alias("oversized"), F.count_if(F.col("first_published_at").isNull()).alias("undated"), F.count_if(F.col("frozen_at").isNotNull() & (F.col("last_updated_at") > F.col("frozen_at"))).alias("bumped"), F.count_if(F.col("trending") > 0.5).alias("pool"))
-    a = t.articles.agg((F.count_if(F.col("embedding").isNull()) / F.count("*")).alias("null_rate"), F.count_if(F.col("story_id").isNull() & (F.col("ingested_at") >= hours_before(F.lit(24)))).alias("orphans"))
-    day = F.expr("ts >= TIMESTAMP_NTZ '2024-01-29 00:00:00'")
-    week = F.expr("ts >= TIMESTAMP_NTZ '2024-01-22 00:00:00'")
-    u = t.usage.agg((F.sum(F.when(day, F.col("cost"))) / (F.sum(F.when(~day & week, F.col("cost"))) / 7)).alias("ratio"))
-    one = s.join(a).join(u)  # three single rows
-    rules = {
-        "oversized_active_stories": ("oversized", F.col("oversized") > 0), "null_first_published": ("undated", F.col("undated") > 0), "frozen_recently_bumped": ("bumped", F.col("bumped") > 0), "homepage_fresh_pool": ("pool", F.col("pool") < 8),
-        "embedding_null_rate_24h": ("null_rate", F.col("null_rate") >= 0.05), "breaking_news_unclustered": ("orphans", F.col("orphans") >= 25), "cost_anomaly_today": ("ratio", F.col("ratio") >= 1.5),
-    }
-    rows = F.array(*(F.struct(F.lit(n).alias("canary"), F.round(F.col(c).cast("double"), 5).alias("value"), F.when(bad, "alert").otherwise("ok").alias("status")) for n, (c, bad) in rules.items()))
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    """Named canaries with value and status, one row each."""
+    rows = F.array(*(F.struct(F.lit(n).alias("canary"), F.round(F.expr(v).cast("double"), 4).alias("value"), F.when(F.expr(bad), "error").when(F.expr(warn), "warn").otherwise("ok").alias("status")) for n, (v, bad, warn) in CANARIES.items()))
+    return checked(t).select(F.explode(rows).alias("r")).select("r.*")
+
+
+COUNTERS = ("total", "active", "frozen", "archived", "edited", "oversized", "undated", "visible", "articles", "day", "stuck", "waiting", "off_topic", "untranslated", "outlets", "reporting", "unpriced", "failures", "new_stories", "fresh_pool")
+
+
+@query("A36 A39", CLUSTER_SQL + CHECK_SQL + " UNION ALL ".join(f"SELECT '{c}' AS counter, {c}::BIGINT AS n FROM checked" for c in COUNTERS))
+def dashboard_counters(t: Tables) -> DataFrame:
+    """The dashboard's counts, states of stories among them."""
+    rows = F.array(*(F.struct(F.lit(c).alias("counter"), F.col(c).cast("long").alias("n")) for c in COUNTERS))
+    return checked(t).select(F.explode(rows).alias("r")).select("r.*")
+
+
+@query("F68", CLUSTER_SQL + CHECK_SQL + "SELECT visible_frozen::BIGINT AS frozen, visible::BIGINT AS visible, CASE WHEN visible_frozen >= 0.8 * visible AND waiting >= 15 AND live_hero = 0 THEN 'warn' ELSE 'ok' END AS status FROM checked")
+def stale_homepage(t: Tables) -> DataFrame:
+    """Whether the homepage is frozen while fresh articles wait and no pinned story lives."""
+    status = F.when((F.col("visible_frozen") >= 0.8 * F.col("visible")) & (F.col("waiting") >= 15) & (F.col("live_hero") == 0), "warn").otherwise("ok")
+    return checked(t).select(F.col("visible_frozen").alias("frozen"), "visible", status.alias("status"))
 
 
 @query("M31 T17", """
