@@ -86,17 +86,17 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(mix(first, 1) ^ second, 2).view(np.int64)
 
 
-def positions(key: np.ndarray, at: int) -> np.ndarray:
-    """The bits of keys entered at a level, in their block: one row per key."""
-    h, width = mix(key, 2 + at), BLOCK.bit_length() - 1
-    return np.stack([(h >> np.uint64(width * i)) & np.uint64(BLOCK - 1) for i in range(PROBES)], axis=1).astype(np.int64)
+def positions(key: np.ndarray, at: int, block: int) -> np.ndarray:
+    """The bits of keys entered at a level, in their block of *block* bits: one row per key."""
+    h, width = mix(key, 2 + at), block.bit_length() - 1
+    return np.stack([(h >> np.uint64(width * i)) & np.uint64(block - 1) for i in range(PROBES)], axis=1).astype(np.int64)
 
 
-def read_levels(data: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+def read_levels(data: np.ndarray, start: np.ndarray, key: np.ndarray, block: int) -> np.ndarray:
     """Highest level up to which all probes of each key succeed; *start*: first bit of its block in *data* (bytes)."""
     out, alive, at = np.zeros(len(key), np.int64), np.arange(len(key)), 1
     while len(alive) and at < 64:
-        bit = positions(key[alive], at) + start[alive, None]
+        bit = positions(key[alive], at, block) + start[alive, None]
         alive = alive[(data[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).all(axis=1)]
         out[alive] = at
         at += 1
@@ -107,9 +107,10 @@ def read_levels(data: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndar
 class LogBloom:
     data: np.ndarray  # bytes, block after block
     blocks: int
+    block: int
 
     def level(self, key: np.ndarray) -> np.ndarray:
-        return read_levels(self.data, key % self.blocks * BLOCK, key)
+        return read_levels(self.data, key % self.blocks * self.block, key, self.block)
 
 
 @dataclass
@@ -166,22 +167,22 @@ def head_of(words: DataFrame, most: int = HEAD) -> Head:
     return Head(frame["key"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), total, distinct)
 
 
-def filter_blocks(counts: DataFrame, blocks: int) -> DataFrame:
-    """``block``, ``bytes``: the filter of rows ``key``, ``n``; blocks without entries are left out."""
+def filter_blocks(counts: DataFrame, blocks: int, size: int) -> DataFrame:
+    """``block``, ``bytes``: the filter of rows ``key``, ``n`` in blocks of *size* bits; blocks without entries are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[int, int] = {}
-        data = np.zeros((16, BLOCK // 8), np.uint8)
+        data = np.zeros((16, size // 8), np.uint8)
         for batch in batches:
             block, key, n = (batch.column(i).to_numpy() for i in range(3))
             here, back = np.unique(block, return_inverse=True)
             rows = np.array([index.setdefault(b, len(index)) for b in here.tolist()], np.int64)
             while len(index) > len(data):
                 data = np.concatenate([data, np.zeros_like(data)])
-            start, top, flat = rows[back] * BLOCK, level(n), data.reshape(-1)
+            start, top, flat = rows[back] * size, level(n), data.reshape(-1)
             for at in range(1, int(top.max(initial=0)) + 1):
                 some = top >= at
-                bit = (positions(key[some], at) + start[some, None]).ravel()
+                bit = (positions(key[some], at, size) + start[some, None]).ravel()
                 np.bitwise_or.at(flat, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
         for block, row in index.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "bytes": pa.array([data[row].tobytes()], pa.binary())})
@@ -194,25 +195,26 @@ class Model:
     head: Broadcast
     words: DataFrame  # key, n
     blocks: int
+    block: int  # bits
     table: DataFrame  # block, bytes
     bloom: Broadcast | None  # None: too large to broadcast
 
 
-def fit(docs: DataFrame, text: str = "text", head: int = HEAD, broadcast_bytes: int = BROADCAST_BYTES) -> Model:
+def fit(docs: DataFrame, text: str = "text", head: int = HEAD, broadcast_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> Model:
     """Count all of *docs* and build the filter."""
     spark = docs.sparkSession
     counts = store(ngram_counts(docs, text), "ngram-counts")
     words = counts.where("word").select("key", "n")
     entries = counts.agg(F.coalesce(F.sum(F.floor(F.log2("n")) + 1), F.lit(0))).first()[0]
-    blocks = max(1, -(-entries * BITS_PER_ENTRY // BLOCK))
-    table = store(filter_blocks(counts, blocks), "filter")
+    blocks = max(1, -(-entries * BITS_PER_ENTRY // block))
+    table = store(filter_blocks(counts, blocks, block), "filter")
     bloom = None
-    if blocks * BLOCK // 8 <= broadcast_bytes:
-        data = np.zeros((blocks, BLOCK // 8), np.uint8)
+    if blocks * block // 8 <= broadcast_bytes:
+        data = np.zeros((blocks, block // 8), np.uint8)
         for row in table.toLocalIterator():
             data[row.block] = np.frombuffer(bytes(row.bytes), np.uint8)
-        bloom = spark.sparkContext.broadcast(LogBloom(data.reshape(-1), blocks))
-    return Model(spark.sparkContext.broadcast(head_of(words, head)), words, blocks, table, bloom)
+        bloom = spark.sparkContext.broadcast(LogBloom(data.reshape(-1), blocks, block))
+    return Model(spark.sparkContext.broadcast(head_of(words, head)), words, blocks, block, table, bloom)
 
 
 RESULT = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("tail_key", T.ArrayType(T.LongType())), T.StructField("tail_n", T.ArrayType(T.LongType()))]
@@ -262,7 +264,7 @@ def _routed_scores(numbered: DataFrame, key: str, model: Model, schema: T.Struct
     """
     import pandas as pd
 
-    head = model.head
+    head, size = model.head, model.block
     rows = numbered.withColumn("chunk", F.shiftright("_row", 6))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +282,7 @@ def _routed_scores(numbered: DataFrame, key: str, model: Model, schema: T.Struct
 
     def answer(block, asked):
         asked_key = asked["key"].to_numpy(np.int64)
-        found = read_levels(np.frombuffer(bytes(block["bytes"].iloc[0]), np.uint8), np.zeros(len(asked), np.int64), asked_key) if len(block) else np.zeros(len(asked), np.int64)
+        found = read_levels(np.frombuffer(bytes(block["bytes"].iloc[0]), np.uint8), np.zeros(len(asked), np.int64), asked_key, size) if len(block) else np.zeros(len(asked), np.int64)
         return pd.DataFrame({"chunk": asked["chunk"], "key": asked_key, "level": found})
 
     levels = store(blocks.groupBy("block", "copy").cogroup(probes.groupBy("block", "copy")).applyInPandas(answer, "chunk long, key long, level long"), "levels")

@@ -56,6 +56,22 @@ def test_place(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 5
 
 
+def test_place_is_brute_force(spark):
+    """A row's slot is the XXH64 (seed 42) of its key's eight bytes modulo the size, its shard the table's."""
+    import struct
+
+    import xxhash
+
+    names, size = [f"s{i}" for i in range(5)], 1009
+    table = sharding.lookup_table(names, size)
+    rows = sharding.place(spark.range(2000), "id", names, size).collect()
+    for r in rows:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", r.id), 42)
+        slot = (h - (1 << 64) if h >> 63 else h) % size
+        assert (r.slot, r.shard) == (slot, names[table[slot]])
+    assert len(rows) == 2000
+
+
 # archives ---------------------------------------------------------------
 PAGES = [(1, "http://a/1", "same"), (2, "http://a/2\r\nX: y", "same"), (3, None, None), (4, "http://a/é", ""), (5, "u", "é😀" * 40_000), (6, "u", "only\r\n\r\nhere"), (None, "u", "alone"), (None, "u", "same"), (7, "u", "twice"), (7, "u", "twice")]
 
@@ -152,6 +168,30 @@ def test_templates_go_and_articles_stay(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_subtrees_are_counted_per_host(spark):
+    """Templates by definition: for each host, on how many pages each subtree's hash occurs."""
+    rows = [(i, f"http://h{i % 3}.example/{i}", page(f"<p>own {i}</p><div>often</div>" + ("<div>some</div>" if i % 9 < 3 else ""), i % 2 == 0)) for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: (set(r.template), set(r.weak)) for r in html.templates(pages).collect()}
+    for h in range(3):
+        sources = [x for i, _, x in rows if i % 3 == h]
+        seen = Counter(k for x in sources for k in {*html.Page(x).hashes()} - {0})
+        often = {k: n for k, n in seen.items() if n >= html.MIN_PAGES and n >= html.SHARE * len(sources)}
+        strong = {k for k, n in often.items() if n >= html.STRONG * len(sources)}
+        assert got[f"h{h}.example"] == (strong, set(often) - strong)
+    sent = {(r.page_id, r.text) for r in html.extract(pages).collect()}
+    assert sent == {(r.page_id, r.text) for r in html.extract(pages, bound=0).collect()}
+
+
+@pytest.mark.parametrize("source", ["<a " * 200_000, "<div>" * 60_000 + "</b>" * 60_000, "<main>" + "<article>x" * 40_000, "<a '" * 100_000 + ">", "<a x='>" * 80_000 + '"', "<script>" + "</script " * 80_000, "<p><span>" + "<span>" * 50_000 + "<div>" * 50_000])
+def test_odd_pages_are_read_in_linear_time(source):
+    import time
+
+    began = time.process_time()
+    html.Page(source).text(set())
+    assert time.process_time() - began < 20
+
+
 # chat -------------------------------------------------------------------
 def test_chat_expansion_reads_back(spark):
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -210,6 +250,28 @@ def test_pipeline_stages(spark):
     assert crf and decontaminate and simhash
 
 
+def test_pipeline_stages_take_any_rows(spark):
+    """Nulls in any column, repeated rows, empty texts and tables, other columns with the operators' names."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i % 300}" for i in range(400)) + "."
+    texts = [None, "", " ", long, long, long + " end", "one two", "x" * 200_000]
+    rows = [(i if i != 2 else None, t, None if i % 2 else "en", "row", i, "n", 1.0) for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string, size long, n_words string, score double")
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        kept = out.collect()
+        if name != "BPE encoding":
+            assert out.columns == docs.columns
+            assert {str(r) for r in kept} <= {str(r) for r in docs.collect()}
+        else:
+            assert len(kept) == docs.count()
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    kept = corpus_pipeline.deduplicate(spark, docs, sf).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 0), (False, 3), (False, 6), (False, 7)]
+
+
 def test_subpackage_is_optional():
     """Nothing outside imports the subpackage."""
     from pathlib import Path

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import pytest
 import xxhash
@@ -41,6 +42,23 @@ def test_bpe_is_the_librarys(spark, docs):
         assert r.decoded == tool.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_splits_every_code_point_as_the_library():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    library, tool = Tokenizer.from_file(path).pre_tokenizer, bpe.BytePairCodec(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 1 << 16):
+        text = "".join(f"a{c}a1{c}1!{c}! {c} " for c in map(chr, points[start : start + (1 << 16)]))
+        assert tool.pieces(text) == [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)], hex(points[start])
+
+
+def test_bpe_round_trip_is_encode_and_decode(docs):
+    path = queries.vocabulary_path()
+    both = bpe.decode(bpe.encode(docs, path), path).collect()
+    assert sorted(map(str, bpe.round_trip(docs, path).collect())) == sorted(map(str, both))
+
+
 def test_bpe_long_pieces_and_rows_agree():
     tool = bpe.BytePairCodec(queries.vocabulary_path())
     for piece in ("the" * 20, "ab" * 31, "é" * 30, "internationalization", "a"):
@@ -307,42 +325,65 @@ def test_decontamination_empty_tables(spark, docs):
     assert decontaminate.contamination(docs.limit(0), none).count() == 0
 
 
-def test_langmodel_base_is_exact_and_tail_is_joined(spark, docs, monkeypatch):
-    monkeypatch.setattr(langmodel.vocabulary, "__defaults__", (5,))
+def brute_scores(train, texts, block):
+    """n_tokens, n_known, N, base and score by definition: a filter of plain Python integers, probed level by level."""
+    import numpy as np
+    import xxhash
+
+    toks = lambda t: [*(x.lower() for x in words(t)), b""]
+    key = lambda w: np.array([xxhash.xxh64_intdigest(w)], np.uint64)
+    counts, known = Counter(), Counter()
+    pair = cache(lambda v, w: int(langmodel.pair_keys(key(v), key(w))[0]))
+    one = cache(lambda w: int(key(w).view(np.int64)[0]))
+    for t in train:
+        before = b""
+        for w in toks(t):
+            known[w] += 1
+            counts[one(w)] += 1
+            counts[pair(before, w)] += 1
+            before = w
+    blocks = max(1, -(-sum(c.bit_length() for c in counts.values()) * langmodel.BITS_PER_ENTRY // block))
+    spots = lambda k, at: [(k % blocks, int(p)) for p in langmodel.positions(np.array([k]), at, block)[0]]
+    bits = {x for k, c in counts.items() for at in range(1, c.bit_length() + 1) for x in spots(k, at)}
+
+    @cache
+    def count(k):
+        at = 0
+        while all(x in bits for x in spots(k, at + 1)):
+            at += 1
+        return (3 * 2.0 ** (at - 1) - 1) / 2 if at else 0.0
+
+    n, v, out = sum(known.values()), len(known), []
+    for t in texts:
+        score, before = 0.0, b""
+        for w in toks(t):
+            p = (count(one(w)) + 1) / (n + v + 1)
+            score += math.log10(min(1.0, (count(pair(before, w)) + langmodel.MU * p) / (count(one(before)) + langmodel.MU)))
+            before = w
+        base = sum(math.log10((known[w] + 1) / (n + v + 1)) for w in toks(t))
+        out.append((len(toks(t)), sum(known[w] > 0 for w in toks(t)), n, base, score))
+    return out
+
+
+@pytest.mark.parametrize("head, held, block", [(1 << 19, 1 << 26, 1 << 18), (3, 1 << 26, 1 << 10), (3, 0, 1 << 10)])
+def test_langmodel_is_brute_force(spark, docs, head, held, block):
+    """With few head words, with many small blocks, and with a filter too large to broadcast."""
     plain = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     train = plain.where("doc_id <> 4")
-    model = langmodel.fit(train)
-    assert len(model.vocab.value.words) <= 5
-    toks = lambda t: [*(x.lower() for x in words(t)), b""]
-    c = Counter(x for r in train.collect() for x in toks(r.text))
-    n, v = sum(c.values()), len(c)
+    model = langmodel.fit(train, head=head, broadcast_bytes=held, block=block)
+    assert len(model.head.value.key) <= head and (model.bloom is None) == (held == 0)
     rows = langmodel.scores(docs, model).collect()
     assert len(rows) == docs.count()
-    for r in rows:
-        t = toks(TEXTS[r.doc_id] if r.doc_id is not None else "null key")
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[x] > 0 for x in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t))
-        assert math.isfinite(r.score) and r.score <= 0
+    texts = [TEXTS[r.doc_id] if r.doc_id is not None else "null key" for r in rows]
+    for r, want in zip(rows, brute_scores([r.text for r in train.collect()], texts, block), strict=True):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
+        assert (r.base_score, r.score) == pytest.approx(want[3:])
 
 
 def test_langmodel_without_training_rows(docs):
     rows = langmodel.scores(docs.select("doc_id", "text"), langmodel.fit(docs.limit(0))).collect()
     assert len(rows) == docs.count() and all(r.n_known == 0 for r in rows)
-
-
-def test_bloom_reads_levels_back():
-    import numpy as np
-
-    data = np.zeros(1 << 13, np.uint8)
-    bits = 1 << 16
-    counts = np.array([1, 2, 3, 4, 100, 5000])
-    for key, count in enumerate(counts):
-        for at in range(1, int(langmodel.level(np.array([count]))[0]) + 1):
-            for p in langmodel.positions(np.array([key]), at, bits):
-                data[p >> 3] |= (1 << (p & 7)).astype(np.uint8)
-    read = langmodel.LogBloom(data, bits).level(np.arange(6))
-    assert (read >= langmodel.level(counts)).all() and (read == langmodel.level(counts)).sum() >= 5
-    assert langmodel.LogBloom(data, bits).level(np.arange(1000, 1200)).mean() < 0.1
+    assert langmodel.scores(docs.limit(0), langmodel.fit(docs.limit(0))).count() == 0
 
 
 def test_classifier_learns_and_holds_out(spark):
