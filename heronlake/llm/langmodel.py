@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from heronlake.llm.common import chunks, mapped, store
 
-HEAD, MU = 1 << 19, 20.0
+HEAD, MU = 1 << 19, 200.0
 #: Bits of a block, a power of two of at most 2^21: a 64-bit hash gives PROBES places in it.
 BLOCK, PROBES = 1 << 18, 3
 #: With PROBES probes, about 3 % of absent entries seem present.
