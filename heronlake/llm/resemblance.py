@@ -16,7 +16,7 @@ similarity.
   group of near copies is linked by rows that stay linear in its size;
 * candidates of fewer than ``MATCHES`` shared positional bytes are dropped (similarity 0.8
   has 51 of 64 on average; fewer than 38 once in 50,000), the rest verified exactly: first
-  one candidate per node, then those that no chain of links connects yet;
+  one candidate per node, then those that two steps of such links don't connect;
 * a long list of the first posting that these links don't connect (a crowd of texts a
   little below 0.8, whose stars are rejected) is finished exactly: its nodes meet under
   their rarest shingles, as many as two texts of the least similarity can't both lack,
@@ -213,7 +213,9 @@ def links(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -
     texts = store(rows.select("row", "text").join(few(ends), "row"), "candidate-texts")
     tried = store(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     near = verified(tried, texts, words, similarity)
-    roots = store(components(near), "near-roots")
+    # a node's first similar text, or that one's: what this leaves apart is tried pair by pair
+    up = near.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    roots = store(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "near-roots")
     root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
     apart = found.join(tried, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
     apart = store(apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "apart")

@@ -145,12 +145,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     while row in docs.columns:
         row += "_"
     numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    ids = numbered.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("at")).alias("k"), F.col(text).alias("text"))
-    found = store(near_duplicates(ids, "k", "text"), "by-fingerprint")
-    alike = store(resemblance.links(ids.select(F.col("k.at").alias("row"), "text")), "alike")
-    joined = components(found.select(F.col("k.at").alias("a"), F.col("component_id.at").alias("b")).unionByName(alike))
-    member = store(joined.join(found.select(F.col("k.at").alias("node"), "k"), "node").select("root", "k"), "members")
+    texts = numbered.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    prints = store(fingerprints(texts, "row"), "fingerprints")
+    nodes = store(prints.groupBy("fp").agg(F.min("row").alias("first")), "nodes")
+    # equal fingerprints meet at their first row, near ones through their first rows
+    same = prints.join(nodes, "fp").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    first_of = lambda end: nodes.select(F.col("fp").alias(end), F.col("first").alias(f"row_{end}"))
+    near = links(nodes.select("fp")).join(first_of("a"), "a").join(first_of("b"), "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    joined = components(same.unionByName(near).unionByName(resemblance.links(texts)))
+    rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("at"))
+    member = store(numbered.select(F.col(row).alias("node"), rank.alias("k")).join(joined, "node").select("root", "k"), "members")
     first = member.groupBy("root").agg(F.min("k").alias("first"))
     losers = store(member.join(first, "root").where("k <> first").select(F.col("k.at").alias(row)), "losers")
-    forget(found, alike, member)
+    forget(prints, nodes, member)
     return numbered.join(few(losers), row, "left_anti").drop(row)
