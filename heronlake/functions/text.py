@@ -193,6 +193,11 @@ def short_hash(text: Column, n: int = 12) -> Column:
     return F.substring(F.sha1(text.cast("binary")), 1, n)
 
 
+def set_sum(item: Column) -> Column:
+    """Sum of a 48-bit hash of each item: equal for equal sets in any order, and summed before the shuffle."""
+    return F.sum(F.conv(F.substring(F.md5(item.cast("string").cast("binary")), 1, 12), 16, 10).cast("decimal(20,0)"))
+
+
 def submission_hash(text: Column) -> Column:
     """sha256 of the text without direction and zero-width marks, spaces squeezed, lower case."""
     plain = F.regexp_replace(text, "[​-‏‪-‮⁦-⁩﻿]", "")

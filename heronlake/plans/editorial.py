@@ -69,10 +69,13 @@ def sentence_diff(t: Tables) -> DataFrame:
     return p.select("channel_id", "message_id", F.when((n == 0) | (fresh > 0.995 * n), 0).otherwise(F.least(fresh, F.lit(4))).alias("shown"))
 
 
-@query("F33 F32", "SELECT CAST(CAST(ts + INTERVAL 210 MINUTE AS DATE) AS VARCHAR) AS local_day, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("F33 F32", """
+, d AS (SELECT CAST(ts + INTERVAL 210 MINUTE AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL), k AS (SELECT *, date_diff('day', DATE '2023-03-21', day) AS i FROM d)
+SELECT CAST(day AS VARCHAR) AS local_day, event_type, n, '1402-' || lpad(CAST(CASE WHEN i < 186 THEN i // 31 + 1 ELSE (i - 186) // 30 + 7 END AS VARCHAR), 2, '0') || '-' || lpad(CAST(CASE WHEN i < 186 THEN i % 31 + 1 ELSE (i - 186) % 30 + 1 END AS VARCHAR), 2, '0') AS jalali FROM k""")
 def local_days(t: Tables) -> DataFrame:
-    """Events by the reader's day."""
-    return t["events"].groupBy(dates.local_day(F.col("ts")).cast("string").alias("local_day"), "event_type").agg(F.count("*").alias("n"))
+    """Events by the reader's day, with its date in the Solar Hijri calendar."""
+    d = t["events"].groupBy(dates.local_day(F.col("ts")).alias("day"), "event_type").agg(F.count("*").alias("n"))
+    return d.select(F.col("day").cast("string").alias("local_day"), "event_type", "n", dates.jalali(F.col("day")).alias("jalali"))
 
 
 @query("F48 F49 F50 X9 X10", """

@@ -41,14 +41,12 @@ def narrative_contradictions(t: Tables) -> DataFrame:
 
 
 @query("P35", """
-, c AS (SELECT story_id, count(*) AS n, count(*) FILTER (ingested_at < TIMESTAMP '2024-01-31' - INTERVAL 100 HOUR) AS old_n, md5(string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY CAST(article_id AS VARCHAR))) AS h,
-  md5(coalesce(string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY CAST(article_id AS VARCHAR)) FILTER (ingested_at < TIMESTAMP '2024-01-31' - INTERVAL 100 HOUR), '')) AS old_h FROM v_articles WHERE story_id IS NOT NULL GROUP BY story_id)
+, c AS (SELECT story_id, count(*) AS n, count(*) FILTER (ingested_at < TIMESTAMP '2024-01-31' - INTERVAL 100 HOUR) AS old_n, sum(('0x' || substr(md5(CAST(article_id AS VARCHAR)), 1, 12))::BIGINT) AS h, coalesce(sum(('0x' || substr(md5(CAST(article_id AS VARCHAR)), 1, 12))::BIGINT) FILTER (ingested_at < TIMESTAMP '2024-01-31' - INTERVAL 100 HOUR), 0) AS old_h FROM v_articles WHERE story_id IS NOT NULL GROUP BY story_id)
 SELECT story_id, h <> old_h AND (n - old_n >= 5 OR n < old_n OR old_n = 0) AS evaluate FROM c""")
 def reevaluation_trigger(t: Tables) -> DataFrame:
-    """Stories whose members changed since the last evaluation, by five or more."""
-    old, i = F.col("ingested_at") < hours_before(F.lit(100)), F.col("article_id").cast("string")
-    h = lambda ids: F.md5(F.array_join(F.array_sort(ids), ",").cast("binary"))
-    c = t.articles.where("story_id IS NOT NULL").groupBy("story_id").agg(F.count("*").alias("n"), F.count_if(old).alias("o"), h(F.collect_list(i)).alias("h"), h(F.collect_list(F.when(old, i))).alias("oh"))
+    """Stories whose set of members changed since the last evaluation, by five or more."""
+    old, i = F.col("ingested_at") < hours_before(F.lit(100)), F.col("article_id")
+    c = t.articles.where("story_id IS NOT NULL").groupBy("story_id").agg(F.count("*").alias("n"), F.count_if(old).alias("o"), text.set_sum(i).alias("h"), F.coalesce(text.set_sum(F.when(old, i)), F.lit(0)).alias("oh"))
     return c.select("story_id", ((F.col("h") != F.col("oh")) & ((F.col("n") - F.col("o") >= 5) | (F.col("n") < F.col("o")) | (F.col("o") == 0))).alias("evaluate"))
 
 

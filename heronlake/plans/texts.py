@@ -88,10 +88,11 @@ def evidence_counts(t: Tables) -> DataFrame:
     return t.articles.groupBy("source_id").agg(F.sum(F.regexp_count(F.lower("body"), F.lit(r"[^\p{L}](the|und|que|la)[^\p{L}]"))).alias("hits"), F.sum(F.regexp_count("body", F.lit("!!"))).alias("marks"), F.sum(F.size(F.split("body", " "))).alias("words"))
 
 
-@query("F43 F44 F75", """SELECT story_id, substr(md5(string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY CAST(article_id AS VARCHAR))), 1, 12) AS set_hash, substr(sha1(min(title)), 1, 10) AS title_hash FROM v_articles WHERE story_id IS NOT NULL GROUP BY story_id""")
+@query("F43 F44 F75", """SELECT story_id, substr(md5(CAST(sum(('0x' || substr(md5(CAST(article_id AS VARCHAR)), 1, 12))::BIGINT) AS VARCHAR) || ':' || count(*)), 1, 12) AS set_hash, substr(sha1(min(title)), 1, 10) AS title_hash FROM v_articles WHERE story_id IS NOT NULL GROUP BY story_id""")
 def article_set_hash(t: Tables) -> DataFrame:
-    ids = F.array_join(F.array_sort(F.collect_list(F.col("article_id").cast("string"))), ",")
-    return t.articles.where("story_id IS NOT NULL").groupBy("story_id").agg(F.substring(F.md5(ids.cast("binary")), 1, 12).alias("set_hash"), text.short_hash(F.min("title"), 10).alias("title_hash"))
+    """A short hash of each story's set of articles, from a sum over them."""
+    whole = F.concat(text.set_sum(F.col("article_id")).cast("string"), F.lit(":"), F.count("*"))
+    return t.articles.where("story_id IS NOT NULL").groupBy("story_id").agg(text.short_hash(F.min("title"), 10).alias("title_hash"), F.substring(F.md5(whole.cast("binary")), 1, 12).alias("set_hash"))
 
 
 @query("P4 P5 P13 P12", r"SELECT message_id, count(*) AS posts, count(*) FILTER (len(string_split_regex(trim(text), '[ \t\n\r]+')) >= 12 AND length(text) >= 60) AS kept, count(*) FILTER (len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 1 AND length(text) >= 120 OR length(text) >= 200) AS discussion FROM v_posts GROUP BY message_id")
