@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from heronlake.functions import text, vector
 from heronlake.operators import similarity
 from heronlake.operators.graph import components
+from heronlake.plans.ranking import CLUSTER_SQL, eligible
 from heronlake.plans.registry import query
 from heronlake.plans.similarity import COSINE, VECTOR_SQL
 from heronlake.sources.adapters import Tables, hours_before
@@ -252,3 +253,37 @@ SELECT event_id, first_value(event_id) OVER (PARTITION BY g ORDER BY ts, event_i
 def arc_parts(t: Tables) -> DataFrame:
     """Arcs (a user's sign-ups stand for a component of stories) cut at their largest gaps."""
     return largest_gap_parts(t["events"].where("event_type = 'signup'"), "user_id", "event_id", "ts")
+
+
+@query("M24 U7", VECTOR_SQL + f"""
+, t50 AS (SELECT * FROM (SELECT v.article_id, s.source_id, state_alignment, v.ingested_at, v.embedding, row_number() OVER (PARTITION BY state_alignment ORDER BY v.ingested_at DESC, v.article_id) AS k FROM vec v JOIN v_articles a USING (article_id) JOIN v_sources s ON s.source_id = a.source_id) WHERE k <= 50)
+, e AS (SELECT x.article_id AS a, y.article_id AS b FROM t50 x JOIN t50 y ON x.state_alignment = y.state_alignment AND x.source_id <> y.source_id AND x.article_id <> y.article_id AND abs(date_diff('second', x.ingested_at, y.ingested_at)) <= 6 * 3600 WHERE {COSINE.format('x.embedding', 'y.embedding')} > 0.05)
+, reach(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), c AS (SELECT a AS article_id, min(b) AS campaign FROM reach GROUP BY a)
+SELECT campaign, count(*) AS articles, count(DISTINCT source_id) AS outlets FROM c JOIN t50 USING (article_id) GROUP BY campaign HAVING count(*) >= 3 AND count(DISTINCT source_id) >= 3""")
+def coordination_groups(t: Tables) -> DataFrame:
+    """Among the fifty newest articles of each alignment: groups of three or more from three outlets or more, linked by
+    vectors (test cosine .05) within six hours."""
+    a = t.articles.where("embedding IS NOT NULL").select("article_id", "source_id", "embedding", "ingested_at").join(t.sources.select("source_id", "state_alignment"), "source_id")
+    newest = Window.partitionBy("state_alignment").orderBy(F.desc("ingested_at"), "article_id")
+    top = store(a.withColumn("k", F.row_number().over(newest)).where("k <= 50"), "newest")
+    x, y = top.alias("x"), top.alias("y")
+    near = (F.col("x.article_id") < F.col("y.article_id")) & (F.col("x.source_id") != F.col("y.source_id")) & (F.abs(F.timestamp_diff("SECOND", F.col("x.ingested_at"), F.col("y.ingested_at"))) <= 6 * 3600)
+    pairs = x.join(y, "state_alignment").where(near & (vector.cosine(F.col("x.embedding"), F.col("y.embedding")) > 0.05)).select(F.col("x.article_id").alias("a"), F.col("y.article_id").alias("b"))
+    c = components(pairs).select(F.col("node").alias("article_id"), F.col("root").alias("campaign")).join(top.select("article_id", "source_id"), "article_id")
+    return c.groupBy("campaign").agg(F.count("*").alias("articles"), F.countDistinct("source_id").alias("outlets")).where("articles >= 3 AND outlets >= 3")
+
+
+@query("M6 M7", CLUSTER_SQL + VECTOR_SQL + f"""
+, cell AS (SELECT article_id % 97 AS cluster_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM vec), cent AS (SELECT cluster_id, list(x ORDER BY p) AS v FROM (SELECT cluster_id, p, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY cluster_id)
+, top AS (SELECT cluster_id, priority, list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3)) AS w, v FROM (SELECT * FROM eligible ORDER BY trending DESC, cluster_id LIMIT 80) LEFT JOIN cent USING (cluster_id))
+SELECT a.cluster_id AS a, b.cluster_id AS b FROM top a JOIN top b ON a.cluster_id < b.cluster_id, LATERAL (SELECT CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::DOUBLE ELSE 0 END AS o, {COSINE.format('a.v', 'b.v')} AS c) WHERE NOT (a.priority >= 40 AND b.priority >= 40) AND (o >= 0.4 OR c >= 0.5) ORDER BY c DESC, a.cluster_id, b.cluster_id LIMIT 30""")
+def merge_pairs(t: Tables) -> DataFrame:
+    """Of the eighty most visible stories the thirty pairs nearest in direction whose titles overlap or whose centroids are near
+    (test cosine .5); two pinned stories are never merged."""
+    v = vector.centroids(t.articles.where("embedding IS NOT NULL").withColumn("cluster_id", F.col("article_id") % 97), "cluster_id", "embedding")
+    top = eligible(t).orderBy(F.desc("trending"), "cluster_id").limit(80).join(v, "cluster_id", "left")
+    side = lambda x: top.select(F.col("cluster_id").alias(x), F.col("priority").alias(f"p{x}"), text.tokens(F.col("title")).alias(f"w{x}"), F.col("centroid").alias(f"v{x}"))
+    # eighty rows by eighty
+    both = side("a").join(F.broadcast(side("b")), F.col("a") < F.col("b")).withColumn("c", F.coalesce(vector.cosine(F.col("va"), F.col("vb")), F.lit(0.0)))
+    both = both.where(~((F.col("pa") >= 40) & (F.col("pb") >= 40)) & ((text.overlap(F.col("wa"), F.col("wb")) >= 0.4) | (F.col("c") >= 0.5)))
+    return both.orderBy(F.desc("c"), "a", "b").limit(30).select("a", "b")

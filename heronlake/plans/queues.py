@@ -245,3 +245,60 @@ def step_egress(t: Tables) -> DataFrame:
     # one row per step
     upto = F.sum("total").over(Window.orderBy(F.desc("total"), "step")) / F.sum("total").over(Window.partitionBy())
     return a.select("step", "runs", F.round("total", 3).alias("total"), F.round("peak", 3).alias("peak"), F.round("mean", 4).alias("mean"), F.round(100 * upto, 3).alias("cumulative"))
+
+
+@query("L11", """
+, img AS (SELECT article_id % 97 AS cluster_id, article_id, title, CASE n_chars % 4 WHEN 0 THEN 'https://i.example/logo.png' WHEN 1 THEN 'https://i.example/p/' || article_id || '-1200x800.jpg' WHEN 2 THEN 'https://cdn.example/' || article_id || '.webp' END AS u FROM v_articles)
+, w AS (SELECT cluster_id, list_distinct(list_filter(string_split_regex(lower(min(title)), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)) AS w FROM img GROUP BY 1)
+, s AS (SELECT img.*, len(list_intersect(w.w, list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)))) AS overlap, contains(u, 'cdn.') AS stable, contains(u, 'logo') AS logo FROM img JOIN w USING (cluster_id) WHERE u IS NOT NULL)
+, best AS (SELECT cluster_id, max_by(u, (CASE WHEN contains(u, '1200') THEN 12 ELSE 6 END + 2 * overlap + 2 * CASE WHEN stable THEN 1 ELSE 0 END, overlap, length(u), article_id)) FILTER (NOT logo) AS u, count(*) FILTER (logo) AS logos FROM s GROUP BY 1)
+SELECT cluster_id, coalesce(u, CASE WHEN logos > 0 THEN 'https://i.example/logo.png' END) AS image FROM best""")
+def image_picks(t: Tables) -> DataFrame:
+    """A story's picture: quality, words its article shares with the story's title, and a stable host; a logo if there is nothing else."""
+    i, n = F.col("article_id"), F.col("n_chars") % 4
+    u = F.when(n == 0, "https://i.example/logo.png").when(n == 1, F.concat(F.lit("https://i.example/p/"), i, F.lit("-1200x800.jpg"))).when(n == 2, F.concat(F.lit("https://cdn.example/"), i, F.lit(".webp")))
+    a = t.articles.select((i % 97).alias("cluster_id"), "article_id", "title", u.alias("u"))
+    w = a.groupBy("cluster_id").agg(text.tokens(F.min("title")).alias("w"))
+    s = a.where("u IS NOT NULL").join(w, "cluster_id").withColumn("overlap", F.size(F.array_intersect("w", text.tokens(F.col("title"))))).withColumn("logo", F.col("u").contains("logo"))
+    score = F.when(F.col("u").contains("1200"), 12).otherwise(6) + 2 * F.col("overlap") + 2 * F.col("u").contains("cdn.").cast("int")
+    rank = F.when(~F.col("logo"), F.struct(score.alias("s"), "overlap", F.length("u").alias("n"), "article_id"))
+    best = s.groupBy("cluster_id").agg(F.max_by("u", rank).alias("u"), F.count_if("logo").alias("logos"))
+    return best.select("cluster_id", F.coalesce("u", F.when(F.col("logos") > 0, "https://i.example/logo.png")).alias("image"))
+
+
+@query("P3 T4", """
+, tried AS (SELECT event_id // 40 AS article_id, count(*) AS attempts FROM events WHERE event_type = 'error' GROUP BY 1)
+SELECT a.article_id, coalesce(attempts, 0) AS attempts FROM v_articles a LEFT JOIN tried USING (article_id) WHERE story_id IS NULL AND coalesce(attempts, 0) < 8 AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR AND (published_at IS NULL OR published_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR) AND content_type IS NOT NULL ORDER BY ingested_at DESC, a.article_id LIMIT 200""")
+def cluster_queue(t: Tables) -> DataFrame:
+    """Unclustered articles, fresh on both clocks, typed and not tried too often (test limit eight), newest first."""
+    tried = t["events"].where("event_type = 'error'").groupBy(F.floor(F.col("event_id") / 40).alias("article_id")).agg(F.count("*").alias("attempts"))
+    week = hours_before(F.lit(168))
+    a = t.articles.where(F.col("story_id").isNull() & (F.col("ingested_at") >= week) & (F.col("published_at").isNull() | (F.col("published_at") >= week)) & F.col("content_type").isNotNull())
+    a = a.join(tried, "article_id", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0))).where("attempts < 8")
+    return a.orderBy(F.desc("ingested_at"), "article_id").limit(200).select("article_id", "attempts")
+
+
+@query("P19", CLUSTER_SQL + """
+SELECT article_id FROM v_articles JOIN clusters ON cluster_id = article_id % 97 WHERE (contains(lower(a_title), 'ion') OR contains(lower(substr(body, 1, 60)), 'ion') OR contains(lower(language || ' ' || url), 'ion')) AND (story_id IS NULL OR article_count < 5) AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY ORDER BY ingested_at DESC, article_id LIMIT 50""".replace("a_title", "v_articles.title"))
+def seeding_search(t: Tables) -> DataFrame:
+    """Articles of the last days that hold a word in one of three text columns and have no story, or a weak one."""
+    a = t.articles.join(scored(t).select("cluster_id", "article_count"), F.col("article_id") % 97 == F.col("cluster_id"))
+    hit = F.col("title").ilike("%ion%") | F.substring("body", 1, 60).ilike("%ion%") | F.concat("language", F.lit(" "), "url").ilike("%ion%")
+    weak = F.col("story_id").isNull() | (F.col("article_count") < 5)
+    return a.where(hit & weak & (F.col("ingested_at") >= hours_before(F.lit(240)))).orderBy(F.desc("ingested_at"), "article_id").limit(50).select("article_id")
+
+
+@query("A19", """
+, bias AS (SELECT doc_id AS article_id, quality, toxic, CASE WHEN doc_id % 4 <> 0 THEN 'because' END AS reasoning FROM labels UNION ALL SELECT doc_id, 1 - quality, toxic, NULL FROM labels WHERE toxic = 0)
+SELECT article_id, quality, reasoning IS NOT NULL AS reasoned FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY reasoning IS NULL, quality DESC) AS k FROM bias) WHERE k = 1""")
+def best_score_rows(t: Tables) -> DataFrame:
+    """One score row per article: one with a reason if there is one."""
+    rows = t["labels"].select(F.col("doc_id").alias("article_id"), "quality", F.when(F.col("doc_id") % 4 != 0, "because").alias("reasoning")).unionByName(t["labels"].where("toxic = 0").select(F.col("doc_id").alias("article_id"), (1 - F.col("quality")).alias("quality"), F.lit(None).cast("string").alias("reasoning")))
+    best = rows.groupBy("article_id").agg(F.max(F.struct(F.col("reasoning").isNotNull().alias("reasoned"), "quality")).alias("b"))
+    return best.select("article_id", "b.quality", "b.reasoned")
+
+
+@query("A52", "SELECT event_id, event_type, ts FROM events WHERE event_type IN ('error', 'purchase') ORDER BY ts DESC, event_id DESC LIMIT 40")
+def log_listing(t: Tables) -> DataFrame:
+    """The newest log rows."""
+    return t["events"].where("event_type IN ('error', 'purchase')").orderBy(F.desc("ts"), F.desc("event_id")).limit(40).select("event_id", "event_type", "ts")
