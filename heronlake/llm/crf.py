@@ -8,7 +8,9 @@ of its lines) and maximises the conditional likelihood on the driver, over a sam
 at most ``SAMPLE`` labelled documents of at most ``SAMPLE_LINES`` lines.
 
 Labels, language, source and keys are never features.  Null texts count as empty: one
-empty line.  Without labelled rows of both kinds every score is 0.5.
+empty line.  Without labelled rows of both kinds every score is 0.5.  Repeated rows score
+alike; very long texts are scored whole (steps are bounded by bytes); an empty table gives
+an empty table; only key and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

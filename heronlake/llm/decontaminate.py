@@ -178,7 +178,7 @@ def _shuffled(source: DataFrame, benchmark: DataFrame, key: str, window: int) ->
     cuts = store(mapped(benchmark, cut, "item string, words binary, length long, codes array<long>"), "windows")
     kinds = store(cuts.groupBy("words").agg(F.min("length").alias("length"), F.min("codes").alias("codes")).withColumn("window", F.monotonically_increasing_id()), "window-kinds")
     # stored: how files are dealt out to tasks may differ from read to read
-    numbered = store(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    numbered = store(source.select(F.col(key).alias("key"), "text", F.monotonically_increasing_id().alias("row")), "numbered")
     widths = [r[0] for r in kinds.select(F.least("length", F.lit(SHINGLE)).cast("int")).distinct().collect()]
     grams = mapped(numbered.select("row", "text"), _grams(widths), "h long, n int, row long, place long, size long")
     places = kinds.select("window", "length", F.least("length", F.lit(SHINGLE)).cast("int").alias("n"), F.posexplode("codes").alias("at", "h"))
@@ -211,10 +211,10 @@ def _shuffled(source: DataFrame, benchmark: DataFrame, key: str, window: int) ->
     forget(wanted)
     size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SEPARATORS), lambda x: x != "")).cast("long")
     return (
-        numbered.select(key, "row", size.alias("n_words"))
+        numbered.select("key", "row", size.alias("n_words"))
         .join(checked.select("row", "n_hit"), "row", "left")
         .join(items, "row", "left")
-        .select(key, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        .select(F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     )
 
 
@@ -227,7 +227,8 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """*docs* without contaminated rows (``n_hit > 0`` and ``20 * n_hit >= n_words``); columns stay as they are."""
+    """*docs* without contaminated rows (``n_hit > 0`` and ``20 * n_hit >= n_words``); columns stay as they are,
+    whatever their names.  Repeated rows are judged alike; null and empty texts stay; an empty table gives an empty table."""
     row = "_heron_row"
     while row in docs.columns:
         row += "_"

@@ -4,13 +4,14 @@ Every element subtree is hashed (tag, class-like attributes, text, children's ha
 Spark counts, per host, on how many pages each hash occurs; a subtree on at least
 ``MIN_PAGES`` pages and a share of ``SHARE`` of its host's pages is template and deleted,
 with all it holds, if it has at most ``SHORT`` words; a longer one, which may be an article
-that was published again, only from a share of ``STRONG``.  Where a page marks its article
-(``main`` or ``article``), only what lies in it is text; there, paragraphs, headings, list
-items, quotations and code are content however often they recur, and other elements are
-template only from a share of ``STRONG`` and with less than half of the text.  Elements that by
-name, role or class are menus, headers, footers, asides, notices, adverts, forms, scripts,
-styles or reader comments are removed on every page, so a page alone on its host is
-cleaned too.
+that was published again, only from a share of ``STRONG``.  Paragraphs, headings, list items,
+quotations and the like need a share of ``STRONG`` and at most ``SHORT`` words, and go only
+while they make less than half of their article (or page), else that was published again.
+Where a page marks its article (``main`` or ``article``), only what lies in it is text; other
+elements inside are template from a share of ``STRONG`` and with less than half of the text.
+Elements that by name, role or class are menus, headers, footers, asides, notices, adverts,
+forms, scripts, styles or reader comments are removed on every page, so a page alone on its
+host is cleaned too.
 
 Tolerant of unclosed and stray tags, and of tags inside scripts and attribute values.
 Null html gives the empty text; a null or odd url belongs to the host ''; repeated rows
@@ -47,7 +48,7 @@ BLOCK = frozenset(
 )
 #: Elements that are never main text.
 DROPPED = frozenset("head title script style noscript template iframe textarea xmp nav aside footer form button select option input fieldset dialog menu svg canvas object".split())
-#: Recurring elements of these names are content inside an article.
+#: Recurring elements of these names may be content.
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre code figure figcaption table thead tbody tfoot tr td th br b i em strong a span u s small sub sup q cite abbr mark time img".split())
 #: Words of class, id and role attributes that mark something else than main text.
 MARKS = frozenset(
@@ -203,12 +204,13 @@ class Page:
             holds[self.parent[i]] = holds[self.parent[i]] or holds[i]
             heading[self.parent[i]] = heading[self.parent[i]] or heading[i] or self.tag[i] in HEADINGS
         marked, hashes = holds[0], self.hashes()
-        whole = [0] * n
-        gone = [False] * n
+        article = [0] * n  # the nearest article, or the page
+        gone, repeats = [False] * n, [False] * n
+        repeated: dict[int, int] = {}
         for i in range(1, n):
             p, tag = self.parent[i], self.tag[i]
             in_article[i] = in_article[p] or tag in ("article", "main")
-            whole[i] = self.words[i] if tag in ("article", "main") else whole[p]
+            article[i] = i if tag in ("article", "main") else article[p]
             if gone[p]:
                 gone[i] = True
                 continue
@@ -220,10 +222,18 @@ class Page:
             elif words & MARKS and tag not in ("body", "html") and not (holds[i] and tag != "article") and not (tag in HEADINGS):
                 gone[i] = True
             elif hashes[i] and not holds[i] and tag not in ("body", "html"):
-                if marked and in_article[i]:
-                    gone[i] = hashes[i] in template and tag not in CONTENT and 2 * self.words[i] < whole[i]
+                own, often = article[i], hashes[i] in template
+                if tag in CONTENT:
+                    repeats[i] = repeats[p] or (often and self.words[i] <= SHORT)
+                    if repeats[i] and not repeats[p]:
+                        repeated[own] = repeated.get(own, 0) + self.words[i]
+                elif marked and in_article[i]:
+                    gone[i] = often and 2 * self.words[i] < self.words[own]
                 else:
-                    gone[i] = hashes[i] in template or (hashes[i] in weak and self.words[i] <= SHORT)
+                    gone[i] = often or (hashes[i] in weak and self.words[i] <= SHORT)
+        # an article most of which recurs was published again: it stays whole
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[self.parent[i]] or (repeats[i] and 2 * repeated[article[i]] < self.words[article[i]])
         blocks: list[str] = []
         current: list[str] = []
 

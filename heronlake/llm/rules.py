@@ -6,7 +6,10 @@ verdict is ``failed & mask = 0``, so changing a policy reads the ledger, never t
 An ablation asks how many rows only one rule of a policy drops: rows whose failed bits
 under the policy are exactly that rule's bit.
 
-Null texts are measured as empty (no words), which fails ``few_words``.
+Null texts are measured as empty (no words), which fails ``few_words``; repeated rows are
+measured alike; ties play no part; texts of any length are measured whole, in steps of
+bounded bytes; an empty table gives an empty ledger.  Only key and text are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations

@@ -57,7 +57,8 @@ def place(df: DataFrame, key: str | list[str], shards: dict[str, float] | list[s
     """*df* with columns *slot* and *shard*.
 
     Equal keys share a shard; a null key has the slot of "no key".  Give several columns
-    as *key* to spread a hot one.  Raises if *slot* or *shard* exists already.
+    as *key* to spread a hot one.  Repeated rows share a shard, an empty table gives an empty
+    table.  Raises if *slot* or *shard* exists already.
     """
     if clash := {slot, shard} & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")

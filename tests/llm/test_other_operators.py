@@ -155,19 +155,28 @@ def test_extract_one_page(source, want):
 
 
 def test_templates_go_and_articles_stay(spark):
-    rows = [(i, "http://h.example/a", page(f"<p>story {i}</p><p>shared passage</p><div>Share this story</div>" + "".join(f"<p>text {i} {j}</p>" for j in range(9)), True)) for i in range(12)]
+    rows = [(i, "http://h.example/a", page(f"<p>story {i}</p><p>Share this page with friends</p><div>Share this story</div>" + "".join(f"<p>text {i} {j}</p>" for j in range(9)), True)) for i in range(12)]
     rows += [(20 + i, "http://g.example:80/b", page(f"<p>own {i}</p>", False)) for i in range(12)]
     rows += [(50, None, "<p>x"), (51, "http://lonely.example", None), (51, "http://lonely.example", None)]
     pages = spark.createDataFrame([(*r, 5, "x") for r in rows], "page_id long, url string, html string, n_chars int, host string")
     out = {(r.page_id, r.text) for r in html.extract(pages.drop("n_chars")).collect()}
     assert html.extract(pages).count() == len(rows)
     for i in range(12):
-        assert (i, "\n".join([f"story {i}", "shared passage", *(f"text {i} {j}" for j in range(9))])) in out
+        assert (i, "\n".join([f"story {i}", *(f"text {i} {j}" for j in range(9))])) in out
         assert (20 + i, f"own {i}") in out
     assert {(50, "x"), (51, "")} <= out
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_what_recurs_on_few_pages_or_is_most_of_an_article_stays(spark):
+    """Three unmarked pages of a host of forty share a paragraph; four marked ones are the same article."""
+    rows = [(i, "http://h.example/a", page(f"<p>own {i} text</p>" + ("<p>short and shared</p>" if i < 3 else ""), False)) for i in range(36)]
+    rows += [(100 + i, "http://k.example/a", page("<h1>Title</h1>" + "".join(f"<p>line {j} of it</p>" for j in range(6)))) for i in range(4)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1] == "own 1 text\nshort and shared" and out[30] == "own 30 text"
+    assert out[102] == "Title\n" + "\n".join(f"line {j} of it" for j in range(6))
+
+
 def test_subtrees_are_counted_per_host(spark):
     """Templates by definition: for each host, on how many pages each subtree's hash occurs."""
     rows = [(i, f"http://h{i % 3}.example/{i}", page(f"<p>own {i}</p><div>often</div>" + ("<div>some</div>" if i % 9 < 3 else ""), i % 2 == 0)) for i in range(90)]
