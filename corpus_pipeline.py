@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.llm import bpe, crf, decontaminate, rules, simhash
-from heronlake.llm.common import store, table
+from heronlake.llm.common import scratch, store, table
 from heronlake.llm.queries import quality_model, vocabulary_path
 
 
@@ -43,9 +43,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = store(docs, f"stage-{i}-{name.split()[-1]}")
-    return docs
+    """All stages.  A stage's result is stored; what it stored on the way is deleted then, and so is its input.
+
+    Documents may hold nulls in any column, empty and very long texts, repeated rows, and columns of
+    any names; an empty table gives an empty table.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as paths:
+            docs = store(stage(spark, docs, sf_dir), f"stage-{i}-{name.split()[-1]}")
+            kept = paths.pop()
+            paths += [before] if before else []
+        before = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

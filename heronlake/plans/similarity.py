@@ -155,3 +155,73 @@ def coordination_pairs(t: Tables) -> DataFrame:
     side = lambda n: a.select(F.col("article_id").alias(n), F.col("source_id").alias(f"s{n}"), F.col("embedding").alias(f"e{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("sa <> sb").select("a", "b", vector.cosine(F.col("ea"), F.col("eb")).alias("c"))
     return both.where("c > 0.1").select("a", "b", F.round("c", 6).alias("cosine"))
+
+
+#: Where alignments stand across, with an axis and (under three articles) without one.
+AXIS = {"state": 80, "semi_state": 65, "independent": 50, "diaspora": 20}
+PLAIN = {"state": 15, "semi_state": 35, "independent": 50, "diaspora": 80}
+
+
+def _outer_sums(batches):
+    """Per story: number, sum and sums of products of vector components, one row per component."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        story = batch.column(0).to_numpy()
+        matrix = np.array(batch.column(1).to_pylist(), float)
+        for s in np.unique(story):
+            x = matrix[story == s]
+            d = x.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array([int(s)] * d, pa.int64()), pa.array(range(d), pa.int32()), pa.array([len(x)] * d, pa.int64()), pa.array(x.sum(axis=0)), pa.array((x.T @ x).tolist(), pa.list_(pa.float64()))], ["story_id", "p", "n", "total", "products"])
+
+
+def _main_axis(key, rows):
+    """The first principal axis of one story (its largest component positive), from its covariance: 64 rows."""
+    import numpy as np
+    import pandas as pd
+
+    rows = rows.sort_values("p")
+    n, mean = rows["n"].iloc[0], rows["total"].to_numpy() / rows["n"].iloc[0]
+    cov = np.stack(rows["products"].to_list()) / n - np.outer(mean, mean)
+    axis = np.linalg.eigh(cov)[1][:, -1]
+    axis = axis * np.sign(axis[np.abs(axis).argmax()])
+    return pd.DataFrame({"story_id": [key[0]], "axis": [axis.tolist()], "n": [int(n)]})
+
+
+DOT = "list_dot_product({0}, {1})"
+
+
+@query("X4", VECTOR_SQL + """
+, cell AS (SELECT story_id, article_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM vec), mean AS (SELECT story_id, p, avg(x) AS m FROM cell GROUP BY ALL)
+, cx AS (SELECT story_id, article_id, list(x - m ORDER BY p) AS v FROM cell JOIN mean USING (story_id, p) GROUP BY ALL), col AS (SELECT story_id, p, list(x - m ORDER BY article_id) AS c FROM cell JOIN mean USING (story_id, p) GROUP BY ALL)
+, row AS (SELECT a.story_id, a.p, list(list_dot_product(a.c, b.c) ORDER BY b.p) AS r FROM col a JOIN col b ON a.story_id = b.story_id GROUP BY ALL), mat AS (SELECT story_id, list(r ORDER BY p) AS m FROM row GROUP BY story_id)
+, pow(story_id, k, m) AS (SELECT story_id, 0, m FROM mat UNION ALL SELECT story_id, k + 1, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / list_sum(list_transform(m, lambda z: list_dot_product(z, z))))) FROM pow WHERE k < 16)
+, ax AS (SELECT story_id, list_sort(list_transform(m, lambda a: {'s': list_dot_product(a, a), 'a': a}), 'DESC')[1].a AS a FROM pow WHERE k = 16)
+, sgn AS (SELECT story_id, list_transform(a, lambda z: z / sqrt(list_dot_product(a, a)) * CASE WHEN list_max(a) >= -list_min(a) THEN 1 ELSE -1 END) AS a FROM ax)
+, y AS (SELECT story_id, article_id, list_dot_product(v, a) AS y, count(*) OVER (PARTITION BY story_id) AS n FROM cx JOIN sgn USING (story_id)), z AS (SELECT *, min(y) OVER (PARTITION BY story_id) AS lo, max(y) OVER (PARTITION BY story_id) AS hi FROM y)
+, j AS (SELECT z.*, state_alignment, row_number() OVER (PARTITION BY z.story_id, state_alignment ORDER BY z.article_id) - 1 AS i FROM z JOIN v_articles USING (article_id) JOIN v_sources USING (source_id))
+SELECT article_id, CASE WHEN n >= 3 THEN CASE state_alignment WHEN 'state' THEN 80 WHEN 'semi_state' THEN 65 WHEN 'diaspora' THEN 20 ELSE 50 END + (i % 3 - 1) * 5 ELSE CASE state_alignment WHEN 'state' THEN 15 WHEN 'semi_state' THEN 35 WHEN 'diaspora' THEN 80 ELSE 50 END + i * 5 END AS x, CASE WHEN n >= 3 THEN round(15 + (y - lo) / (hi - lo) * 70, 1) ELSE 50.0 + i * 10 END AS y FROM j""")
+def article_positions(t: Tables) -> DataFrame:
+    """Where a story's articles stand on its map: outlets' alignment across, the first principal axis of the vectors up (15 to 85).
+
+    Covariances are summed by tasks and merged per component, so no task holds a story's vectors.
+    """
+    from heronlake.sources.storage import store
+
+    v = vectors(t).select(F.col("story_id").cast("long").alias("story_id"), "article_id", "embedding")
+    parts = v.select("story_id", "embedding").mapInArrow(_outer_sums, "story_id long, p int, n long, total double, products array<double>")
+    summed = parts.select("story_id", "p", "n", "total", F.posexplode("products").alias("q", "x")).groupBy("story_id", "p", "q").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("x").alias("x"))
+    cov = summed.groupBy("story_id", "p").agg(F.max("n").alias("n"), F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("q", "x"))), lambda c: c["x"]).alias("products"))
+    axis = store(cov.groupBy("story_id").applyInPandas(_main_axis, "story_id long, axis array<double>, n long"), "axes")
+    # centring moves all of a story's projections alike, and scaling takes that out again
+    up = store(v.join(axis, "story_id").select("story_id", "article_id", "n", vector.dot(F.col("embedding"), F.col("axis")).alias("y")), "projected")
+    ends = up.groupBy("story_id").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    outlet = t.articles.select("article_id", "source_id").join(t.sources.select("source_id", "state_alignment"), "source_id")
+    j = up.join(ends, "story_id").join(outlet, "article_id")
+    i = F.row_number().over(Window.partitionBy("story_id", "state_alignment").orderBy("article_id")) - 1
+    base = lambda places: F.coalesce(*(F.when(F.col("state_alignment") == k, x) for k, x in places.items()), F.lit(50))
+    many = F.col("n") >= 3
+    scaled = F.when(F.col("hi") > F.col("lo"), 15 + (F.col("y") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 70).otherwise(50.0)
+    j = j.withColumn("i", i)
+    return j.select("article_id", F.when(many, base(AXIS) + (F.col("i") % 3 - 1) * 5).otherwise(base(PLAIN) + F.col("i") * 5).alias("x"), F.when(many, F.round(scaled, 1)).otherwise(50.0 + F.col("i") * 10).alias("y"))
