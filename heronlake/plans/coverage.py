@@ -50,7 +50,7 @@ def story_coverage_split(t: Tables) -> DataFrame:
     return groups.largest_remainder(cells(t, False), "story_id", "narrative_group", "n", F.col("ord")).select("story_id", "narrative_group", "n", "pct")
 
 
-@query("A21 F57 M28 F78", SPLIT_SQL + remainder_sql("n_outlets") + """
+@query("A21 F57", SPLIT_SQL + remainder_sql("n_outlets") + """
 , sides AS (SELECT story_id, sum(CASE WHEN ord <= 2 THEN pct ELSE 0 END) AS inside_pct, sum(CASE WHEN ord > 2 THEN pct ELSE 0 END) AS outside_pct FROM pct GROUP BY story_id)
 SELECT story_id, CAST(inside_pct AS BIGINT) AS inside_pct, CAST(outside_pct AS BIGINT) AS outside_pct, CASE WHEN inside_pct >= 55 AND outside_pct <= 45 THEN 'state_only' WHEN outside_pct >= 55 AND inside_pct <= 45 THEN 'diaspora_only' END AS blindspot_type FROM sides""")
 def blindspot_outlets(t: Tables) -> DataFrame:
@@ -145,7 +145,7 @@ def silence_detection(t: Tables) -> DataFrame:
     return c.select("cluster_id", silent.alias("silent_side"), F.greatest("i", "o").alias("loud")).where("silent_side IS NOT NULL")
 
 
-@query("M25 J25 A18", GROUP_SQL + """
+@query("M25 J25", GROUP_SQL + """
 , n AS (SELECT narrative_group, content_type, count(*) AS c FROM v_articles JOIN sided USING (source_id) WHERE content_type IS NOT NULL AND article_id % 7 <> length(source_id) % 7 GROUP BY ALL)
 , loud AS (SELECT content_type, count(*) AS bundles, sum(c) AS support FROM n WHERE c >= 40 GROUP BY 1 HAVING count(*) >= 2)
 SELECT narrative_group, content_type, CAST(support AS BIGINT) AS support FROM (SELECT DISTINCT narrative_group FROM sided) CROSS JOIN loud

@@ -17,7 +17,7 @@ from heronlake.sources.adapters import Tables, hours_before
 META = ("ing the", "!!", "###")
 
 
-@query("P14 P15 P33 F79", """
+@query("P15 P33", """
 , x AS (SELECT article_id, regexp_replace(title, '\\|[^\\n]+$', '') AS proposed, CASE WHEN article_id % 3 <> 0 THEN substr(body, 1, 20) END AS current, source_id AS fallback FROM v_articles)
 SELECT article_id, coalesce(CASE WHEN NOT (contains(proposed, 'ing the') OR contains(proposed, '!!') OR contains(proposed, '###')) THEN proposed END, CASE WHEN NOT (contains(current, 'ing the') OR contains(current, '!!') OR contains(current, '###')) THEN current END, fallback) AS title FROM x""")
 def clean_titles(t: Tables) -> DataFrame:
@@ -34,7 +34,7 @@ IMAGE_SQL = """
 """
 
 
-@query("P9 P10 F39 F38 L11 M36 L8 M39", IMAGE_SQL + "SELECT story_id, max_by(u, (score, length(u), article_id)) AS image, max(score)::INT AS score, count(*) AS usable FROM sc GROUP BY story_id")
+@query("P9 P10 F39", IMAGE_SQL + "SELECT story_id, max_by(u, (score, length(u), article_id)) AS image, max(score)::INT AS score, count(*) AS usable FROM sc GROUP BY story_id")
 def best_images(t: Tables) -> DataFrame:
     """The best usable image per story: not an icon, by size and format, longest address."""
     i = F.col("article_id")
@@ -46,7 +46,7 @@ def best_images(t: Tables) -> DataFrame:
     return s.groupBy("story_id").agg(F.max_by("u", F.struct("score", F.length("u"), "article_id")).alias("image"), F.max("score").alias("score"), F.count("*").alias("usable"))
 
 
-@query("F62 F37", """SELECT article_id, CASE WHEN contains(body, '!!') THEN 'opinion' WHEN contains(body, ' | ') THEN 'aggregation' WHEN n_chars < 300 THEN 'brief' WHEN contains(url, '/a/7') THEN 'news' END AS label,
+@query("F62", """SELECT article_id, CASE WHEN contains(body, '!!') THEN 'opinion' WHEN contains(body, ' | ') THEN 'aggregation' WHEN n_chars < 300 THEN 'brief' WHEN contains(url, '/a/7') THEN 'news' END AS label,
  CASE WHEN contains(body, '!!') THEN 0.9::DOUBLE WHEN contains(body, ' | ') THEN 0.85::DOUBLE WHEN n_chars < 300 THEN 0.7::DOUBLE WHEN contains(url, '/a/7') THEN 0.8::DOUBLE END AS confidence FROM v_articles""")
 def content_heuristics(t: Tables) -> DataFrame:
     """An ordered rule list: the first that applies gives label and confidence."""
@@ -57,7 +57,7 @@ def content_heuristics(t: Tables) -> DataFrame:
     return t.articles.select("article_id", label.alias("label"), confidence.alias("confidence"))
 
 
-@query("F40 F41 T13", r"""
+@query("F40", r"""
 , s AS (SELECT channel_id, message_id, list_distinct(list_filter(list_transform(string_split_regex(text, '[.!?]'), lambda x: regexp_replace(x, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')), lambda x: length(x) >= 15)) AS s FROM v_posts)
 , p AS (SELECT a.channel_id, a.message_id, len(a.s) AS n, len(list_filter(a.s, lambda x: NOT list_contains(b.s, x))) AS fresh FROM s a JOIN s b ON a.channel_id = b.channel_id AND a.message_id = b.message_id + 2)
 SELECT channel_id, message_id, CASE WHEN n = 0 OR fresh > 0.995 * n THEN 0 ELSE least(fresh, 4) END AS shown FROM p""")
@@ -78,7 +78,7 @@ def local_days(t: Tables) -> DataFrame:
     return d.select(F.col("day").cast("string").alias("local_day"), "event_type", "n", dates.jalali(F.col("day")).alias("jalali"))
 
 
-@query("F48 F49 F50 X9 X10", """
+@query("F48 F50 X9 X10", """
 , v AS (SELECT event_id, json_extract_string(props, '$.k')::INT AS k, event_type FROM events WHERE event_type <> 'view')
 SELECT event_type, count(*) AS verdicts, round(avg(least(1.0::DOUBLE, (CASE WHEN k % 2 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) * 0.85::DOUBLE + 0.15::DOUBLE)), 6) AS confidence FROM v GROUP BY event_type""")
 def verdicts(t: Tables) -> DataFrame:
@@ -90,7 +90,7 @@ def verdicts(t: Tables) -> DataFrame:
     return v.groupBy(F.col("v.label").alias("event_type")).agg(F.count("*").alias("verdicts"), F.round(F.avg(F.least(F.lit(1.0), complete * 0.85 + 0.15)), 6).alias("confidence"))
 
 
-@query("F28 F68 F72 F73 F74 F76 F77 F29", CLUSTER_SQL + """SELECT cluster_id, CASE WHEN state_count > diaspora_count THEN 1 WHEN state_count = diaspora_count THEN 3 ELSE 5 END AS spectrum, length(title) >= 60 AND NOT contains(title, '!!') AS two_sided,
+@query("F73", CLUSTER_SQL + """SELECT cluster_id, CASE WHEN state_count > diaspora_count THEN 1 WHEN state_count = diaspora_count THEN 3 ELSE 5 END AS spectrum, length(title) >= 60 AND NOT contains(title, '!!') AS two_sided,
  last_updated_at >= TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR AND article_count > 2 AS badge, coalesce(nullif(state_count * 100 // greatest(state_count + diaspora_count, 1), 0), 50)::BIGINT AS share FROM clusters""")
 def card_rules(t: Tables) -> DataFrame:
     """What a card shows: spectrum column, two real narratives, fresh badge, share with fallback."""
@@ -116,7 +116,7 @@ def homepage_slots(t: Tables) -> DataFrame:
     return blind.union(hero).union(pick(rest, "battle", F.desc("article_count")))
 
 
-@query("M13 L14 L16 A22", GROUP_SQL + """
+@query("M13 L16", GROUP_SQL + """
 , w AS (SELECT story_id, side, unnest(string_split(lower(title), ' ')) AS w FROM v_articles JOIN sided USING (source_id) WHERE story_id IS NOT NULL)
 SELECT story_id, side, min_by(w, (length(w), w)) AS word, count(DISTINCT w) AS words FROM w WHERE length(w) >= 4 GROUP BY ALL""")
 def loaded_words(t: Tables) -> DataFrame:
@@ -158,7 +158,7 @@ def reassignments(t: Tables) -> DataFrame:
     return b.where("best - own >= 0.08 AND best >= 0.15").select("article_id", "to_story")
 
 
-@query("X1 X5", """
+@query("X1", """
 , n AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS u FROM embeddings)
 , s AS (SELECT label, list(x ORDER BY p) AS t FROM (SELECT label, p, sum(x) AS x FROM (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS p FROM n) GROUP BY ALL) GROUP BY label)
 SELECT label AS story_id, max_by(vec_id, (round(list_dot_product(u, t), 9), -vec_id)) AS medoid, count(*) FILTER (list_dot_product(u, t) - 1 >= 0) AS fits FROM n JOIN s USING (label) GROUP BY label""")
@@ -181,7 +181,7 @@ def coherence(t: Tables) -> DataFrame:
     return pairs.groupBy("story_id").agg(F.round(F.min(vector.cosine(F.col("a.embedding"), F.col("b.embedding"))), 6).alias("least"))
 
 
-@query("M27 X14 P37", """
+@query("M27 X14", """
 , item AS (SELECT user_id AS item, event_id // 8 AS article_id FROM events WHERE event_type = 'signup')
 SELECT item, count(DISTINCT article_id) AS evidence, count(DISTINCT source_id) AS outlets FROM item JOIN v_articles USING (article_id) GROUP BY item HAVING count(DISTINCT article_id) >= 3 AND count(DISTINCT source_id) >= 2""")
 def grounding_floor(t: Tables) -> DataFrame:
@@ -191,7 +191,7 @@ def grounding_floor(t: Tables) -> DataFrame:
     return e.groupBy("item").agg(F.countDistinct("article_id").alias("evidence"), F.countDistinct("source_id").alias("outlets")).where("evidence >= 3 AND outlets >= 2")
 
 
-@query("M26 A20 T16", GROUP_SQL + """
+@query("M26", GROUP_SQL + """
 SELECT narrative_group, date_trunc('week', ingested_at) AS week, count(*) AS articles, count(DISTINCT source_id) AS outlets, CASE WHEN count(*) >= 20 AND count(DISTINCT source_id) >= 2 THEN 'ok' ELSE 'insufficient' END AS status FROM v_articles JOIN sided USING (source_id) GROUP BY ALL""")
 def digest_gates(t: Tables) -> DataFrame:
     """Weekly bundles with their gate: twenty articles of two outlets."""
@@ -200,7 +200,7 @@ def digest_gates(t: Tables) -> DataFrame:
     return g.withColumn("status", F.when((F.col("articles") >= 20) & (F.col("outlets") >= 2), "ok").otherwise("insufficient"))
 
 
-@query("M37 X6 M40", "SELECT coalesce(story_id, -1) AS story_id, count(*) AS articles FROM (SELECT CASE WHEN article_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN NULL WHEN article_id % 50 = 7 THEN 99 ELSE story_id END AS story_id FROM v_articles WHERE story_id IS NOT NULL) GROUP BY 1")
+@query("X6", "SELECT coalesce(story_id, -1) AS story_id, count(*) AS articles FROM (SELECT CASE WHEN article_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN NULL WHEN article_id % 50 = 7 THEN 99 ELSE story_id END AS story_id FROM v_articles WHERE story_id IS NOT NULL) GROUP BY 1")
 def apply_assignments(t: Tables) -> DataFrame:
     """Detach and move lists applied to membership, and the counts after."""
     gone = t["labels"].where("toxic = 1").select(F.col("doc_id").alias("article_id"), F.lit(True).alias("gone")).distinct()
@@ -209,7 +209,7 @@ def apply_assignments(t: Tables) -> DataFrame:
     return a.groupBy(F.coalesce(new, F.lit(-1)).alias("story_id")).agg(F.count("*").alias("articles"))
 
 
-@query("M7 M6 F15", CLUSTER_SQL + """
+@query("F15", CLUSTER_SQL + """
 , top AS (SELECT cluster_id, list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)) AS w FROM scored ORDER BY trending DESC, cluster_id LIMIT 80)
 SELECT a.cluster_id AS a, b.cluster_id AS b FROM top a JOIN top b ON a.cluster_id < b.cluster_id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::DOUBLE >= 0.4""")
 def merge_candidates(t: Tables) -> DataFrame:
@@ -219,7 +219,7 @@ def merge_candidates(t: Tables) -> DataFrame:
     return pairs.where(text.overlap(F.col("wa"), F.col("wb")) >= 0.4).select("a", "b")
 
 
-@query("P34 T15", """SELECT locale, count(*) AS stale FROM (SELECT unnest(['en', 'fr']) AS locale, cluster_id, last_updated_at FROM (SELECT article_id % 97 AS cluster_id, max(ingested_at) AS last_updated_at FROM v_articles GROUP BY 1)) WHERE cluster_id % 3 = 0 OR (CASE locale WHEN 'en' THEN TIMESTAMP '2024-01-30 12:00:00' ELSE TIMESTAMP '2024-01-29' END) <= last_updated_at GROUP BY locale""")
+@query("P34", """SELECT locale, count(*) AS stale FROM (SELECT unnest(['en', 'fr']) AS locale, cluster_id, last_updated_at FROM (SELECT article_id % 97 AS cluster_id, max(ingested_at) AS last_updated_at FROM v_articles GROUP BY 1)) WHERE cluster_id % 3 = 0 OR (CASE locale WHEN 'en' THEN TIMESTAMP '2024-01-30 12:00:00' ELSE TIMESTAMP '2024-01-29' END) <= last_updated_at GROUP BY locale""")
 def stale_translations(t: Tables) -> DataFrame:
     """Translations that are missing or older than the story."""
     a = t.articles.groupBy((F.col("article_id") % 97).alias("cluster_id")).agg(F.max("ingested_at").alias("updated"))
@@ -230,7 +230,7 @@ def stale_translations(t: Tables) -> DataFrame:
     return x.where(at.isNull() | (at <= F.col("updated"))).groupBy("locale").agg(F.count("*").alias("stale"))
 
 
-@query("F71 F70 P18", """
+@query("F70 P18", """
 , w AS (SELECT article_id, list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)) AS t, list_distinct(list_filter(string_split_regex(lower(substr(body, 1, 1000)), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)) AS b FROM v_articles)
 SELECT article_id, len(t) = 0 OR len(list_filter(list_intersect(t, b), lambda x: x NOT IN ('the', 'and'))) > 0 AS matches, len(list_intersect(t, b)) >= 4 AND len(list_intersect(t, b)) >= 0.6 * len(t) AS strong FROM w""")
 def extraction_guard(t: Tables) -> DataFrame:

@@ -35,13 +35,13 @@ def stagnant_stories(t: Tables) -> DataFrame:
     return clusters(t).where(((F.col("article_count") <= 8) & (age > 2)) | (F.col("article_count").between(9, 11) & (age > 0.5))).select("cluster_id")
 
 
-@query("P27 P28", "SELECT event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS kept, count(*) FILTER (ts < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS dropped FROM events GROUP BY event_type")
+@query("P27", "SELECT event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS kept, count(*) FILTER (ts < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AS dropped FROM events GROUP BY event_type")
 def retention_audit(t: Tables) -> DataFrame:
     old = F.expr("ts < TIMESTAMP_NTZ '2024-01-24 00:00:00'")
     return t["events"].groupBy("event_type").agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("dropped"))
 
 
-@query("P3 P30 T4", "SELECT source_id, count(*) AS n FROM v_articles WHERE story_id IS NULL AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR AND (published_at IS NULL OR published_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR) AND content_type IS NOT NULL GROUP BY source_id")
+@query("T4", "SELECT source_id, count(*) AS n FROM v_articles WHERE story_id IS NULL AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR AND (published_at IS NULL OR published_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR) AND content_type IS NOT NULL GROUP BY source_id")
 def candidate_pool(t: Tables) -> DataFrame:
     """Unclustered articles that are fresh on both clocks; no publication time passes."""
     week = hours_before(F.lit(168))
@@ -159,7 +159,7 @@ def canary_incident_sync(t: Tables) -> DataFrame:
     return cur.join(old, "slug", "full").select("slug", F.when(bad & ~was, "log").when(was & ~bad, "close").otherwise("keep").alias("action"))
 
 
-@query("A30 W10 M17", "SELECT doc_id, keeper FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS keeper, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE length(trim(text)) >= 10) WHERE n > 1")
+@query("A30", "SELECT doc_id, keeper FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS keeper, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE length(trim(text)) >= 10) WHERE n > 1")
 def duplicate_keepers(t: Tables) -> DataFrame:
     """Equal texts with the earliest as keeper; grouped by a hash, so long texts aren't shuffled."""
     d = t["documents"].where(F.length(F.trim("text")) >= 10).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
@@ -167,7 +167,7 @@ def duplicate_keepers(t: Tables) -> DataFrame:
     return d.join(k, "h").select("doc_id", "keeper")
 
 
-@query("M3 F42", """
+@query("F42", """
 , s AS (SELECT doc_id, sha1(lower(substr(text, 1, 80)) || '|' || substr(text, 1, 400)) AS sig FROM documents) SELECT sig, min(doc_id) AS representative, count(*) AS members FROM s GROUP BY sig HAVING count(*) >= 2""")
 def content_signature_groups(t: Tables) -> DataFrame:
     from heronlake.functions import text
@@ -176,7 +176,7 @@ def content_signature_groups(t: Tables) -> DataFrame:
     return s.groupBy("sig").agg(F.min("doc_id").alias("representative"), F.count("*").alias("members")).where("members >= 2")
 
 
-@query("W7 T8 M12", """
+@query("T8", """
 , e AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type = 'purchase')
 , s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 2 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM e)
 SELECT user_id, CAST(part AS BIGINT) AS part, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM s GROUP BY ALL""")

@@ -111,7 +111,7 @@ def latest_per_key(t: Tables) -> DataFrame:
     return t["events"].groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest_type"), F.max("ts").alias("latest_at"))
 
 
-@query("W8", """
+@query("W8 X3", """
 , r AS (SELECT language, article_id, row_number() OVER (PARTITION BY language, source_id ORDER BY md5(CAST(article_id AS VARCHAR))) AS pass FROM v_articles)
 SELECT language, article_id FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY pass, md5(CAST(article_id AS VARCHAR))) AS k FROM r) WHERE k <= 10""")
 def stratified_sample(t: Tables) -> DataFrame:
@@ -143,12 +143,12 @@ def two_direction_order(t: Tables) -> DataFrame:
     return top.withColumn("k", F.row_number().over(Window.orderBy(*order)))
 
 
-@query("L18 P22 P23", "SELECT article_id, title FROM v_articles WHERE language = 'fr' AND story_id = 2 ORDER BY published_at DESC NULLS LAST, ingested_at DESC, article_id LIMIT 10 OFFSET 5")
+@query("L18 P22", "SELECT article_id, title FROM v_articles WHERE language = 'fr' AND story_id = 2 ORDER BY published_at DESC NULLS LAST, ingested_at DESC, article_id LIMIT 10 OFFSET 5")
 def article_page(t: Tables) -> DataFrame:
     return t.articles.where("language = 'fr' AND story_id = 2").orderBy(F.col("published_at").desc_nulls_last(), F.desc("ingested_at"), "article_id").offset(5).limit(10).select("article_id", "title")
 
 
-@query("L19 L5 L6", CLUSTER_SQL + """
+@query("L19", CLUSTER_SQL + """
 , u AS (SELECT cluster_id, 0 AS tier, row_number() OVER (ORDER BY priority DESC, trending DESC, cluster_id) AS k FROM scored QUALIFY k <= 12
   UNION ALL SELECT cluster_id, 1, row_number() OVER (ORDER BY last_updated_at DESC, cluster_id) AS k FROM scored WHERE last_updated_at >= TIMESTAMP '2024-01-31' - INTERVAL 4 DAY QUALIFY k <= 40)
 SELECT cluster_id, min(tier * 1000 + k) AS rank FROM u GROUP BY cluster_id""")
@@ -167,7 +167,7 @@ def popularity_top(t: Tables) -> DataFrame:
     return scored(t).select("cluster_id", p.alias("popularity")).orderBy(F.desc("popularity"), "cluster_id").limit(3)
 
 
-@query("U4 U5 P26", CLUSTER_SQL + """
+@query("U4 U5", CLUSTER_SQL + """
 , keep AS (SELECT cluster_id FROM scored ORDER BY trending DESC, cluster_id LIMIT 50)
 (SELECT cluster_id, 'delete' AS what FROM scored WHERE trending <= 0.5 EXCEPT SELECT cluster_id, 'delete' FROM keep)
 UNION ALL (SELECT cluster_id, 'spared' AS what FROM scored WHERE trending <= 2 INTERSECT SELECT cluster_id, 'spared' FROM keep)""")
@@ -188,7 +188,7 @@ def verification_counts(t: Tables) -> DataFrame:
     return out
 
 
-@query("L7 L10 L22", "SELECT event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5")
+@query("L7 L10", "SELECT event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5")
 def event_timeline(t: Tables) -> DataFrame:
     """The five latest events of each type."""
     k = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))

@@ -15,7 +15,7 @@ from heronlake.plans.similarity import CENTROID_SQL, COSINE, VECTOR_SQL, story_c
 from heronlake.sources.adapters import Tables, hours_before
 
 
-@query("P36 L23 L20", "SELECT event_id, model, cost FROM v_usage WHERE model = 'large' AND purpose = 'click' ORDER BY ts DESC, event_id DESC LIMIT 25")
+@query("P36", "SELECT event_id, model, cost FROM v_usage WHERE model = 'large' AND purpose = 'click' ORDER BY ts DESC, event_id DESC LIMIT 25")
 def usage_calls(t: Tables) -> DataFrame:
     """The newest calls of a model and purpose."""
     return t.usage.where("model = 'large' AND purpose = 'click'").orderBy(F.desc("ts"), F.desc("event_id")).limit(25).select("event_id", "model", "cost")
@@ -28,7 +28,7 @@ def news_links(t: Tables) -> DataFrame:
     return t["pages"].select("page_id", (~((host == "example.net") | host.endswith(".example.net")) & (path != "")).alias("is_news"))
 
 
-@query("P16 P17", GROUP_SQL + """
+@query("P17", GROUP_SQL + """
 , c AS (SELECT story_id, count(*) AS n, count(*) FILTER (side = 'inside') AS i, bool_or(side = 'inside' AND contains(body, '!!')) AS quiet_in, bool_or(side = 'outside' AND contains(body, '!!')) AS quiet_out FROM v_articles JOIN sided USING (source_id) WHERE story_id IS NOT NULL GROUP BY story_id)
 SELECT story_id, CASE WHEN quiet_in AND i * 100 >= 15 * n THEN 'state' WHEN quiet_out AND (n - i) * 100 >= 15 * n THEN 'diaspora' END AS contradiction FROM c""")
 def narrative_contradictions(t: Tables) -> DataFrame:
@@ -60,13 +60,13 @@ def busy_stories(t: Tables) -> DataFrame:
     return t.stories.select("story_id", "article_count").join(busy, "story_id").join(e, "story_id", "left").select("story_id", "article_count", "posts", "source_id")
 
 
-@query("A29 A41 F45", REPORT_SQL + "SELECT target % 4 AS tier, count(*) AS reports, count(DISTINCT target) AS targets, count(DISTINCT substr(sha256(fingerprint), 1, 8)) AS people FROM reports GROUP BY 1")
+@query("A29 A41", REPORT_SQL + "SELECT target % 4 AS tier, count(*) AS reports, count(DISTINCT target) AS targets, count(DISTINCT substr(sha256(fingerprint), 1, 8)) AS people FROM reports GROUP BY 1")
 def review_tiers(t: Tables) -> DataFrame:
     r = reports(t).groupBy((F.col("target") % 4).alias("tier"))
     return r.agg(F.count("*").alias("reports"), F.countDistinct("target").alias("targets"), F.countDistinct(F.substring(F.sha2(F.col("fingerprint").cast("binary"), 256), 1, 8)).alias("people"))
 
 
-@query("W13 L21", CLUSTER_SQL + "SELECT cluster_id, cluster_id % 8 AS arc, coalesce(CASE WHEN cluster_id % 3 = 0 THEN cluster_id % 5 END, row_number() OVER (PARTITION BY cluster_id % 8 ORDER BY first_published_at, cluster_id) - 1) AS chapter FROM clusters")
+@query("W13", CLUSTER_SQL + "SELECT cluster_id, cluster_id % 8 AS arc, coalesce(CASE WHEN cluster_id % 3 = 0 THEN cluster_id % 5 END, row_number() OVER (PARTITION BY cluster_id % 8 ORDER BY first_published_at, cluster_id) - 1) AS chapter FROM clusters")
 def arc_chapters(t: Tables) -> DataFrame:
     """Chapters by their set place, else by time."""
     arc = F.col("cluster_id") % 8
@@ -87,7 +87,7 @@ def keep_sets(t: Tables) -> DataFrame:
 BOILERPLATE, BY_SOURCE = (r"!!+", r"\*\*\*"), {"src1": r"%%%", "src2": r"&&&"}
 
 
-@query("F6 F24 F26 F27", r"SELECT source_id, sum(length(regexp_replace(CASE source_id WHEN 'src1' THEN regexp_replace(b, '%%%', '', 'g') WHEN 'src2' THEN regexp_replace(b, '&&&', '', 'g') ELSE b END, '[ ]+', ' ', 'g')))::BIGINT AS kept FROM (SELECT source_id, regexp_replace(regexp_replace(body, '!!+', '', 'g'), '\*\*\*', '', 'g') AS b FROM v_articles) GROUP BY source_id")
+@query("F6", r"SELECT source_id, sum(length(regexp_replace(CASE source_id WHEN 'src1' THEN regexp_replace(b, '%%%', '', 'g') WHEN 'src2' THEN regexp_replace(b, '&&&', '', 'g') ELSE b END, '[ ]+', ' ', 'g')))::BIGINT AS kept FROM (SELECT source_id, regexp_replace(regexp_replace(body, '!!+', '', 'g'), '\*\*\*', '', 'g') AS b FROM v_articles) GROUP BY source_id")
 def boilerplate_stripped(t: Tables) -> DataFrame:
     """Text left per outlet without phrases that are boilerplate everywhere or there."""
     b = F.col("body")
@@ -126,7 +126,7 @@ def arrival_duplicates(t: Tables) -> DataFrame:
     return new.groupBy("article_id").agg(F.bool_or(vector.cosine(F.col("embedding"), F.col("e")) > 0.2).alias("duplicate"))
 
 
-@query("M43 F67", CLUSTER_SQL + """SELECT cluster_id, coalesce(CASE WHEN cluster_id % 7 = 0 THEN 'override' END, CASE WHEN cluster_id % 5 = 0 THEN 'stored' END, CASE WHEN article_count > 8 THEN 'picked' END, 'logo') AS image_from,
+@query("F67", CLUSTER_SQL + """SELECT cluster_id, coalesce(CASE WHEN cluster_id % 7 = 0 THEN 'override' END, CASE WHEN cluster_id % 5 = 0 THEN 'stored' END, CASE WHEN article_count > 8 THEN 'picked' END, 'logo') AS image_from,
  round(greatest(0, article_count * 1000 - 3000) * 4096.0::DOUBLE / 1073741824, 9) AS egress_gb FROM clusters""")
 def story_cards(t: Tables) -> DataFrame:
     """Where a card's image comes from, in fixed order, and the bytes that it costs."""

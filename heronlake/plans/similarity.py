@@ -53,7 +53,7 @@ def unrelated_articles(t: Tables) -> DataFrame:
     return vectors(t).join(story_centroids(t), "story_id").select("article_id", score.alias("s")).where("s < 0.25").select("article_id", F.round("s", 6).alias("score"))
 
 
-@query("M10 M35 J16", CENTROID_SQL + f"""SELECT story_id, other, score FROM (SELECT a.story_id, b.story_id AS other, round({COSINE.format('a.centroid', 'b.centroid')}, 6) AS score, row_number() OVER (PARTITION BY a.story_id ORDER BY {COSINE.format('a.centroid', 'b.centroid')} DESC, b.story_id) AS k FROM cent a JOIN cent b ON a.story_id <> b.story_id) WHERE k <= 3""")
+@query("M10 J16", CENTROID_SQL + f"""SELECT story_id, other, score FROM (SELECT a.story_id, b.story_id AS other, round({COSINE.format('a.centroid', 'b.centroid')}, 6) AS score, row_number() OVER (PARTITION BY a.story_id ORDER BY {COSINE.format('a.centroid', 'b.centroid')} DESC, b.story_id) AS k FROM cent a JOIN cent b ON a.story_id <> b.story_id) WHERE k <= 3""")
 def related_topk(t: Tables) -> DataFrame:
     """Three nearest stories of each story."""
     c = story_centroids(t)
@@ -86,6 +86,15 @@ def orphan_best_match(t: Tables) -> DataFrame:
     return orphan_matches(t).select("article_id", "story_id", F.round("score", 6).alias("score"))
 
 
+def against(t: Tables, blocks=similarity.scored_blocks) -> DataFrame:
+    """Arrivals with their cosine to every stored story's centroid."""
+    parts = blocks(orphans(t), "embedding", story_centroids(t, "NOT arrived"), "story_id", "centroid")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 #: Places left in a story; arrivals are placed in the order of their numbers.
 PLACES = 5
 
@@ -101,15 +110,11 @@ PLACES = 5
 SELECT article_id, story_id FROM go WHERE story_id IS NOT NULL""")
 def capacity_assignment(t: Tables) -> DataFrame:
     """Arrivals placed one after another in the best story that still has room; what finds none stays out."""
-    parts = similarity.scored_blocks(orphans(t), "embedding", story_centroids(t, "NOT arrived"), "story_id", "centroid")
-    wishes = parts[0]
-    for p in parts[1:]:
-        wishes = wishes.unionByName(p)
-    wishes = wishes.where("score >= 0.10").select("article_id", "story_id", "score")
+    wishes = against(t).where("score >= 0.10").select("article_id", "story_id", "score")
     return similarity.placed(wishes, "article_id", "story_id", "score", PLACES)
 
 
-@query("M21 M19", BEST_SQL + "SELECT floor(s * 20)::BIGINT AS band, count(*) AS n FROM best GROUP BY 1")
+@query("M19", BEST_SQL + "SELECT floor(s * 20)::BIGINT AS band, count(*) AS n FROM best GROUP BY 1")
 def triage_bands(t: Tables) -> DataFrame:
     return orphan_matches(t).groupBy(F.floor(F.col("score") * 20).alias("band")).agg(F.count("*").alias("n"))
 
@@ -128,13 +133,13 @@ def same_event(t: Tables) -> DataFrame:
     return both.select("a", "b", "shared", text.jaccard(F.col("wa"), F.col("wb")).alias("j"), vector.cosine(F.col("ea"), F.col("eb")).alias("c"))
 
 
-@query("M4 M9 M8 J16", TOKEN_SQL + "SELECT a, b, shared, round(c, 6) AS cosine FROM pr WHERE shared >= 2 AND shared / un::DOUBLE >= 0.12 AND c >= -0.05")
+@query("J16", TOKEN_SQL + "SELECT a, b, shared, round(c, 6) AS cosine FROM pr WHERE shared >= 2 AND shared / un::DOUBLE >= 0.12 AND c >= -0.05")
 def same_event_pairs(t: Tables) -> DataFrame:
     """Pairs with two shared title tokens, a Jaccard of .12 and a cosine (test value)."""
     return same_event(t).where("j >= 0.12 AND c >= -0.05").select("a", "b", "shared", F.round("c", 6).alias("cosine"))
 
 
-@query("U6 M2 M11 M5 U8", TOKEN_SQL + """
+@query("U6", TOKEN_SQL + """
 , edge AS (SELECT a, b FROM pr WHERE shared >= 2 UNION SELECT b, a FROM pr WHERE shared >= 2)
 , reach(a, b) AS (SELECT a, a FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b)
 SELECT a AS article_id, min(b) AS component, count(*) AS size FROM reach GROUP BY a""")
@@ -145,7 +150,7 @@ def event_components(t: Tables) -> DataFrame:
     return c.join(size, "root").select(F.col("node").alias("article_id"), F.col("root").alias("component"), "size")
 
 
-@query("J17 M24", f"""
+@query("J17", f"""
 , a AS (SELECT article_id, state_alignment, source_id, article_id % 720 AS h, embedding FROM v_articles JOIN v_sources USING (source_id) WHERE embedding IS NOT NULL)
 SELECT x.article_id AS a, y.article_id AS b, round({COSINE.format('x.embedding', 'y.embedding')}, 6) AS cosine FROM a x JOIN a y ON x.state_alignment = y.state_alignment AND x.source_id <> y.source_id AND abs(x.h - y.h) <= 6 AND x.article_id < y.article_id WHERE {COSINE.format('x.embedding', 'y.embedding')} > 0.1""")
 def coordination_pairs(t: Tables) -> DataFrame:

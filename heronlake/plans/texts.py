@@ -19,7 +19,7 @@ def url_canonical(t: Tables) -> DataFrame:
     return t["pages"].select("page_id", text.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query("F19 F22 J21", PARTS + "SELECT regexp_replace(host, '^www\\.|:\\d+$', '', 'g') AS domain, count(*) AS pages, count(DISTINCT lower(regexp_replace(host, '^www\\.|:\\d+$', '', 'g') || path)) AS keys FROM u GROUP BY 1")
+@query("F19 F22", PARTS + "SELECT regexp_replace(host, '^www\\.|:\\d+$', '', 'g') AS domain, count(*) AS pages, count(DISTINCT lower(regexp_replace(host, '^www\\.|:\\d+$', '', 'g') || path)) AS keys FROM u GROUP BY 1")
 def url_domains(t: Tables) -> DataFrame:
     p = t["pages"].select(text.domain(F.col("url")).alias("domain"), text.url_key(F.col("url")).alias("k"))
     return p.groupBy("domain").agg(F.count("*").alias("pages"), F.countDistinct("k").alias("keys"))
@@ -44,7 +44,7 @@ def ingest_new_urls(t: Tables) -> DataFrame:
     return new.groupBy("key").agg(F.min("page_id").alias("page_id")).select("page_id", "key")
 
 
-@query("S8 F69 S7", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS headline, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, len(regexp_extract_all(html, '<a href=\"[^\"]*\"')) AS links FROM pages")
+@query("S8", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS headline, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, len(regexp_extract_all(html, '<a href=\"[^\"]*\"')) AS links FROM pages")
 def page_metadata(t: Tables) -> DataFrame:
     get = lambda p: F.regexp_extract("html", p, 1)
     return t["pages"].select("page_id", get("<title>([^<]*)</title>").alias("title"), get("<h1>([^<]*)</h1>").alias("headline"), get('<html lang="([a-z]+)"').alias("lang"), F.regexp_count("html", F.lit('<a href="[^"]*"')).alias("links"))
@@ -95,7 +95,7 @@ def article_set_hash(t: Tables) -> DataFrame:
     return t.articles.where("story_id IS NOT NULL").groupBy("story_id").agg(text.short_hash(F.min("title"), 10).alias("title_hash"), F.substring(F.md5(whole.cast("binary")), 1, 12).alias("set_hash"))
 
 
-@query("P4 P5 P13 P12", r"SELECT message_id, count(*) AS posts, count(*) FILTER (len(string_split_regex(trim(text), '[ \t\n\r]+')) >= 12 AND length(text) >= 60) AS kept, count(*) FILTER (len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 1 AND length(text) >= 120 OR length(text) >= 200) AS discussion FROM v_posts GROUP BY message_id")
+@query("P12", r"SELECT message_id, count(*) AS posts, count(*) FILTER (len(string_split_regex(trim(text), '[ \t\n\r]+')) >= 12 AND length(text) >= 60) AS kept, count(*) FILTER (len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 1 AND length(text) >= 120 OR length(text) >= 200) AS discussion FROM v_posts GROUP BY message_id")
 def post_predicates(t: Tables) -> DataFrame:
     """Posts that aren't noise, and those long enough to be a discussion (test sizes for noise)."""
     long = F.length("text")
@@ -103,14 +103,14 @@ def post_predicates(t: Tables) -> DataFrame:
     return t.posts.groupBy("message_id").agg(F.count("*").alias("posts"), F.count_if((F.size(F.split(F.trim("text"), "[ \t\n\r]+")) >= 12) & (long >= 60)).alias("kept"), F.count_if(((lines > 1) & (long >= 120)) | (long >= 200)).alias("discussion"))
 
 
-@query("P19 P20 P21", """SELECT article_id, round(least(1.0::DOUBLE, (CASE WHEN lower(title) LIKE '%the%' THEN 1 ELSE 0 END + CASE WHEN lower(title) LIKE '%ing%' THEN 1 ELSE 0 END + CASE WHEN lower(title) LIKE '%ter%' THEN 1 ELSE 0 END) / 3.0::DOUBLE), 6) AS confidence FROM v_articles WHERE lower(title) LIKE '%the%' OR lower(title) LIKE '%ing%' OR lower(title) LIKE '%ter%'""")
+@query("P21", """SELECT article_id, round(least(1.0::DOUBLE, (CASE WHEN lower(title) LIKE '%the%' THEN 1 ELSE 0 END + CASE WHEN lower(title) LIKE '%ing%' THEN 1 ELSE 0 END + CASE WHEN lower(title) LIKE '%ter%' THEN 1 ELSE 0 END) / 3.0::DOUBLE), 6) AS confidence FROM v_articles WHERE lower(title) LIKE '%the%' OR lower(title) LIKE '%ing%' OR lower(title) LIKE '%ter%'""")
 def topic_match(t: Tables) -> DataFrame:
     """Titles that hold any word of a topic, with the share that they hold."""
     hits = sum(F.when(F.col("title").ilike(f"%{w}%"), 1).otherwise(0) for w in ("the", "ing", "ter"))
     return t.articles.select("article_id", hits.alias("h")).where("h > 0").select("article_id", F.round(F.least(F.lit(1.0), F.col("h") / 3.0), 6).alias("confidence"))
 
 
-@query("F46 F47 F64", """SELECT event_type, count(*) AS n, count(TRY_CAST(json_extract_string(props, '$.k') AS INT)) AS parsed, sum(least(50, greatest(10, TRY_CAST(json_extract_string(props, '$.k') AS INT))))::BIGINT AS clamped FROM events GROUP BY event_type""")
+@query("F46", """SELECT event_type, count(*) AS n, count(TRY_CAST(json_extract_string(props, '$.k') AS INT)) AS parsed, sum(least(50, greatest(10, TRY_CAST(json_extract_string(props, '$.k') AS INT))))::BIGINT AS clamped FROM events GROUP BY event_type""")
 def json_scores(t: Tables) -> DataFrame:
     """Tolerant JSON parse and clamp to 10 to 50."""
     k = F.from_json("props", "k int", {"mode": "PERMISSIVE"})["k"]
