@@ -11,9 +11,10 @@ similarity.
 * the 64 bytes form 16 blocks of 4; nodes are posted under each block.  Texts of similarity
   0.8 share a block with probability 1 - (1 - 0.8^4)^16 = 0.9998;
 * in lists of at most ``LIGHT`` nodes all pairs are candidates.  Nodes of longer lists are
-  posted again under the 120 pairs of blocks; lists that are still long hold texts alike in
-  8 bytes: each node is a candidate with one member that differs from list to list, so a
-  group of near copies is linked by rows that stay linear in its size;
+  posted again under the 120 pairs of blocks, where texts are alike in 8 bytes: there, lists
+  of more than ``PAIRED`` nodes give each node one candidate, the member whose hash is the
+  least.  The lists of a group of near copies have the same few such members, so the group is
+  linked by rows that stay linear in its size;
 * candidates of fewer than ``MATCHES`` shared positional bytes are dropped (similarity 0.8
   has 51 of 64 on average; fewer than 38 once in 50,000), the rest verified exactly: first
   one candidate per node, then those that two steps of such links don't connect;
@@ -44,8 +45,8 @@ from heronlake.operators.graph import components
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: Positional bytes of a sketch, bytes of a block, shared bytes that a candidate needs.
 POSITIONS, BLOCK, MATCHES = 64, 4, 38
-#: Lists of more nodes are intersected further instead of paired.
-LIGHT = 24
+#: Lists of more nodes are intersected further instead of paired; of those, lists up to PAIRED are paired.
+LIGHT, PAIRED = 24, 4
 #: Posted members of a shingle's list that one task compares with the rest of the list.
 SPLIT = 1024
 _SALTS = np.random.default_rng(SEED).integers(1 << 63, size=(2, POSITIONS), dtype=np.uint64) | np.uint64(1)
@@ -87,13 +88,13 @@ def sketches(rows: DataFrame, words: int = WORDS) -> DataFrame:
 
 def postings(nodes: DataFrame, per_list: int) -> DataFrame:
     """``node`` under each choice of *per_list* blocks (``posting``) that another node shares,
-    with the size ``n`` of that list and a member ``star`` that differs from list to list."""
+    with the size ``n`` of that list and its member of the least hash, ``star``."""
     # a block with its number before it: equal only at the same place
     block = lambda i: F.shiftrightunsigned(F.col("sketch")[i // 2], 32 * (1 - i % 2)).bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(i << 32)
     choices = combinations(range(POSITIONS // BLOCK), per_list)
     lists = [block(*c) if per_list == 1 else F.xxhash64(*map(block, c)) for c in choices]
     posted = nodes.select("node", F.explode(F.array(*lists)).alias("posting"))
-    sizes = posted.groupBy("posting").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "posting")).alias("star")).where("n > 1")
+    sizes = posted.groupBy("posting").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node")).alias("star")).where("n > 1")
     # lists of one are nearly all: they end here
     held = store(sizes, "block-sizes")
     out = store(posted.join(few(held), "posting"), "block-postings")
@@ -112,8 +113,8 @@ def candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     long = first.where(F.col("n") > LIGHT).select("posting", "node")
     heavy = nodes.join(long.select("node").distinct(), "node")
     second = postings(heavy, 2)
-    starred = second.where((F.col("n") > LIGHT) & (F.col("node") != F.col("star"))).select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
-    pairs = paired(first.where(F.col("n") <= LIGHT)).unionByName(paired(second.where(F.col("n") <= LIGHT))).unionByName(starred).distinct()
+    starred = second.where((F.col("n") > PAIRED) & (F.col("node") != F.col("star"))).select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b"))
+    pairs = paired(first.where(F.col("n") <= LIGHT)).unionByName(paired(second.where(F.col("n") <= PAIRED))).unionByName(starred).distinct()
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("sketch").alias(f"of_{name}"), F.col("size").alias(f"size_{name}"))
     near = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
     same = [F.col("of_a")[i].bitwiseXOR(F.col("of_b")[i]) for i in range(POSITIONS // 8)]
