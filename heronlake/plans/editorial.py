@@ -161,14 +161,13 @@ def reassignments(t: Tables) -> DataFrame:
 @query("X1", """
 , n AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS u FROM embeddings)
 , s AS (SELECT label, list(x ORDER BY p) AS t FROM (SELECT label, p, sum(x) AS x FROM (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS p FROM n) GROUP BY ALL) GROUP BY label)
-SELECT label AS story_id, max_by(vec_id, (round(list_dot_product(u, t), 9), -vec_id)) AS medoid, count(*) FILTER (list_dot_product(u, t) - 1 >= 0) AS fits FROM n JOIN s USING (label) GROUP BY label""")
+SELECT label AS story_id, max_by(vec_id, (round(list_dot_product(u, t), 9), -vec_id)) AS medoid, count(*) AS members FROM n JOIN s USING (label) GROUP BY label""")
 def medoids(t: Tables) -> DataFrame:
-    """The member with the greatest summed cosine per story, from the sum of unit vectors (no pairs);
-    and how many members point the way of the others."""
-    u = vectors(t).select("article_id", "story_id", vector.unit(F.col("embedding")).alias("u"))
+    """The member with the greatest summed cosine per story, from the sum of unit vectors (no pairs)."""
+    u = t["embeddings"].select(F.col("vec_id").alias("article_id"), F.col("label").alias("story_id"), "embedding").select("article_id", "story_id", vector.unit(F.col("embedding")).alias("u"))
     total = u.select("story_id", F.posexplode("u").alias("p", "x")).groupBy("story_id", "p").agg(F.sum("x").alias("x")).groupBy("story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("t"))
     d = u.join(total, "story_id").select("story_id", "article_id", vector.dot(F.col("u"), F.col("t")).alias("d"))
-    return d.groupBy("story_id").agg(F.max_by("article_id", F.struct(F.round("d", 9), -F.col("article_id"))).alias("medoid"), F.count_if(F.col("d") - 1 >= 0).alias("fits"))
+    return d.groupBy("story_id").agg(F.max_by("article_id", F.struct(F.round("d", 9), -F.col("article_id"))).alias("medoid"), F.count("*").alias("members"))
 
 
 @query("X2", f"""
@@ -176,7 +175,7 @@ def medoids(t: Tables) -> DataFrame:
 SELECT a.label AS story_id, round(min({COSINE.format('a.embedding', 'b.embedding')}), 6) AS least FROM k a JOIN k b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label""")
 def coherence(t: Tables) -> DataFrame:
     """Least cosine among the four newest members of a story."""
-    k = vectors(t).withColumn("k", F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("article_id")))).where("k <= 4")
+    k = t["embeddings"].select(F.col("vec_id").alias("article_id"), F.col("label").alias("story_id"), "embedding").withColumn("k", F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("article_id")))).where("k <= 4")
     pairs = k.alias("a").join(k.alias("b"), "story_id").where("a.article_id < b.article_id")
     return pairs.groupBy("story_id").agg(F.round(F.min(vector.cosine(F.col("a.embedding"), F.col("b.embedding"))), 6).alias("least"))
 
