@@ -9,7 +9,7 @@ membership probe fails; the levels passed give the quantised count back.
 * the filter has ``BITS_PER_ENTRY`` bits for each entry, so it grows with the corpus.  It is
   made of blocks of ``BLOCK`` bits; a key's probes, of whatever level, fall into one block, so
   blocks are filled by the tasks that hold their keys;
-* a filter of at most ``BROADCAST_BYTES`` is broadcast.  A larger one stays a table: keys to
+* a filter of at most ``BROADCAST_BYTES`` is broadcast in parts.  A larger one stays a table: keys to
   probe are sent to their blocks, the levels found come back to the texts that asked.  Both
   ways probe the same bits, so scores don't depend on the way;
 * *head*: the most frequent words, at most ``HEAD``, broadcast with exact counts for the exact
@@ -44,7 +44,7 @@ HEAD, MU = 1 << 19, 200.0
 BLOCK, PROBES = 1 << 18, 3
 #: With PROBES probes, about 3 % of absent entries seem present.
 BITS_PER_ENTRY = 8
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES, PART = 128 << 20, 8 << 20
 #: Tokens that a task holds before it counts them.
 FLUSH = 1_000_000
 #: Chunks of texts that ask one copy of a block.
@@ -105,12 +105,19 @@ def read_levels(data: np.ndarray, start: np.ndarray, key: np.ndarray, block: int
 
 @dataclass
 class LogBloom:
-    data: np.ndarray  # bytes, block after block
+    """A broadcast filter, in parts of PART bytes, so that no more than one is held twice while it is sent."""
+
+    parts: list[Broadcast]
     blocks: int
-    block: int
+    block: int  # bits
 
     def level(self, key: np.ndarray) -> np.ndarray:
-        return read_levels(self.data, key % self.blocks * self.block, key, self.block)
+        at, out = key % self.blocks, np.zeros(len(key), np.int64)
+        per = max(1, 8 * PART // self.block)
+        for i, part in enumerate(self.parts):
+            here = np.flatnonzero(at // per == i)
+            out[here] = read_levels(part.value, at[here] % per * self.block, key[here], self.block)
+        return out
 
 
 @dataclass
@@ -197,7 +204,7 @@ class Model:
     blocks: int
     block: int  # bits
     table: DataFrame  # block, bytes
-    bloom: Broadcast | None  # None: too large to broadcast
+    bloom: LogBloom | None  # None: too large to broadcast
 
 
 def fit(docs: DataFrame, text: str = "text", head: int = HEAD, broadcast_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> Model:
@@ -210,10 +217,13 @@ def fit(docs: DataFrame, text: str = "text", head: int = HEAD, broadcast_bytes:
     table = store(filter_blocks(counts, blocks, block), "filter")
     bloom = None
     if blocks * block // 8 <= broadcast_bytes:
-        data = np.zeros((blocks, block // 8), np.uint8)
-        for row in table.toLocalIterator():
-            data[row.block] = np.frombuffer(bytes(row.bytes), np.uint8)
-        bloom = spark.sparkContext.broadcast(LogBloom(data.reshape(-1), blocks, block))
+        per, parts = max(1, 8 * PART // block), []
+        for start in range(0, blocks, per):
+            data = np.zeros((min(per, blocks - start), block // 8), np.uint8)
+            for row in table.where((F.col("block") >= start) & (F.col("block") < start + per)).toLocalIterator():
+                data[row.block - start] = np.frombuffer(bytes(row.bytes), np.uint8)
+            parts.append(spark.sparkContext.broadcast(data.reshape(-1)))
+        bloom = LogBloom(parts, blocks, block)
     return Model(spark.sparkContext.broadcast(head_of(words, head)), words, blocks, block, table, bloom)
 
 
@@ -251,7 +261,7 @@ def _broadcast_scores(numbered: DataFrame, key: str, model: Model, schema: T.Str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], *judged(texts, head.value, bloom.value.level)], schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *judged(texts, head.value, bloom.level)], schema.names)
 
     return mapped(numbered.select(key, "_row", "text"), run, schema)
 
