@@ -170,8 +170,10 @@ def head_of(words: DataFrame, most: int = HEAD) -> Head:
         if held + row.n > most:
             break
         least, held = row.at, held + row.n
-    frame = words.where(F.col("n") >= least).select("key", "n").toPandas().sort_values("key")
-    return Head(frame["key"].to_numpy(np.int64), frame["n"].to_numpy(np.int64), total, distinct)
+    rows = words.where(F.col("n") >= least).select("key", "n").toArrow()
+    key, n = (rows.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(key)
+    return Head(key[order], n[order], total, distinct)
 
 
 def filter_blocks(counts: DataFrame, blocks: int, size: int) -> DataFrame:
