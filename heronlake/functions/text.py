@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +16,15 @@ PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 ZWNJ = "‌"
 
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
+@lru_cache(maxsize=1)
+def _composed():
+    # made on first use: making it loads pandas, which few queries need
+    return F.pandas_udf(lambda text: text.str.normalize("NFC"), T.StringType(), F.PandasUDFType.SCALAR)
+
+
+def nfc(text: Column) -> Column:
     """Canonical composition, for which Spark has no function."""
-    return text.str.normalize("NFC")
+    return _composed()(text)
 
 
 def normalize_glyphs(text: Column) -> Column:
