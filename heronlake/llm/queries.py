@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm import bpe, chat, crf, decontaminate, html, langmodel, oracles, rules, sharding, simhash, warc
+from heronlake.llm import bpe, chat, collocations, crf, decontaminate, html, infill, langmodel, oracles, passages, rules, sharding, simhash, warc
 from heronlake.llm.common import crc_mod, table
 
 #: Production parameters of the sharding query.
@@ -83,6 +83,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.examples(table(spark, sf_dir, "documents")).withColumn("restored", infill.restored())
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", hex_sha256("output").alias("output_sha256"), hex_sha256("restored").alias("restored_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", hex_sha256("kept").alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,10 +104,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_bpe, op3_warc, op4_rules, op5_langmodel, op6_html, op7_quality, op8_chat, op9_simhash, op10_decontamination, pipeline)
+    found = (op1_sharding, op2_bpe, op3_warc, op4_rules, op5_langmodel, op6_html, op7_quality, op8_chat, op9_simhash, op10_decontamination, op11_infill, op12_collocations, op13_passages, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others can't be said in SQL (models, XXH64, tokenizer, markup) and are tested by brute force."""
-    return {"op3_warc": oracles.OP3, "op4_rules": oracles.OP4, "op8_chat": oracles.OP8, "op10_decontamination": oracles.OP10}
+    return {"op3_warc": oracles.OP3, "op4_rules": oracles.OP4, "op8_chat": oracles.OP8, "op10_decontamination": oracles.OP10, "op11_infill": oracles.OP11, "op12_collocations": oracles.OP12, "op13_passages": oracles.OP13}
