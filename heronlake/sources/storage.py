@@ -55,6 +55,21 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Whether Spark deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run meanwhile leave no shuffle files behind: for steps whose shuffles no later step can use."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write *df* into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
