@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.sources.storage import forget, new_path, scratch, shared_dir, store, table  # noqa: F401
+from heronlake.sources.storage import forget, new_path, scratch, shared_dir, store, table, tidy  # noqa: F401
 
 #: Characters of text that one Python step holds at once.
 STEP_CHARS = 1_500_000

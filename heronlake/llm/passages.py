@@ -6,7 +6,7 @@ which also starts in a document of a smaller key.
 1. *Confirm.*  Every window holds the least hash of its runs of ANCHOR words; windows of equal
    words share it.  Spark counts in which documents each of these anchors occurs (about one
    for five words), and of windows with a recurring anchor only it finds the first document,
-   by 128 bits of hash.  A window of the first document's text that occurs later, too, is
+   by 96 bits of hash.  A window of the first document's text that occurs later, too, is
    confirmed.
 2. *Compile.*  Documents are dealt to shards of about SHARD_BYTES.  A shard gets the windows
    confirmed for its documents; their maximal runs, cut to PIECE windows, are the passages, and
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import mapped, spans, store
+from heronlake.llm.common import mapped, spans, store, tidy
 
 ANCHOR = 5
 #: Bytes of text in a shard of documents, and windows in a passage of its automaton.
@@ -96,6 +96,10 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def half(h: np.ndarray) -> pa.Array:
+    return pa.array(h.astype(np.uint32).view(np.int32))
+
+
 def summed(keys: list[np.ndarray], docs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Each different key with its least and its largest document."""
     order = np.lexsort((docs, *keys[::-1]))
@@ -112,21 +116,14 @@ def sharded(docs: DataFrame, key: str, text: str, shard_bytes: int) -> DataFrame
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / shard_bytes))
     doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
-    return docs.select(F.col(key), doc.alias("doc"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc, F.octet_length(F.col(text))), F.lit(n)).alias("shard"))
+    return docs.select(F.col(key), doc.alias("doc"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc, F.octet_length(F.col(text))), F.lit(n)).cast("int").alias("shard"))
 
 
-def recurring(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """*rows* whose keys are of several documents, with the first one: ``owner``.
+def anchors(rows: DataFrame, words: int) -> DataFrame:
+    """``shard`` and ``anchor``: the anchors of its documents that other documents hold, too.
 
-    A key has at most one row per shard or batch, so none is hot.
+    An anchor has at most one row per shard and Arrow batch, so none is hot.
     """
-    w = Window.partitionBy(*keys)
-    found = rows.withColumns({"owner": F.min("lo").over(w), "last": F.max("hi").over(w)})
-    return found.where("owner < last").drop("last")
-
-
-def anchors(rows: DataFrame, words: int) -> DataFrame:
-    """``shard`` and ``anchor``: the anchors of its documents that other documents hold, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,14 +137,18 @@ def anchors(rows: DataFrame, words: int) -> DataFrame:
                 new[1:] = (least[1:] != least[:-1]) | (w.text_of[at][1:] != w.text_of[at][:-1])
                 text = w.text_of[at][new]
                 (shard, h), lo, hi = summed([np.asarray(part.column(3))[text], least[new]], np.asarray(part.column(1))[text])
-                yield pa.RecordBatch.from_arrays([pa.array(shard), signed(h), pa.array(lo), pa.array(hi)], ["shard", "anchor", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), signed(h), pa.array(lo < hi)], ["shard", "anchor", "several"])
 
-    found = mapped(rows, run, "shard long, anchor long, lo long, hi long")
-    return recurring(found, ["anchor"]).select("shard", "anchor").distinct()
+    w = Window.partitionBy("anchor")
+    found = mapped(rows, run, "shard int, anchor long, several boolean").withColumns({"n": F.count("*").over(w), "any": F.max("several").over(w)})
+    return found.where("n > 1 OR any").select("shard", "anchor").distinct()
 
 
 def confirmed(rows: DataFrame, words: int) -> DataFrame:
-    """``shard``, ``h1``, ``h2`` and ``owner``: windows of its documents that a smaller document holds, too."""
+    """``shard``, ``h1``, ``h2`` and ``owner``: windows of its documents that a smaller document holds, too.
+
+    A window has one row per shard, so none is hot.
+    """
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
@@ -157,14 +158,16 @@ def confirmed(rows: DataFrame, words: int) -> DataFrame:
             at = w.windows(words)
             held = np.isin(w.anchors(words)[at].view(np.int64), np.asarray(known.column("anchor")))
             at = at[held]
-            found = summed([w.runs(words, 1)[at], w.runs(words, 2)[at]], np.asarray(docs.column(1))[w.text_of[at]])
+            found = summed([w.runs(words, 1)[at], w.runs(words, 2)[at] >> np.uint64(32)], np.asarray(docs.column(1))[w.text_of[at]])
         (h1, h2), lo, hi = found
         shard = docs.column(3)[0].as_py() if len(docs) else 0
-        return pa.table({"shard": pa.array(np.full(len(lo), shard, np.int64)), "h1": signed(h1), "h2": signed(h2), "lo": pa.array(lo), "hi": pa.array(hi)})
+        return pa.table({"shard": pa.array(np.full(len(lo), shard, np.int32)), "h1": signed(h1), "h2": half(h2), "lo": pa.array(lo), "several": pa.array(lo < hi)})
 
-    known = anchors(rows, words)
-    found = rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, "shard long, h1 long, h2 long, lo long, hi long")
-    return recurring(found, ["h1", "h2"]).where("owner < hi").select("shard", "h1", "h2", "owner")
+    with tidy(rows.sparkSession):
+        known = store(anchors(rows, words), "recurring-anchors")
+    found = rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, "shard int, h1 long, h2 int, lo long, several boolean")
+    found = found.withColumn("owner", F.min("lo").over(Window.partitionBy("h1", "h2")))
+    return found.where("owner < lo OR several").select("shard", "h1", "h2", "owner")
 
 
 def looked_up(w: Words, at: np.ndarray, known: pa.Table, words: int) -> np.ndarray:
@@ -175,7 +178,7 @@ def looked_up(w: Words, at: np.ndarray, known: pa.Table, words: int) -> np.ndarr
     h1, h2, owner = (np.asarray(known.column(c)) for c in ("h1", "h2", "owner"))
     order = np.argsort(h1, kind="stable")
     h1, h2, owner = h1[order], h2[order], owner[order]
-    a, b = w.runs(words, 1)[at].view(np.int64), w.runs(words, 2)[at].view(np.int64)
+    a, b = w.runs(words, 1)[at].view(np.int64), (w.runs(words, 2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
     left, right = np.searchsorted(h1, a), np.searchsorted(h1, a, "right")
     for k in range(int((right - left).max())):  # one round, but for hashes that are half equal
         hit = np.flatnonzero(left + k < right)
@@ -217,7 +220,9 @@ def covered(machine: ahocorasick.Automaton, passages: list[tuple[int, np.ndarray
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 13, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """*key*, ``n_words``, ``n_removed`` and ``kept``, the other words joined by one space: one row per row of *docs*."""
     rows = sharded(docs, key, text, shard_bytes)
-    known = store(confirmed(rows, words), "confirmed-windows")
+    known = confirmed(rows, words)
+    with tidy(docs.sparkSession):
+        known = store(known, "confirmed-windows")
     schema = T.StructType([rows.schema[0], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
