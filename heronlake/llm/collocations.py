@@ -9,8 +9,9 @@ positions keep phrases within their pieces.
 
 Popcounts are summed over shards three times: of words, of pairs of frequent words, and of
 longer phrases, which each shard extends depth-first through frequent pairs.  What is
-frequent goes back only to the shards that hold it.  A phrase's rows are at most one per
-shard, however frequent it is.
+frequent goes back only to the shards that hold it; other words become gaps of the shard's
+stream before pairs are counted.  A phrase's rows are at most one per shard, however
+frequent it is.
 
 Null texts are empty, a null language is ``und``; repeated rows count each; texts of any
 length are packed whole (a text stays in one shard); an empty table gives an empty result.
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import chunks, mapped, store
+from heronlake.llm.common import chunks, forget, mapped, store, tidy
 
 SHARD_TOKENS = 1_000_000
 #: Positions of a part of a bitmap, and parts that one AND takes at once.
@@ -55,8 +56,22 @@ class Packer:
                 stream.append(-1)
 
 
+def packed(stream: np.ndarray, words: list[str], counts: np.ndarray) -> tuple[list[str], np.ndarray, bytes]:
+    """Words and counts, most frequent first, and the stream by rank from 1 on, 0 for gaps: four planes of
+    bytes, of which the upper ones compress to little."""
+    order = np.argsort(-counts, kind="stable")
+    rank = np.zeros(len(order) + 1, np.uint32)  # the last one is for gaps
+    rank[order] = np.arange(1, len(order) + 1)
+    return [words[i] for i in order.tolist()], counts[order], rank[stream].view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(planes: bytes) -> np.ndarray:
+    """Word ids in order, -1 for gaps."""
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int32) - 1
+
+
 def shards(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int = SHARD_TOKENS) -> DataFrame:
-    """``shard``, ``lang``, ``words``, ``counts`` and ``stream`` (word ids as 32-bit numbers, -1 behind each piece)."""
+    """``shard``, ``lang``, ``words``, ``counts`` and ``stream`` (of :func:`packed`)."""
     names = ["shard", "lang", "words", "counts", "stream"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +84,8 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int =
             stream = np.array(pack.stream, np.int32)
             counts = np.bincount(stream[stream >= 0], minlength=len(pack.ids))
             number += 1
-            row = [pa.array([number]), pa.array([of]), pa.array([[x.decode() for x in pack.ids]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([stream.tobytes()])]
+            words, counts, planes = packed(stream, [x.decode() for x in pack.ids], counts)
+            row = [pa.array([number]), pa.array([of]), pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([planes])]
             return pa.RecordBatch.from_arrays(row, names)
 
         for part, texts in chunks(batches, "text"):
@@ -138,9 +154,8 @@ def meet(left: Bitmaps, left_key: np.ndarray, right: Bitmaps, right_key: np.ndar
         yield i + a[some], b[some], bits[some]
 
 
-def word_bitmaps(stream: np.ndarray, frequent: np.ndarray) -> Bitmaps:
+def word_bitmaps(stream: np.ndarray) -> Bitmaps:
     at = np.flatnonzero(stream >= 0)
-    at = at[frequent[stream[at]]]
     return Bitmaps.of(stream[at].astype(np.int64), at)
 
 
@@ -195,55 +210,79 @@ def phrases(pairs: Bitmaps, n: int, longest: int) -> Iterator[tuple[np.ndarray,
         i = j
 
 
-def counted(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """``shard``, ``lang``, ``phrase``, ``size`` and ``n``: pairs of a shard's frequent words, or its longer
-    phrases if it comes with frequent pairs."""
-    names = ["shard", "lang", "phrase", "size", "n"]
+def rows_of(shard: int, lang: str, words: list[str], of: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(of), 200_000):
+        texts = [" ".join([words[w] for w in x]) for x in of[i : i + 200_000].tolist()]
+        k = len(texts)
+        columns = [pa.array([shard] * k, pa.int64()), pa.array([lang] * k), pa.array(texts, pa.string()), pa.array([of.shape[1]] * k, pa.int32()), pa.array(counts[i : i + k])]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "phrase", "size", "n"])
+
+
+def values(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     for batch in batches:
         for row in range(len(batch)):
-            shard, lang, words, raw, known = (batch.column(i)[row].as_py() for i in range(5))
-            stream, n = np.frombuffer(raw, np.int32), len(words)
-            ids = {w: i for i, w in enumerate(words)}
-            frequent = np.zeros(n, bool)
-            wanted = [[ids[w] for w in x.split(" ")] for x in known]
-            frequent[[i for x in wanted for i in x]] = True
-            pairs = pair_bitmaps(word_bitmaps(stream, frequent), n)
-            if len(wanted[0]) == 1:
-                found, number = np.unique(pairs.owner, return_inverse=True)
-                results = [(np.column_stack([found // n, found % n]), Bitmaps(number, pairs.part, pairs.bits).counts(len(found)))]
-            else:
-                pairs = pairs.take(np.isin(pairs.owner, np.array([a * n + b for a, b in wanted])))
-                results = phrases(pairs, n, longest)
-            for of, counts in results:
-                for i in range(0, len(of), 200_000):
-                    texts = [" ".join([words[w] for w in x]) for x in of[i : i + 200_000].tolist()]
-                    k = len(texts)
-                    columns = [pa.array([shard] * k, pa.int64()), pa.array([lang] * k), pa.array(texts, pa.string()), pa.array([of.shape[1]] * k, pa.int32()), pa.array(counts[i : i + k])]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+            yield [c[row].as_py() for c in batch.columns]
+
+
+def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards of their ``known`` words alone, other words being gaps."""
+    for shard, lang, words, planes, known in values(batches):
+        stream, wanted = unpacked(planes), set(known)
+        to = np.full(len(words) + 1, -1, np.int32)
+        kept = [i for i, w in enumerate(words) if w in wanted]
+        to[kept] = np.arange(len(kept))
+        stream = to[stream]
+        counts = np.bincount(stream[stream >= 0], minlength=len(kept))
+        words, _, planes = packed(stream, [words[i] for i in kept], counts)
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([planes])], ["shard", "lang", "words", "stream"])
+
+
+def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``shard``, ``lang``, ``phrase``, ``size`` and ``n``: the pairs of a thinned shard's words."""
+    for shard, lang, words, planes in values(batches):
+        n = len(words)
+        pairs = pair_bitmaps(word_bitmaps(unpacked(planes)), n)
+        found, number = np.unique(pairs.owner, return_inverse=True)
+        yield from rows_of(shard, lang, words, np.column_stack([found // n, found % n]), Bitmaps(number, pairs.part, pairs.bits).counts(len(found)))
+
+
+def extended(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """The same of the phrases of 3 words or more that a thinned shard's ``known`` pairs make."""
+    for shard, lang, words, planes, known in values(batches):
+        n, ids = len(words), {w: i for i, w in enumerate(words)}
+        wanted = np.array([ids[a] * n + ids[b] for a, b in (x.split(" ") for x in known)])
+        pairs = pair_bitmaps(word_bitmaps(unpacked(planes)), n)
+        for of, counts in phrases(pairs.take(np.isin(pairs.owner, wanted)), n, longest):
+            yield from rows_of(shard, lang, words, of, counts)
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, longest: int = LONGEST, limit: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame]:
     """``lang``, ``phrase``, ``size`` and ``f`` of the phrases of 1 to *longest* words that occur *min_count* times
-    or more; and ``lang`` and ``n``, the occurrences of all words."""
-    packed = store(shards(docs, text, lang, limit), "phrase-shards")
-    each = packed.select("shard", "lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("shard", "lang", F.col("w.words").alias("phrase"), F.lit(1).alias("size"), F.col("w.counts").alias("n"))
-    totals = packed.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
+    or more; and ``lang`` and ``n``, the occurrences of all words.  Both are stored tables."""
+    all_ = store(shards(docs, text, lang, limit), "phrase-shards")
+    each = all_.select("shard", "lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("shard", "lang", F.col("w.words").alias("phrase"), F.lit(1).alias("size"), F.col("w.counts").alias("n"))
     w = Window.partitionBy("lang", "phrase")
 
     def often(rows: DataFrame) -> DataFrame:
         return store(rows.withColumn("f", F.sum("n").over(w)).where(F.col("f") >= min_count), "frequent-phrases")
 
-    def again(known: DataFrame) -> DataFrame:
+    def again(shards: DataFrame, known: DataFrame) -> DataFrame:
         """Shards with the frequent phrases that they hold."""
         held = known.groupBy("shard").agg(F.collect_list("phrase").alias("known"))
-        return packed.join(held, "shard").select("shard", "lang", "words", "stream", "known")
+        return shards.join(held, "shard").select("shard", "lang", "words", "stream", "known")
 
     schema = "shard long, lang string, phrase string, size int, n long"
-    words = often(each)
-    pairs = often(mapped(again(words), lambda batches: counted(batches, longest), schema))
-    longer = mapped(again(pairs), lambda batches: counted(batches, longest), schema).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    found = words.unionByName(pairs).select("lang", "phrase", "size", "f").distinct()
-    return found.unionByName(longer), totals
+    with tidy(docs.sparkSession):
+        totals = store(all_.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")), "phrase-totals")
+        words = often(each)
+        thin = store(mapped(again(all_, words), thinned, "shard long, lang string, words array<string>, stream binary"), "thinned-shards")
+        forget(all_)
+        pairs = often(mapped(thin, paired, schema))
+        longer = mapped(again(thin, pairs), lambda batches: extended(batches, longest), schema).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        found = words.unionByName(pairs).select("lang", "phrase", "size", "f").distinct()
+        found = store(found.unionByName(longer).withColumn("words", F.split("phrase", " ", -1)), "phrase-counts")
+        forget(thin, words, pairs)
+    return found, totals
 
 
 def part(first: int | F.Column, n: int | F.Column) -> F.Column:
@@ -258,7 +297,6 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     at least *percent* / 100 times as often are left out.  Products have 38 digits.
     """
     found, totals = frequent(docs, text, lang, min_count, longest, limit)
-    found = store(found.withColumn("words", F.split("phrase", " ", -1)), "phrase-counts")
     counts = found.select("lang", F.col("phrase").alias("part"), F.col("f").alias("n_part"))
     longs = found.where("size > 1")
 

@@ -128,7 +128,7 @@ def test_collocation_products_pass_64_bits(spark):
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=120))
 def test_bitmaps_shift_and_count(stream):
     stream = np.array([x - 1 for x in stream], np.int32)
-    pairs = collocations.pair_bitmaps(collocations.word_bitmaps(stream, np.ones(3, bool)), 3)
+    pairs = collocations.pair_bitmaps(collocations.word_bitmaps(collocations.unpacked(collocations.packed(stream, list("abc"), np.array([3, 2, 1]))[2])), 3)
     want = Counter((a, b) for a, b in zip(stream.tolist(), stream[1:].tolist(), strict=False) if a >= 0 and b >= 0)
     numbers = np.unique(pairs.owner)
     counts = collocations.Bitmaps(np.searchsorted(numbers, pairs.owner), pairs.part, pairs.bits).counts(len(numbers))
