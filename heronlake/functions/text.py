@@ -132,6 +132,16 @@ def url_key(url: Column) -> Column:
     return F.lower(F.concat(domain(url), F.regexp_replace(url_part(url, "path"), "/+$", "")))
 
 
+def host_path(url: Column) -> Column:
+    """Host and path of a URL in lower case, without port and closing slashes."""
+    return F.lower(F.concat(F.regexp_replace(url_part(url, "host"), r":\d+$", ""), F.regexp_replace(url_part(url, "path"), "/+$", "")))
+
+
+def cited_urls(text: Column) -> Column:
+    """URLs in a text as they stand, without closing punctuation."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(https?://[^\s<>\"\)]+)"), F.lit(1)), lambda u: F.regexp_replace(u, "[.,;:!؟،؛]+$", ""))
+
+
 #: The messenger's own hosts, and marks that channels put before a line.
 OWN_HOSTS = ("t.me/", "telegram.me/", "telegram.org/")
 LEADS = "🔻🔺🔸🔹📢📻🎥▶⚠🔥⭐📌🔗🕑"
