@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -49,6 +50,32 @@ def constants(n: int, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"{seed}:{i}".encode()) | 1 for i in range(n)], np.uint64)
 
 
+@cache
+def _bytes(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each place (of 64) and byte, and powers of a random odd number for each 64 places."""
+    draw = np.random.default_rng(seed)
+    return draw.integers(0, 1 << 64, (64, 256), np.uint64), np.multiply.accumulate(np.full(1 << 16, int(draw.integers(0, 1 << 62)) * 2 + 1, np.uint64))
+
+
+def word_hashes(words: pa.StringArray, seed: int) -> np.ndarray:
+    """Tabulation hash of each word: the sum of the numbers of its bytes at their places, mixed with its length."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data, sizes = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+    at = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    table, powers = _bytes(seed)
+    values = table[at & 63, data]
+    if int(sizes.max()) > 64:  # places repeat, each time under another factor
+        values = values * powers[(at >> 6) & 0xFFFF] + (at >> 22).astype(np.uint64)
+    return mixed(np.add.reduceat(values, offsets[:-1] - offsets[0]) + sizes.astype(np.uint64))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
 class Words:
     """The words of several texts: ids by first occurrence, hashes, and to which text each belongs."""
 
@@ -57,23 +84,20 @@ class Words:
         words = lists.flatten()
         filled = np.asarray(pc.binary_length(words)) > 0
         owner = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))[filled]
-        self.words = words.filter(pa.array(filled)).dictionary_encode()
-        self.ids = np.asarray(self.words.indices)
+        self.words = words.filter(pa.array(filled))
+        coded = self.words.dictionary_encode()
+        self.ids, self.vocabulary = np.asarray(coded.indices), coded.dictionary
         self.counts = np.bincount(owner, minlength=len(texts))
         self.text_of = owner
         self.ends = np.cumsum(self.counts)
-        plain = self.words.dictionary.cast(pa.binary()).to_pylist()
-        self._hashes = [np.array([xxhash.xxh64_intdigest(x, seed) for x in plain], np.uint64) for seed in (1, 2)]
 
     def runs(self, n: int, seed: int) -> np.ndarray:
         """Hash of the run of *n* words from each word on (those at the end reach over texts)."""
-        h = self._hashes[seed - 1][self.ids] if len(self.ids) else np.zeros(0, np.uint64)
+        h = word_hashes(self.vocabulary, seed)[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
         out = np.zeros(max(0, len(h) - n + 1), np.uint64)
         for i, c in enumerate(constants(n, seed)):
             out += h[i : i + len(out)] * c
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        return out ^ (out >> np.uint64(29))
+        return mixed(out)
 
     def windows(self, n: int) -> np.ndarray:
         """Where windows of *n* words of one text begin."""
@@ -179,19 +203,25 @@ def looked_up(w: Words, at: np.ndarray, known: pa.Table, words: int) -> np.ndarr
     order = np.argsort(h1, kind="stable")
     h1, h2, owner = h1[order], h2[order], owner[order]
     a, b = w.runs(words, 1)[at].view(np.int64), (w.runs(words, 2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    left, right = np.searchsorted(h1, a), np.searchsorted(h1, a, "right")
-    for k in range(int((right - left).max())):  # one round, but for hashes that are half equal
-        hit = np.flatnonzero(left + k < right)
-        hit = hit[h2[left[hit] + k] == b[hit]]
-        out[hit] = owner[left[hit] + k]
+    place = np.searchsorted(h1, a)
+    open_ = np.flatnonzero(place < len(h1))
+    while len(open_ := open_[h1[place[open_]] == a[open_]]):  # one round, but for hashes that are half equal
+        hit = h2[place[open_]] == b[open_]
+        out[open_[hit]] = owner[place[open_[hit]]]
+        open_ = open_[~hit]
+        place[open_] += 1
+        open_ = open_[place[open_] < len(h1)]
     return out
 
 
-def compiled(w: Words, at: np.ndarray, owner: np.ndarray, words: int, piece: int = PIECE) -> tuple[ahocorasick.Automaton | None, list[tuple[int, np.ndarray]]]:
-    """The automaton of all different passages, and their length and windows' owners."""
+Passage = tuple[int, int, int, np.ndarray]
+
+
+def compiled(w: Words, at: np.ndarray, owner: np.ndarray, words: int, piece: int = PIECE) -> tuple[ahocorasick.Automaton | None, list[Passage]]:
+    """The automaton of all different passages; of each its length, its windows' least and largest owner, and all of them."""
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     seen: dict[bytes, int] = {}
-    passages: list[tuple[int, np.ndarray]] = []
+    passages: list[Passage] = []
     ok = np.flatnonzero(owner < LAST)
     breaks = np.flatnonzero((np.diff(at[ok]) != 1) | (np.diff(w.text_of[at[ok]]) != 0)) + 1
     for run in np.split(ok, breaks) if len(ok) else []:
@@ -200,21 +230,23 @@ def compiled(w: Words, at: np.ndarray, owner: np.ndarray, words: int, piece: int
             ids = w.ids[at[part[0]] : at[part[-1]] + words]
             if seen.setdefault(ids.tobytes(), len(passages)) == len(passages):
                 machine.add_word(tuple(ids.tolist()), len(passages))
-                passages.append((len(ids), owner[part]))
+                passages.append((len(ids), int(owner[part].min()), int(owner[part].max()), owner[part]))
     if passages:
         machine.make_automaton()
     return (machine if passages else None), passages
 
 
-def covered(machine: ahocorasick.Automaton, passages: list[tuple[int, np.ndarray]], ids: np.ndarray, doc: int, words: int) -> np.ndarray:
+def covered(machine: ahocorasick.Automaton, passages: list[Passage], ids: np.ndarray, doc: int, words: int) -> np.ndarray:
     """Which words of a document windows cover that a smaller document holds."""
-    edge = np.zeros(len(ids) + 1, np.int64)
+    gone = np.zeros(len(ids), bool)
     for end, p in machine.iter(tuple(ids.tolist())):
-        n, owner = passages[p]
-        starts = end - n + 1 + np.flatnonzero(owner < doc)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + words, -1)
-    return np.cumsum(edge[:-1]) > 0
+        n, least, largest, owner = passages[p]
+        if largest < doc:
+            gone[end - n + 1 : end + 1] = True
+        elif least < doc:
+            for start in (end - n + 1 + np.flatnonzero(owner < doc)).tolist():
+                gone[start : start + words] = True
+    return gone
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 13, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -227,18 +259,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
-        kept, removed, counts = [], [], []
-        if len(docs):
-            w = Words(docs.column(2).chunk(0))
-            at = w.windows(words)
-            machine, passages = compiled(w, at, looked_up(w, at, known, words), words)
-            plain = w.words.dictionary.to_pylist()
-            for i, doc in enumerate(docs.column(1).to_pylist()):
-                ids = w.ids[w.ends[i] - w.counts[i] : w.ends[i]]
-                gone = covered(machine, passages, ids, doc, words) if machine and len(ids) >= words else np.zeros(len(ids), bool)
-                kept.append(" ".join([plain[x] for x in ids[~gone].tolist()]))
-                removed.append(int(gone.sum()))
-                counts.append(len(ids))
-        return pa.Table.from_arrays([docs.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
+        if not len(docs):
+            return pa.Table.from_arrays([docs.column(0), *(pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.string()))], schema.names)
+        w = Words(docs.column(2).chunk(0))
+        at = w.windows(words)
+        machine, passages = compiled(w, at, looked_up(w, at, known, words), words)
+        gone = np.zeros(len(w.ids), bool)
+        for doc, stop, n in zip(docs.column(1).to_pylist(), w.ends.tolist(), w.counts.tolist(), strict=True):
+            if machine and n >= words:
+                gone[stop - n : stop] = covered(machine, passages, w.ids[stop - n : stop], doc, words)
+        left = np.bincount(w.text_of[~gone], minlength=len(docs))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(left)), pa.int32()), w.words.filter(pa.array(~gone)))
+        return pa.Table.from_arrays([docs.column(0), pa.array(w.counts), pa.array(w.counts - left), pc.binary_join(lists, " ")], schema.names)
 
     return rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, schema)
