@@ -7,11 +7,11 @@ only the parts with bits are kept.  Shifting a phrase's bitmap by one and ANDing
 word's gives the bitmap of the longer phrase, and its popcount the occurrences; the free
 positions keep phrases within their pieces.
 
-Popcounts are summed over shards three times: of words, of pairs of frequent words, and of
-longer phrases, which each shard extends depth-first through frequent pairs.  What is
-frequent goes back only to the shards that hold it; other words become gaps of the shard's
-stream before pairs are counted.  A phrase's rows are at most one per shard, however
-frequent it is.
+Popcounts are summed over shards four times: of words, of pairs of frequent words, of triples
+of frequent pairs, and of longer phrases, which each shard extends depth-first through
+frequent triples.  What is frequent goes back only to the shards that hold it; other words
+become gaps of the shard's stream before pairs are counted.  A phrase's rows are a few per
+shard, however frequent it is.
 
 Null texts are empty, a null language is ``und``; repeated rows count each; texts of any
 length are packed whole (a text stays in one shard); an empty table gives an empty result.
@@ -20,45 +20,52 @@ Only the columns named are read.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.llm.common import chunks, forget, mapped, store, tidy
 
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 2_000_000
 #: Positions of a part of a bitmap, and parts that one AND takes at once.
-WIDTH, STEP = 16, 1 << 16
+WIDTH, STEP = 8, 1 << 16
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
-#: Lower case of A-Z; characters that end a piece become line feeds.
-FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
+#: Lower case of A-Z; tabs become spaces, characters that end a piece line feeds.
+FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 
 
 class Packer:
-    """Words by id and the stream of ids, -1 behind each piece."""
+    """Words by id and the stream of ids; 0 ends a piece, 1 is nothing (between two spaces)."""
 
     def __init__(self):
-        self.ids: defaultdict = defaultdict()
+        self.ids: defaultdict = defaultdict(None, {b"\n": 0, b"": 1})
         self.ids.default_factory = self.ids.__len__
-        self.stream: list[int] = []
+        self.stream = array("i")
 
     def add(self, text: str) -> None:
-        of, stream = self.ids.__getitem__, self.stream
-        for piece in text.encode().translate(FOLD).split(b"\n"):
-            if words := piece.split():
-                stream.extend(map(of, words))
-                stream.append(-1)
+        tokens = text.encode().translate(FOLD).replace(b"\n", b" \n ").split(b" ")
+        self.stream.extend(map(self.ids.__getitem__, tokens))
+        self.stream.append(0)
 
+    def packed(self) -> tuple[list[str], np.ndarray, bytes]:
+        stream = np.frombuffer(self.stream, np.int32)
+        stream = stream[stream != 1] - 2
+        stream[stream < 0] = -1
+        return packed(stream, [x.decode() for x in self.ids][2:])
 
-def packed(stream: np.ndarray, words: list[str], counts: np.ndarray) -> tuple[list[str], np.ndarray, bytes]:
-    """Words and counts, most frequent first, and the stream by rank from 1 on, 0 for gaps: four planes of
+
+def packed(stream: np.ndarray, words: list[str]) -> tuple[list[str], np.ndarray, bytes]:
+    """Words and counts, most frequent first, and the *stream* (-1 for gaps) by rank from 1 on, 0 for gaps: four planes of
     bytes, of which the upper ones compress to little."""
+    counts = np.bincount(stream[stream >= 0], minlength=len(words))
     order = np.argsort(-counts, kind="stable")
     rank = np.zeros(len(order) + 1, np.uint32)  # the last one is for gaps
     rank[order] = np.arange(1, len(order) + 1)
@@ -80,11 +87,8 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", limit: int =
 
         def out(of: str) -> pa.RecordBatch:
             nonlocal number
-            pack = packs.pop(of)
-            stream = np.array(pack.stream, np.int32)
-            counts = np.bincount(stream[stream >= 0], minlength=len(pack.ids))
+            words, counts, planes = packs.pop(of).packed()
             number += 1
-            words, counts, planes = packed(stream, [x.decode() for x in pack.ids], counts)
             row = [pa.array([number]), pa.array([of]), pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([planes])]
             return pa.RecordBatch.from_arrays(row, names)
 
@@ -159,63 +163,72 @@ def word_bitmaps(stream: np.ndarray) -> Bitmaps:
     return Bitmaps.of(stream[at].astype(np.int64), at)
 
 
-def pair_bitmaps(words: Bitmaps, n: int) -> Bitmaps:
-    """Bitmaps of where pairs end; a pair's number is first word * *n* + second word."""
+def sorted_by(bits: Bitmaps, key: np.ndarray) -> Bitmaps:
+    return bits.take(np.lexsort((bits.part, key)))
+
+
+def pair_bitmaps(words: Bitmaps, n: int, wanted: np.ndarray | None = None) -> Bitmaps:
+    """Bitmaps of where pairs end (*wanted* ones, ascending, else all); a pair's number is first word * *n* + second word."""
     right = words.take(np.argsort(words.part, kind="stable"))
     left = words.shifted()
     left = left.take(np.argsort(left.part, kind="stable"))
-    owner, part, bits = [], [], []
+    owner, part, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for a, b, found in meet(left, left.part, right, right.part):
-        owner.append(left.owner[a] * n + right.owner[b])
+        pair = left.owner[a] * n + right.owner[b]
+        if wanted is not None:
+            at = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
+            some = wanted[at] == pair
+            pair, b, found = pair[some], b[some], found[some]
+        owner.append(pair)
         part.append(right.part[b])
         bits.append(found)
-    if not owner:
-        return words.take(np.zeros(0, np.int64))
-    owner, part, bits = map(np.concatenate, (owner, part, bits))
-    order = np.lexsort((part, owner))
-    return Bitmaps(owner[order], part[order], bits[order])
-
-
-def phrases(pairs: Bitmaps, n: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Word ids (a row per phrase) and counts of the phrases of 3 to *longest* words made of *pairs*, depth-first."""
-    first = pairs.owner // n
-    order = np.lexsort((pairs.part, first))
-    right = pairs.take(order)
-    span = int(pairs.part.max(initial=0)) + 2
-    right_key = first[order] * span + right.part
-
-    def grow(ends: Bitmaps, names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        left = ends.shifted()
-        for a, b, bits in meet(left, names[left.owner, -1] * span + left.part, right, right_key):
-            key = left.owner[a] * n + right.owner[b] % n
-            found, number = np.unique(key, return_inverse=True)
-            if not len(found):
-                continue
-            longer = np.column_stack([names[found // n], found % n])
-            here = Bitmaps(number, right.part[b], bits)
-            yield longer, here.counts(len(found))
-            if longer.shape[1] < longest:
-                yield from grow(here, longer)
-
-    known = np.unique(pairs.owner)
-    number = np.searchsorted(known, pairs.owner)
-    edges = np.searchsorted(number, np.arange(len(known) + 1))
-    names = np.column_stack([known // n, known % n])
-    i = 0
-    while i < len(known):  # as many pairs at once as have about STEP parts
-        j = max(i + 1, int(np.searchsorted(edges, edges[i] + STEP, "right")) - 1)
-        rows = np.arange(edges[i], edges[j])
-        part = pairs.take(rows)
-        yield from grow(Bitmaps(number[rows] - i, part.part, part.bits), names[i:j])
-        i = j
-
-
-def rows_of(shard: int, lang: str, words: list[str], of: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(of), 200_000):
-        texts = [" ".join([words[w] for w in x]) for x in of[i : i + 200_000].tolist()]
-        k = len(texts)
-        columns = [pa.array([shard] * k, pa.int64()), pa.array([lang] * k), pa.array(texts, pa.string()), pa.array([of.shape[1]] * k, pa.int32()), pa.array(counts[i : i + k])]
-        yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "phrase", "size", "n"])
+    found = Bitmaps(np.concatenate(owner), np.concatenate(part), np.concatenate(bits))
+    return sorted_by(found, found.owner)
+
+
+class Grams:
+    """Frequent runs of k words in a shard with the bitmaps of where they end.
+
+    *names* has their words (a row each); *head* and *tail* number their first and last k - 1 words.
+    """
+
+    def __init__(self, bits: Bitmaps, names: np.ndarray):
+        self.names = names
+        ends = np.concatenate([names[:, :-1], names[:, 1:]]) if len(names) else np.zeros((0, 1), np.int64)
+        number = np.unique(ends, axis=0, return_inverse=True)[1].ravel()
+        self.head, self.tail = number[: len(names)], number[len(names) :]
+        self.bits, self.span = sorted_by(bits, self.head[bits.owner]), int(bits.part.max(initial=0)) + 2
+        self.key = self.head[self.bits.owner] * self.span + self.bits.part
+
+    def longer(self, longest: int) -> Iterator[tuple[np.ndarray, Bitmaps]]:
+        """Phrases of k + 1 to *longest* words made of these runs, depth-first: their words and bitmaps.  A phrase may come in parts."""
+        order = np.lexsort((self.bits.part, self.bits.owner))
+        edges = np.searchsorted(self.bits.owner[order], np.arange(len(self.names) + 1))
+        i = 0
+        while i < len(self.names):  # as many runs at once as have about STEP parts
+            j = max(i + 1, int(np.searchsorted(edges, edges[i] + STEP, "right")) - 1)
+            some = self.bits.take(order[edges[i] : edges[j]])
+            yield from self._grow(Bitmaps(some.owner - i, some.part, some.bits), self.names[i:j], self.tail[i:j], longest)
+            i = j
+
+    def _grow(self, ends: Bitmaps, names: np.ndarray, tail: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, Bitmaps]]:
+        if names.shape[1] >= longest:
+            return
+        left, n = ends.shifted(), len(self.names)
+        for a, b, bits in meet(left, tail[left.owner] * self.span + left.part, self.bits, self.key):
+            found, number = np.unique(left.owner[a] * n + self.bits.owner[b], return_inverse=True)
+            if len(found):
+                gram = found % n
+                here = Bitmaps(number, self.bits.part[b], bits)
+                words = np.column_stack([names[found // n], self.names[gram, -1]])
+                yield words, here
+                yield from self._grow(here, words, self.tail[gram], longest)
+
+
+def rows_of(shard: int, lang: str, words: pa.Array, of: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    texts = pc.binary_join_element_wise(*(words.take(pa.array(w)) for w in of.T), " ")
+    texts = pc.binary_join_element_wise(pa.scalar(lang), texts, "\n")
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(of), shard)), texts, pa.array(counts)], ["shard", "phrase", "n"])
 
 
 def values(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -231,57 +244,76 @@ def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = np.full(len(words) + 1, -1, np.int32)
         kept = [i for i, w in enumerate(words) if w in wanted]
         to[kept] = np.arange(len(kept))
-        stream = to[stream]
-        counts = np.bincount(stream[stream >= 0], minlength=len(kept))
-        words, _, planes = packed(stream, [words[i] for i in kept], counts)
+        words, _, planes = packed(to[stream], [words[i] for i in kept])
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([planes])], ["shard", "lang", "words", "stream"])
 
 
 def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``shard``, ``lang``, ``phrase``, ``size`` and ``n``: the pairs of a thinned shard's words."""
+    """``shard``, ``phrase`` (behind its language and a line feed) and ``n``: the pairs of a thinned shard's words."""
     for shard, lang, words, planes in values(batches):
         n = len(words)
         pairs = pair_bitmaps(word_bitmaps(unpacked(planes)), n)
         found, number = np.unique(pairs.owner, return_inverse=True)
-        yield from rows_of(shard, lang, words, np.column_stack([found // n, found % n]), Bitmaps(number, pairs.part, pairs.bits).counts(len(found)))
+        counts = Bitmaps(number, pairs.part, pairs.bits).counts(len(found))
+        for i in range(0, len(found), STEP):
+            some = found[i : i + STEP]
+            yield rows_of(shard, lang, pa.array(words, pa.string()), np.column_stack([some // n, some % n]), counts[i : i + STEP])
 
 
 def extended(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """The same of the phrases of 3 words or more that a thinned shard's ``known`` pairs make."""
+    """The same of the longer phrases, to *longest* words, that a thinned shard's ``known`` pairs or triples make."""
     for shard, lang, words, planes, known in values(batches):
         n, ids = len(words), {w: i for i, w in enumerate(words)}
-        wanted = np.array([ids[a] * n + ids[b] for a, b in (x.split(" ") for x in known)])
-        pairs = pair_bitmaps(word_bitmaps(unpacked(planes)), n)
-        for of, counts in phrases(pairs.take(np.isin(pairs.owner, wanted)), n, longest):
-            yield from rows_of(shard, lang, words, of, counts)
+        names = np.unique(np.array([[ids[w] for w in x.split(" ")] for x in known]), axis=0)
+        wanted = np.unique(np.concatenate([names[:, i] * n + names[:, i + 1] for i in range(names.shape[1] - 1)]))
+        pairs = pair_bitmaps(word_bitmaps(unpacked(planes)), n, wanted)
+        grams = Grams(Bitmaps(np.searchsorted(wanted, pairs.owner), pairs.part, pairs.bits), np.column_stack([wanted // n, wanted % n]))
+        if names.shape[1] > 2:
+            grams = known_only(grams, names, n)
+        for of, bits in grams.longer(longest):
+            yield rows_of(shard, lang, pa.array(words, pa.string()), of, bits.counts(len(of)))
+
+
+def known_only(pairs: Grams, triples: np.ndarray, n: int) -> Grams:
+    """The *triples* (ascending) with their bitmaps."""
+    number = {tuple(x): i for i, x in enumerate(triples.tolist())}
+    parts = [Bitmaps(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+    for of, bits in pairs.longer(3):
+        to = np.array([number.get(tuple(x), -1) for x in of.tolist()])[bits.owner]
+        parts.append(Bitmaps(to, bits.part, bits.bits).take(np.flatnonzero(to >= 0)))
+    return Grams(Bitmaps(*(np.concatenate([getattr(x, f) for x in parts]) for f in ("owner", "part", "bits"))), triples)
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, longest: int = LONGEST, limit: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame]:
     """``lang``, ``phrase``, ``size`` and ``f`` of the phrases of 1 to *longest* words that occur *min_count* times
     or more; and ``lang`` and ``n``, the occurrences of all words.  Both are stored tables."""
     all_ = store(shards(docs, text, lang, limit), "phrase-shards")
-    each = all_.select("shard", "lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("shard", "lang", F.col("w.words").alias("phrase"), F.lit(1).alias("size"), F.col("w.counts").alias("n"))
-    w = Window.partitionBy("lang", "phrase")
+    each = all_.select("shard", "lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("shard", F.concat_ws("\n", "lang", "w.words").alias("phrase"), F.col("w.counts").alias("n"))
+    w = Window.partitionBy("phrase")
 
     def often(rows: DataFrame) -> DataFrame:
         return store(rows.withColumn("f", F.sum("n").over(w)).where(F.col("f") >= min_count), "frequent-phrases")
 
     def again(shards: DataFrame, known: DataFrame) -> DataFrame:
         """Shards with the frequent phrases that they hold."""
-        held = known.groupBy("shard").agg(F.collect_list("phrase").alias("known"))
+        held = known.groupBy("shard").agg(F.collect_set(F.substring_index("phrase", "\n", -1)).alias("known"))
         return shards.join(held, "shard").select("shard", "lang", "words", "stream", "known")
 
-    schema = "shard long, lang string, phrase string, size int, n long"
+    schema = "shard long, phrase string, n long"
     with tidy(docs.sparkSession):
         totals = store(all_.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")), "phrase-totals")
         words = often(each)
         thin = store(mapped(again(all_, words), thinned, "shard long, lang string, words array<string>, stream binary"), "thinned-shards")
         forget(all_)
         pairs = often(mapped(thin, paired, schema))
-        longer = mapped(again(thin, pairs), lambda batches: extended(batches, longest), schema).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-        found = words.unionByName(pairs).select("lang", "phrase", "size", "f").distinct()
-        found = store(found.unionByName(longer).withColumn("words", F.split("phrase", " ", -1)), "phrase-counts")
-        forget(thin, words, pairs)
+        triples = often(mapped(again(thin, pairs), lambda batches: extended(batches, 3), schema))
+        longer = mapped(again(thin, triples), lambda batches: extended(batches, longest), schema).groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        found = words.unionByName(pairs).unionByName(triples).select("phrase", "f").distinct().unionByName(longer)
+        # a language may hold line feeds, a phrase doesn't
+        phrase, words_of = F.substring_index("phrase", "\n", -1), F.split(F.substring_index("phrase", "\n", -1), " ", -1)
+        of = F.substring(F.col("phrase"), F.lit(1), F.length("phrase") - F.length(phrase) - 1)
+        found = store(found.select(of.alias("lang"), phrase.alias("phrase"), F.size(words_of).alias("size"), "f", words_of.alias("words")).where(F.col("size") <= longest), "phrase-counts")
+        forget(thin, words, pairs, triples)
     return found, totals
 
 

@@ -128,17 +128,28 @@ def test_collocation_products_pass_64_bits(spark):
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=120))
 def test_bitmaps_shift_and_count(stream):
     stream = np.array([x - 1 for x in stream], np.int32)
-    pairs = collocations.pair_bitmaps(collocations.word_bitmaps(collocations.unpacked(collocations.packed(stream, list("abc"), np.array([3, 2, 1]))[2])), 3)
+    words, counts, planes = collocations.packed(stream, list("abc"))
+    stream = collocations.unpacked(planes)
+    assert counts.tolist() == [int((stream == i).sum()) for i in range(3)]
+    pairs = collocations.pair_bitmaps(collocations.word_bitmaps(stream), 3)
     want = Counter((a, b) for a, b in zip(stream.tolist(), stream[1:].tolist(), strict=False) if a >= 0 and b >= 0)
     numbers = np.unique(pairs.owner)
-    counts = collocations.Bitmaps(np.searchsorted(numbers, pairs.owner), pairs.part, pairs.bits).counts(len(numbers))
-    assert {(int(x) // 3, int(x) % 3): int(c) for x, c in zip(numbers, counts, strict=True)} == want
+    bits = collocations.Bitmaps(np.searchsorted(numbers, pairs.owner), pairs.part, pairs.bits)
+    assert {(int(x) // 3, int(x) % 3): int(c) for x, c in zip(numbers, bits.counts(len(numbers)), strict=True)} == want
+    grams = collocations.Grams(bits, np.column_stack([numbers // 3, numbers % 3]))
     got = Counter()
-    for names, n in collocations.phrases(pairs, 3, 5):
-        for p, c in zip(names.tolist(), n.tolist(), strict=True):
+    for names, found in grams.longer(5):
+        for p, c in zip(names.tolist(), found.counts(len(names)).tolist(), strict=True):
             got[tuple(p)] += c
     long = Counter(tuple(stream[i : i + k].tolist()) for k in (3, 4, 5) for i in range(len(stream) - k + 1) if (stream[i : i + k] >= 0).all())
     assert got == long
+    triples = np.array(sorted(p for p in long if len(p) == 3 and p[0] != 1)).reshape(-1, 3)
+    if len(triples):
+        got = Counter()
+        for names, found in collocations.known_only(grams, triples, 3).longer(5):
+            for p, c in zip(names.tolist(), found.counts(len(names)).tolist(), strict=True):
+                got[tuple(p)] += c
+        assert got == Counter({p: c for p, c in long.items() if len(p) > 3 and all(p[i] != 1 for i in range(len(p) - 2))})
 
 
 def brute_passages(rows, words):
