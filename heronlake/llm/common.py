@@ -37,6 +37,18 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, also if it holds dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def positional(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """*df* with columns named by place, and what those of *names* are called there: so that no name clashes
+    with a helper's or reads as a path.  ``toDF(*df.columns)`` gives the names back."""
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*plain), [plain[df.columns.index(n)] for n in names]
+
+
 def few(keys: DataFrame) -> DataFrame:
     """*keys* (a stored table, or a cheap plan over one), marked for broadcast where it is counted
     to have at most BROADCAST_KEYS rows."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import chunks, mapped
+from heronlake.llm.common import chunks, mapped, positional
 
 #: The bounds of the training sample.
 SAMPLE, SAMPLE_LINES = 3000, 120
@@ -179,9 +179,10 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 def keep(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """Rows of *docs* that score *least* or more; columns stay as they are, whatever their names."""
+    plain, (column,) = positional(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, text):
+        for part, texts in chunks(batches, column):
             yield part.filter(pa.array([s >= least for s in model.score(texts)], pa.bool_()))
 
-    return mapped(docs, run, docs.schema)
+    return mapped(plain, run, plain.schema).toDF(*docs.columns)

@@ -1,17 +1,26 @@
 """Main text of web pages by removing the templates of their sites.
 
-Every element subtree is hashed (tag, class-like attributes, text, children's hashes).
-Spark counts, per host, on how many pages each hash occurs; a subtree on at least
-``MIN_PAGES`` pages and a share of ``SHARE`` of its host's pages is template and deleted,
-with all it holds, if it has at most ``SHORT`` words; a longer one, which may be an article
-that was published again, only from a share of ``STRONG``.  Paragraphs, headings, list items,
-quotations and the like need a share of ``STRONG`` and at most ``SHORT`` words, and go only
-while they make less than half of their article (or page), else that was published again.
-Where a page marks its article (``main`` or ``article``), only what lies in it is text; other
-elements inside are template from a share of ``STRONG`` and with less than half of the text.
-Elements that by name, role or class are menus, headers, footers, asides, notices, adverts,
-forms, scripts, styles or reader comments are removed on every page, so a page alone on its
-host is cleaned too.
+Every element subtree is hashed twice: by content (tag, class-like attributes, text, children's
+hashes) and, if it is no element that text is made of, by its slot (path from the root, tag,
+attributes and the kinds of children in order, without text).  Spark counts, per host, on how
+many pages each hash occurs.
+
+*By content*, a subtree on at least ``MIN_PAGES`` pages and a share of ``SHARE`` of its host's
+pages is template and deleted, with all it holds, if it has at most ``SHORT`` words; a longer
+one, which may be an article that was published again, only from a share of ``STRONG``.
+Paragraphs, headings, list items, quotations and the like need a share of ``STRONG`` and at most
+``SHORT`` words, and go only while they make less than half of their article (or page), else
+that was published again.  Inside ``main`` or ``article``, other elements are template
+from a share of ``STRONG`` and with less than half of the text.
+
+*By slot*, menus, adverts and footers are found whose text differs from page to page: on hosts of
+``SITE`` pages or more, outside marked articles, a slot on a share of ``STRONG`` of the pages is
+template if it has less than half of the page's words and not its first main heading.
+
+Names, roles and classes of menus, headers, footers, asides, notices, adverts, forms or reader
+comments decide on hosts of fewer pages, where counts say little, and inside articles;
+scripts, styles and hidden elements go everywhere.  Of what is left, a page that marks its
+article (``main`` or ``article``) has its text there.
 
 Tolerant of unclosed and stray tags, and of tags inside scripts and attribute values.
 Null html gives the empty text; a null or odd url belongs to the host ''; repeated rows
@@ -34,7 +43,7 @@ from pyspark.sql import types as T
 from heronlake.llm.common import BROADCAST_KEYS, chunks, mapped, store
 
 #: Sites have several templates, so one of them may stand on a small share of the pages.
-MIN_PAGES, SHARE, STRONG, SHORT = 3, 0.01, 0.3, 60
+MIN_PAGES, SHARE, STRONG, SHORT, SITE = 3, 0.01, 0.3, 60, 10
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)""", re.S)
 STOP = re.compile(r"""[>"']""")
@@ -46,8 +55,9 @@ RAW = frozenset("script style textarea title noscript template iframe xmp".split
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Elements that are never main text.
-DROPPED = frozenset("head title script style noscript template iframe textarea xmp nav aside footer form button select option input fieldset dialog menu svg canvas object".split())
+#: Elements that are never text, and those that by name are not the main one.
+DROPPED = frozenset("head title script style noscript template iframe textarea xmp button select option input svg canvas object".split())
+NAMED = frozenset("nav aside footer form fieldset dialog menu".split())
 #: Recurring elements of these names may be content.
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre code figure figcaption table thead tbody tfoot tr td th br b i em strong a span u s small sub sup q cite abbr mark time img".split())
 #: Words of class, id and role attributes that mark something else than main text.
@@ -157,7 +167,7 @@ class Page:
     def hashes(self) -> list[int]:
         """Hash of each element's subtree (signed 64 bits); 0 where it has no text."""
         out, text = [0] * len(self.tag), [0] * len(self.tag)
-        for i in range(len(self.tag) - 1, 0, -1):
+        for i in range(len(self.tag) - 1, -1, -1):
             parts = [self.tag[i], self.marks[i]]
             for x in self.inner[i]:
                 if isinstance(x, int):
@@ -168,9 +178,29 @@ class Page:
                     parts.append(" ".join(words))
             h = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "replace"), 7)
             out[i] = h - (1 << 64) if h >> 63 else h
-        self.words = text
+        self.words, out[0] = text, 0
         return [h if t else 0 for h, t in zip(out, text, strict=True)]
 
+    def slots(self) -> list[int]:
+        """Hash of each element's place and shape (after :meth:`hashes`); 0 for elements that text is made of or without text."""
+        n = len(self.tag)
+        shape, path, out = [""] * n, [0] * n, [0] * n
+        for i in range(n - 1, 0, -1):
+            kinds: list[str] = []
+            for x in self.inner[i]:
+                kind = shape[x] if isinstance(x, int) else "#" if x.strip() else ""
+                if kind and kind != (kinds[-1] if kinds else ""):
+                    kinds.append(kind)
+            if self.words[i]:
+                shape[i] = xxhash.xxh64_hexdigest("\0".join((self.tag[i], self.marks[i], *kinds)).encode("utf-8", "replace"), 11)
+        for i in range(1, n):
+            up = path[self.parent[i]]
+            path[i] = xxhash.xxh64_intdigest(f"{up}\0{self.tag[i]}\0{self.marks[i]}".encode("utf-8", "replace"), 13)
+            if shape[i] and self.tag[i] not in CONTENT and self.tag[i] not in DROPPED:
+                h = xxhash.xxh64_intdigest(f"{path[i]}\0{shape[i]}".encode(), 17)
+                out[i] = h - (1 << 64) if h >> 63 else h
+        return out
+
     def _roots(self, gone: list[bool]) -> list[int]:
         """Outermost remaining ``main``, else ``article`` elements, else the whole page."""
         for name in ("main", "article"):
@@ -194,8 +224,9 @@ class Page:
                 return found
         return [0]
 
-    def text(self, template: set[int], weak: set[int] = frozenset()) -> str:
-        """Main text, given the host's subtrees of a share of STRONG (*template*) and of SHARE (*weak*)."""
+    def text(self, template: set[int], weak: set[int] = frozenset(), site: bool = False, names: bool = True) -> str:
+        """Main text, given the host's subtrees of a share of STRONG (*template*) and of SHARE (*weak*), and
+        whether it has SITE pages or more (*site*).  Without *names* only what is counted goes."""
         n = len(self.tag)
         holds, heading, in_article = [False] * n, [False] * n, [False] * n
         for i in range(n - 1, 0, -1):
@@ -204,6 +235,12 @@ class Page:
             holds[self.parent[i]] = holds[self.parent[i]] or holds[i]
             heading[self.parent[i]] = heading[self.parent[i]] or heading[i] or self.tag[i] in HEADINGS
         marked, hashes = holds[0], self.hashes()
+        slots = self.slots() if site else hashes
+        lead = next((i for i in range(1, n) if self.tag[i] == "h1"), 0)  # the first main heading and what holds it
+        leads = {lead}
+        while lead:
+            lead = self.parent[lead]
+            leads.add(lead)
         article = [0] * n  # the nearest article, or the page
         gone, repeats = [False] * n, [False] * n
         repeated: dict[int, int] = {}
@@ -214,10 +251,15 @@ class Page:
             if gone[p]:
                 gone[i] = True
                 continue
-            words = set(re.split(r"[^a-z]+", self.marks[i])) if self.marks[i] else set()
+            by_name = names and (in_article[i] or not site)
+            words = set(re.split(r"[^a-z]+", self.marks[i])) if by_name and self.marks[i] else set()
             if tag in DROPPED or self.hidden[i]:
                 gone[i] = True
-            elif tag == "header":
+            elif site and not in_article[i] and not holds[i] and i not in leads and slots[i] in template and 2 * self.words[i] < self.words[0]:
+                gone[i] = True
+            elif by_name and tag in NAMED:
+                gone[i] = True
+            elif by_name and tag == "header":
                 gone[i] = not (in_article[i] and heading[i])
             elif words & MARKS and tag not in ("body", "html") and not (holds[i] and tag != "article") and not (tag in HEADINGS):
                 gone[i] = True
@@ -275,7 +317,7 @@ def host(url: str = "url"):
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """``host``, ``template`` and ``weak``: the hashes of subtrees on shares of STRONG and *share* of its pages.
+    """``host``, ``pages``, ``template`` and ``weak``: the hashes of subtrees on shares of STRONG and *share* of its pages.
 
     A page's subtrees that pass are at most those it holds, and each stands on *share* of
     the pages, so a host's list is at most 1 / *share* times a page's subtrees.
@@ -289,7 +331,8 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
 
         for part, texts in chunks(batches, "html"):
             for name, source in zip(part.column(0).to_pylist(), texts, strict=True):
-                total.update((name, h) for h in {0, *Page(source).hashes()})
+                page = Page(source)
+                total.update((name, h) for h in {0, *page.hashes(), *page.slots()})
             if len(total) > 200_000:
                 yield out()
                 total.clear()
@@ -300,7 +343,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
     sizes = counted.where("hash = 0").select("host", F.col("n").alias("pages"))
     many = counted.where("hash <> 0").join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
     strong = F.col("n") >= STRONG * F.col("pages")
-    return many.groupBy("host").agg(F.collect_list(F.when(strong, F.col("hash"))).alias("template"), F.collect_list(F.when(~strong, F.col("hash"))).alias("weak"))
+    return many.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(F.when(strong, F.col("hash"))).alias("template"), F.collect_list(F.when(~strong, F.col("hash"))).alias("weak"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE, bound: int = BROADCAST_KEYS) -> DataFrame:
@@ -314,11 +357,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     source = pages.select(F.col(key), F.col(url), F.col(html).alias("html"), host(url).alias("host"))
     names = [key, url, "text"]
     schema = T.StructType([*source.schema.fields[:2], T.StructField("text", T.StringType())])
+    nothing = frozenset(), frozenset(), False
     if held <= bound:
-        sets = {r.host: (frozenset(r.template), frozenset(r.weak)) for r in known.toLocalIterator()}
+        sets = {r.host: (frozenset(r.template), frozenset(r.weak), r.pages >= SITE) for r in known.toLocalIterator()}
         shared = pages.sparkSession.sparkContext.broadcast(sets)
     else:
-        shared, source = None, source.join(known, "host", "left").select(key, url, "html", "host", "template", "weak")
+        shared, source = None, source.join(known, "host", "left").select(key, url, "html", "host", "template", "weak", F.coalesce(F.col("pages") >= SITE, F.lit(False)).alias("site"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "html"):
@@ -326,8 +370,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             if shared:
                 of = shared.value
             else:  # rows of one host hold the same lists
-                of = {h: tuple(frozenset(part.column(c)[i].as_py() or ()) for c in (4, 5)) for h, i in dict(zip(hosts, range(len(hosts)), strict=True)).items()}
-            out = [Page(x).text(*of.get(h, (frozenset(), frozenset()))) for x, h in zip(texts, hosts, strict=True)]
+                of = {h: (*(frozenset(part.column(c)[i].as_py() or ()) for c in (4, 5)), part.column(6)[i].as_py()) for h, i in dict(zip(hosts, range(len(hosts)), strict=True)).items()}
+            out = [Page(x).text(*of.get(h, nothing)) for x, h in zip(texts, hosts, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(out, pa.string())], names)
 
     return mapped(source, run, schema).withColumn("n_chars", F.length("text").cast("long"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import chunks, mapped
+from heronlake.llm.common import chunks, mapped, positional
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct"]
@@ -92,10 +92,15 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return mapped(source, run, schema)
 
 
+def failed(rules: tuple[Rule, ...] = RULES) -> Column:
+    """One bit per rule, from the measurements."""
+    bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)]
+    return reduce(lambda a, b: a + b, bits).cast("long")
+
+
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """*key*, MEASURES and ``failed`` (long): one row per row of *docs*."""
-    bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)]
-    return measured(docs, key, text).withColumn("failed", reduce(lambda a, b: a + b, bits).cast("long"))
+    return measured(docs, key, text).withColumn("failed", failed(rules))
 
 
 def passes(policy: str) -> Column:
@@ -120,14 +125,14 @@ def ablations(book: DataFrame, policy: str, rules: tuple[Rule, ...] = RULES) ->
 
 
 def keep(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
-    """*docs* without the rows that *policy* drops; columns stay as they are, whatever their names."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_heron_measures", T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))])
+    """*docs* without the rows whose failed bits meet *policy*'s mask; columns stay as they are, whatever their names."""
+    plain, (column,) = positional(docs, text)
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(m, T.LongType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, text):
-            found = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*map(measure, texts), strict=True)], MEASURES)
-            yield pa.RecordBatch.from_arrays([*part.columns, found], schema.names)
+        for part, texts in chunks(batches, column):
+            found = (pa.array(c, pa.int64()) for c in zip(*map(measure, texts), strict=True))
+            yield pa.RecordBatch.from_arrays([*part.columns, *found], schema.names)
 
-    rows = mapped(docs, run, schema).select(F.struct(*docs.columns).alias("_heron_row"), "_heron_measures.*")
-    applied = [F.expr(r.fails) for i, r in enumerate(RULES) if mask(policy) >> i & 1]
-    return rows.where(~reduce(lambda a, b: a | b, applied)).select("_heron_row.*")
+    rows = mapped(plain, run, schema).withColumn("failed", failed())
+    return rows.where(passes(policy)).select(*plain.columns).toDF(*docs.columns)

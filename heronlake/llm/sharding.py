@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.llm.common import positional, quoted
+
 #: A prime; at least a hundred times the number of shards keeps shares within about 1 %.
 SIZE = 65_537
 
@@ -66,13 +68,13 @@ def place(df: DataFrame, key: str | list[str], shards: dict[str, float] | list[s
     table = lookup_table(shards, size)
     import pandas as pd
 
-    known = spark.createDataFrame(pd.DataFrame({slot: np.arange(size), shard: [names[i] for i in table]}), f"`{slot}` int, `{shard}` string")
-    keys = [key] if isinstance(key, str) else key
-    slots = df.withColumn(slot, F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int"))
-    return slots.join(F.broadcast(known), slot).select(*(df[c] for c in df.columns), slot, shard)
+    known = spark.createDataFrame(pd.DataFrame({"slot": np.arange(size), "shard": [names[i] for i in table]}), "slot int, shard string")
+    plain, keys = positional(df, *([key] if isinstance(key, str) else key))
+    slots = plain.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int"))
+    return slots.join(F.broadcast(known), "slot").select(*plain.columns, "slot", "shard").toDF(*df.columns, slot, shard)
 
 
 def write_shards(placed: DataFrame, path: str, shard: str = "shard", files_per_shard: int = 8) -> None:
     """One folder per shard.  Rows of a large shard are spread over several tasks and files."""
-    spread = F.pmod(F.xxhash64(*(c for c in placed.columns if c != shard)), F.lit(files_per_shard))
+    spread = F.pmod(F.xxhash64(*(quoted(c) for c in placed.columns if c != shard)), F.lit(files_per_shard))
     placed.repartition(F.col(shard), spread).write.partitionBy(shard).parquet(path)

@@ -51,6 +51,8 @@ def test_place(spark, tmp_path):
     assert sharding.place(df.limit(0), "k", ["a"], 101).count() == 0
     with pytest.raises(ValueError):
         sharding.place(df.withColumnRenamed("v", "slot"), "k", ["a"], 101)
+    odd = sharding.place(df.toDF("a.b", "_slot"), "a.b", ["a", "b", "c"], 101)
+    assert odd.columns == ["a.b", "_slot", "slot", "shard"] and sorted(map(str, (tuple(r) for r in odd.collect()))) == sorted(map(str, (tuple(r) for r in rows)))
     placed = sharding.place(df, ["k", "v"], ["a", "b"], 101)
     sharding.write_shards(placed, str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 5
@@ -184,7 +186,8 @@ def test_subtrees_are_counted_per_host(spark):
     got = {r.host: (set(r.template), set(r.weak)) for r in html.templates(pages).collect()}
     for h in range(3):
         sources = [x for i, _, x in rows if i % 3 == h]
-        seen = Counter(k for x in sources for k in {*html.Page(x).hashes()} - {0})
+        read = [html.Page(x) for x in sources]
+        seen = Counter(k for x in read for k in {*x.hashes(), *x.slots()} - {0})
         often = {k: n for k, n in seen.items() if n >= html.MIN_PAGES and n >= html.SHARE * len(sources)}
         strong = {k for k, n in often.items() if n >= html.STRONG * len(sources)}
         assert got[f"h{h}.example"] == (strong, set(often) - strong)
@@ -192,6 +195,40 @@ def test_subtrees_are_counted_per_host(spark):
     assert sent == {(r.page_id, r.text) for r in html.extract(pages, bound=0).collect()}
 
 
+def plain_article(source):
+    """The text between the article's tags by patterns alone."""
+    import html as entities
+
+    body = re.search(r"<article>(.*)</article>", source, re.S)[1]
+    blocks = re.split(r"</?(?:h1|p)\b[^>]*>", body)
+    return "\n".join(filter(None, (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks)))
+
+
+def test_counts_alone_find_the_article(spark):
+    """A site whose pages mark nothing: menus, adverts and footers go by their slots; without counts they stay."""
+    site = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url LIKE '%//blog.tionsh.example.com/%'")
+    rows = [(r.page_id, r.url, r.html) for r in site.collect()]
+    assert len(rows) > 100
+    want = {i: plain_article(x) for i, _, x in rows}
+    whole = {r.page_id: r.text for r in html.extract(site).collect()}
+    assert whole == want
+    unmarked = [(i, u, re.sub(r"<(/?)(?:article|nav|footer)", r"<\1div", x).replace(' class="ad"', "")) for i, u, x in rows]
+    bare = spark.createDataFrame(unmarked, "page_id long, url string, html string")
+    for bound in (1_000_000, 0):
+        got = {r.page_id: r.text for r in html.extract(bare, bound=bound).collect()}
+        assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+    alone = {r.page_id: r.text for r in html.extract(bare.where("page_id % 40 = 0"), min_pages=1000).collect()}
+    assert not any(text == want[i] for i, text in alone.items())
+
+
+def test_names_decide_on_small_hosts_and_inside_articles(spark):
+    box = "<aside>box {0}</aside><div class='comments'>said {0}</div>"
+    rows = [(i, "http://few.example/", page(f"<p>own {i} a b c</p>{box.format(i)}", False)) for i in range(4)]
+    rows += [(10 + i, "http://many.example/", page(f"<p>own {i} a b c d e f g</p>{box.format(i)}")) for i in range(12)]
+    out = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"own {i} a b c" for i in range(4)} | {10 + i: f"own {i} a b c d e f g" for i in range(12)}
+
+
 @pytest.mark.parametrize("source", ["<a " * 200_000, "<div>" * 60_000 + "</b>" * 60_000, "<main>" + "<article>x" * 40_000, "<a '" * 100_000 + ">", "<a x='>" * 80_000 + '"', "<script>" + "</script " * 80_000, "<p><span>" + "<span>" * 50_000 + "<div>" * 50_000])
 def test_odd_pages_are_read_in_linear_time(source):
     import time
@@ -265,8 +302,8 @@ def test_pipeline_stages_take_any_rows(spark):
 
     long = " ".join(f"word{i % 300}" for i in range(400)) + "."
     texts = [None, "", " ", long, long, long + " end", "one two", "x" * 200_000]
-    rows = [(i if i != 2 else None, t, None if i % 2 else "en", "row", i, "n", 1.0) for i, t in enumerate(texts)] * 2
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string, size long, n_words string, score double")
+    rows = [(i if i != 2 else None, t, None if i % 2 else "en", "row", i, "n", 1.0, "x", None, "c") for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string, size long, n_words string, score double, `a.b` string, _heron_measures string, c1 string")
     sf = "/root/testdata/sf0.001"
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
