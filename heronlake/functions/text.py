@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Query parameters that only track.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "yclid")
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "yclid")
 #: Arabic letters and their Persian forms.
 GLYPHS = ("كيىؤئ", "کییوی")
 PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"

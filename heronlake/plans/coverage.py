@@ -135,39 +135,44 @@ def snapshot_update_signal(t: Tables) -> DataFrame:
 
 
 @query("M23", GROUP_SQL + """
-, c AS (SELECT article_id % 500 AS cluster_id, count(*) FILTER (side = 'inside') AS i, count(*) FILTER (side = 'outside') AS o FROM v_articles JOIN sided USING (source_id) GROUP BY 1)
+, c AS (SELECT cluster_no AS cluster_id, count(*) FILTER (side = 'inside') AS i, count(*) FILTER (side = 'outside') AS o FROM v_articles JOIN sided USING (source_id) GROUP BY 1)
 SELECT cluster_id, CASE WHEN i >= 2 AND o = 0 THEN 'outside' ELSE 'inside' END AS silent_side, greatest(i, o) AS loud FROM c WHERE (i >= 2 AND o = 0) OR (o >= 2 AND i = 0)""")
 def silence_detection(t: Tables) -> DataFrame:
     """Clusters that one side covers twice or more and the other not at all (product value: three)."""
-    a = t.articles.select((F.col("article_id") % 500).alias("cluster_id"), "source_id").join(grouped_sources(t).select("source_id", "side"), "source_id")
+    a = t.articles.select(F.col("cluster_no").alias("cluster_id"), "source_id").join(grouped_sources(t).select("source_id", "side"), "source_id")
     c = a.groupBy("cluster_id").agg(F.count_if(F.col("side") == "inside").alias("i"), F.count_if(F.col("side") == "outside").alias("o"))
     silent = F.when((F.col("i") >= 2) & (F.col("o") == 0), "outside").when((F.col("o") >= 2) & (F.col("i") == 0), "inside")
     return c.select("cluster_id", silent.alias("silent_side"), F.greatest("i", "o").alias("loud")).where("silent_side IS NOT NULL")
 
 
 @query("M25 J25", GROUP_SQL + """
-, n AS (SELECT narrative_group, content_type, count(*) AS c FROM v_articles JOIN sided USING (source_id) WHERE content_type IS NOT NULL AND article_id % 7 <> length(source_id) % 7 GROUP BY ALL)
-, loud AS (SELECT content_type, count(*) AS bundles, sum(c) AS support FROM n WHERE c >= 40 GROUP BY 1 HAVING count(*) >= 2)
-SELECT narrative_group, content_type, CAST(support AS BIGINT) AS support FROM (SELECT DISTINCT narrative_group FROM sided) CROSS JOIN loud
-WHERE (narrative_group, content_type) NOT IN (SELECT narrative_group, content_type FROM n WHERE c >= 40)""")
+, n AS (SELECT narrative_group, lower(string_split(title, ' ')[1]) AS topic, count(*) AS c FROM v_articles JOIN sided USING (source_id) WHERE trim(title) <> '' GROUP BY ALL)
+, l AS (SELECT topic, count(*) FILTER (c >= 5) AS bundles, sum(c) FILTER (c >= 5) AS support FROM n GROUP BY topic HAVING count(*) FILTER (c >= 5) >= 2)
+, x AS (SELECT g.narrative_group, topic, CAST(support AS BIGINT) AS support FROM (SELECT DISTINCT narrative_group FROM sided) g CROSS JOIN l WHERE (g.narrative_group, topic) NOT IN (SELECT narrative_group, topic FROM n))
+SELECT narrative_group, topic, support FROM x QUALIFY row_number() OVER (PARTITION BY narrative_group ORDER BY support DESC, topic) <= 8""")
 def absence_detection(t: Tables) -> DataFrame:
-    """Content types that two or more groups support (40 articles) and this group doesn't."""
-    a = t.articles.where(F.col("content_type").isNotNull() & (F.col("article_id") % 7 != F.length("source_id") % 7)).select("source_id", "content_type")
-    n = a.join(grouped_sources(t).select("source_id", "narrative_group"), "source_id").groupBy("narrative_group", "content_type").agg(F.count("*").alias("c")).where("c >= 40")
-    loud = n.groupBy("content_type").agg(F.count("*").alias("bundles"), F.sum("c").alias("support")).where("bundles >= 2").drop("bundles")
-    # four groups by the content types that exist
-    every = grouped_sources(t).select("narrative_group").distinct().join(F.broadcast(loud))
-    return every.join(n, ["narrative_group", "content_type"], "left_anti").select("narrative_group", "content_type", "support")
+    """What two or more other groups cover five times (the first word of a title stands for its topic) and this one never does: eight per group, the best supported first."""
+    from pyspark.sql import Window
+
+    topic = F.lower(F.get(F.split("title", " "), F.lit(0)))
+    g = grouped_sources(t).select("source_id", "narrative_group")
+    n = t.articles.where(F.trim("title") != "").select("source_id", topic.alias("topic")).join(g, "source_id").groupBy("narrative_group", "topic").agg(F.count("*").alias("c"))
+    loud = n.groupBy("topic").agg(F.collect_set("narrative_group").alias("by"), F.count_if(F.col("c") >= 5).alias("bundles"), F.sum(F.when(F.col("c") >= 5, F.col("c"))).alias("support")).where("bundles >= 2")
+    # one row with the few groups there are
+    groups = g.agg(F.collect_set("narrative_group").alias("all"))
+    silent = loud.join(F.broadcast(groups)).select("topic", "support", F.explode(F.array_except("all", "by")).alias("narrative_group"))
+    w = Window.partitionBy("narrative_group").orderBy(F.desc("support"), "topic")
+    return silent.withColumn("k", F.row_number().over(w)).where("k <= 8").select("narrative_group", "topic", "support")
 
 
 @query("F53 M34", GROUP_SQL + """
-, w AS (SELECT source_id, side, string_split(lower(title), ' ')[1] AS a, string_split(lower(title), ' ')[2] AS b, article_id % 200 AS cluster_id FROM v_articles JOIN sided USING (source_id))
+, w AS (SELECT source_id, side, string_split(lower(title), ' ')[1] AS a, string_split(lower(title), ' ')[2] AS b, article_id // 5 AS cluster_id FROM v_articles JOIN sided USING (source_id))
 , s AS (SELECT cluster_id, list_distinct(list(a) FILTER (side = 'inside' AND trim(a) <> '')) AS si, list_distinct(list(a) FILTER (side = 'outside' AND trim(a) <> '')) AS so FROM w GROUP BY 1)
 , k AS (SELECT cluster_id, coalesce(len(si), 0) AS ni, coalesce(len(so), 0) AS no, coalesce(len(list_intersect(si, so)), 0) AS both_ FROM s)
 SELECT cluster_id, CASE WHEN ni = 0 OR no = 0 THEN 0.15::DOUBLE ELSE round_even(least(1.0::DOUBLE, 0.35::DOUBLE + 0.55::DOUBLE * (1 - both_::DOUBLE / (ni + no - both_)) * (least(ni, no, 3) / 3.0::DOUBLE) + 0.10::DOUBLE * (least(ni, no, 3) / 3.0::DOUBLE)), 2) END AS dispute_score FROM k""")
 def dispute_score(t: Tables) -> DataFrame:
     """Dispute between the sides' first title words per cluster."""
-    a = t.articles.select("source_id", F.get(F.split(F.lower("title"), " "), F.lit(0)).alias("a"), (F.col("article_id") % 200).alias("cluster_id")).join(grouped_sources(t).select("source_id", "side"), "source_id")
+    a = t.articles.select("source_id", F.get(F.split(F.lower("title"), " "), F.lit(0)).alias("a"), F.expr("article_id div 5").alias("cluster_id")).join(grouped_sources(t).select("source_id", "side"), "source_id")
     s = a.groupBy("cluster_id").agg(F.collect_set(F.when(F.col("side") == "inside", F.col("a"))).alias("i"), F.collect_set(F.when(F.col("side") == "outside", F.col("a"))).alias("o"))
     return s.select("cluster_id", scores.dispute(F.col("i"), F.col("o")).alias("dispute_score"))
 

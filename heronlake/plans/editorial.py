@@ -218,10 +218,10 @@ def merge_candidates(t: Tables) -> DataFrame:
     return pairs.where(text.overlap(F.col("wa"), F.col("wb")) >= 0.4).select("a", "b")
 
 
-@query("P34", """SELECT locale, count(*) AS stale FROM (SELECT unnest(['en', 'fr']) AS locale, cluster_id, last_updated_at FROM (SELECT article_id % 97 AS cluster_id, max(ingested_at) AS last_updated_at FROM v_articles GROUP BY 1)) WHERE cluster_id % 3 = 0 OR (CASE locale WHEN 'en' THEN TIMESTAMP '2024-01-30 12:00:00' ELSE TIMESTAMP '2024-01-29' END) <= last_updated_at GROUP BY locale""")
+@query("P34", """SELECT locale, count(*) AS stale FROM (SELECT unnest(['en', 'fr']) AS locale, cluster_id, last_updated_at FROM (SELECT cluster_no AS cluster_id, max(ingested_at) AS last_updated_at FROM v_articles GROUP BY 1)) WHERE cluster_id % 3 = 0 OR (CASE locale WHEN 'en' THEN TIMESTAMP '2024-01-30 12:00:00' ELSE TIMESTAMP '2024-01-29' END) <= last_updated_at GROUP BY locale""")
 def stale_translations(t: Tables) -> DataFrame:
     """Translations that are missing or older than the story."""
-    a = t.articles.groupBy((F.col("article_id") % 97).alias("cluster_id")).agg(F.max("ingested_at").alias("updated"))
+    a = t.articles.groupBy(F.col("cluster_no").alias("cluster_id")).agg(F.max("ingested_at").alias("updated"))
     stored = F.when(F.col("cluster_id") % 3 != 0, F.lit('{"en": {"translated_at": "2024-01-30 12:00:00"}, "fr": {"translated_at": "2024-01-29 00:00:00"}}'))
     parsed = F.from_json(stored, "map<string, struct<translated_at: timestamp_ntz>>")
     x = a.select("updated", parsed.alias("m"), F.explode(F.array(F.lit("en"), F.lit("fr"))).alias("locale"))

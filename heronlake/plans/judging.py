@@ -21,11 +21,11 @@ META_TITLES = ("تحلیل سوگیری", "سوگیری در پوشش", "پوش
 NOISE_TITLES = r"📻|^\s*بشنوید|برنامه\s+رادیویی|سرخط\s+خبرها|قیمت\s+(سکه|طلا|دینار|درهم|نیم\s+سکه|ربع\s+سکه|سکه\s+گرمی).*امروز|قیمت\s+طلا(ی\s+(جهانی|۱۸\s+عیار|دست\s+دوم))?\s+امروز"
 #: What tells a theatre of events.
 THEATRES = {
+    "iran": ("ایران", "تهران", "بندرعباس", "هرمز", "خلیج فارس", "سپاه", "خامنه", "نطنز", "فردو", "اصفهان", "مشهد", "تبریز", "شیراز", "پزشکیان", "irgc", "tehran", "iran", "bandar abbas", "hormuz"),
     "americas": ("اقیانوس آرام", "آمریکای لاتین", "ونزوئلا", "کارائیب", "کلمبیا", "اکوادور", "پاناما", "مکزیک", "کارتل", "مواد مخدر", "قاچاق مواد", "pacific", "venezuela", "caribbean", "latin america", "colombia", "cartel", "drug traffic", "drug boat", "southcom"),
+    "ukraine_russia": ("اوکراین", "روسیه", "مسکو", "کی‌یف", "کیف", "پوتین", "زلنسکی", "ukraine", "russia", "moscow", "kyiv", "putin", "zelensk"),
     "east_asia": ("تایوان", "کره شمالی", "کره جنوبی", "پکن", "ژاپن", "taiwan", "north korea", "south korea", "beijing"),
-    "iran": ("ایران", "تهران", "بندرعباس", "هرمز", "خلیج فارس", "سپاه", "خامنه", "نطنز", "فردو", "اصفهان", "مشهد", "تبریز", "شیراز", "پزشکیان", "irgc", "tehran", "iran", "bandar abbas", "hormuz"),
     "south_asia": ("پاکستان", "افغانستان", "کابل", "هند", "کشمیر", "pakistan", "afghanistan", "kabul", "kashmir"),
-    "ukraine_russia": ("اوکراین", "روسیه", "مسکو", "کی‌یف", "کیف", "پوتین", "زلنسکی", "ukraine", "russia", "moscow", "kyiv", "putin", "zelensk"),
 }
 #: Function words that titles are compared without.
 STOP = tuple("و در به از با برای که را این یک تا بر های ها هم نیز یا اما بود شد است".split())
@@ -327,7 +327,7 @@ def bundle_aggregates(t: Tables) -> DataFrame:
 
 @query("A22 L14", CLUSTER_SQL + GROUP_SQL + """
 , top AS (SELECT cluster_id FROM eligible ORDER BY trending DESC, cluster_id LIMIT 20)
-, w AS (SELECT side, unnest(list_filter(string_split(lower(a.title), ' '), lambda x: length(x) >= 3)) AS w FROM v_articles a JOIN sided USING (source_id) WHERE article_id % 97 IN (SELECT cluster_id FROM top))
+, w AS (SELECT side, unnest(list_filter(string_split(lower(a.title), ' '), lambda x: length(x) >= 3)) AS w FROM v_articles a JOIN sided USING (source_id) WHERE cluster_no IN (SELECT cluster_id FROM top))
 , n AS (SELECT side, w, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n DESC, w) AS k FROM n)
 SELECT side, array_to_string(list(w || ':' || n ORDER BY k) FILTER (k <= 5), ',') AS words, array_to_string(list_sort(list(lpad(CAST(length(w) AS VARCHAR), 4, '0') || w))[1:6], ',') AS shortest FROM r GROUP BY side""")
 def side_words(t: Tables) -> DataFrame:
@@ -335,7 +335,7 @@ def side_words(t: Tables) -> DataFrame:
     from heronlake.plans.ranking import eligible
 
     top = eligible(t).orderBy(F.desc("trending"), "cluster_id").limit(20).select("cluster_id")
-    a = t.articles.select("source_id", "title", (F.col("article_id") % 97).alias("cluster_id")).join(top, "cluster_id", "left_semi").join(grouped_sources(t).select("source_id", "side"), "source_id")
+    a = t.articles.select("source_id", "title", F.col("cluster_no").alias("cluster_id")).join(top, "cluster_id", "left_semi").join(grouped_sources(t).select("source_id", "side"), "source_id")
     n = a.select("side", F.explode(F.filter(F.split(F.lower("title"), " "), lambda x: F.length(x) >= 3)).alias("w")).groupBy("side", "w").agg(F.count("*").alias("n"))
     k = n.withColumn("k", F.row_number().over(Window.partitionBy("side").orderBy(F.desc("n"), "w"))).withColumn("short", F.row_number().over(Window.partitionBy("side").orderBy(F.length("w"), "w")))
     few = lambda order, most, show: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(order) <= most, F.struct(order, show.alias("s"))))), lambda x: x["s"]), ",")

@@ -19,11 +19,11 @@ def lifecycle_states(t: Tables) -> DataFrame:
     return clusters(t).select("cluster_id", scores.lifecycle(F.col("article_count"), F.col("last_updated_at"), F.col("first_published_at"), F.col("frozen_at"), now()).alias("state"))
 
 
-@query("T11", CLUSTER_SQL + """, recent AS (SELECT article_id % 97 AS cluster_id, count(*) AS n FROM v_articles WHERE ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 48 HOUR GROUP BY 1)
+@query("T11", CLUSTER_SQL + """, recent AS (SELECT cluster_no AS cluster_id, count(*) AS n FROM v_articles WHERE ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 48 HOUR GROUP BY 1)
 SELECT cluster_id, priority AS old_priority, CASE WHEN frozen_at IS NULL THEN priority WHEN coalesce(n, 0) >= 2 THEN 0 ELSE -50 END AS new_priority FROM clusters LEFT JOIN recent USING (cluster_id)""")
 def demote_quiet(t: Tables) -> DataFrame:
     """Frozen stories drop to -50 until enough articles come in two days (test value two)."""
-    recent = t.articles.where(F.col("ingested_at") >= hours_before(F.lit(48))).groupBy((F.col("article_id") % 97).alias("cluster_id")).agg(F.count("*").alias("n"))
+    recent = t.articles.where(F.col("ingested_at") >= hours_before(F.lit(48))).groupBy(F.col("cluster_no").alias("cluster_id")).agg(F.count("*").alias("n"))
     new = F.when(F.col("frozen_at").isNull(), F.col("priority")).when(F.coalesce("n", F.lit(0)) >= 2, 0).otherwise(-50)
     return clusters(t).join(recent, "cluster_id", "left").select("cluster_id", F.col("priority").alias("old_priority"), new.alias("new_priority"))
 
@@ -104,7 +104,7 @@ CANARIES = {
     "translation_stuck": ("untranslated", "false", "untranslated > 200"),
 }
 CHECK_SQL = """
-, base_a AS (SELECT a.*, list_contains(allowed, content_type) IS TRUE AS allowed, coalesce(len(list_filter(embedding, lambda x: x <> 0)) = 0, false) AS zero, e.cluster_id IS NOT NULL AS visible FROM v_articles a JOIN v_sources USING (source_id) LEFT JOIN eligible e ON e.cluster_id = article_id % 97)
+, base_a AS (SELECT a.*, list_contains(allowed, content_type) IS TRUE AS allowed, coalesce(len(list_filter(embedding, lambda x: x <> 0)) = 0, false) AS zero, e.cluster_id IS NOT NULL AS visible FROM v_articles a JOIN v_sources USING (source_id) LEFT JOIN eligible e ON e.cluster_id = cluster_no)
 """ + "".join(f", agg_{k} AS (SELECT {', '.join(f'{e} AS {n}' for n, e in c.items())} FROM {base})" for (k, c), base in zip(CHECKS.items(), ("scored", "base_a", "v_usage"), strict=True)) + """
 , checked AS (SELECT *, date_sub('second', newest, TIMESTAMP '2024-01-31') / 3600.0::DOUBLE AS hours_silent, date_sub('second', last_call, TIMESTAMP '2024-01-31') / 60.0::DOUBLE AS minutes_idle FROM agg_s, agg_a, agg_u)
 """
@@ -113,7 +113,7 @@ CHECK_SQL = """
 def checked(t: Tables) -> DataFrame:
     """One row: every aggregate of CHECKS, each table read once."""
     allowed = t.sources.select("source_id", F.from_json("content_filters", "allowed array<string>")["allowed"].alias("list"))
-    a = t.articles.join(allowed, "source_id").join(eligible(t).select("cluster_id", F.lit(True).alias("visible")), F.col("article_id") % 97 == F.col("cluster_id"), "left")
+    a = t.articles.join(allowed, "source_id").join(eligible(t).select("cluster_id", F.lit(True).alias("visible")), F.col("cluster_no") == F.col("cluster_id"), "left")
     a = a.select("article_id", "source_id", "language", "content_type", "n_chars", "ingested_at", "story_id", "embedding", F.coalesce("visible", F.lit(False)).alias("visible"), F.coalesce(F.array_contains("list", F.col("content_type")), F.lit(False)).alias("allowed"), F.coalesce(~F.exists("embedding", lambda x: x != 0), F.lit(False)).alias("zero"))
     spark_sql = lambda e: F.expr(e.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
     rows = [df.agg(*(spark_sql(e).alias(n) for n, e in CHECKS[k].items())) for k, df in (("s", scored(t)), ("a", a), ("u", t.usage))]

@@ -81,16 +81,16 @@ SMALL_SQL = f"""
 , vec AS (SELECT article_id // 3 AS small_id, embedding, title, ingested_at FROM v_articles WHERE embedding IS NOT NULL)
 , cell AS (SELECT small_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM vec)
 , cent AS (SELECT small_id, list(x ORDER BY p) AS centroid FROM (SELECT small_id, p, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY small_id)
-, small AS (SELECT small_id, count(*) AS n, max(ingested_at) AS updated, list_distinct(list_filter(string_split_regex(lower(string_agg(title, ' ')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3)) AS w FROM vec WHERE small_id % 11 <> 5 GROUP BY small_id HAVING count(*) <= 4)
+, small AS (SELECT small_id, count(*) AS n, max(ingested_at) AS updated, list_distinct(list_filter(string_split_regex(lower(string_agg(title, ' ')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3)) AS w FROM vec GROUP BY small_id HAVING count(*) <= 4)
 , pass AS (SELECT x.small_id AS a, y.small_id AS b FROM small x JOIN small y ON x.small_id < y.small_id JOIN cent cx ON cx.small_id = x.small_id JOIN cent cy ON cy.small_id = y.small_id WHERE len(list_intersect(x.w, y.w)) >= 2
   AND len(list_filter(list_intersect(x.w, y.w), lambda z: z NOT IN {GENERIC})) >= 1 AND len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE >= 0.12 AND {COSINE.format('cx.centroid', 'cy.centroid')} >= 0.1)
 """
 
 
 def small_stories(t: Tables) -> DataFrame:
-    """Stories of three articles in a row; those that editors have frozen are left out."""
+    """Stories of three articles in a row."""
     a = t.articles.where("embedding IS NOT NULL").withColumn("small_id", F.floor(F.col("article_id") / 3))
-    s = a.groupBy("small_id").agg(F.count("*").alias("n"), F.max("ingested_at").alias("updated"), F.array_join(F.collect_list("title"), " ").alias("title")).where("n <= 4 AND small_id % 11 <> 5")
+    s = a.groupBy("small_id").agg(F.count("*").alias("n"), F.max("ingested_at").alias("updated"), F.array_join(F.collect_list("title"), " ").alias("title")).where("n <= 4")
     return s.join(vector.centroids(a, "small_id", "embedding"), "small_id").select("small_id", "n", "updated", text.tokens(F.col("title")).alias("w"), "centroid")
 
 
@@ -274,13 +274,13 @@ def coordination_groups(t: Tables) -> DataFrame:
 
 
 @query("M6 M7", CLUSTER_SQL + VECTOR_SQL + f"""
-, cell AS (SELECT article_id % 97 AS cluster_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM vec), cent AS (SELECT cluster_id, list(x ORDER BY p) AS v FROM (SELECT cluster_id, p, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY cluster_id)
+, cell AS (SELECT cluster_no AS cluster_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM vec), cent AS (SELECT cluster_id, list(x ORDER BY p) AS v FROM (SELECT cluster_id, p, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY cluster_id)
 , top AS (SELECT cluster_id, priority, list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3)) AS w, v FROM (SELECT * FROM eligible ORDER BY trending DESC, cluster_id LIMIT 80) LEFT JOIN cent USING (cluster_id))
 SELECT a.cluster_id AS a, b.cluster_id AS b FROM top a JOIN top b ON a.cluster_id < b.cluster_id, LATERAL (SELECT CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w))::DOUBLE ELSE 0 END AS o, {COSINE.format('a.v', 'b.v')} AS c) WHERE NOT (a.priority >= 40 AND b.priority >= 40) AND (o >= 0.4 OR c >= 0.5) ORDER BY c DESC, a.cluster_id, b.cluster_id LIMIT 30""")
 def merge_pairs(t: Tables) -> DataFrame:
     """Of the eighty most visible stories the thirty pairs nearest in direction whose titles overlap or whose centroids are near
     (test cosine .5); two pinned stories are never merged."""
-    v = vector.centroids(t.articles.where("embedding IS NOT NULL").withColumn("cluster_id", F.col("article_id") % 97), "cluster_id", "embedding")
+    v = vector.centroids(t.articles.where("embedding IS NOT NULL").withColumn("cluster_id", F.col("cluster_no")), "cluster_id", "embedding")
     top = eligible(t).orderBy(F.desc("trending"), "cluster_id").limit(80).join(v, "cluster_id", "left")
     side = lambda x: top.select(F.col("cluster_id").alias(x), F.col("priority").alias(f"p{x}"), text.tokens(F.col("title")).alias(f"w{x}"), F.col("centroid").alias(f"v{x}"))
     # eighty rows by eighty

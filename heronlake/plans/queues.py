@@ -31,11 +31,11 @@ def frozen_list(t: Tables) -> DataFrame:
 
 
 @query("L8", CLUSTER_SQL + """
-, ok AS (SELECT DISTINCT article_id % 97 AS cluster_id FROM v_articles WHERE n_chars % 40 = 1)
+, ok AS (SELECT DISTINCT cluster_no AS cluster_id FROM v_articles WHERE n_chars % 40 = 1)
 SELECT cluster_id, round(trending, 6) AS trending FROM eligible WHERE article_count >= 3 AND cluster_id NOT IN (SELECT cluster_id FROM ok) ORDER BY eligible.trending DESC, cluster_id LIMIT 30""")
 def image_gaps(t: Tables) -> DataFrame:
     """Visible stories without a usable image (few articles have one here), by trending."""
-    ok = t.articles.where("n_chars % 40 = 1").select((F.col("article_id") % 97).alias("cluster_id")).distinct()
+    ok = t.articles.where("n_chars % 40 = 1").select(F.col("cluster_no").alias("cluster_id")).distinct()
     gaps = eligible(t).where("article_count >= 3").join(ok, "cluster_id", "left_anti")
     return gaps.orderBy(F.desc("trending"), "cluster_id").limit(30).select("cluster_id", F.round("trending", 6).alias("trending"))
 
@@ -51,12 +51,12 @@ def recent_posts(t: Tables) -> DataFrame:
 
 
 @query("L20", CLUSTER_SQL + """
-, tried AS (SELECT user_id % 97 AS cluster_id, max(ts) AS tried_at, count(*) FILTER (event_type = 'error') AS attempts FROM events GROUP BY 1)
+, tried AS (SELECT user_id AS cluster_id, max(ts) AS tried_at, count(*) FILTER (event_type = 'error') AS attempts FROM events GROUP BY 1)
 SELECT s.cluster_id, priority FROM eligible s LEFT JOIN tried USING (cluster_id) WHERE NOT is_edited AND article_count >= 5 AND (tried_at IS NULL OR attempts < 3 OR tried_at < TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR)
 ORDER BY priority DESC, coalesce(frozen_at, first_published_at) DESC NULLS LAST, trending DESC, s.cluster_id LIMIT 25""")
 def summary_pool(t: Tables) -> DataFrame:
     """Stories to summarise in homepage order: not edited by hand, and a day of rest after three failures."""
-    tried = t["events"].groupBy((F.col("user_id") % 97).alias("cluster_id")).agg(F.max("ts").alias("tried_at"), F.count_if(F.col("event_type") == "error").alias("attempts"))
+    tried = t["events"].groupBy(F.col("user_id").alias("cluster_id")).agg(F.max("ts").alias("tried_at"), F.count_if(F.col("event_type") == "error").alias("attempts"))
     s = eligible(t).where("NOT is_edited AND article_count >= 5").join(tried, "cluster_id", "left")
     s = s.where(F.col("tried_at").isNull() | (F.col("attempts") < 3) | (F.col("tried_at") < hours_before(F.lit(24))))
     return s.orderBy(F.desc("priority"), F.coalesce("frozen_at", "first_published_at").desc_nulls_last(), F.desc("trending"), "cluster_id").limit(25).select("cluster_id", "priority")
@@ -248,7 +248,7 @@ def step_egress(t: Tables) -> DataFrame:
 
 
 @query("L11", """
-, img AS (SELECT article_id % 97 AS cluster_id, article_id, title, CASE n_chars % 4 WHEN 0 THEN 'https://i.example/logo.png' WHEN 1 THEN 'https://i.example/p/' || article_id || '-1200x800.jpg' WHEN 2 THEN 'https://cdn.example/' || article_id || '.webp' END AS u FROM v_articles)
+, img AS (SELECT cluster_no AS cluster_id, article_id, title, CASE n_chars % 4 WHEN 0 THEN 'https://i.example/logo.png' WHEN 1 THEN 'https://i.example/p/' || article_id || '-1200x800.jpg' WHEN 2 THEN 'https://cdn.example/' || article_id || '.webp' END AS u FROM v_articles)
 , w AS (SELECT cluster_id, list_distinct(list_filter(string_split_regex(lower(min(title)), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)) AS w FROM img GROUP BY 1)
 , s AS (SELECT img.*, len(list_intersect(w.w, list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)))) AS overlap, contains(u, 'cdn.') AS stable, contains(u, 'logo') AS logo FROM img JOIN w USING (cluster_id) WHERE u IS NOT NULL)
 , best AS (SELECT cluster_id, max_by(u, (CASE WHEN contains(u, '1200') THEN 12 ELSE 6 END + 2 * overlap + 2 * CASE WHEN stable THEN 1 ELSE 0 END, overlap, length(u), article_id)) FILTER (NOT logo) AS u, count(*) FILTER (logo) AS logos FROM s GROUP BY 1)
@@ -257,7 +257,7 @@ def image_picks(t: Tables) -> DataFrame:
     """A story's picture: quality, words its article shares with the story's title, and a stable host; a logo if there is nothing else."""
     i, n = F.col("article_id"), F.col("n_chars") % 4
     u = F.when(n == 0, "https://i.example/logo.png").when(n == 1, F.concat(F.lit("https://i.example/p/"), i, F.lit("-1200x800.jpg"))).when(n == 2, F.concat(F.lit("https://cdn.example/"), i, F.lit(".webp")))
-    a = t.articles.select((i % 97).alias("cluster_id"), "article_id", "title", u.alias("u"))
+    a = t.articles.select(F.col("cluster_no").alias("cluster_id"), "article_id", "title", u.alias("u"))
     w = a.groupBy("cluster_id").agg(text.tokens(F.min("title")).alias("w"))
     s = a.where("u IS NOT NULL").join(w, "cluster_id").withColumn("overlap", F.size(F.array_intersect("w", text.tokens(F.col("title"))))).withColumn("logo", F.col("u").contains("logo"))
     score = F.when(F.col("u").contains("1200"), 12).otherwise(6) + 2 * F.col("overlap") + 2 * F.col("u").contains("cdn.").cast("int")
@@ -279,11 +279,11 @@ def cluster_queue(t: Tables) -> DataFrame:
 
 
 @query("P19", CLUSTER_SQL + """
-SELECT article_id FROM v_articles JOIN clusters ON cluster_id = article_id % 97 WHERE (contains(lower(a_title), 'ion') OR contains(lower(substr(body, 1, 60)), 'ion') OR contains(lower(language || ' ' || url), 'ion')) AND (story_id IS NULL OR article_count < 5) AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY ORDER BY ingested_at DESC, article_id LIMIT 50""".replace("a_title", "v_articles.title"))
+SELECT article_id FROM v_articles JOIN clusters ON cluster_id = cluster_no WHERE (contains(lower(a_title), 'ion') OR contains(lower(body), 'ion') OR contains(lower(language || ' ' || url), 'ion')) AND (story_id IS NULL OR article_count < 5) AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY ORDER BY ingested_at DESC, article_id LIMIT 50""".replace("a_title", "v_articles.title"))
 def seeding_search(t: Tables) -> DataFrame:
     """Articles of the last days that hold a word in one of three text columns and have no story, or a weak one."""
-    a = t.articles.join(scored(t).select("cluster_id", "article_count"), F.col("article_id") % 97 == F.col("cluster_id"))
-    hit = F.col("title").ilike("%ion%") | F.substring("body", 1, 60).ilike("%ion%") | F.concat("language", F.lit(" "), "url").ilike("%ion%")
+    a = t.articles.join(scored(t).select("cluster_id", "article_count"), F.col("cluster_no") == F.col("cluster_id"))
+    hit = F.col("title").ilike("%ion%") | F.col("body").ilike("%ion%") | F.concat("language", F.lit(" "), "url").ilike("%ion%")
     weak = F.col("story_id").isNull() | (F.col("article_count") < 5)
     return a.where(hit & weak & (F.col("ingested_at") >= hours_before(F.lit(240)))).orderBy(F.desc("ingested_at"), "article_id").limit(50).select("article_id")
 

@@ -9,23 +9,22 @@ from heronlake.functions import scores
 from heronlake.plans.registry import query
 from heronlake.sources.adapters import Tables, hours_before, now
 
-#: Clusters stand for stories where ten are too few: every 97th article number belongs together.
-#: The sides of a cluster are counted over its English articles.
+#: Clusters stand for stories where ten are too few.
 CLUSTER_SQL = """
-, clusters AS (SELECT article_id % 97 AS cluster_id, count(*) AS article_count, count(DISTINCT source_id) AS source_count, min(published_at) AS first_published_at, max(ingested_at) AS last_updated_at,
-   CASE WHEN article_id % 97 % 12 = 0 THEN 50 WHEN article_id % 97 % 17 = 3 THEN -150 ELSE 0 END AS priority, CASE WHEN article_id % 97 % 13 = 5 THEN TIMESTAMP '2024-01-20' END AS archived_at, article_id % 97 % 19 = 4 AS is_edited, CASE WHEN article_id % 97 % 9 = 0 THEN TIMESTAMP '2024-01-31' - to_hours(CAST(article_id % 97 * 5 AS INTEGER)) END AS frozen_at,
-   count(*) FILTER (CAST(substr(source_id, 4) AS INT) % 4 = 0 AND language = 'en') AS state_count, count(*) FILTER (CAST(substr(source_id, 4) AS INT) % 4 = 1 AND language = 'en') AS diaspora_count, min(title) AS title FROM v_articles GROUP BY article_id % 97)
+, clusters AS (SELECT cluster_no AS cluster_id, count(*) AS article_count, count(DISTINCT source_id) AS source_count, min(published_at) AS first_published_at, max(ingested_at) AS last_updated_at,
+   CASE WHEN cluster_no % 12 = 0 THEN 50 WHEN cluster_no % 17 = 3 THEN -150 ELSE 0 END AS priority, CASE WHEN cluster_no % 13 = 5 THEN TIMESTAMP '2024-01-20' END AS archived_at, cluster_no % 19 = 4 AS is_edited, CASE WHEN cluster_no % 9 = 0 THEN TIMESTAMP '2024-01-31' - to_hours(CAST(cluster_no * 5 AS INTEGER)) END AS frozen_at,
+   count(*) FILTER (CAST(substr(source_id, 4) AS INT) % 4 = 0) AS state_count, count(*) FILTER (CAST(substr(source_id, 4) AS INT) % 4 = 1) AS diaspora_count, min(title) AS title FROM v_articles GROUP BY cluster_no)
 , scored AS (SELECT *, CASE WHEN source_count <= 1 AND article_count >= 5 THEN 0.0::DOUBLE ELSE article_count * greatest(0.005::DOUBLE, pow(0.85::DOUBLE, greatest(0.0::DOUBLE, date_diff('second', coalesce(frozen_at, last_updated_at, first_published_at), TIMESTAMP '2024-01-31') / 86400.0::DOUBLE))) END AS trending, state_count + diaspora_count > 0 AND (least(state_count, diaspora_count) * 100 < 20 * (state_count + diaspora_count) OR (state_count + diaspora_count < 6 AND least(state_count, diaspora_count) = 1 AND greatest(state_count, diaspora_count) >= 2)) AS blindspot FROM clusters)
 , eligible AS (SELECT * FROM scored WHERE archived_at IS NULL AND priority > -100)
 """
 
 
 def clusters(t: Tables) -> DataFrame:
-    a, english = t.articles, F.col("language") == "en"
-    n, c = F.substring("source_id", 4, 10).cast("int") % 4, F.col("article_id") % 97
+    a = t.articles
+    n, c = F.substring("source_id", 4, 10).cast("int") % 4, F.col("cluster_no")
     return a.groupBy(c.alias("cluster_id")).agg(
         F.count("*").alias("article_count"), F.countDistinct("source_id").alias("source_count"), F.min("published_at").alias("first_published_at"), F.max("ingested_at").alias("last_updated_at"),
-        F.count_if((n == 0) & english).alias("state_count"), F.count_if((n == 1) & english).alias("diaspora_count"), F.min("title").alias("title"),
+        F.count_if(n == 0).alias("state_count"), F.count_if(n == 1).alias("diaspora_count"), F.min("title").alias("title"),
     ).withColumns({"priority": F.when(F.col("cluster_id") % 12 == 0, 50).when(F.col("cluster_id") % 17 == 3, -150).otherwise(0), "archived_at": F.when(F.col("cluster_id") % 13 == 5, F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")), "is_edited": F.col("cluster_id") % 19 == 4, "frozen_at": F.when(F.col("cluster_id") % 9 == 0, hours_before((F.col("cluster_id") * 5).cast("int")))})
 
 

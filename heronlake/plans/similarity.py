@@ -17,7 +17,7 @@ from heronlake.sources.adapters import Tables, hours_before
 COSINE = "coalesce(list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[]), 0)"
 #: Embedded articles are *arrivals* if they came in during the last week, else *stored*.
 VECTOR_SQL = """
-, vec AS (SELECT article_id, story_id, embedding, ingested_at, ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR AS arrived FROM v_articles WHERE embedding IS NOT NULL)
+, vec AS (SELECT article_id, story_id, cluster_no, embedding, ingested_at, ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR AS arrived FROM v_articles WHERE embedding IS NOT NULL)
 """
 
 

@@ -19,13 +19,11 @@ from heronlake.sources.storage import store
 
 
 @query("P5", RAW_SQL + rf"""
-, b AS (SELECT *, {STRIP.format("regexp_replace(x, 'https?://[^\\s]+', '', 'g')")} AS bare FROM (SELECT channel_id, message_id, CASE WHEN message_id % 3 = 0 THEN substr(x, 1, 24) WHEN message_id % 3 = 1 THEN x ELSE substr(x, 1, 60) END AS x FROM raw))
+, b AS (SELECT *, {STRIP.format("regexp_replace(x, 'https?://[^\\s]+', '', 'g')")} AS bare FROM (SELECT channel_id, message_id, x FROM raw))
 SELECT channel_id, message_id, regexp_matches(x, 'https?://') OR (len(list_filter(string_split_regex(bare, '\s+'), lambda w: w <> '')) >= 5 AND length(bare) >= 30) AS kept FROM b""")
 def post_noise(t: Tables) -> DataFrame:
     """Posts that stay: with a link, or five words and thirty characters beside links."""
-    m = F.col("message_id") % 3
-    x = F.when(m == 0, F.substring("x", 1, 24)).when(m == 1, F.col("x")).otherwise(F.substring("x", 1, 60))
-    b = raw_posts(t).select("channel_id", "message_id", x.alias("x")).withColumn("bare", text.strip(F.regexp_replace("x", r"https?://\S+", "")))
+    b = raw_posts(t).select("channel_id", "message_id", "x").withColumn("bare", text.strip(F.regexp_replace("x", r"https?://\S+", "")))
     words = F.size(F.filter(F.split("bare", r"\s+"), lambda w: w != ""))
     return b.select("channel_id", "message_id", (F.col("x").rlike("https?://") | ((words >= 5) & (F.length("bare") >= 30))).alias("kept"))
 
@@ -105,23 +103,23 @@ def borrowed_pool(t: Tables) -> DataFrame:
 
 
 @query("M23", CLUSTER_SQL + GROUP_SQL + """
-, c AS (SELECT article_id % 97 AS cluster_id, count(*) FILTER (side = 'inside' AND language = 'en') AS i, count(*) FILTER (side = 'outside' AND language = 'en') AS o FROM v_articles JOIN sided USING (source_id) GROUP BY 1)
+, c AS (SELECT cluster_no AS cluster_id, count(*) FILTER (side = 'inside') AS i, count(*) FILTER (side = 'outside') AS o FROM v_articles JOIN sided USING (source_id) GROUP BY 1)
 SELECT cluster_id, CASE WHEN o = 0 THEN 'outside' ELSE 'inside' END AS silent_side, round(greatest(i, o) * trending, 5) AS significance FROM c JOIN scored USING (cluster_id) WHERE (i >= 3 AND o = 0) OR (o >= 3 AND i = 0) ORDER BY greatest(i, o) * trending DESC, cluster_id LIMIT 5""")
 def silences(t: Tables) -> DataFrame:
-    """Stories that one side covers three times and the other not at all, the five most significant (English coverage here)."""
-    a = t.articles.where("language = 'en'").select((F.col("article_id") % 97).alias("cluster_id"), "source_id").join(grouped_sources(t).select("source_id", "side"), "source_id")
+    """Stories that one side covers three times and the other not at all, the five most significant."""
+    a = t.articles.select(F.col("cluster_no").alias("cluster_id"), "source_id").join(grouped_sources(t).select("source_id", "side"), "source_id")
     c = a.groupBy("cluster_id").agg(F.count_if(F.col("side") == "inside").alias("i"), F.count_if(F.col("side") == "outside").alias("o")).where("(i >= 3 AND o = 0) OR (o >= 3 AND i = 0)")
     s = c.join(scored(t).select("cluster_id", "trending"), "cluster_id").withColumn("s", F.greatest("i", "o") * F.col("trending"))
     return s.orderBy(F.desc("s"), "cluster_id").limit(5).select("cluster_id", F.when(F.col("o") == 0, "outside").otherwise("inside").alias("silent_side"), F.round("s", 5).alias("significance"))
 
 
 @query("M28", CLUSTER_SQL + """
-, o AS (SELECT article_id % 97 AS cluster_id, count(DISTINCT source_id) FILTER (state_alignment = 'state' AND language = 'en') AS s, count(DISTINCT source_id) FILTER (state_alignment = 'diaspora' AND language = 'en') AS d FROM v_articles JOIN v_sources USING (source_id) GROUP BY 1)
+, o AS (SELECT cluster_no AS cluster_id, count(DISTINCT source_id) FILTER (state_alignment = 'state') AS s, count(DISTINCT source_id) FILTER (state_alignment = 'diaspora') AS d FROM v_articles JOIN v_sources USING (source_id) GROUP BY 1)
 SELECT cluster_id, blindspot AS was, CASE WHEN s + d = 0 THEN NULL WHEN s * 100 >= 70 * (s + d) THEN 'state_only' WHEN d * 100 >= 70 * (s + d) THEN 'diaspora_only' END AS label, (CASE WHEN s + d = 0 THEN NULL WHEN s * 100 >= 70 * (s + d) OR d * 100 >= 70 * (s + d) THEN true END IS TRUE) <> blindspot AS changed FROM eligible JOIN o USING (cluster_id)""")
 def relabelled_blindspots(t: Tables) -> DataFrame:
     """Homepage stories with their one-sidedness by outlets, and whether that changes their label."""
     al = F.col("state_alignment")
-    a = t.articles.where("language = 'en'").select((F.col("article_id") % 97).alias("cluster_id"), "source_id").join(t.sources.select("source_id", "state_alignment"), "source_id")
+    a = t.articles.select(F.col("cluster_no").alias("cluster_id"), "source_id").join(t.sources.select("source_id", "state_alignment"), "source_id")
     o = a.groupBy("cluster_id").agg(F.countDistinct(F.when(al == "state", F.col("source_id"))).alias("s"), F.countDistinct(F.when(al == "diaspora", F.col("source_id"))).alias("d"))
     both = F.coalesce("s", F.lit(0)) + F.coalesce("d", F.lit(0))
     label = F.when(both == 0, None).when(F.col("s") * 100 >= 70 * both, "state_only").when(F.col("d") * 100 >= 70 * both, "diaspora_only")
@@ -130,33 +128,33 @@ def relabelled_blindspots(t: Tables) -> DataFrame:
 
 
 @query("M40 P2", CLUSTER_SQL + """
-, off AS (SELECT article_id, article_id % 97 AS cluster_id FROM v_articles JOIN v_sources USING (source_id) WHERE content_type IS NOT NULL AND NOT list_contains(allowed, content_type) AND article_id % 97 IN (SELECT cluster_id FROM eligible) ORDER BY ingested_at DESC, article_id LIMIT 500)
+, off AS (SELECT article_id, cluster_no AS cluster_id FROM v_articles JOIN v_sources USING (source_id) WHERE content_type IS NOT NULL AND NOT list_contains(allowed, content_type) AND cluster_no IN (SELECT cluster_id FROM eligible) ORDER BY ingested_at DESC, article_id LIMIT 500)
 SELECT cluster_id, count(*) AS detached, any_value(article_count) - count(*) AS left_over FROM off JOIN clusters USING (cluster_id) GROUP BY cluster_id""")
 def offtopic_drain(t: Tables) -> DataFrame:
     """Articles of a kind their outlet isn't read for, out of visible stories, five hundred a run, and the counts after."""
     allowed = t.sources.select("source_id", F.from_json("content_filters", "allowed array<string>")["allowed"].alias("list"))
-    a = t.articles.where("content_type IS NOT NULL").select("article_id", "source_id", "content_type", "ingested_at", (F.col("article_id") % 97).alias("cluster_id")).join(allowed, "source_id").where(~F.array_contains("list", F.col("content_type")))
+    a = t.articles.where("content_type IS NOT NULL").select("article_id", "source_id", "content_type", "ingested_at", F.col("cluster_no").alias("cluster_id")).join(allowed, "source_id").where(~F.array_contains("list", F.col("content_type")))
     off = a.join(eligible(t).select("cluster_id", "article_count"), "cluster_id").orderBy(F.desc("ingested_at"), "article_id").limit(500)
     return off.groupBy("cluster_id").agg(F.count("*").alias("detached"), (F.first("article_count") - F.count("*")).alias("left_over"))
 
 
 @query("M37", CLUSTER_SQL + """
-, act AS (SELECT event_id, event_type AS action, event_id // 40 AS article_id, user_id % 97 AS target, ts FROM events WHERE event_type IN ('signup', 'error'))
+, act AS (SELECT event_id, event_type AS action, event_id // 40 AS article_id, user_id AS target, ts FROM events WHERE event_type IN ('signup', 'error'))
 , last AS (SELECT article_id, arg_max(action, (ts, event_id)) AS action, arg_max(target, (ts, event_id)) AS target FROM act GROUP BY article_id)
-, now_ AS (SELECT a.article_id, a.article_id % 97 AS old_id, CASE WHEN action = 'error' THEN NULL WHEN action = 'signup' AND c.frozen_at IS NULL THEN target ELSE a.article_id % 97 END AS new_id FROM v_articles a LEFT JOIN last USING (article_id) LEFT JOIN clusters c ON c.cluster_id = target)
+, now_ AS (SELECT a.article_id, a.cluster_no AS old_id, CASE WHEN action = 'error' THEN NULL WHEN action = 'signup' AND c.frozen_at IS NULL THEN target ELSE a.cluster_no END AS new_id FROM v_articles a LEFT JOIN last USING (article_id) LEFT JOIN clusters c ON c.cluster_id = target)
 SELECT coalesce(new_id, -1) AS cluster_id, count(*) AS articles, count(*) FILTER (new_id IS DISTINCT FROM old_id) AS moved FROM now_ GROUP BY 1""")
 def assignment_events(t: Tables) -> DataFrame:
     """Attach and detach lists as people left them (the last word counts), refused by frozen stories; counts and moves after."""
-    act = t["events"].where("event_type IN ('signup', 'error')").groupBy(F.floor(F.col("event_id") / 40).alias("article_id")).agg(F.max_by(F.struct("event_type", (F.col("user_id") % 97).alias("target")), F.struct("ts", "event_id")).alias("l")).select("article_id", F.col("l.event_type").alias("action"), "l.target")
+    act = t["events"].where("event_type IN ('signup', 'error')").groupBy(F.floor(F.col("event_id") / 40).alias("article_id")).agg(F.max_by(F.struct("event_type", F.col("user_id").alias("target")), F.struct("ts", "event_id")).alias("l")).select("article_id", F.col("l.event_type").alias("action"), "l.target")
     frozen = scored(t).select(F.col("cluster_id").alias("target"), F.col("frozen_at").isNotNull().alias("frozen"))
-    old = F.col("article_id") % 97
+    old = F.col("cluster_no")
     a = t.articles.select("article_id").join(act, "article_id", "left").join(frozen, "target", "left")
     new = F.when(F.col("action") == "error", None).when((F.col("action") == "signup") & ~F.coalesce("frozen", F.lit(False)), F.col("target")).otherwise(old)
     return a.select(new.alias("n"), old.alias("o")).groupBy(F.coalesce("n", F.lit(-1)).alias("cluster_id")).agg(F.count("*").alias("articles"), F.count_if(~F.col("n").eqNullSafe(F.col("o"))).alias("moved"))
 
 
 @query("M36 M39", CLUSTER_SQL + """
-, img AS (SELECT article_id % 97 AS cluster_id, article_id, title, CASE WHEN n_chars % 9 = 0 THEN 'https://cdn.example/' || article_id || '.jpg' WHEN n_chars % 9 = 1 THEN 'https://i.example/p/' || article_id || '.jpg' END AS u FROM v_articles)
+, img AS (SELECT cluster_no AS cluster_id, article_id, title, CASE WHEN n_chars % 9 = 0 THEN 'https://cdn.example/' || article_id || '.jpg' WHEN n_chars % 9 = 1 THEN 'https://i.example/p/' || article_id || '.jpg' END AS u FROM v_articles)
 , t0 AS (SELECT cluster_id, list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)) AS w FROM eligible)
 , s AS (SELECT cluster_id, u, contains(u, 'cdn.') AS stable, len(list_intersect(t0.w, list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 3)))) AS o, article_id FROM img JOIN t0 USING (cluster_id) WHERE u IS NOT NULL)
 , b AS (SELECT cluster_id, max_by(u, (CASE WHEN stable THEN 1 ELSE 0 END, o, length(u), article_id)) AS image, max_by(o, (CASE WHEN stable THEN 1 ELSE 0 END, o, length(u), article_id)) AS overlap, max(o) AS best FROM s GROUP BY 1)
@@ -166,7 +164,7 @@ def image_rescue(t: Tables) -> DataFrame:
     n = F.col("n_chars") % 9
     u = F.when(n == 0, F.concat(F.lit("https://cdn.example/"), "article_id", F.lit(".jpg"))).when(n == 1, F.concat(F.lit("https://i.example/p/"), "article_id", F.lit(".jpg")))
     e = eligible(t).select("cluster_id", text.tokens(F.col("title")).alias("w"))
-    a = t.articles.select((F.col("article_id") % 97).alias("cluster_id"), "article_id", text.tokens(F.col("title")).alias("aw"), u.alias("u")).where("u IS NOT NULL").join(e, "cluster_id")
+    a = t.articles.select(F.col("cluster_no").alias("cluster_id"), "article_id", text.tokens(F.col("title")).alias("aw"), u.alias("u")).where("u IS NOT NULL").join(e, "cluster_id")
     a = a.withColumn("o", F.size(F.array_intersect("w", "aw")))
     rank = F.struct(F.col("u").contains("cdn.").alias("stable"), "o", F.length("u").alias("n"), "article_id")
     b = a.groupBy("cluster_id").agg(F.max_by(F.struct("u", "o"), rank).alias("b"), F.max("o").alias("best"))
@@ -215,7 +213,7 @@ def new_clusters(t: Tables) -> DataFrame:
 
 
 @query("M12", CLUSTER_SQL + f"""
-, vec AS (SELECT article_id % 97 AS cluster_id, embedding FROM v_articles WHERE embedding IS NOT NULL), cell AS (SELECT cluster_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM vec), cent AS (SELECT cluster_id, list(x ORDER BY p) AS v FROM (SELECT cluster_id, p, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY cluster_id)
+, vec AS (SELECT cluster_no AS cluster_id, embedding FROM v_articles WHERE embedding IS NOT NULL), cell AS (SELECT cluster_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM vec), cent AS (SELECT cluster_id, list(x ORDER BY p) AS v FROM (SELECT cluster_id, p, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY cluster_id)
 , top AS (SELECT cluster_id, v FROM (SELECT * FROM eligible WHERE article_count >= 8 AND source_count >= 4 ORDER BY first_published_at DESC, cluster_id LIMIT 120) JOIN cent USING (cluster_id))
 , e AS (SELECT a.cluster_id AS a, b.cluster_id AS b FROM top a JOIN top b ON a.cluster_id <> b.cluster_id WHERE {COSINE.format('a.v', 'b.v')} >= 0.3), reach(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
 , c AS (SELECT a AS cluster_id, min(b) AS arc FROM reach GROUP BY a), n AS (SELECT *, count(*) OVER (PARTITION BY arc) AS n, row_number() OVER (PARTITION BY arc ORDER BY first_published_at DESC, cluster_id DESC) AS k FROM c JOIN eligible USING (cluster_id))
@@ -223,7 +221,7 @@ SELECT arc, count(*) AS chapters, min(cluster_id) AS first FROM n WHERE k <= 8 G
 def arc_suggestions(t: Tables) -> DataFrame:
     """Arcs of three to eight of the newest larger stories, linked by direction (test cosine .3), cut at gaps over four days
     while they have more than eight (the provided stories lie within hours of each other)."""
-    v = vector.centroids(t.articles.where("embedding IS NOT NULL").withColumn("cluster_id", F.col("article_id") % 97), "cluster_id", "embedding")
+    v = vector.centroids(t.articles.where("embedding IS NOT NULL").withColumn("cluster_id", F.col("cluster_no")), "cluster_id", "embedding")
     top = store(eligible(t).where("article_count >= 8 AND source_count >= 4").orderBy(F.desc("first_published_at"), "cluster_id").limit(120).select("cluster_id", "first_published_at").join(v, "cluster_id"), "top")
     x, y = top.alias("x"), top.alias("y")
     # 120 rows by 120
@@ -234,12 +232,12 @@ def arc_suggestions(t: Tables) -> DataFrame:
 
 
 @query("S22 S23", CLUSTER_SQL + """
-, posted AS (SELECT DISTINCT user_id % 97 AS cluster_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-30 20:00:00')
+, posted AS (SELECT DISTINCT user_id AS cluster_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-30 20:00:00')
 , top AS (SELECT * FROM eligible WHERE cluster_id NOT IN (SELECT cluster_id FROM posted) ORDER BY trending DESC, cluster_id LIMIT 5), p AS (SELECT * FROM (VALUES ('short', 280), ('long', 300)) v(platform, lim))
 SELECT cluster_id, platform, substr(title || chr(10) || 'Coverage: ' || state_count || ' inside, ' || diaspora_count || ' outside' || CASE WHEN blindspot THEN chr(10) || 'One side is silent' ELSE '' END, 1, lim) AS post FROM top CROSS JOIN p""")
 def post_previews(t: Tables) -> DataFrame:
     """The five most visible stories not posted yet, as each platform would show them: title, coverage, blindspot."""
-    posted = t["events"].where("event_type = 'purchase' AND ts >= TIMESTAMP_NTZ '2024-01-30 20:00:00'").select((F.col("user_id") % 97).alias("cluster_id")).distinct()
+    posted = t["events"].where("event_type = 'purchase' AND ts >= TIMESTAMP_NTZ '2024-01-30 20:00:00'").select(F.col("user_id").alias("cluster_id")).distinct()
     top = eligible(t).join(posted, "cluster_id", "left_anti").orderBy(F.desc("trending"), "cluster_id").limit(5)
     limits = F.explode(F.array(F.struct(F.lit("short").alias("platform"), F.lit(280).alias("lim")), F.struct(F.lit("long").alias("platform"), F.lit(300).alias("lim"))))
     body = F.concat("title", F.lit("\nCoverage: "), "state_count", F.lit(" inside, "), "diaspora_count", F.lit(" outside"), F.when(F.col("blindspot"), "\nOne side is silent").otherwise(""))
@@ -266,7 +264,7 @@ def identity_prefixes(t: Tables) -> DataFrame:
 
 
 #: What bodies carry that isn't theirs.
-BOILERPLATE = (r"(?i)Transferring to the website\.\.\.", r"در\s*[\x{62D}\x{FEA1}\x{FEA2}\x{FEA3}\x{FEA4}]ال\s*انتقال\s*به\s*سایت[\s\S]*$", r"گزارش\s+خطا[\s\S]*", r"(?m)^\s*کد\s+خبر:?\s*[\d۰-۹]+\s*$", r"(?m)^\s*\|\s*\|\s*[\d۰-۹]+\s+بازدید\s*$", r"(?m)^\s*تعداد\s+بازدید:?.*$")
+BOILERPLATE = (r"(?i)Transferring to the website\.\.\.", r"در\s*[حﺡﺢﺣﺤ]ال\s*انتقال\s*به\s*سایت[\s\S]*$", r"گزارش\s+خطا[\s\S]*", r"(?m)^\s*کد\s+خبر:?\s*[\d۰-۹]+\s*$", r"(?m)^\s*\|\s*\|\s*[\d۰-۹]+\s+بازدید\s*$", r"(?m)^\s*تعداد\s+بازدید:?.*$")
 CAPTION = {"src1": r"تصاویر\s+رسیده\s+به\s+ایران\s+اینترنشنال[^.؛\n]*[.؛]"}
 DRESSED = ("Transferring to the website...", "\nکد خبر: ۱۲۳\n", "تصاویر رسیده به ایران اینترنشنال نشان می‌دهد. ", "گزارش خطا نظر شما", "\nتعداد بازدید: ۵\n", "در حال انتقال به سایت لطفا")
 
@@ -277,13 +275,13 @@ def replaced_sql(x: str, patterns) -> str:
     return x
 
 
-@query("F6 F41", ", d AS (SELECT article_id, source_id, substr(body, 1, 60) || ([" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in DRESSED) + f"])[article_id % {len(DRESSED)} + 1] || substr(body, 61, 40) AS x FROM v_articles)" + f"""
+@query("F6 F41", ", d AS (SELECT article_id, source_id, substr(body, 1, 60) || ([" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in DRESSED) + f"])[article_id % {len(DRESSED)} + 1] || substr(body, 61) AS x FROM v_articles)" + f"""
 , c AS (SELECT article_id, CASE WHEN source_id = 'src1' THEN regexp_replace({replaced_sql('x', BOILERPLATE)}, '{CAPTION['src1']}', '', 'g') ELSE {replaced_sql('x', BOILERPLATE)} END AS x FROM d)
 SELECT article_id, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS kept, array_to_string(list_filter(list_transform(string_split_regex(x, '[؛.؟!]'), lambda s: trim(regexp_replace(regexp_replace(s, '[،,:«»"()\\-]', '', 'g'), '\\s+', ' ', 'g'))), lambda s: length(s) >= 15), '|') AS sentences FROM c""")
 def stripped_bodies(t: Tables) -> DataFrame:
     """Bodies without what sites put into them, everywhere and by outlet; and their sentences without punctuation."""
     i = F.col("article_id")
-    x = F.concat(F.substring("body", 1, 60), F.element_at(F.array(*map(F.lit, DRESSED)), (i % len(DRESSED) + 1).cast("int")), F.substring("body", 61, 40))
+    x = F.concat(F.substring("body", 1, 60), F.element_at(F.array(*map(F.lit, DRESSED)), (i % len(DRESSED) + 1).cast("int")), F.substring("body", 61, 2147483647))
     for p in BOILERPLATE:
         x = F.regexp_replace(x, p, "")
     for s, p in CAPTION.items():

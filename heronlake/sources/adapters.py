@@ -46,7 +46,11 @@ class Tables:
 
     @cached_property
     def articles(self) -> DataFrame:
-        """Documents; those with a vector of the same number belong to the story of its label."""
+        """Documents; those with a vector of the same number belong to the story of its label.
+
+        ``cluster_no`` parts every sixty of them into ten clusters by length; two in forty of an outlet share an address: so both
+        grow with the data.
+        """
         d, e = self["documents"], self["embeddings"].select(F.col("vec_id").alias("doc_id"), "embedding", "label")
         i = F.col("doc_id")
         ingested = hours_before((i % 720).cast("int"))
@@ -56,7 +60,8 @@ class Tables:
             F.when(i % 5 == 0, "news").when(i % 5 == 1, "opinion").when(i % 5 == 2, "analysis").when(i % 5 == 3, "sport").alias("content_type"),
             ingested.alias("ingested_at"),
             F.when(i % 17 != 0, hours_before((i % 720 + i % 5).cast("int"))).alias("published_at"),
-            F.concat(F.lit("https://"), "source", F.lit(".example/a/"), i % 300).alias("url"), "embedding",
+            F.concat(F.lit("https://"), "source", F.lit(".example/a/"), F.floor(i / 40) * 20 + i % 20).alias("url"), "embedding",
+            (F.floor(i / 60) * 10 + F.col("n_chars") % 10).alias("cluster_no"),
         )
 
     @cached_property
@@ -100,7 +105,8 @@ v_articles AS (
     CASE doc_id % 5 WHEN 0 THEN 'news' WHEN 1 THEN 'opinion' WHEN 2 THEN 'analysis' WHEN 3 THEN 'sport' END AS content_type,
     TIMESTAMP '2024-01-31' - to_hours(CAST(doc_id % 720 AS INTEGER)) AS ingested_at,
     CASE WHEN doc_id % 17 <> 0 THEN TIMESTAMP '2024-01-31' - to_hours(CAST(doc_id % 720 + doc_id % 5 AS INTEGER)) END AS published_at,
-    'https://' || source || '.example/a/' || (doc_id % 300) AS url, embedding
+    'https://' || source || '.example/a/' || (doc_id // 40 * 20 + doc_id % 20) AS url, embedding,
+    doc_id // 60 * 10 + n_chars % 10 AS cluster_no
   FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 v_stories AS (
   SELECT story_id, count(*) AS article_count, count(DISTINCT source_id) AS source_count, min(published_at) AS first_published_at, max(ingested_at) AS last_updated_at,
