@@ -20,10 +20,12 @@ Only the columns named are read.
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ SHARD_TOKENS = 2_000_000
 #: Positions of a part of a bitmap, and parts that one AND takes at once.
 WIDTH, STEP = 8, 1 << 16
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
+#: Turns in which pairs are counted: each shuffles a part of them.
+TURNS = 3
 #: Lower case of A-Z; tabs become spaces, characters that end a piece line feeds.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 
@@ -167,10 +171,11 @@ def sorted_by(bits: Bitmaps, key: np.ndarray) -> Bitmaps:
     return bits.take(np.lexsort((bits.part, key)))
 
 
-def pair_bitmaps(words: Bitmaps, n: int, wanted: np.ndarray | None = None) -> Bitmaps:
-    """Bitmaps of where pairs end (*wanted* ones, ascending, else all); a pair's number is first word * *n* + second word."""
+def pair_bitmaps(words: Bitmaps, n: int, wanted: np.ndarray | None = None, first: np.ndarray | None = None) -> Bitmaps:
+    """Bitmaps of where pairs end (*wanted* ones, ascending, or those whose first word is in the mask *first*, else all);
+    a pair's number is first word * *n* + second word."""
     right = words.take(np.argsort(words.part, kind="stable"))
-    left = words.shifted()
+    left = (words if first is None else words.take(np.flatnonzero(first[words.owner]))).shifted()
     left = left.take(np.argsort(left.part, kind="stable"))
     owner, part, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for a, b, found in meet(left, left.part, right, right.part):
@@ -248,11 +253,12 @@ def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([planes])], ["shard", "lang", "words", "stream"])
 
 
-def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``shard``, ``phrase`` (behind its language and a line feed) and ``n``: the pairs of a thinned shard's words."""
+def paired(batches: Iterator[pa.RecordBatch], turn: int, turns: int) -> Iterator[pa.RecordBatch]:
+    """``shard``, ``phrase`` (behind its language and a line feed) and ``n``: the pairs of a thinned shard's words
+    of which the first one has the hash *turn* modulo *turns*."""
     for shard, lang, words, planes in values(batches):
-        n = len(words)
-        pairs = pair_bitmaps(word_bitmaps(unpacked(planes)), n)
+        n, first = len(words), np.array([zlib.crc32(w.encode()) % turns == turn for w in words], bool)
+        pairs = pair_bitmaps(word_bitmaps(unpacked(planes)), n, first=first)
         found, number = np.unique(pairs.owner, return_inverse=True)
         counts = Bitmaps(number, pairs.part, pairs.bits).counts(len(found))
         for i in range(0, len(found), STEP):
@@ -305,7 +311,9 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
         words = often(each)
         thin = store(mapped(again(all_, words), thinned, "shard long, lang string, words array<string>, stream binary"), "thinned-shards")
         forget(all_)
-        pairs = often(mapped(thin, paired, schema))
+        # in turns, as there are many more pairs than pass
+        turns = [often(mapped(thin, lambda batches, i=i: paired(batches, i, TURNS), schema)) for i in range(TURNS)]
+        pairs = reduce(DataFrame.unionByName, turns)
         triples = often(mapped(again(thin, pairs), lambda batches: extended(batches, 3), schema))
         longer = mapped(again(thin, triples), lambda batches: extended(batches, longest), schema).groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         found = words.unionByName(pairs).unionByName(triples).select("phrase", "f").distinct().unionByName(longer)
@@ -313,7 +321,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
         phrase, words_of = F.substring_index("phrase", "\n", -1), F.split(F.substring_index("phrase", "\n", -1), " ", -1)
         of = F.substring(F.col("phrase"), F.lit(1), F.length("phrase") - F.length(phrase) - 1)
         found = store(found.select(of.alias("lang"), phrase.alias("phrase"), F.size(words_of).alias("size"), "f", words_of.alias("words")).where(F.col("size") <= longest), "phrase-counts")
-        forget(thin, words, pairs, triples)
+        forget(thin, words, *turns, triples)
     return found, totals
 
 
