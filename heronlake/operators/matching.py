@@ -195,3 +195,63 @@ def shifted(moves: DataFrame) -> DataFrame:
     """``story_id`` and ``change`` of the stories whose number of posts changes with *moves*: their cached analysis is stale."""
     ends = F.explode(F.array(F.struct(F.col("story_id"), F.lit(-1).alias("d")), F.struct(F.col("to_story").alias("story_id"), F.lit(1).alias("d")))).alias("e")
     return moves.select(ends).groupBy("e.story_id").agg(F.sum("e.d").alias("change")).where("change <> 0")
+
+
+def rehomed(orphans: DataFrame, rejected: DataFrame, stories: DataFrame, least: float = 0.40) -> DataFrame:
+    """``article_id``, ``story_id`` and ``score``: articles that readers took out of a story with the nearest story that nobody
+    rejected for them (ties: least id); null where none reaches *least*.
+
+    *orphans* has ``article_id`` and ``vec``, *rejected* pairs of ``article_id`` and ``story_id``, *stories* ``story_id`` and ``vec``.
+    """
+    near = vector_index.near(orphans, "article_id", "vec", stories, "story_id", "vec", least).select(F.col("a").alias("article_id"), F.col("b").alias("story_id"), "score")
+    allowed = near.join(rejected.select("article_id", "story_id").distinct(), ["article_id", "story_id"], "left_anti")
+    best = allowed.groupBy("article_id").agg(F.max(F.struct("score", -F.col("story_id"), "story_id")).alias("m"))
+    return orphans.select("article_id").join(best, "article_id", "left").select("article_id", "m.story_id", "m.score")
+
+
+def merged_labels(groups: DataFrame, stories: DataFrame, overlap: float = 0.5) -> DataFrame:
+    """One row per group of equal labels: ``label``, ``fate`` (merged, new or single) and ``into``, the title of the story it joins.
+
+    *groups* has ``label`` (lower case, not empty), ``place`` (whole, distinct) and ``n`` articles, *stories* ``place`` (distinct,
+    below all groups') and ``title``.  As if groups came one after another: a group joins the first story (by place) whose title holds
+    its label, is held by it, or shares over *overlap* of the shorter one's words; a group of two or more that joins none becomes a story,
+    placed behind all others, which later groups may join.
+
+    Pairs meet on words and on the rarest three letters of the shorter text, never all with all.  A group is decided once
+    all stories before it that it could join are: the rounds are as many as the longest chain of such groups.
+    """
+    titles = stories.select("place", F.lower("title").alias("text"), F.lit(2).alias("n"), F.lit(False).alias("group")).unionByName(groups.select("place", F.col("label").alias("text"), "n", F.lit(True).alias("group")))
+    texts = store(titles.where("text <> ''"), "label-texts")
+    words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    grams = F.when(F.length("text") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3))))).otherwise(F.array("text"))
+    held = texts.select("place", F.explode(grams).alias("g"))
+    rarest = held.join(held.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("place").agg(F.min_by("g", F.struct("df", "g")).alias("g"))
+    # the shorter text's rarest letters occur in the longer one; texts under three letters are looked for in all grams
+    short = rarest.where(F.length("g") < 3).select(F.col("place").alias("s"), "g")
+    longer = held.select(F.col("place").alias("l"), "g")
+    inside = rarest.where(F.length("g") >= 3).select(F.col("place").alias("s"), "g").join(longer, "g").select("s", "l")
+    pieces = longer.select("l", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("g")), lambda i: F.array(F.substring(F.col("g"), i, F.lit(1)), F.substring(F.col("g"), i, F.lit(2)))))).alias("g")).distinct()
+    inside = inside.unionByName(short.join(pieces, "g").select("s", "l"))
+    said = texts.select("place", F.explode(words).alias("w"))
+    shared = said.alias("x").join(said.alias("y"), "w").where("x.place < y.place").select(F.col("x.place").alias("a"), F.col("y.place").alias("b"))
+    met = inside.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).where("a < b").unionByName(shared).distinct()
+    side = lambda x: texts.select(F.col("place").alias(x), F.col("text").alias(f"t{x}"), words.alias(f"w{x}"), F.col("n").alias(f"n{x}"), F.col("group").alias(f"g{x}"))
+    pair = met.join(side("a"), "a").join(side("b").where("gb"), "b").where("NOT ga OR na >= 2")
+    alike = F.col("ta").contains(F.col("tb")) | F.col("tb").contains(F.col("ta")) | (F.size(F.array_intersect("wa", "wb")) > overlap * F.least(F.size("wa"), F.size("wb")))
+    edges = store(pair.where(alike).select("a", "b", "ga"), "label-edges")
+
+    open_ = groups.select(F.col("place").alias("b"), "n")
+    done = None
+    story = stories.select(F.col("place").alias("a"))
+    while True:
+        # the first earlier text that is a story, and the first that is still open
+        state = edges.join(story.withColumn("is", F.lit(True)), "a", "left").join(open_.select(F.col("b").alias("a"), F.lit(True).alias("wait")), "a", "left")
+        first = state.groupBy("b").agg(F.min(F.when(F.col("is"), F.col("a"))).alias("into"), F.min(F.when(F.col("wait"), F.col("a"))).alias("wait"))
+        now = store(open_.join(first, "b", "left"), "label-round")
+        sure = now.where("wait IS NULL OR into < wait").select("b", F.when(F.col("into").isNotNull(), "merged").when(F.col("n") >= 2, "new").otherwise("single").alias("fate"), "into")
+        done = sure if done is None else done.unionByName(sure)
+        story = store(story.unionByName(sure.where("fate = 'new'").select(F.col("b").alias("a"))), "label-stories")
+        open_ = now.where("NOT (wait IS NULL OR into < wait)").select("b", "n")
+        if open_.isEmpty():
+            joined = done.join(texts.select(F.col("place").alias("into"), F.col("text").alias("title")), "into", "left")
+            return groups.join(joined.withColumnRenamed("b", "place"), "place").select("label", "fate", F.col("title").alias("into"))

@@ -19,6 +19,7 @@ from heronlake.plans.registry import query
 from heronlake.plans.similarity import COSINE
 from heronlake.plans.texts import LEXICON
 from heronlake.sources.adapters import Tables, hours_before, now
+from heronlake.sources.storage import store
 
 LENGTH, PINNED, MOST = 12, 40, 30
 
@@ -205,3 +206,58 @@ def moved_posts(t: Tables) -> DataFrame:
 def shifted_stories(t: Tables) -> DataFrame:
     """Stories whose number of posts changes with those moves, so that their cached analysis goes."""
     return matching.shifted(post_moves(t))
+
+
+VOTE_SQL = THREAD_SQL + f"""
+, rater AS (SELECT DISTINCT doc_id AS article_id FROM labels WHERE toxic = 1)
+, anon AS (SELECT event_id // 20 AS article_id, count(DISTINCT coalesce(CASE WHEN value >= 20 THEN 'c' || user_id END, 'f' || user_id % 7)) AS voters FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(DISTINCT coalesce(CASE WHEN value >= 20 THEN 'c' || user_id END, 'f' || user_id % 7)) >= 3)
+, orphan AS (SELECT article_id, s.story_id, embedding AS vec, CASE WHEN r.article_id IS NOT NULL THEN 'rater' ELSE 'readers' END AS voted FROM stored s LEFT JOIN rater r USING (article_id) LEFT JOIN anon a USING (article_id) WHERE r.article_id IS NOT NULL OR a.article_id IS NOT NULL)
+, refused AS (SELECT article_id, story_id FROM orphan UNION SELECT doc_id, (doc_id + {LENGTH}) // {LENGTH} FROM labels WHERE toxic = 1)
+, home AS (SELECT o.article_id, t.story_id, {COSINE.format('vec', 'centroid')} AS s FROM orphan o CROSS JOIN thread t WHERE article_count >= 2 AND NOT frozen AND NOT EXISTS (SELECT 1 FROM refused f WHERE f.article_id = o.article_id AND f.story_id = t.story_id))
+, best AS (SELECT article_id, max_by(story_id, (s, -story_id)) AS to_story, max(s) AS s FROM home WHERE s >= 0.25 GROUP BY article_id)
+SELECT article_id, o.story_id, voted, to_story, round(s, 6) AS score FROM orphan o LEFT JOIN best USING (article_id)"""
+
+
+@query("M15 A27 J11", VOTE_SQL)
+def voted_out(t: Tables) -> DataFrame:
+    """Articles that a rater or three readers took out of their story, and the nearest story that nobody refused for them (test cosine .25)."""
+    s, o = threads(t), stored(t)
+    rater = t["labels"].where("toxic = 1").select(F.col("doc_id").alias("article_id")).distinct().withColumn("rater", F.lit(True))
+    identity = F.coalesce(F.when(F.col("value") >= 20, F.concat(F.lit("c"), "user_id")), F.concat(F.lit("f"), F.col("user_id") % 7))
+    anon = t["events"].where("event_type = 'error'").groupBy(F.floor(F.col("event_id") / 20).alias("article_id")).agg(F.countDistinct(identity).alias("voters")).where("voters >= 3")
+    out = o.join(rater, "article_id", "left").join(anon, "article_id", "left").where("rater OR voters IS NOT NULL")
+    out = out.select("article_id", "story_id", F.col("embedding").alias("vec"), F.when(F.col("rater"), "rater").otherwise("readers").alias("voted"))
+    refused = out.select("article_id", "story_id").unionByName(t["labels"].where("toxic = 1").select(F.col("doc_id").alias("article_id"), F.floor((F.col("doc_id") + LENGTH) / LENGTH).alias("story_id")))
+    home = matching.rehomed(out.select("article_id", "vec"), refused, s.where("article_count >= 2 AND NOT frozen").select("story_id", F.col("centroid").alias("vec")), 0.25)
+    return out.select("article_id", "story_id", "voted").join(home.withColumnRenamed("story_id", "to_story"), "article_id").select("article_id", "story_id", "voted", "to_story", F.round("score", 6).alias("score"))
+
+
+LABEL_SQL = """
+, a AS (SELECT article_id, lower(trim(array_to_string(string_split(title, ' ')[1:2], ' '))) AS label, row_number() OVER (ORDER BY published_at DESC NULLS LAST, article_id) AS i FROM v_articles WHERE ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR)
+, g AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY min(i)) AS place FROM a WHERE label <> '' GROUP BY label)
+, st AS (SELECT lower(min_by(title, article_id)) AS title, 1 - row_number() OVER (ORDER BY cluster_no DESC) AS p0 FROM v_articles WHERE ingested_at < TIMESTAMP '2024-01-31' - INTERVAL 72 HOUR AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 120 HOUR GROUP BY cluster_no)
+, s AS (SELECT title, p0 - (SELECT 0) AS place FROM st WHERE title <> '')
+, tx AS (SELECT place, title AS text, false AS grp, 2 AS n FROM s UNION ALL SELECT place, label, true, n FROM g)
+, e AS (SELECT x.place AS a, y.place AS b FROM tx x JOIN tx y ON y.grp AND x.place < y.place AND (NOT x.grp OR x.n >= 2) WHERE contains(x.text, y.text) OR contains(y.text, x.text)
+  OR len(list_intersect(list_filter(string_split_regex(x.text, '\\s+'), lambda w: w <> ''), list_filter(string_split_regex(y.text, '\\s+'), lambda w: w <> ''))) > 0.5 * least(len(list_distinct(list_filter(string_split_regex(x.text, '\\s+'), lambda w: w <> ''))), len(list_distinct(list_filter(string_split_regex(y.text, '\\s+'), lambda w: w <> '')))))
+, near AS (SELECT b, list(a ORDER BY a) AS l FROM e GROUP BY b)
+, go(i, made, into_) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT
+  UNION ALL SELECT place, CASE WHEN hit IS NULL AND n >= 2 THEN list_append(made, place) ELSE made END, hit FROM (SELECT g.place, g.n, made, list_filter(coalesce(l, []), lambda x: x < 1 OR list_contains(made, x))[1] AS hit FROM go JOIN g ON g.place = go.i + 1 LEFT JOIN near ON b = g.place))
+"""
+
+
+@query("M38", LABEL_SQL + "SELECT label, CASE WHEN into_ IS NOT NULL THEN 'merged' WHEN g.n >= 2 THEN 'new' ELSE 'single' END AS fate, x.text AS \"into\" FROM go JOIN g ON g.place = go.i LEFT JOIN tx x ON x.place = into_")
+def topic_labels(t: Tables) -> DataFrame:
+    """Articles of three days grouped by equal labels (their titles' first two words), each group in turn joined to the first story that
+    its label fits, the stories that earlier groups became included."""
+    label = F.lower(F.trim(F.array_join(F.slice(F.split("title", " "), 1, 2), " ")))
+    order = F.struct(F.col("published_at").isNull().alias("none"), (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("at"), "article_id")
+    new = t.articles.where(F.col("ingested_at") >= hours_before(F.lit(72))).select(label.alias("label"), order.alias("o")).where("label <> ''")
+    # numbers that only rise in the order, so that no task numbers all rows; stories' are negative
+    place = F.monotonically_increasing_id()
+    groups = new.groupBy("label").agg(F.count("*").alias("n"), F.min("o").alias("o")).orderBy("o")
+    groups = store(groups.select("label", "n", place.alias("place")), "label-groups")
+    old = t.articles.where((F.col("ingested_at") < hours_before(F.lit(72))) & (F.col("ingested_at") >= hours_before(F.lit(120))))
+    stories = old.groupBy("cluster_no").agg(F.lower(F.min_by("title", "article_id")).alias("title"))
+    stories = store(stories.where("title <> ''").orderBy(F.desc("cluster_no")).select("title", (-1 - place).alias("place")), "label-old")
+    return matching.merged_labels(groups, stories)

@@ -12,16 +12,13 @@ from pyspark.sql import functions as F
 from heronlake.functions import text, vector
 from heronlake.operators import similarity
 from heronlake.operators.graph import components
+from heronlake.operators.matching import generic_tokens
 from heronlake.plans.ranking import CLUSTER_SQL, eligible
 from heronlake.plans.registry import query
 from heronlake.plans.similarity import COSINE, VECTOR_SQL
 from heronlake.sources.adapters import Tables, hours_before
 from heronlake.sources.storage import store
 
-#: Words of titles here that say nothing about an event (the provided prose's commonest).
-GENERIC = ("ierung", "eaument", "ement", "heit", "keit", "ción", "about", "which")
-
-
 def titled(t: Tables) -> DataFrame:
     """Embedded articles with the signals of their titles."""
     a = t.articles.where("embedding IS NOT NULL")
@@ -63,15 +60,19 @@ def agglomerative_clusters(t: Tables) -> DataFrame:
     return components(linked(titled(t), 0.02)).select(F.col("node").alias("article_id"), F.col("root").alias("cluster"))
 
 
-def same_event(rows: DataFrame, key: str, words: str, vec: str, cosine: float = 0.64, least_jaccard: float = 0.12, shared: int = 2, generic: tuple[str, ...] = GENERIC) -> DataFrame:
+#: Share of all rows from which on a word says nothing about an event.
+GENERIC = 0.15
+
+
+def same_event(rows: DataFrame, key: str, words: str, vec: str, cosine: float = 0.64, least_jaccard: float = 0.12, shared: int = 2, generic: float = GENERIC) -> DataFrame:
     """Pairs ``a`` < ``b`` of *key* that tell of the same event: *shared* words or more, one of them no
-    generic one, enough overlap, and vectors near enough.
+    generic one (on a share of *generic* of the rows), enough overlap, and vectors near enough.
 
-    One shared word has to be specific, so pairs meet on specific words only: the commonest
-    words form no lists.
+    One shared word has to be specific, so pairs meet on specific words only: generic words form no lists.
     """
-    special = F.array_except(words, F.array(*map(F.lit, generic)))
-    met = paired_by(rows.select(F.col(key), special.alias("s")), key, "s")
+    # one row with the generic words
+    special = rows.join(F.broadcast(generic_tokens(rows, words, generic))).select(F.col(key), F.array_except(words, "generic").alias("s"))
+    met = paired_by(special, key, "s")
     side = lambda x: rows.select(F.col(key).alias(x), F.col(words).alias(f"w{x}"), F.col(vec).alias(f"e{x}"))
     both = met.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("wa", "wb")) >= shared)
     return both.where((text.jaccard(F.col("wa"), F.col("wb")) >= least_jaccard) & (vector.cosine(F.col("ea"), F.col("eb")) >= cosine)).select("a", "b")
@@ -82,8 +83,9 @@ SMALL_SQL = f"""
 , cell AS (SELECT small_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM vec)
 , cent AS (SELECT small_id, list(x ORDER BY p) AS centroid FROM (SELECT small_id, p, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY small_id)
 , small AS (SELECT small_id, count(*) AS n, max(ingested_at) AS updated, list_distinct(list_filter(string_split_regex(lower(string_agg(title, ' ')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3)) AS w FROM vec GROUP BY small_id HAVING count(*) <= 4)
-, pass AS (SELECT x.small_id AS a, y.small_id AS b FROM small x JOIN small y ON x.small_id < y.small_id JOIN cent cx ON cx.small_id = x.small_id JOIN cent cy ON cy.small_id = y.small_id WHERE len(list_intersect(x.w, y.w)) >= 2
-  AND len(list_filter(list_intersect(x.w, y.w), lambda z: z NOT IN {GENERIC})) >= 1 AND len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE >= 0.12 AND {COSINE.format('cx.centroid', 'cy.centroid')} >= 0.1)
+, general AS (SELECT coalesce(list(w), []) AS generic FROM (SELECT w FROM (SELECT unnest(w) AS w FROM small) GROUP BY w HAVING count(*) >= {GENERIC} * (SELECT count(*) FROM small)))
+, pass AS (SELECT x.small_id AS a, y.small_id AS b FROM small x JOIN small y ON x.small_id < y.small_id JOIN cent cx ON cx.small_id = x.small_id JOIN cent cy ON cy.small_id = y.small_id CROSS JOIN general WHERE len(list_intersect(x.w, y.w)) >= 2
+  AND len(list_filter(list_intersect(x.w, y.w), lambda z: NOT list_contains(generic, z))) >= 1 AND len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE >= 0.12 AND {COSINE.format('cx.centroid', 'cy.centroid')} >= 0.1)
 """
 
 
@@ -133,9 +135,8 @@ LAYER_SQL = f"""
 
 def keep_first(rows: DataFrame, by: str) -> DataFrame:
     """``article_id`` of the rows that share *by* with an earlier row, and its story with the earliest."""
-    first = Window.partitionBy(by).orderBy("ingested_at", "article_id")
-    k = rows.select("article_id", "story_id", F.row_number().over(first).alias("k"), F.first("story_id").over(first).alias("ks"))
-    return k.where("k > 1 AND story_id = ks").select("article_id")
+    first = rows.groupBy(by).agg(F.min(F.struct("ingested_at", "article_id", "story_id")).alias("first"))
+    return rows.join(first, by).where("article_id <> first.article_id AND story_id = first.story_id").select("article_id")
 
 
 def near_repeats(rows: DataFrame, cosine: float = 0.92, most: int = 800) -> DataFrame:

@@ -26,7 +26,7 @@ def query(covers: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from heronlake.plans import coverage, editorial, feedback, homepage, ingest, judging, landing, lifecycle, matching, merging, queues, ranking, reports, similarity, stats, streams, texts, upkeep, wording  # noqa: F401
+    from heronlake.plans import contents, coverage, editorial, feedback, homepage, ingest, judging, landing, lifecycle, matching, merging, queues, ranking, reports, similarity, stats, streams, texts, upkeep, wording  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
