@@ -248,10 +248,10 @@ def merged_labels(groups: DataFrame, stories: DataFrame, overlap: float = 0.5) -
         state = edges.join(story.withColumn("is", F.lit(True)), "a", "left").join(open_.select(F.col("b").alias("a"), F.lit(True).alias("wait")), "a", "left")
         first = state.groupBy("b").agg(F.min(F.when(F.col("is"), F.col("a"))).alias("into"), F.min(F.when(F.col("wait"), F.col("a"))).alias("wait"))
         now = store(open_.join(first, "b", "left"), "label-round")
-        sure = now.where("wait IS NULL OR into < wait").select("b", F.when(F.col("into").isNotNull(), "merged").when(F.col("n") >= 2, "new").otherwise("single").alias("fate"), "into")
+        sure = now.where("wait IS NULL OR coalesce(into < wait, false)").select("b", F.when(F.col("into").isNotNull(), "merged").when(F.col("n") >= 2, "new").otherwise("single").alias("fate"), "into")
         done = sure if done is None else done.unionByName(sure)
         story = store(story.unionByName(sure.where("fate = 'new'").select(F.col("b").alias("a"))), "label-stories")
-        open_ = now.where("NOT (wait IS NULL OR into < wait)").select("b", "n")
+        open_ = now.where("wait IS NOT NULL AND NOT coalesce(into < wait, false)").select("b", "n")
         if open_.isEmpty():
             joined = done.join(texts.select(F.col("place").alias("into"), F.col("text").alias("title")), "into", "left")
             return groups.join(joined.withColumnRenamed("b", "place"), "place").select("label", "fate", F.col("title").alias("into"))

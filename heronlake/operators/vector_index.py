@@ -10,7 +10,7 @@ cells are visited: faster, and the recall is to be measured.
 
 Cells are met in blocks of about BLOCK rows on either side, so no task holds more than
 two blocks, however full a cell is.  Zero vectors, nulls and vectors of another length than
-the pivots' have no neighbours.
+most of the right side's have no neighbours.
 """
 
 from __future__ import annotations
@@ -35,12 +35,10 @@ def usable(rows: DataFrame, key: str, vec: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("k"), vector.unit(F.col(vec).cast("array<double>")).alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
 
 
-def pivots(rows: DataFrame, n: int) -> np.ndarray:
-    """*n* different vectors of *rows* at most: those of least hash."""
-    found = [r.v for r in rows.select("v").distinct().orderBy(F.xxhash64("v")).limit(n).collect()]
-    sizes = [len(v) for v in found]
-    width = max(sizes, key=sizes.count) if sizes else 0
-    return np.array([v for v in found if len(v) == width]).reshape(-1, width)
+def pivots(rows: DataFrame, n: int, width: int) -> np.ndarray:
+    """*n* different vectors of *rows* of *width* components at most: those of least hash."""
+    found = rows.where(F.size("v") == width).select("v").distinct().orderBy(F.xxhash64("v")).limit(n).collect()
+    return np.array([r.v for r in found]).reshape(-1, width)
 
 
 def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +87,12 @@ def near(left: DataFrame, left_key: str, left_vec: str, right: DataFrame, right_
     Keys are whole numbers.  At most *most* pivots are used, the root of *right*'s rows if that is less.
     """
     spark, x, y = left.sparkSession, usable(left, left_key, left_vec), usable(right, right_key, right_vec)
-    n_left, n_right = x.count(), y.count()
-    centres = pivots(y, min(most, max(1, math.isqrt(n_right))))
-    if not n_left or not len(centres):
+    # a row per length of vector: the commonest counts
+    common = y.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
+    n_left = x.count()
+    if not n_left or not common:
         return spark.createDataFrame([], "a long, b long, score double")
+    centres = pivots(y, min(most, max(1, math.isqrt(common.n))), common.width)
     home = _at_home(y, centres)
     low, high, chunks = np.full(len(centres), np.inf), np.full(len(centres), -np.inf), [1] * len(centres)
     for r in home.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).collect():  # a row per pivot
