@@ -261,3 +261,27 @@ def topic_labels(t: Tables) -> DataFrame:
     stories = old.groupBy("cluster_no").agg(F.lower(F.min_by("title", "article_id")).alias("title"))
     stories = store(stories.where("title <> ''").orderBy(F.desc("cluster_no")).select("title", (-1 - place).alias("place")), "label-old")
     return matching.merged_labels(groups, stories)
+
+
+OWN_SQL = THREAD_SQL + f"""
+, own AS (SELECT s.article_id, s.story_id, ingested_at, {COSINE.format('embedding', 'centroid')} AS score FROM stored s JOIN thread t USING (story_id) WHERE article_count >= 5)
+"""
+
+
+def own_scores(t: Tables) -> DataFrame:
+    """Each article's cosine to its own story's centroid, in stories of five or more."""
+    s = threads(t).where("article_count >= 5").select("story_id", "centroid")
+    return stored(t).join(s, "story_id").select("article_id", "story_id", "ingested_at", vector.cosine(F.col("embedding").cast("array<double>"), F.col("centroid")).alias("score"))
+
+
+@query("M16", OWN_SQL + "SELECT article_id, story_id, round(score, 6) AS score FROM own WHERE score < 0.25 AND ingested_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY ORDER BY story_id, article_id LIMIT 50")
+def detached_articles(t: Tables) -> DataFrame:
+    """The week's articles below .25 to their own story, which leave it: fifty a run, story by story."""
+    week = own_scores(t).where((F.col("score") < 0.25) & (F.col("ingested_at") >= hours_before(F.lit(168))))
+    return week.orderBy("story_id", "article_id").limit(50).select("article_id", "story_id", F.round("score", 6).alias("score"))
+
+
+@query("M33", OWN_SQL + "SELECT article_id, story_id, round(score, 6) AS score FROM own WHERE score < 0.2")
+def unrelated_report(t: Tables) -> DataFrame:
+    """All articles below .20 to their own story."""
+    return own_scores(t).where("score < 0.2").select("article_id", "story_id", F.round("score", 6).alias("score"))

@@ -274,6 +274,28 @@ def coordination_groups(t: Tables) -> DataFrame:
     return c.groupBy("campaign").agg(F.count("*").alias("articles"), F.countDistinct("source_id").alias("outlets")).where("articles >= 3 AND outlets >= 3")
 
 
+@query("M24", VECTOR_SQL + f"""
+, t50 AS (SELECT * FROM (SELECT v.article_id, s.source_id, state_alignment, a.published_at, v.embedding, row_number() OVER (PARTITION BY state_alignment ORDER BY v.ingested_at DESC, v.article_id) AS k FROM vec v JOIN v_articles a USING (article_id) JOIN v_sources s ON s.source_id = a.source_id) WHERE k <= 50)
+, e AS (SELECT x.article_id AS a, y.article_id AS b, {COSINE.format('x.embedding', 'y.embedding')} AS s FROM t50 x JOIN t50 y ON x.state_alignment = y.state_alignment AND x.source_id <> y.source_id AND x.article_id < y.article_id AND abs(date_diff('second', x.published_at, y.published_at)) <= 6 * 3600 WHERE {COSINE.format('x.embedding', 'y.embedding')} > 0.05)
+, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, b) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON u.a = r.b), c AS (SELECT a AS article_id, min(b) AS campaign FROM reach GROUP BY a)
+, m AS (SELECT campaign, avg(s) AS s FROM e JOIN c ON article_id = a GROUP BY campaign)
+SELECT campaign, state_alignment AS side, count(*) AS articles, array_to_string(list_sort(list(DISTINCT source_id)), ',') AS outlets, round(any_value(s), 6) AS similarity, round(date_diff('second', min(published_at), max(published_at)) / 3600, 1) AS window_hours FROM c JOIN t50 USING (article_id) JOIN m USING (campaign) GROUP BY campaign, state_alignment HAVING count(*) >= 3 AND count(DISTINCT source_id) >= 3""")
+def coordination_reports(t: Tables) -> DataFrame:
+    """Such groups by time of publication, with their side, outlets, the mean similarity of their links and the hours they span."""
+    a = t.articles.where("embedding IS NOT NULL").select("article_id", "source_id", "embedding", "ingested_at", "published_at").join(t.sources.select("source_id", "state_alignment"), "source_id")
+    newest = Window.partitionBy("state_alignment").orderBy(F.desc("ingested_at"), "article_id")
+    top = store(a.withColumn("k", F.row_number().over(newest)).where("k <= 50"), "newest")
+    x, y = top.alias("x"), top.alias("y")
+    near = (F.col("x.article_id") < F.col("y.article_id")) & (F.col("x.source_id") != F.col("y.source_id")) & (F.abs(F.timestamp_diff("SECOND", F.col("x.published_at"), F.col("y.published_at"))) <= 6 * 3600)
+    pairs = x.join(y, "state_alignment").where(near).select(F.col("x.article_id").alias("a"), F.col("y.article_id").alias("b"), vector.cosine(F.col("x.embedding"), F.col("y.embedding")).alias("s")).where("s > 0.05")
+    pairs = store(pairs, "coordinated")
+    c = store(components(pairs.select("a", "b")).select(F.col("node").alias("article_id"), F.col("root").alias("campaign")), "campaigns")
+    mean = pairs.join(c.withColumnRenamed("article_id", "a"), "a").groupBy("campaign").agg(F.round(F.avg("s"), 6).alias("similarity"))
+    hours = F.round(F.timestamp_diff("SECOND", F.min("published_at"), F.max("published_at")) / 3600, 1)
+    g = c.join(top, "article_id").groupBy("campaign", F.col("state_alignment").alias("side")).agg(F.count("*").alias("articles"), F.array_sort(F.collect_set("source_id")).alias("o"), hours.alias("window_hours")).where((F.col("articles") >= 3) & (F.size("o") >= 3))
+    return g.join(mean, "campaign").select("campaign", "side", "articles", F.array_join("o", ",").alias("outlets"), "similarity", "window_hours")
+
+
 @query("M6 M7", CLUSTER_SQL + VECTOR_SQL + f"""
 , cell AS (SELECT cluster_no AS cluster_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM vec), cent AS (SELECT cluster_id, list(x ORDER BY p) AS v FROM (SELECT cluster_id, p, avg(x) AS x FROM cell GROUP BY ALL) GROUP BY cluster_id)
 , top AS (SELECT cluster_id, priority, list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3)) AS w, v FROM (SELECT * FROM eligible ORDER BY trending DESC, cluster_id LIMIT 80) LEFT JOIN cent USING (cluster_id))
