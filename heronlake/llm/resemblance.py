@@ -49,6 +49,8 @@ POSITIONS, BLOCK, MATCHES = 64, 4, 38
 LIGHT, PAIRED = 24, 4
 #: Posted members of a shingle's list that one task compares with the rest of the list.
 SPLIT = 1024
+#: Shingles before one under which two texts meet that are looked at for an earlier meeting.
+BEFORE = 16
 _SALTS = np.random.default_rng(SEED).integers(1 << 63, size=(2, POSITIONS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -159,9 +161,11 @@ def crowded(crowd: DataFrame, texts: DataFrame, words: int, similarity: float) -
     ordered = shared.groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("grams"))
     ordered = ordered.withColumn("alone", F.col("size") - F.size("grams"))
     asks = (F.col("size") - F.ceil(F.col("size") * similarity - slack) + 1 - F.col("alone")).cast("int")
-    marks = ordered.select("node", "root", "size", "alone", F.posexplode(F.slice("grams", F.lit(1), F.greatest(asks, F.lit(0)))).alias("at", "g"))
-    # rest: shingles from this one on
-    marks = marks.select("node", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("rest"), "g.h")
+    marks = ordered.select("node", "root", "size", "alone", "grams", F.posexplode(F.slice("grams", F.lit(1), F.greatest(asks, F.lit(0)))).alias("at", "g"))
+    some = F.slice("grams", F.greatest(F.lit(1), F.col("at") - (BEFORE - 1)), F.least(F.col("at"), F.lit(BEFORE)))
+    marks = marks.withColumn("before", F.transform(some, lambda g: g["h"]))
+    # rest: shingles from this one on; before: those just before it
+    marks = marks.select("node", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("rest"), "g.h", "before")
     marks = store(marks.withColumn("posted", F.col("rest") >= F.ceil(F.col("size") * 2 * share - slack)), "marks")
     lists = marks.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count_if("posted").alias("n")).where("lo <> hi AND n > 0")
     lists = store(lists.select("h", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "gram-lists")
@@ -174,10 +178,12 @@ def crowded(crowd: DataFrame, texts: DataFrame, words: int, similarity: float) -
     near = (F.col("y.root") != F.col("x.root")) & (F.col("y.most") >= F.col("x.least") * similarity - slack)
     near &= F.least("y.rest", "x.rest") >= (F.col("y.least") + F.col("x.least")) * share - slack
     met = y.join(x, ["h", "part"]).where(near).select("h", "part", F.col("y.root").alias("of_y"), F.col("x.root").alias("of_x"))
-    side = lambda rows, name: rows.select("h", "part", F.col("root").alias(f"of_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "rest")))
+    side = lambda rows, name: rows.select("h", "part", F.col("root").alias(f"of_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "rest", "before")))
     pairs = met.join(side(posted, "y"), ["h", "part", "of_y"]).join(side(asking, "x"), ["h", "part", "of_x"])
     pairs = pairs.where(F.struct("size_y", "node_y") < F.struct("size_x", "node_x")).where(F.col("size_y") >= F.col("size_x") * similarity - slack)
     pairs = pairs.where(F.least("rest_y", "rest_x") >= (F.col("size_y") + F.col("size_x")) * share - slack)
+    # texts that share a shingle just before this one have met there
+    pairs = pairs.where(~F.arrays_overlap("before_y", "before_x"))
     return pairs.select(F.least("node_y", "node_x").alias("a"), F.greatest("node_y", "node_x").alias("b")).distinct()
 
 
