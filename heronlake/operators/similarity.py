@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.functions import vector
+from heronlake.operators import vector_index
 from heronlake.sources.storage import store
 
 
@@ -55,14 +56,23 @@ def scored_blocks(rows: DataFrame, vec: str, targets: DataFrame, target: str, ta
     return out
 
 
+def scored(rows: DataFrame, key: str, vec: str, targets: DataFrame, target: str, target_vec: str, least: float, bound: int = 10_000) -> DataFrame:
+    """*key*, *target* and ``score`` of the pairs with a cosine of *least* or more.
+
+    Up to *bound* targets, counted first, are broadcast; with more of them rows meet only the cells
+    that can hold such a target (:mod:`heronlake.operators.vector_index`).
+    """
+    targets = store(targets.select(target, target_vec), "targets")
+    if targets.count() > bound:
+        return vector_index.near(rows, key, vec, targets, target, target_vec, least).select(F.col("a").alias(key), F.col("b").alias(target), "score")
+    met = rows.select(key, vec).join(F.broadcast(targets.select(F.col(target).alias("_t"), F.col(target_vec).alias("_v"))))
+    return met.select(key, F.col("_t").alias(target), vector.cosine(F.col(vec), F.col("_v")).alias("score")).where(F.col("score") >= least)
+
+
 def best_match(rows: DataFrame, key: str, vec: str, targets: DataFrame, target: str, target_vec: str, least: float, bound: int = 10_000) -> DataFrame:
     """*key*, *target*, ``score``: the target of greatest cosine, if it is *least* or more (ties: least target)."""
-    best = lambda df: df.groupBy(key).agg(F.max(F.struct("score", -F.col(target), F.col(target))).alias("m")).select(key, F.col(f"m.{target}").alias(target), "m.score")
-    parts = [best(p.where(F.col("score") >= least)) for p in scored_blocks(rows.select(key, vec), vec, targets, target, target_vec, bound)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out if len(parts) == 1 else best(out)
+    found = scored(rows, key, vec, targets, target, target_vec, least, bound)
+    return found.groupBy(key).agg(F.max(F.struct("score", -F.col(target), F.col(target))).alias("m")).select(key, F.col(f"m.{target}").alias(target), "m.score")
 
 
 def placed(wishes: DataFrame, key: str, target: str, score: str, capacity: int) -> DataFrame:

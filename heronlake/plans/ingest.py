@@ -105,8 +105,12 @@ def supporter_counts(t: Tables) -> DataFrame:
     said = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Outlet "), n)).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("src"), n)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("The Outlet "), n, F.lit(" TV"))).otherwise("nobody")
     d = t["documents"].select("doc_id", said.alias("said"))
     names = t.sources.select("source_id", "name")
-    # each distinct spelling is resolved once against the outlets
-    met = d.select("said").distinct().join(F.broadcast(names), (F.col("said") == F.col("source_id")) | F.col("said").contains(F.col("name")))
+    # each distinct spelling is resolved once: by the handle, or by its parts that are as long as names are
+    spelt = d.select("said").distinct()
+    sizes = names.agg(F.collect_set(F.length("name")).alias("sizes"))
+    part = F.flatten(F.transform("sizes", lambda n: F.when(F.length("said") >= n, F.transform(F.sequence(F.lit(1), F.length("said") - n + 1), lambda i: F.substring(F.col("said"), i, n))).otherwise(F.array())))
+    parts = spelt.join(F.broadcast(sizes)).select("said", F.explode(F.array_distinct(part)).alias("name"))
+    met = spelt.join(names, F.col("said") == F.col("source_id")).unionByName(parts.join(names, "name").select("said", "source_id", "name")).distinct()
     found = met.groupBy("said").agg(F.coalesce(F.max(F.when(F.col("said") == F.col("source_id"), F.col("source_id"))), F.max(F.when(F.col("said") == F.col("name"), F.col("source_id"))), F.max_by("source_id", F.struct(F.length("name"), "source_id"))).alias("source_id"))
     total = t["documents"].agg(F.count("*").alias("total"))
     return d.join(found, "said").groupBy("source_id").agg(F.count("*").alias("supporters")).join(F.broadcast(total)).select("source_id", "supporters", F.round(100.0 * F.col("supporters") / F.col("total"), 4).alias("pct"))

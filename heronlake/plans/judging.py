@@ -253,14 +253,19 @@ SELECT chapter, max_by(cluster_id, (round(score, 9), -cluster_id)) AS cluster_id
 def chapter_matches(t: Tables) -> DataFrame:
     """The open story that fits a chapter's title best: its share of the title's words, and a quarter for each hint that occurs (half at most).
 
-    Chapters are few (they are written by hand) and are met as a counted, broadcast list.
+    Chapters and stories meet on words they share; two hints alone would do, too, so stories that hold the second one meet on
+    the first one's letters.
     """
     tokens = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))
     s = scored(t)
     ch = s.where("cluster_id % 10 = 0").select(F.col("cluster_id").alias("chapter"), tokens(F.substring("title", 1, 24)).alias("cw"), F.array(F.substring("title", 1, 6), F.lit("zzz")).alias("hints"))
     st = s.where("frozen_at IS NULL AND article_count >= 3").select("cluster_id", "title", tokens(F.col("title")).alias("w"))
     both = F.size(F.array_intersect("cw", "w"))
-    m = st.join(F.broadcast(ch), (both > 0) | F.col("title").contains(F.col("hints")[0]))
+    said = st.select("cluster_id", F.explode("w").alias("k")).join(ch.select("chapter", F.explode("cw").alias("k")), "k").select("chapter", "cluster_id")
+    hint = F.col("hints")[0]
+    pieces = F.when(F.length("title") >= 6, F.transform(F.sequence(F.lit(1), F.length("title") - 5), lambda i: F.substring(F.col("title"), i, F.lit(6)))).otherwise(F.array())
+    hinted = st.where(F.col("title").contains("zzz")).select("cluster_id", F.explode(pieces).alias("k")).join(ch.select("chapter", hint.alias("k")), "k").select("chapter", "cluster_id")
+    m = said.unionByName(hinted).distinct().join(ch, "chapter").join(st, "cluster_id")
     hits = F.size(F.filter("hints", lambda h: F.col("title").contains(h)))
     score = both / F.greatest(F.size("cw"), F.lit(1)) + F.least(F.lit(0.5), 0.25 * hits)
     best = m.select("chapter", "cluster_id", score.alias("s")).groupBy("chapter").agg(F.max_by("cluster_id", F.struct(F.round("s", 9), -F.col("cluster_id"))).alias("cluster_id"), F.max("s").alias("s"))

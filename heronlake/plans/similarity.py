@@ -86,13 +86,9 @@ def orphan_best_match(t: Tables) -> DataFrame:
     return orphan_matches(t).select("article_id", "story_id", F.round("score", 6).alias("score"))
 
 
-def against(t: Tables, blocks=similarity.scored_blocks) -> DataFrame:
-    """Arrivals with their cosine to every stored story's centroid."""
-    parts = blocks(orphans(t), "embedding", story_centroids(t, "NOT arrived"), "story_id", "centroid")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def against(t: Tables, least: float) -> DataFrame:
+    """Arrivals with their cosine to the stored stories' centroids, from *least* on."""
+    return similarity.scored(orphans(t), "article_id", "embedding", story_centroids(t, "NOT arrived"), "story_id", "centroid", least)
 
 
 #: Places left in a story; arrivals are placed in the order of their numbers.
@@ -110,7 +106,7 @@ PLACES = 5
 SELECT article_id, story_id FROM go WHERE story_id IS NOT NULL""")
 def capacity_assignment(t: Tables) -> DataFrame:
     """Arrivals placed one after another in the best story that still has room; what finds none stays out."""
-    wishes = against(t).where("score >= 0.10").select("article_id", "story_id", "score")
+    wishes = against(t, 0.10)
     return similarity.placed(wishes, "article_id", "story_id", "score", PLACES)
 
 

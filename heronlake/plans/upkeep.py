@@ -65,7 +65,7 @@ def url_story_links(t: Tables) -> DataFrame:
 SELECT band, article_id, round(best, 6) AS best, n FROM (SELECT *, count(*) OVER (PARTITION BY band) AS n, row_number() OVER (PARTITION BY band ORDER BY best DESC, article_id) AS k FROM b) WHERE k <= 3""")
 def triage_top(t: Tables) -> DataFrame:
     """Arrivals by the band of their best score: how many, and the best three."""
-    s = against(t).groupBy("article_id").agg(F.max("score").alias("s")).withColumn("band", F.floor(F.col("s") * 10))
+    s = against(t, -1.0).groupBy("article_id").agg(F.max("score").alias("s")).withColumn("band", F.floor(F.col("s") * 10))
     k = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("s"), "article_id"))
     n = s.groupBy("band").agg(F.count("*").alias("n"))
     return s.withColumn("k", k).where("k <= 3").join(n, "band").select("band", "article_id", F.round("s", 6).alias("best"), "n")

@@ -150,3 +150,12 @@ def test_labels_join_in_turn(spark, seed):
         spark.createDataFrame(groups, "label string, place long, n long"), spark.createDataFrame([(i - 100, s) for i, s in enumerate(stories)], "place long, title string")
     )
     assert sorted(map(tuple, found.collect()), key=str) == brute_labels(groups, stories)
+
+
+def test_best_match_by_cells_is_best_match_by_broadcast(cloud):
+    from heronlake.operators import similarity
+
+    df, _ = cloud
+    rows, targets = df.where("k < 60 AND e IS NOT NULL"), df.where("k >= 60 AND k < 400").select(F.col("k").alias("t"), F.col("e").alias("v"))
+    a, b = (sorted(map(tuple, similarity.best_match(rows, "k", "e", targets, "t", "v", 0.3, bound).select("k", "t", F.round("score", 9)).collect())) for bound in (10_000, 1))
+    assert a == b and len(a) > 50
