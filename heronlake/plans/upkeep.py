@@ -148,7 +148,7 @@ def assignment_events(t: Tables) -> DataFrame:
     act = t["events"].where("event_type IN ('signup', 'error')").groupBy(F.floor(F.col("event_id") / 40).alias("article_id")).agg(F.max_by(F.struct("event_type", F.col("user_id").alias("target")), F.struct("ts", "event_id")).alias("l")).select("article_id", F.col("l.event_type").alias("action"), "l.target")
     frozen = scored(t).select(F.col("cluster_id").alias("target"), F.col("frozen_at").isNotNull().alias("frozen"))
     old = F.col("cluster_no")
-    a = t.articles.select("article_id").join(act, "article_id", "left").join(frozen, "target", "left")
+    a = t.articles.select("article_id", "cluster_no").join(act, "article_id", "left").join(frozen, "target", "left")
     new = F.when(F.col("action") == "error", None).when((F.col("action") == "signup") & ~F.coalesce("frozen", F.lit(False)), F.col("target")).otherwise(old)
     return a.select(new.alias("n"), old.alias("o")).groupBy(F.coalesce("n", F.lit(-1)).alias("cluster_id")).agg(F.count("*").alias("articles"), F.count_if(~F.col("n").eqNullSafe(F.col("o"))).alias("moved"))
 
