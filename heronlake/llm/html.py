@@ -15,7 +15,7 @@ from a share of ``STRONG`` and with less than half of the text.
 
 *By slot*, menus, adverts and footers are found whose text differs from page to page: on hosts of
 ``SITE`` pages or more, outside marked articles, a slot on a share of ``STRONG`` of the pages is
-template if it has less than half of the page's words and not its first main heading.
+template if it has less than half of the words that the page has left and not its first main heading.
 
 Names, roles and classes of menus, headers, footers, asides, notices, adverts, forms or reader
 comments decide on hosts of fewer pages, where counts say little, and inside articles;
@@ -201,6 +201,17 @@ class Page:
                 out[i] = h - (1 << 64) if h >> 63 else h
         return out
 
+    def _left(self, gone: list[bool]) -> list[int]:
+        """Words of each element's subtree outside what is *gone*."""
+        left = self.words.copy()
+        for i in range(1, len(self.tag)):
+            left[self.parent[i]] -= self.words[i]
+        for i in range(len(self.tag) - 1, 0, -1):
+            if gone[i]:
+                left[i] = 0
+            left[self.parent[i]] += left[i]
+        return left
+
     def _roots(self, gone: list[bool]) -> list[int]:
         """Outermost remaining ``main``, else ``article`` elements, else the whole page."""
         for name in ("main", "article"):
@@ -255,8 +266,6 @@ class Page:
             words = set(re.split(r"[^a-z]+", self.marks[i])) if by_name and self.marks[i] else set()
             if tag in DROPPED or self.hidden[i]:
                 gone[i] = True
-            elif site and not in_article[i] and not holds[i] and i not in leads and slots[i] in template and 2 * self.words[i] < self.words[0]:
-                gone[i] = True
             elif by_name and tag in NAMED:
                 gone[i] = True
             elif by_name and tag == "header":
@@ -273,6 +282,10 @@ class Page:
                     gone[i] = often and 2 * self.words[i] < self.words[own]
                 else:
                     gone[i] = often or (hashes[i] in weak and self.words[i] <= SHORT)
+        if site:
+            left = self._left(gone)
+            for i in range(1, n):
+                gone[i] = gone[i] or gone[self.parent[i]] or (not in_article[i] and not holds[i] and i not in leads and slots[i] in template and 2 * left[i] < left[0])
         # an article most of which recurs was published again: it stays whole
         for i in range(1, n):
             gone[i] = gone[i] or gone[self.parent[i]] or (repeats[i] and 2 * repeated[article[i]] < self.words[article[i]])
