@@ -173,16 +173,17 @@ def crowded(crowd: DataFrame, texts: DataFrame, words: int, similarity: float) -
     posted = listed.where("posted").withColumn("part", F.pmod(F.xxhash64("root"), "parts").cast("int"))
     asking = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # roots meet before their members, so that a list is not paired within one root
-    extent = lambda x: x.groupBy("h", "part", "root").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("rest").alias("rest"))
+    only = F.when(F.count("*") == 1, F.first("before")).otherwise(F.array().cast("array<long>")).alias("before")
+    extent = lambda x: x.groupBy("h", "part", "root").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("rest").alias("rest"), only)
     y, x = extent(posted).alias("y"), extent(asking).alias("x")
     near = (F.col("y.root") != F.col("x.root")) & (F.col("y.most") >= F.col("x.least") * similarity - slack)
     near &= F.least("y.rest", "x.rest") >= (F.col("y.least") + F.col("x.least")) * share - slack
-    met = y.join(x, ["h", "part"]).where(near).select("h", "part", F.col("y.root").alias("of_y"), F.col("x.root").alias("of_x"))
+    # two single texts that share a shingle just before this one have met there
+    met = y.join(x, ["h", "part"]).where(near & ~F.arrays_overlap("y.before", "x.before")).select("h", "part", F.col("y.root").alias("of_y"), F.col("x.root").alias("of_x"))
     side = lambda rows, name: rows.select("h", "part", F.col("root").alias(f"of_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "rest", "before")))
     pairs = met.join(side(posted, "y"), ["h", "part", "of_y"]).join(side(asking, "x"), ["h", "part", "of_x"])
     pairs = pairs.where(F.struct("size_y", "node_y") < F.struct("size_x", "node_x")).where(F.col("size_y") >= F.col("size_x") * similarity - slack)
     pairs = pairs.where(F.least("rest_y", "rest_x") >= (F.col("size_y") + F.col("size_x")) * share - slack)
-    # texts that share a shingle just before this one have met there
     pairs = pairs.where(~F.arrays_overlap("before_y", "before_x"))
     return pairs.select(F.least("node_y", "node_x").alias("a"), F.greatest("node_y", "node_x").alias("b")).distinct()
 
