@@ -41,7 +41,7 @@ SHARD_TOKENS = 2_000_000
 WIDTH, STEP = 8, 1 << 16
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 #: Turns in which pairs are counted: each shuffles a part of them.
-TURNS = 3
+TURNS = 2
 #: Lower case of A-Z; tabs become spaces, characters that end a piece line feeds.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 
@@ -243,13 +243,12 @@ def values(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 
 
 def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of their ``known`` words alone, other words being gaps."""
-    for shard, lang, words, planes, known in values(batches):
-        stream, wanted = unpacked(planes), set(known)
-        to = np.full(len(words) + 1, -1, np.int32)
-        kept = [i for i, w in enumerate(words) if w in wanted]
-        to[kept] = np.arange(len(kept))
-        words, _, planes = packed(to[stream], [words[i] for i in kept])
+    """Shards of their ``known`` words alone (with their ids), other words being gaps."""
+    for shard, lang, planes, known in values(batches):
+        stream, ids = unpacked(planes), np.array([x["id"] for x in known])
+        to = np.full(max(int(stream.max(initial=-1)), int(ids.max())) + 2, -1, np.int32)
+        to[ids] = np.arange(len(ids))
+        words, _, planes = packed(to[stream], [x["word"] for x in known])
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([planes])], ["shard", "lang", "words", "stream"])
 
 
@@ -294,7 +293,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
     """``lang``, ``phrase``, ``size`` and ``f`` of the phrases of 1 to *longest* words that occur *min_count* times
     or more; and ``lang`` and ``n``, the occurrences of all words.  Both are stored tables."""
     all_ = store(shards(docs, text, lang, limit), "phrase-shards")
-    each = all_.select("shard", "lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("shard", F.concat_ws("\n", "lang", "w.words").alias("phrase"), F.col("w.counts").alias("n"))
+    each = all_.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("id", "w")).select("shard", F.concat_ws("\n", "lang", "w.words").alias("phrase"), F.col("w.counts").alias("n"), "id")
     w = Window.partitionBy("phrase")
 
     def often(rows: DataFrame) -> DataFrame:
@@ -309,14 +308,17 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
     with tidy(docs.sparkSession):
         totals = store(all_.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")), "phrase-totals")
         words = often(each)
-        thin = store(mapped(again(all_, words), thinned, "shard long, lang string, words array<string>, stream binary"), "thinned-shards")
+        # the shards' many rare words stay where they are
+        held = words.groupBy("shard").agg(F.collect_list(F.struct("id", F.substring_index("phrase", "\n", -1).alias("word"))).alias("known"))
+        thin = mapped(all_.select("shard", "lang", "stream").join(held, "shard"), thinned, "shard long, lang string, words array<string>, stream binary")
+        thin = store(thin, "thinned-shards")
         forget(all_)
         # in turns, as there are many more pairs than pass
         turns = [often(mapped(thin, lambda batches, i=i: paired(batches, i, TURNS), schema)) for i in range(TURNS)]
         pairs = reduce(DataFrame.unionByName, turns)
         triples = often(mapped(again(thin, pairs), lambda batches: extended(batches, 3), schema))
         longer = mapped(again(thin, triples), lambda batches: extended(batches, longest), schema).groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-        found = words.unionByName(pairs).unionByName(triples).select("phrase", "f").distinct().unionByName(longer)
+        found = words.drop("id").unionByName(pairs).unionByName(triples).select("phrase", "f").distinct().unionByName(longer)
         # a language may hold line feeds, a phrase doesn't
         phrase, words_of = F.substring_index("phrase", "\n", -1), F.split(F.substring_index("phrase", "\n", -1), " ", -1)
         of = F.substring(F.col("phrase"), F.lit(1), F.length("phrase") - F.length(phrase) - 1)
