@@ -52,9 +52,11 @@ def constants(n: int, seed: int) -> np.ndarray:
 
 @cache
 def _bytes(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A random number for each place (of 64) and byte, and powers of a random odd number for each 64 places."""
+    """A random number for each place (of 64) and byte, and powers of a random odd number for each 64 places: 1 for the first ones."""
     draw = np.random.default_rng(seed)
-    return draw.integers(0, 1 << 64, (64, 256), np.uint64), np.multiply.accumulate(np.full(1 << 16, int(draw.integers(0, 1 << 62)) * 2 + 1, np.uint64))
+    table, powers = draw.integers(0, 1 << 64, (64, 256), np.uint64), np.full(1 << 16, int(draw.integers(0, 1 << 62)) * 2 + 1, np.uint64)
+    powers[0] = 1
+    return table, np.multiply.accumulate(powers)
 
 
 def word_hashes(words: pa.StringArray, seed: int) -> np.ndarray:

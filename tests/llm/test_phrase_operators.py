@@ -188,3 +188,11 @@ def test_recurring_passages(spark, words, shard_bytes):
     found = passages.remove_repeats(docs, words=words, shard_bytes=shard_bytes).collect()
     assert sorted((str(r[0]), *r[1:]) for r in found) == brute_passages(rows, words)
     assert passages.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_passages_recur_beside_words_of_any_length(spark):
+    """A short word's hash doesn't depend on the longer words that its shard or batch holds."""
+    common = " ".join(f"w{i}" for i in range(13))
+    rows = [(1, common), (2, f"{'x' * 70} {common} {'y' * 300}"), (3, f"tail {common}")]
+    found = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=1).collect()
+    assert sorted((r[0], r[1], r[2], r[3]) for r in found) == [(1, 13, 0, common), (2, 15, 13, f"{'x' * 70} {'y' * 300}"), (3, 14, 13, "tail")]
