@@ -68,9 +68,9 @@ def review_tiers(t: Tables) -> DataFrame:
 
 @query("W13", CLUSTER_SQL + "SELECT cluster_id, cluster_id % 8 AS arc, coalesce(CASE WHEN cluster_id % 3 = 0 THEN cluster_id % 5 END, row_number() OVER (PARTITION BY cluster_id % 8 ORDER BY first_published_at, cluster_id) - 1) AS chapter FROM clusters")
 def arc_chapters(t: Tables) -> DataFrame:
-    """Chapters by their set place, else by time."""
+    """Chapters by their set place, else by time (undated ones last)."""
     arc = F.col("cluster_id") % 8
-    place = F.row_number().over(Window.partitionBy("arc").orderBy("first_published_at", "cluster_id")) - 1
+    place = F.row_number().over(Window.partitionBy("arc").orderBy(F.asc_nulls_last("first_published_at"), "cluster_id")) - 1
     return scored(t).withColumn("arc", arc).select("cluster_id", "arc", F.coalesce(F.when(F.col("cluster_id") % 3 == 0, F.col("cluster_id") % 5), place.cast("long")).alias("chapter"))
 
 
