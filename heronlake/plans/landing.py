@@ -20,7 +20,7 @@ def list_links(pages: DataFrame, base: str = "base", html: str = "html", least:
     """Links of list pages with a title of *least* characters: *pages*' other columns, ``url`` (absolute) and ``title``, with
     its place ``at``; of equal addresses of a page the first."""
     links = F.posexplode(F.regexp_extract_all(html, F.lit(r'(?s)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), F.lit(1))).alias("at", "link")
-    href, title = F.regexp_extract("link", r'href="([^"]*)"', 1), F.trim(F.regexp_replace(F.regexp_extract("link", r"(?s)>(.*)</a>$", 1), r"<[^>]*>|\s+", " "))
+    href, title = F.regexp_extract("link", r'href="([^"]*)"', 1), F.trim(F.regexp_replace(F.regexp_extract("link", r"(?s)>(.*)</a>\z", 1), r"<[^>]*>|\s+", " "))
     url = F.when(href.rlike("^https?://"), href).otherwise(F.concat(base, href))
     found = pages.select(*(c for c in pages.columns if c != html), links).select("*", url.alias("url"), title.alias("title")).where((href != "") & (F.length("title") >= least))
     rest = [c for c in pages.columns if c not in (html, base)]

@@ -30,7 +30,7 @@ def url_domains(t: Tables) -> DataFrame:
 SELECT page_id, parent FROM (SELECT page_id, regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS p FROM u) JOIN known ON parent = p""")
 def domain_suffix_match(t: Tables) -> DataFrame:
     """Pages whose parent domain is known: the small domain list is joined by equality."""
-    p = t["pages"].select("page_id", F.regexp_extract(F.lower(text.url_part(F.col("url"), "host")), r"([^.]+\.[^.]+)$", 1).alias("parent"))
+    p = t["pages"].select("page_id", F.regexp_extract(F.lower(text.url_part(F.col("url"), "host")), r"([^.]+\.[^.]+)\z", 1).alias("parent"))
     return p.join(p.where("page_id % 3 = 0").select("parent").distinct(), "parent").select("page_id", "parent")
 
 
@@ -39,7 +39,7 @@ def domain_suffix_match(t: Tables) -> DataFrame:
 SELECT min(page_id) AS page_id, key FROM k WHERE page_id % 2 = 1 AND key NOT IN (SELECT key FROM k WHERE page_id % 2 = 0) GROUP BY key""")
 def ingest_new_urls(t: Tables) -> DataFrame:
     """Insert-if-absent: new urls that aren't stored yet, the first of each."""
-    k = t["pages"].select("page_id", F.concat(F.lower(text.url_part(F.col("url"), "host")), F.regexp_replace(text.url_part(F.col("url"), "path"), "/+$", "")).alias("key"))
+    k = t["pages"].select("page_id", F.concat(F.lower(text.url_part(F.col("url"), "host")), F.regexp_replace(text.url_part(F.col("url"), "path"), r"/+\z", "")).alias("key"))
     new = k.where("page_id % 2 = 1").join(k.where("page_id % 2 = 0").select("key").distinct(), "key", "left_anti")
     return new.groupBy("key").agg(F.min("page_id").alias("page_id")).select("page_id", "key")
 

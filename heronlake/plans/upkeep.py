@@ -50,7 +50,7 @@ def guarded_delete(t: Tables) -> DataFrame:
 SELECT channel_id, message_id, coalesce(a.story_id, h.story_id) AS story_id FROM said s LEFT JOIN art a ON a.url = s.url LEFT JOIN hp h ON h.hostpath = regexp_replace(regexp_replace(s.url, '^https?://', ''), '\\?.*$', '') WHERE coalesce(a.story_id, h.story_id) IS NOT NULL""")
 def url_story_links(t: Tables) -> DataFrame:
     """The story a post's link leads to: the exact address first, then host and path."""
-    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "^https?://", ""), r"\?.*$", "")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "^https?://", ""), r"(?d)\?.*\z", "")
     art = t.articles.where("story_id IS NOT NULL").groupBy("url").agg(F.min("story_id").alias("exact"))
     hp = art.groupBy(bare(F.col("url")).alias("key")).agg(F.min("exact").alias("near"))
     c = F.col("channel_id")
@@ -283,7 +283,7 @@ def stripped_bodies(t: Tables) -> DataFrame:
     i = F.col("article_id")
     x = F.concat(F.substring("body", 1, 60), F.element_at(F.array(*map(F.lit, DRESSED)), (i % len(DRESSED) + 1).cast("int")), F.substring("body", 61, 2147483647))
     for p in BOILERPLATE:
-        x = F.regexp_replace(x, p, "")
+        x = F.regexp_replace(x, text.to_the_end(p), "")
     for s, p in CAPTION.items():
         x = F.when(F.col("source_id") == s, F.regexp_replace(x, p, "")).otherwise(x)
     clean = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r'[،,:«»"()\-]', ""), r"\s+", " "))
