@@ -9,9 +9,11 @@ membership probe fails; the levels passed give the quantised count back.
 * the filter has ``BITS_PER_ENTRY`` bits for each entry, so it grows with the corpus.  It is
   made of blocks of ``BLOCK`` bits; a key's probes, of whatever level, fall into one block, so
   blocks are filled by the tasks that hold their keys;
-* a filter of at most ``BROADCAST_BYTES`` is broadcast in parts.  A larger one stays a table: keys to
-  probe are sent to their blocks, the levels found come back to the texts that asked.  Both
-  ways probe the same bits, so scores don't depend on the way;
+* a filter of at most ``BROADCAST_BYTES`` is broadcast in parts.  A larger one stays a table: texts are
+  cut into chunks, whose distinct keys go to the regions of the filter that hold them, eight bytes
+  each; one byte comes back for each, its level, to where the chunk's tokens, as numbers of its
+  distinct words, have gone.  Texts stay where they are, and take turns.  Both ways probe the same bits, so scores
+  don't depend on the way;
 * *head*: the most frequent words, at most ``HEAD``, broadcast with exact counts for the exact
   base score.  Words that the filter doesn't hold have count 0; the few others get their
   exact count by a join.  The model's score takes counts from the filter alone.
@@ -31,13 +33,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heronlake.llm.common import chunks, mapped, store
+from heronlake.llm.common import BATCH_BYTES, chunks, forget, mapped, store, tidy
 
 HEAD, MU = 1 << 19, 200.0
 #: Bits of a block, a power of two of at most 2^21: a 64-bit hash gives PROBES places in it.
@@ -47,8 +50,10 @@ BITS_PER_ENTRY = 8
 BROADCAST_BYTES, PART = 128 << 20, 8 << 20
 #: Tokens that a task holds before it counts them.
 FLUSH = 1_000_000
-#: Chunks of texts that ask one copy of a block.
-ASKING = 1 << 16
+#: Bits of a region, the part of a large filter that one task holds, and keys that it probes at once.
+REGION, PROBED = 1 << 24, 1 << 18
+#: Turns in which texts ask a large filter, so that a fourth of their keys is on disk at a time.
+TURNS = 4
 END = xxhash.xxh64_intdigest(b"")
 
 
@@ -212,11 +217,13 @@ class Model:
 def fit(docs: DataFrame, text: str = "text", head: int = HEAD, broadcast_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> Model:
     """Count all of *docs* and build the filter."""
     spark = docs.sparkSession
-    counts = store(ngram_counts(docs, text), "ngram-counts")
-    words = counts.where("word").select("key", "n")
-    entries = counts.agg(F.coalesce(F.sum(F.floor(F.log2("n")) + 1), F.lit(0))).first()[0]
-    blocks = max(1, -(-entries * BITS_PER_ENTRY // block))
-    table = store(filter_blocks(counts, blocks, block), "filter")
+    with tidy(spark):
+        counts = store(ngram_counts(docs, text), "ngram-counts")
+        entries = counts.agg(F.coalesce(F.sum(F.floor(F.log2("n")) + 1), F.lit(0))).first()[0]
+        blocks = max(1, -(-entries * BITS_PER_ENTRY // block))
+        table = store(filter_blocks(counts, blocks, block), "filter")
+        words = store(counts.where("word").select("key", "n"), "word-counts")
+    forget(counts)
     bloom = None
     if blocks * block // 8 <= broadcast_bytes:
         per, parts = max(1, 8 * PART // block), []
@@ -232,9 +239,8 @@ def fit(docs: DataFrame, text: str = "text", head: int = HEAD, broadcast_bytes:
 RESULT = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("tail_key", T.ArrayType(T.LongType())), T.StructField("tail_n", T.ArrayType(T.LongType()))]
 
 
-def judged(texts: list[str], head: Head, look: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
-    """RESULT's columns for some texts; *look* reads levels of distinct keys.  Tail: words whose exact count is missing yet."""
-    word, pair, sizes = keys(texts)
+def judged(word: np.ndarray, pair: np.ndarray, sizes: np.ndarray, head: Head, look: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
+    """RESULT's columns for some texts of these :func:`keys`; *look* reads levels of distinct keys.  Tail: words whose exact count is missing yet."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     below = float(head.total + head.distinct + 1)
     distinct, at = np.unique(word, return_inverse=True)
@@ -248,9 +254,9 @@ def judged(texts: list[str], head: Head, look: Callable[[np.ndarray], np.ndarray
     settled = here | (levels == 0)
     base = np.where(settled, np.log10((exact + 1) / below), 0.0)[at]
     open_ = np.flatnonzero(~settled[at])
-    row = np.repeat(np.arange(len(texts)), sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes)
     cell, times = np.unique(row[open_] * len(distinct) + at[open_], return_counts=True)
-    ends = pa.array(np.searchsorted(cell, np.arange(len(texts) + 1) * len(distinct)).astype(np.int32))
+    ends = pa.array(np.searchsorted(cell, np.arange(len(sizes) + 1) * len(distinct)).astype(np.int32))
     total = lambda x: pa.array(np.add.reduceat(x, starts))
     return [
         pa.array(sizes), total((exact > 0)[at].astype(np.int64)), total(base), total(np.log10(np.minimum(chance, 1.0))),
@@ -263,64 +269,111 @@ def _broadcast_scores(numbered: DataFrame, key: str, model: Model, schema: T.Str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], *judged(texts, head.value, bloom.level)], schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], *judged(*keys(texts), head.value, bloom.level)], schema.names)
 
     return mapped(numbered.select(key, "_row", "text"), run, schema)
 
 
-def _routed_scores(numbered: DataFrame, key: str, model: Model, schema: T.StructType) -> DataFrame:
-    """Chunks of 64 rows ask the filter's blocks for the levels of their keys.
+def _asked(word: np.ndarray, pair: np.ndarray, blocks: int, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct keys, the region of *per* blocks of each, and their order by region."""
+    distinct = np.unique(np.concatenate([word, pair]))
+    region = distinct % blocks // per
+    # numbers of 16 bits are sorted by digits
+    return distinct, region, np.argsort(region.astype(np.uint16) if blocks <= per << 16 else region, kind="stable")
 
-    A frequent key is asked for by every chunk, so blocks are copied: at most ASKING chunks
-    meet one copy.
-    """
-    import pandas as pd
 
-    head, size = model.head, model.block
-    rows = numbered.withColumn("chunk", F.shiftright("_row", 6))
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Parts of *data* that end at *ends*, as bytes."""
+    offsets = np.concatenate([[0], ends * data.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches, "text"):
-            chunk, (word, pair, sizes) = part.column(0).to_numpy(), keys(texts)
-            where = np.repeat(chunk, sizes)
-            for x in (word, pair):
-                found = np.unique(np.stack([where, x], axis=1), axis=0)
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array(found[:, 0].copy()), "key": pa.array(found[:, 1].copy())})
 
-    probes = mapped(rows.select("chunk", "text"), ask, "chunk long, key long")
-    copies = 1 + rows.count() // (64 * ASKING)
-    probes = probes.select("chunk", "key", F.pmod("key", F.lit(model.blocks)).alias("block"), F.pmod(F.xxhash64("chunk"), F.lit(copies)).alias("copy"))
-    blocks = model.table.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column, and where each row's end."""
+    rows = column.combine_chunks()
+    rows = pa.concat_arrays(rows.chunks) if isinstance(rows, pa.ChunkedArray) else rows
+    ends = np.cumsum(np.asarray(pc.binary_length(rows)).astype(np.int64))
+    if not len(ends):
+        return np.zeros(0, np.uint8), ends
+    first = int(np.frombuffer(rows.buffers()[1], np.int32)[rows.offset])
+    return np.frombuffer(rows.buffers()[2], np.uint8)[first : first + int(ends[-1])] if ends[-1] else np.zeros(0, np.uint8), ends
 
-    def answer(block, asked):
-        asked_key = asked["key"].to_numpy(np.int64)
-        found = read_levels(np.frombuffer(bytes(block["bytes"].iloc[0]), np.uint8), np.zeros(len(asked), np.int64), asked_key, size) if len(block) else np.zeros(len(asked), np.int64)
-        return pd.DataFrame({"chunk": asked["chunk"], "key": asked_key, "level": found})
 
-    levels = store(blocks.groupBy("block", "copy").cogroup(probes.groupBy("block", "copy")).applyInPandas(answer, "chunk long, key long, level long"), "levels")
+def _routed_scores(numbered: DataFrame, key: str, model: Model, schema: T.StructType) -> DataFrame:
+    """Chunks of texts ask the filter's regions for the levels of their keys.
 
-    def final(texts, known):
-        known = known.drop_duplicates("key").sort_values("key")
-        names, found = known["key"].to_numpy(np.int64), known["level"].to_numpy(np.int64)
-        if not len(texts):
-            return pd.DataFrame({f.name: [] for f in schema})
-        columns = judged([x or "" for x in texts["text"]], head.value, lambda k: found[np.searchsorted(names, k)])
-        return pd.DataFrame({key: texts[key], "_row": texts["_row"]} | {f.name: c.to_pylist() for f, c in zip(RESULT, columns, strict=True)})
+    A chunk is one row per region (its keys there) and one with its tokens, which only passes through.  A
+    chunk asks for a frequent key once, so a region gets eight bytes of it per chunk of BATCH_BYTES.
+    """
+    head, size, blocks, per = model.head, model.block, model.blocks, max(1, REGION // model.block)
+    regions = -(-blocks // per)
+    kind = schema[key].dataType.simpleString()
+    tokens = f"names array<{kind}>, rows array<long>, sizes array<long>, words binary"
+    fields = f"chunk long, region long, payload binary, {tokens}"
 
-    return rows.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInPandas(final, schema)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["chunk", "region", "payload", "names", "rows", "sizes", "words"]
+        for part, texts in chunks(batches, "text", BATCH_BYTES):
+            names, rows = part.columns[:2]
+            chunk, (word, pair, sizes) = rows[0].as_py(), keys(texts)
+            asked, region, order = _asked(word, pair, blocks, per)
+            asked, region = asked[order], region[order]
+            ends = np.append(np.flatnonzero(np.diff(region)) + 1, len(region))
+            kinds = (pa.list_(names.type), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), chunk)), pa.array(region[ends - 1]), _binary(asked, ends), *(pa.nulls(len(ends), k) for k in kinds)], columns)
+            distinct, at = np.unique(word, return_inverse=True)
+            at = at.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([chunk % regions]), pa.array([at.tobytes()]), listed(names), listed(rows), listed(pa.array(sizes)), pa.array([distinct.tobytes()])], columns)
+
+    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
+        data = np.zeros(per * size // 8, np.uint8)
+        for block, some in zip(held.column("block").to_pylist(), held.column("bytes"), strict=True):
+            data[block % per * size // 8 :][: size // 8] = np.frombuffer(some.as_buffer(), np.uint8)
+        passing = pc.is_valid(asked.column("words"))
+        through, asked = asked.filter(passing), asked.filter(pc.invert(passing))
+        raw, ends = _bytes(asked.column("payload"))
+        wanted = np.frombuffer(raw.tobytes(), np.int64)
+        levels = np.zeros(len(wanted), np.uint8)
+        for i in range(0, len(wanted), PROBED):
+            some = wanted[i : i + PROBED]
+            levels[i : i + PROBED] = read_levels(data, some % blocks % per * size, some, size)
+        found = asked.set_column(asked.schema.get_field_index("payload"), "payload", _binary(levels, ends // 8))
+        return pa.concat_tables([found, through])
+
+    def final(rows: pa.Table) -> pa.Table:
+        whole = rows.filter(pc.is_valid(rows.column("words")))
+        levels = rows.filter(pc.is_null(rows.column("words"))).sort_by("region")
+        one = lambda c: whole.column(c)[0]
+        distinct, sizes = np.frombuffer(one("words").as_buffer(), np.int64), np.asarray(one("sizes").values)
+        word = distinct[np.frombuffer(one("payload").as_buffer(), np.uint16 if len(distinct) <= 1 << 16 else np.uint32)]
+        pair = pair_keys(np.concatenate([[np.uint64(END)], word[:-1].view(np.uint64)]), word.view(np.uint64))
+        names, _, order = _asked(word, pair, blocks, per)
+        found = np.zeros(len(names), np.int64)
+        found[order] = _bytes(levels.column("payload"))[0]
+        columns = judged(word, pair, sizes, head.value, lambda k: found[np.searchsorted(names, k)])
+        return pa.Table.from_arrays([one("names").values, one("rows").values, *columns], schema.names)
+
+    asks = mapped(numbered.select(key, "_row", "text"), ask, fields)
+    table = model.table.withColumn("region", F.floor(F.col("block") / per).cast("long"))
+    levels = table.groupBy("region").cogroup(asks.groupBy("region")).applyInArrow(answer, fields)
+    return levels.groupBy("chunk").applyInArrow(final, schema)
 
 
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """*key*, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (exact add-one unigrams)
     and ``score`` (the model), one row per row of *docs*."""
     source = docs.select(F.col(key), F.col(text).alias("text"))
-    numbered = source.withColumn("_row", F.monotonically_increasing_id())
     schema = T.StructType([source.schema[key], T.StructField("_row", T.LongType()), *RESULT])
+    number = F.monotonically_increasing_id()
     if model.bloom is None:
-        passed = _routed_scores(store(numbered, "numbered"), key, model, schema)
+        turn, passed = F.pmod(F.xxhash64(key, F.octet_length("text")), F.lit(TURNS)), None
+        for i in range(TURNS):
+            with tidy(docs.sparkSession):
+                some = store(_routed_scores(source.where(turn == i).withColumn("_row", number * TURNS + i), key, model, schema), "scored")
+            passed = some if passed is None else passed.unionByName(some)
     else:
-        passed = _broadcast_scores(numbered, key, model, schema)
-    passed = store(passed, "scored")
+        passed = store(_broadcast_scores(source.withColumn("_row", number), key, model, schema), "scored")
     below = float(model.head.value.total + model.head.value.distinct + 1)
     tail = passed.where(F.size("tail_key") > 0).select("_row", F.explode(F.arrays_zip("tail_key", "tail_n")).alias("t")).select("_row", F.col("t.tail_key").alias("key"), F.col("t.tail_n").alias("times"))
     counted = tail.join(model.words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
