@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from heronlake.functions import vector
 
 PIVOTS, BLOCK = 256, 2048
+#: Copies of left vectors that a task makes at once.
+VISITS = 8192
 #: Slack of angles, for rounding.
 SLACK = 1e-6
 
@@ -75,8 +77,10 @@ def _visits(rows: DataFrame, centres: np.ndarray, low: np.ndarray, high: np.ndar
                 a = np.where(near, a, np.inf)
                 near &= a <= np.partition(a, probes - 1, axis=1)[:, probes - 1 : probes]
             row, cell = np.nonzero(near)
-            b = batch.take(pa.array(kept[row]))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column(0), b.column(1)], ["cell", "k", "v"])
+            # a row may visit all cells: copies are made a few at a time
+            for i in range(0, len(row), VISITS):
+                b = batch.take(pa.array(kept[row[i : i + VISITS]]))
+                yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + VISITS].astype(np.int32)), b.column(0), b.column(1)], ["cell", "k", "v"])
 
     return rows.mapInArrow(run, "cell int, k long, v array<double>")
 
