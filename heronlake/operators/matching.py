@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronlake.functions import text, vector
-from heronlake.operators import vector_index
+from heronlake.operators import similarity, vector_index
 from heronlake.operators.graph import components
 from heronlake.sources.storage import store
 
@@ -229,11 +229,12 @@ def merged_labels(groups: DataFrame, stories: DataFrame, overlap: float = 0.5) -
     # the shorter text's rarest letters occur in the longer one; texts under three letters are looked for in all grams
     short = rarest.where(F.length("g") < 3).select(F.col("place").alias("s"), "g")
     longer = held.select(F.col("place").alias("l"), "g")
-    inside = rarest.where(F.length("g") >= 3).select(F.col("place").alias("s"), "g").join(longer, "g").select("s", "l")
+    meet = lambda x, y, by: similarity.meetings(x, y, by).select("x", "y")
+    inside = meet(rarest.where(F.length("g") >= 3).select(F.col("place").alias("x"), "g"), longer.withColumnRenamed("l", "y"), "g").toDF("s", "l")
     pieces = longer.select("l", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("g")), lambda i: F.array(F.substring(F.col("g"), i, F.lit(1)), F.substring(F.col("g"), i, F.lit(2)))))).alias("g")).distinct()
-    inside = inside.unionByName(short.join(pieces, "g").select("s", "l"))
+    inside = inside.unionByName(meet(short.withColumnRenamed("s", "x"), pieces.withColumnRenamed("l", "y"), "g").toDF("s", "l"))
     said = texts.select("place", F.explode(words).alias("w"))
-    shared = said.alias("x").join(said.alias("y"), "w").where("x.place < y.place").select(F.col("x.place").alias("a"), F.col("y.place").alias("b"))
+    shared = meet(said.withColumnRenamed("place", "x"), said.withColumnRenamed("place", "y"), "w").where("x < y").toDF("a", "b")
     met = inside.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")).where("a < b").unionByName(shared).distinct()
     side = lambda x: texts.select(F.col("place").alias(x), F.col("text").alias(f"t{x}"), words.alias(f"w{x}"), F.col("n").alias(f"n{x}"), F.col("group").alias(f"g{x}"))
     pair = met.join(side("a"), "a").join(side("b").where("gb"), "b").where("NOT ga OR na >= 2")

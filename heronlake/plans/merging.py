@@ -34,7 +34,8 @@ SIGNAL_SQL = """
 def paired_by(rows: DataFrame, key: str, values: str) -> DataFrame:
     """Pairs ``a`` < ``b`` of *key* that share one of *values*."""
     cells = rows.select(F.col(key).alias("k"), F.explode(values).alias("v"))
-    return cells.select(F.col("k").alias("a"), "v").join(cells.select(F.col("k").alias("b"), "v"), "v").where("a < b").select("a", "b").distinct()
+    met = similarity.meetings(cells.select(F.col("k").alias("x"), "v"), cells.select(F.col("k").alias("y"), "v"), "v")
+    return met.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def linked(rows: DataFrame, cosine: float = 0.75, days: int = 5) -> DataFrame:
