@@ -7,11 +7,15 @@ only the parts with bits are kept.  Shifting a phrase's bitmap by one and ANDing
 word's gives the bitmap of the longer phrase, and its popcount the occurrences; the free
 positions keep phrases within their pieces.
 
-Popcounts are summed over shards four times: of words, of pairs of frequent words, of triples
-of frequent pairs, and of longer phrases, which each shard extends depth-first through
-frequent triples.  What is frequent goes back only to the shards that hold it; other words
-become gaps of the shard's stream before pairs are counted.  A phrase's rows are a few per
-shard, however frequent it is.
+Popcounts are summed over shards once for each length: of words, of pairs of frequent words, of
+triples of frequent pairs, and so on.  What is frequent goes back only to the shards that hold it; other words
+become gaps of the shard's stream before pairs are counted.  A phrase is counted a few times
+per shard, however frequent it is.
+
+Frequent words and phrases are numbered, so a pair is known by its words' numbers and a longer
+phrase by those of the phrase before its last word and of that word: exactly, by one 64-bit key.  A shard sends its
+counts as ascending lists of such keys, one list for each part of the keys; a part is summed
+by one task, and there are as many as the tokens ask for.
 
 Null texts are empty, a null language is ``und``; repeated rows count each; texts of any
 length are packed whole (a text stays in one shard); an empty table gives an empty result.
@@ -26,10 +30,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +44,8 @@ SHARD_TOKENS = 2_000_000
 #: Positions of a part of a bitmap, and parts that one AND takes at once.
 WIDTH, STEP = 8, 1 << 16
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
-#: Turns in which pairs are counted: each shuffles a part of them.
-TURNS = 2
+#: Tokens for which there is one part of the keys, fewest parts, and buckets in which words are numbered.
+PART_TOKENS, PARTS, BUCKETS = 2_000_000, 16, 256
 #: Lower case of A-Z; tabs become spaces, characters that end a piece line feeds.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 
@@ -171,11 +175,10 @@ def sorted_by(bits: Bitmaps, key: np.ndarray) -> Bitmaps:
     return bits.take(np.lexsort((bits.part, key)))
 
 
-def pair_bitmaps(words: Bitmaps, n: int, wanted: np.ndarray | None = None, first: np.ndarray | None = None) -> Bitmaps:
-    """Bitmaps of where pairs end (*wanted* ones, ascending, or those whose first word is in the mask *first*, else all);
-    a pair's number is first word * *n* + second word."""
+def pair_parts(words: Bitmaps, n: int, wanted: np.ndarray | None = None) -> Bitmaps:
+    """Bitmaps, in no order, of where pairs end (*wanted* ones, ascending, else all); a pair's number is first word * *n* + second word."""
     right = words.take(np.argsort(words.part, kind="stable"))
-    left = (words if first is None else words.take(np.flatnonzero(first[words.owner]))).shifted()
+    left = words.shifted()
     left = left.take(np.argsort(left.part, kind="stable"))
     owner, part, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for a, b, found in meet(left, left.part, right, right.part):
@@ -187,7 +190,12 @@ def pair_bitmaps(words: Bitmaps, n: int, wanted: np.ndarray | None = None, first
         owner.append(pair)
         part.append(right.part[b])
         bits.append(found)
-    found = Bitmaps(np.concatenate(owner), np.concatenate(part), np.concatenate(bits))
+    return Bitmaps(np.concatenate(owner), np.concatenate(part), np.concatenate(bits))
+
+
+def pair_bitmaps(words: Bitmaps, n: int, wanted: np.ndarray | None = None) -> Bitmaps:
+    """The same, pair by pair."""
+    found = pair_parts(words, n, wanted)
     return sorted_by(found, found.owner)
 
 
@@ -230,12 +238,6 @@ class Grams:
                 yield from self._grow(here, words, self.tail[gram], longest)
 
 
-def rows_of(shard: int, lang: str, words: pa.Array, of: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    texts = pc.binary_join_element_wise(*(words.take(pa.array(w)) for w in of.T), " ")
-    texts = pc.binary_join_element_wise(pa.scalar(lang), texts, "\n")
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(of), shard)), texts, pa.array(counts)], ["shard", "phrase", "n"])
-
-
 def values(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     for batch in batches:
         for row in range(len(batch)):
@@ -243,50 +245,157 @@ def values(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 
 
 def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of their ``known`` words alone (with their ids), other words being gaps."""
-    for shard, lang, planes, known in values(batches):
+    """Shards of their ``known`` words alone (with their ids), other words being gaps; ``numbers`` are those of all shards' words."""
+    for shard, planes, known in values(batches):
         stream, ids = unpacked(planes), np.array([x["id"] for x in known])
         to = np.full(max(int(stream.max(initial=-1)), int(ids.max())) + 2, -1, np.int32)
         to[ids] = np.arange(len(ids))
-        words, _, planes = packed(to[stream], [x["word"] for x in known])
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([planes])], ["shard", "lang", "words", "stream"])
-
-
-def paired(batches: Iterator[pa.RecordBatch], turn: int, turns: int) -> Iterator[pa.RecordBatch]:
-    """``shard``, ``phrase`` (behind its language and a line feed) and ``n``: the pairs of a thinned shard's words
-    of which the first one has the hash *turn* modulo *turns*."""
-    for shard, lang, words, planes in values(batches):
-        n, first = len(words), np.array([zlib.crc32(w.encode()) % turns == turn for w in words], bool)
-        pairs = pair_bitmaps(word_bitmaps(unpacked(planes)), n, first=first)
-        found, number = np.unique(pairs.owner, return_inverse=True)
-        counts = Bitmaps(number, pairs.part, pairs.bits).counts(len(found))
-        for i in range(0, len(found), STEP):
-            some = found[i : i + STEP]
-            yield rows_of(shard, lang, pa.array(words, pa.string()), np.column_stack([some // n, some % n]), counts[i : i + STEP])
-
-
-def extended(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """The same of the longer phrases, to *longest* words, that a thinned shard's ``known`` pairs or triples make."""
-    for shard, lang, words, planes, known in values(batches):
-        n, ids = len(words), {w: i for i, w in enumerate(words)}
-        names = np.unique(np.array([[ids[w] for w in x.split(" ")] for x in known]), axis=0)
-        wanted = np.unique(np.concatenate([names[:, i] * n + names[:, i + 1] for i in range(names.shape[1] - 1)]))
-        pairs = pair_bitmaps(word_bitmaps(unpacked(planes)), n, wanted)
-        grams = Grams(Bitmaps(np.searchsorted(wanted, pairs.owner), pairs.part, pairs.bits), np.column_stack([wanted // n, wanted % n]))
-        if names.shape[1] > 2:
-            grams = known_only(grams, names, n)
-        for of, bits in grams.longer(longest):
-            yield rows_of(shard, lang, pa.array(words, pa.string()), of, bits.counts(len(of)))
-
-
-def known_only(pairs: Grams, triples: np.ndarray, n: int) -> Grams:
-    """The *triples* (ascending) with their bitmaps."""
-    number = {tuple(x): i for i, x in enumerate(triples.tolist())}
+        numbers, _, planes = packed(to[stream], [x["number"] for x in known])
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([numbers], pa.list_(pa.int64())), pa.array([planes])], ["shard", "numbers", "stream"])
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, of which the upper ones compress to little."""
+    return zlib.compress(np.ascontiguousarray(numbers, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def spread(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
+def steps(ascending: np.ndarray) -> bytes:
+    return squeezed(np.diff(ascending, prepend=0))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, ascending, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def counted(shard: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """``part``, ``shard``, ``keys`` and ``counts``: a shard's counts by the remainder of their keys, which is left out of them."""
+    keys, counts = summed(keys, counts)
+    part = keys % parts
+    order = np.argsort(part, kind="stable")
+    keys, counts = keys[order] // parts, counts[order]
+    some, starts = np.unique(part[order], return_index=True)
+    edges = [*starts.tolist(), len(keys)]
+    lists = [(steps(keys[i:j]), squeezed(counts[i:j])) for i, j in pairwise(edges)] if len(keys) else []
+    row = [pa.array(some, pa.int64()), pa.array(np.full(len(some), shard)), pa.array([x for x, _ in lists], pa.binary()), pa.array([x for _, x in lists], pa.binary())]
+    return pa.RecordBatch.from_arrays(row, ["part", "shard", "keys", "counts"])
+
+
+def often(table: pa.Table, least: int) -> pa.Table:
+    """Of a part's counts the keys with *least* or more in all: for each shard those that it holds with their numbers in the
+    part (``shard``, ``keys``, ``numbers``), and, as shard -1, all of them with their counts."""
+    lists = [np.cumsum(spread(x.as_py())) for x in table["keys"]]
+    found, f = summed(np.concatenate(lists), np.concatenate([spread(x.as_py()) for x in table["counts"]]))
+    found, f = found[f >= least], f[f >= least]
+    out = [(-1, steps(found), squeezed(f))] if len(found) else []
+    for shard, keys in zip(table["shard"].to_pylist(), lists, strict=True):
+        at = np.searchsorted(found, keys)
+        at = at[found[np.minimum(at, len(found) - 1)] == keys] if len(found) else at[:0]
+        if len(at):
+            out.append((shard, steps(found[at]), steps(at)))
+    columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+    part = pa.array(np.full(len(out), table["part"][0].as_py()), pa.int64())
+    return pa.Table.from_arrays([part, *columns], ["part", "shard", "keys", "numbers"])
+
+
+def named(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """``key``, ``number`` and ``f`` of all the frequent keys."""
+    for part, keys, f in values(batches):
+        keys = np.cumsum(spread(keys))
+        row = [pa.array(x) for x in (keys * parts + part, np.arange(len(keys)) * parts + part, spread(f))]
+        yield pa.RecordBatch.from_arrays(row, ["key", "number", "f"])
+
+
+def held(known: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's frequent keys and their numbers."""
+    keys, numbers = ([np.cumsum(spread(x[of])) * parts + x["part"] for x in known] for of in ("keys", "numbers"))
+    return np.concatenate(keys), np.concatenate(numbers)
+
+
+def places(numbers: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where in *numbers*, all different, those *wanted* are."""
+    order = np.argsort(numbers)
+    return order[np.searchsorted(numbers, wanted, sorter=order)]
+
+
+def ranks(names: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Which of *names* (ascending rows of numbers below *n*) each of *rows* is, -1 if none."""
+    if not len(names):
+        return np.full(len(rows), -1)
+    code, of, some = names[:, 0], rows[:, 0], np.ones(len(rows), bool)
+    for i in range(names.shape[1]):
+        heads = np.unique(code)
+        at = np.minimum(np.searchsorted(heads, of), len(heads) - 1)
+        some &= heads[at] == of
+        if i + 1 < names.shape[1]:
+            code, of = np.searchsorted(heads, code) * n + names[:, i + 1], at * n + rows[:, i + 1]
+    return np.where(some, at, -1)
+
+
+def known_only(shorter: Grams, names: np.ndarray, n: int) -> Grams:
+    """The phrases *names* (ascending) of one word more than *shorter* with their bitmaps."""
+    k = shorter.names.shape[1] + 1
+    names = np.asarray(names, np.int64).reshape(-1, k)
     parts = [Bitmaps(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))]
-    for of, bits in pairs.longer(3):
-        to = np.array([number.get(tuple(x), -1) for x in of.tolist()])[bits.owner]
+    for of, bits in shorter.longer(k):
+        to = ranks(names, of, n)[bits.owner]
         parts.append(Bitmaps(to, bits.part, bits.bits).take(np.flatnonzero(to >= 0)))
-    return Grams(Bitmaps(*(np.concatenate([getattr(x, f) for x in parts]) for f in ("owner", "part", "bits"))), triples)
+    return Grams(Bitmaps(*(np.concatenate([getattr(x, f) for x in parts]) for f in ("owner", "part", "bits"))), names)
+
+
+def grams_of(planes: bytes, names: np.ndarray, n: int) -> Grams:
+    """The phrases *names* (ascending) of a thinned shard with their bitmaps, made from pair to pair."""
+
+    def runs(k: int) -> np.ndarray:
+        return np.unique(np.concatenate([names[:, i : i + k] for i in range(names.shape[1] - k + 1)]), axis=0)
+
+    pairs = runs(2)
+    wanted = pairs[:, 0] * n + pairs[:, 1]
+    found = pair_bitmaps(word_bitmaps(unpacked(planes)), n, wanted)
+    grams = Grams(Bitmaps(np.searchsorted(wanted, found.owner), found.part, found.bits), pairs)
+    for k in range(3, names.shape[1] + 1):
+        grams = known_only(grams, runs(k), n)
+    return grams
+
+
+def known_phrases(known: list[dict], numbers: np.ndarray, length: int, size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's ``known`` phrases of *length* words: these by their places, ascending, and the phrases' numbers."""
+    names, of = np.arange(len(numbers))[:, None], numbers
+    for k in range(2, length + 1):
+        keys, found = held([x for x in known if x["length"] == k], parts)
+        names = np.column_stack([names[places(of, keys // size)], places(numbers, keys % size)])
+        of = found
+    order = np.lexsort(names.T[::-1])
+    return names[order], of[order]
+
+
+def paired(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the pairs of a thinned shard's words; a pair's key is the first word's number * *size* + the second one's."""
+    for shard, numbers, planes in values(batches):
+        n, numbers = len(numbers), np.array(numbers, np.int64)
+        pairs = pair_parts(word_bitmaps(unpacked(planes)), n)
+        yield counted(shard, numbers[pairs.owner // n] * size + numbers[pairs.owner % n], np.bitwise_count(pairs.bits).astype(np.int64), parts)
+
+
+def extended(batches: Iterator[pa.RecordBatch], length: int, size: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of one word more that a shard's ``known`` phrases of *length* words make; a phrase's key is the number
+    of its first *length* words * *size* + the last word's."""
+    for shard, numbers, planes, known in values(batches):
+        if not any(x["length"] == length for x in known):
+            continue
+        n, numbers = len(numbers), np.array(numbers, np.int64)
+        names, of = known_phrases(known, numbers, length, size, parts)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for words, bits in grams_of(planes, names, n).longer(length + 1):
+            found.append((of[ranks(names, words[:, :-1], n)] * size + numbers[words[:, -1]], bits.counts(len(words))))
+        yield counted(shard, *(np.concatenate(x) for x in zip(*found, strict=True)), parts)
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, longest: int = LONGEST, limit: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame]:
@@ -294,36 +403,49 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
     or more; and ``lang`` and ``n``, the occurrences of all words.  Both are stored tables."""
     all_ = store(shards(docs, text, lang, limit), "phrase-shards")
     each = all_.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("id", "w")).select("shard", F.concat_ws("\n", "lang", "w.words").alias("phrase"), F.col("w.counts").alias("n"), "id")
-    w = Window.partitionBy("phrase")
+    schema = "part long, shard long, keys binary, counts binary"
+    word = F.substring_index("phrase", "\n", -1)
+
+    def passing(counts: DataFrame) -> DataFrame:
+        return store(counts.groupBy("part").applyInArrow(lambda table: often(table, min_count), "part long, shard long, keys binary, numbers binary"), "frequent-keys")
 
-    def often(rows: DataFrame) -> DataFrame:
-        return store(rows.withColumn("f", F.sum("n").over(w)).where(F.col("f") >= min_count), "frequent-phrases")
+    def again(shards: DataFrame, known: list[DataFrame]) -> DataFrame:
+        """Shards with the frequent keys that they hold, by the *known* phrases' lengths from 2 on."""
+        rows = reduce(DataFrame.unionByName, [x.where("shard >= 0").withColumn("length", F.lit(i)) for i, x in enumerate(known, 2)])
+        return shards.join(rows.groupBy("shard").agg(F.collect_list(F.struct("length", "part", "keys", "numbers")).alias("known")), "shard")
 
-    def again(shards: DataFrame, known: DataFrame) -> DataFrame:
-        """Shards with the frequent phrases that they hold."""
-        held = known.groupBy("shard").agg(F.collect_set(F.substring_index("phrase", "\n", -1)).alias("known"))
-        return shards.join(held, "shard").select("shard", "lang", "words", "stream", "known")
+    def all_of(known: DataFrame) -> DataFrame:
+        """``number``, ``f``, ``head`` and ``last`` (the key's halves)."""
+        found = mapped(known.where("shard < 0").select("part", "keys", "numbers"), lambda batches: named(batches, parts), "key long, number long, f long")
+        return found.select("number", "f", F.expr(f"key div {size}").alias("head"), (F.col("key") % size).alias("last"))
 
-    schema = "shard long, phrase string, n long"
     with tidy(docs.sparkSession):
         totals = store(all_.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")), "phrase-totals")
-        words = often(each)
+        parts = max(PARTS, -(-(totals.agg(F.sum("n")).first()[0] or 0) // PART_TOKENS))
+        words = store(each.withColumn("f", F.sum("n").over(Window.partitionBy("phrase"))).where(F.col("f") >= min_count), "frequent-words")
+        bucket = F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))
+        number = F.row_number().over(Window.partitionBy("bucket").orderBy("phrase")).cast("long") * BUCKETS + F.col("bucket")
+        ids = store(words.select("phrase", "f").distinct().withColumn("bucket", bucket).select("phrase", "f", number.alias("number")), "word-numbers")
+        size = (ids.agg(F.max("number")).first()[0] or 0) + 1
         # the shards' many rare words stay where they are
-        held = words.groupBy("shard").agg(F.collect_list(F.struct("id", F.substring_index("phrase", "\n", -1).alias("word"))).alias("known"))
-        thin = mapped(all_.select("shard", "lang", "stream").join(held, "shard"), thinned, "shard long, lang string, words array<string>, stream binary")
+        kept = words.select("shard", "phrase", "id").join(ids.select("phrase", "number"), "phrase").groupBy("shard").agg(F.collect_list(F.struct("id", "number")).alias("known"))
+        thin = mapped(all_.select("shard", "stream").join(kept, "shard"), thinned, "shard long, numbers array<long>, stream binary")
         thin = store(thin, "thinned-shards")
-        forget(all_)
-        # in turns, as there are many more pairs than pass
-        turns = [often(mapped(thin, lambda batches, i=i: paired(batches, i, TURNS), schema)) for i in range(TURNS)]
-        pairs = reduce(DataFrame.unionByName, turns)
-        triples = often(mapped(again(thin, pairs), lambda batches: extended(batches, 3), schema))
-        longer = mapped(again(thin, triples), lambda batches: extended(batches, longest), schema).groupBy("phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-        found = words.drop("id").unionByName(pairs).unionByName(triples).select("phrase", "f").distinct().unionByName(longer)
+        forget(all_, words)
+        thin_rows = thin.select("shard", "numbers", "stream")
+        known = [passing(mapped(thin_rows, lambda batches: paired(batches, size, parts), schema))]
+        for k in range(2, longest):
+            known.append(passing(mapped(again(thin_rows, known), lambda batches, k=k: extended(batches, k, size, parts), schema)))
+        last, phrases = ids.select(F.col("number").alias("last"), word.alias("word")), [ids]
+        for keys in known:
+            head = phrases[-1].select(F.col("number").alias("head"), "phrase")
+            phrases.append(store(all_of(keys).join(head, "head").join(last, "last").select("number", "f", F.concat_ws(" ", "phrase", "word").alias("phrase")), "frequent-phrases"))
+        found = reduce(DataFrame.unionByName, [x.select("phrase", "f") for x in phrases])
         # a language may hold line feeds, a phrase doesn't
         phrase, words_of = F.substring_index("phrase", "\n", -1), F.split(F.substring_index("phrase", "\n", -1), " ", -1)
         of = F.substring(F.col("phrase"), F.lit(1), F.length("phrase") - F.length(phrase) - 1)
         found = store(found.select(of.alias("lang"), phrase.alias("phrase"), F.size(words_of).alias("size"), "f", words_of.alias("words")).where(F.col("size") <= longest), "phrase-counts")
-        forget(thin, words, *turns, triples)
+        forget(thin, *known, *phrases)
     return found, totals
 
 

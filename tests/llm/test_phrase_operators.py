@@ -6,6 +6,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -196,3 +198,36 @@ def test_passages_recur_beside_words_of_any_length(spark):
     rows = [(1, common), (2, f"{'x' * 70} {common} {'y' * 300}"), (3, f"tail {common}")]
     found = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=1).collect()
     assert sorted((r[0], r[1], r[2], r[3]) for r in found) == [(1, 13, 0, common), (2, 15, 13, f"{'x' * 70} {'y' * 300}"), (3, 14, 13, "tail")]
+
+
+def test_a_shard_sends_its_counts_as_lists(spark):
+    """One row for each part of the keys, however many pairs a shard holds; sums over shards are exact."""
+    draw, parts, sums, tables = random.Random(5), 3, Counter(), []
+    for shard in (1, 2, 7):
+        keys = [draw.choice([draw.randrange(60), draw.randrange(10**17)]) for _ in range(4000)]
+        sums.update(keys)
+        tables.append(collocations.counted(shard, np.array(keys), np.ones(len(keys), np.int64), parts))
+        assert tables[-1].num_rows == parts
+        held = Counter(keys)
+    everything = pa.Table.from_batches(tables)
+    want = {k: f for k, f in sums.items() if f >= 50}
+    found, of_seven = {}, {}
+    for part in range(parts):
+        rows = collocations.often(everything.filter(pc.equal(everything["part"], part)), 50)
+        all_ = rows.filter(pc.equal(rows["shard"], -1)).select(["part", "keys", "numbers"]).to_batches()
+        named = pa.Table.from_batches(collocations.named(all_, parts)).to_pylist()
+        found |= {r["key"]: (r["number"], r["f"]) for r in named}
+        keys, numbers = collocations.held(rows.filter(pc.equal(rows["shard"], 7)).to_pylist(), parts)
+        of_seven |= dict(zip(keys.tolist(), numbers.tolist(), strict=True))
+    assert want and {k: f for k, (_, f) in found.items()} == want
+    assert len({number for number, _ in found.values()}) == len(found)
+    assert of_seven == {k: number for k, (number, _) in found.items() if k in held}
+
+
+@pytest.mark.parametrize("longest", [2, 7])
+def test_phrases_of_any_length(spark, longest):
+    texts = ["a b c d e f g h"] * 3 + ["b c d x", "e f g h i j", "a a a a a a a a a"]
+    docs = spark.createDataFrame([(t, "en\nx") for t in texts], "text string, lang string").repartition(2)
+    found, _ = collocations.frequent(docs, min_count=2, longest=longest, limit=20)
+    want = Counter(" ".join(w[i : i + k]) for w in map(str.split, texts) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    assert {(r.lang, r.phrase): r.f for r in found.collect()} == {("en\nx", p): f for p, f in want.items() if f >= 2}
