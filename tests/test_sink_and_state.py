@@ -1,14 +1,17 @@
 """The keyed sink under failures, micro-batches with restarts, and states with timers."""
 
 import random
+from collections import defaultdict
+from dataclasses import astuple
 
 import pytest
+from pyspark.sql import functions as F
 
 from heronlake.functions import content
 from heronlake.plans import landing
 from heronlake.sources.sink import KeyedTable
 from heronlake.sources.storage import new_path
-from heronlake.streaming import replay
+from heronlake.streaming import replay, state
 from heronlake.streaming.state import DAY, HOUR, Life, Retry
 
 
@@ -133,3 +136,44 @@ def test_content_kinds(spark, title, body, url, category, label):
     df = spark.createDataFrame([(title, body, url, category)], "t string, b string, u string, c string")
     found = df.select(content.kind(df.t, df.b, df.u, df.c).alias("k")).first().k
     assert (found and found.label) == label
+
+
+@pytest.mark.parametrize("kind", [Retry, Life])
+def test_states_of_a_block_are_those_of_its_keys(kind):
+    """Rows and deadlines of many keys, taken together, bring each key what it gets alone."""
+    draw = random.Random(8)
+    alone, block = {}, defaultdict(kind)
+    for batch in range(5):
+        rows = sorted((draw.randrange(8 * DAY) + batch * 8 * DAY + 1, draw.choice([None, -3, 7, 2**62 + 1]), draw.random() < 0.7) for _ in range(draw.randint(0, 20)))
+        for at, key, bad in rows:
+            alone.setdefault(key, kind()).row(at, bad)
+        assert set(state.come(block, [k for _, k, _ in rows], [t for t, _, _ in rows], [b for _, _, b in rows])) == {k for _, k, _ in rows}
+        now = batch * 8 * DAY + HOUR
+        before = {k: astuple(s) for k, s in block.items()}
+        changed = state.passed(block, now)
+        assert all(s.deadline() is None or s.deadline() > now for s in block.values())
+        assert {k for k, s in block.items() if astuple(s) != before[k]} <= set(changed)
+    end = 60 * DAY
+    for s in alone.values():
+        s.advance(end)
+    state.passed(block, end)
+    assert dict(block) == alone
+
+
+@pytest.mark.parametrize("type_, keys", [("long", [-257, -1, 0, 255, 256, 2**62 + 1, 2**62 + 2, None]), ("string", ["a", "b", None])])
+def test_stream_of_states_by_blocks(spark, type_, keys):
+    draw = random.Random(2)
+    data = [(draw.choice(keys), i, (p * 8 * DAY + draw.randrange(1, 8 * DAY)), draw.random() < 0.6, p) for p in range(2) for i in range(60)]
+    e = spark.createDataFrame(data, f"user_id {type_}, event_id long, at long, failed boolean, part long").withColumn("ts", F.timestamp_micros("at"))
+    folder, latest = new_path(spark, "blocks-in"), replay.Latest(spark, "blocks")
+    replay.deal(e, e["part"], range(2), folder)
+    with state.rocksdb(spark):
+        kept = state.kept(replay.source(spark, e, folder).withWatermark("ts", "1 hour"), Retry, "user_id", "at", "failed")
+        replay.drain(kept, latest.each, new_path(spark, "blocks-log"), "update")
+    want = defaultdict(Retry)
+    for key, _, at, bad, _ in sorted(data, key=lambda r: (r[4], r[2], r[1])):
+        want[key].row(at, bad)
+    for s in want.values():
+        s.advance(max(r[2] for r in data) // 1000 * 1000 - HOUR)
+    found = {r.user_id: (r.attempts, r.last, r.due) for r in latest.read(["user_id"], [F.expr("attempts"), F.expr("due")]).collect()}
+    assert found == {k: astuple(s) for k, s in want.items()}
