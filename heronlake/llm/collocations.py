@@ -15,7 +15,7 @@ per shard, however frequent it is.
 Frequent words and phrases are numbered, so a pair is known by its words' numbers and a longer
 phrase by those of the phrase before its last word and of that word: exactly, by one 64-bit key.  A shard sends its
 counts as ascending lists of such keys, one list for each part of the keys; a part is summed
-by one task, and there are as many as the tokens ask for.
+by one task, and there are as many as the tokens ask for.  Words travel likewise, as lists of the words themselves.
 
 Null texts are empty, a null language is ``und``; repeated rows count each; texts of any
 length are packed whole (a text stays in one shard); an empty table gives an empty result.
@@ -34,6 +34,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ SHARD_TOKENS = 2_000_000
 #: Positions of a part of a bitmap, and parts that one AND takes at once.
 WIDTH, STEP = 8, 1 << 16
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
-#: Tokens for which there is one part of the keys, fewest parts, and buckets in which words are numbered.
-PART_TOKENS, PARTS, BUCKETS = 2_000_000, 16, 256
+#: Tokens for which there is one part of the keys, bytes of the shards' words for which there is one of the words, and fewest parts.
+PART_TOKENS, PART_BYTES, PARTS = 2_000_000, 16 << 20, 16
 #: Lower case of A-Z; tabs become spaces, characters that end a piece line feeds.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 
@@ -247,10 +248,10 @@ def values(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards of their ``known`` words alone (with their ids), other words being gaps; ``numbers`` are those of all shards' words."""
     for shard, planes, known in values(batches):
-        stream, ids = unpacked(planes), np.array([x["id"] for x in known])
+        stream, ids = unpacked(planes), np.concatenate([np.cumsum(spread(x["ids"])) for x in known])
         to = np.full(max(int(stream.max(initial=-1)), int(ids.max())) + 2, -1, np.int32)
         to[ids] = np.arange(len(ids))
-        numbers, _, planes = packed(to[stream], [x["number"] for x in known])
+        numbers, _, planes = packed(to[stream], np.concatenate([spread(x["numbers"]) for x in known]).tolist())
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([numbers], pa.list_(pa.int64())), pa.array([planes])], ["shard", "numbers", "stream"])
 
 
@@ -275,6 +276,62 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
+def joined(words: list[bytes]) -> bytes:
+    """Words, which hold no space."""
+    return zlib.compress(b" ".join(words), 1)
+
+
+def split(data: bytes) -> pa.Array:
+    return pa.array(zlib.decompress(data).split(b" "), pa.binary())
+
+
+def dealt(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """``part``, ``shard``, ``lang``, ``words``, ``ids`` and ``counts``: a shard's words by the remainder of a checksum."""
+    for shard, lang, words, counts in values(batches):
+        words, counts = [x.encode() for x in words], np.array(counts, np.int64)
+        of = np.array([zlib.crc32(x) for x in words], np.int64) % parts
+        order = np.argsort(of, kind="stable")
+        some, starts = np.unique(of[order], return_index=True)
+        ids = [order[i:j] for i, j in pairwise([*starts.tolist(), len(order)])] if len(order) else []
+        lists = [pa.array(x, pa.binary()) for x in ([joined([words[i] for i in x.tolist()]) for x in ids], [steps(x) for x in ids], [squeezed(counts[x]) for x in ids])]
+        row = [pa.array(some, pa.int64()), pa.array(np.full(len(some), shard), pa.int64()), pa.array([lang] * len(some), pa.string()), *lists]
+        yield pa.RecordBatch.from_arrays(row, ["part", "shard", "lang", "words", "ids", "counts"])
+
+
+def often_words(table: pa.Table, least: int, parts: int) -> pa.Table:
+    """Of a part's words those with *least* or more occurrences in their language, numbered: for each shard the ``ids`` of those
+    that it holds and their ``numbers``, and, as shard -1, each language's ``words`` with their ``numbers`` and counts (``f``)."""
+    part, out, total = table["part"][0].as_py(), [], 0
+    for lang in table["lang"].unique().to_pylist():
+        rows = table.filter(pc.equal(table["lang"], lang))
+        lists = [split(x.as_py()) for x in rows["words"]]
+        every = pa.concat_arrays(lists).dictionary_encode()
+        at, counts = every.indices.to_numpy(), np.concatenate([spread(x.as_py()) for x in rows["counts"]])
+        f = np.zeros(len(every.dictionary), np.int64)
+        np.add.at(f, at, counts)
+        some = np.flatnonzero(f >= least)
+        if not len(some):
+            continue
+        numbers = np.full(len(f), -1)
+        numbers[some] = (total + np.arange(len(some))) * parts + part
+        total += len(some)
+        out.append((-1, lang, joined(every.dictionary.take(pa.array(some)).to_pylist()), None, squeezed(numbers[some]), squeezed(f[some])))
+        edges = np.cumsum([0, *map(len, lists)]).tolist()
+        for shard, ids, (i, j) in zip(rows["shard"].to_pylist(), rows["ids"], pairwise(edges), strict=True):
+            found = numbers[at[i:j]]
+            if (found >= 0).any():
+                out.append((shard, lang, None, steps(np.cumsum(spread(ids.as_py()))[found >= 0]), squeezed(found[found >= 0]), None))
+    types = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["shard", "lang", "words", "ids", "numbers", "f"])
+
+
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``phrase`` (language, line feed, word), ``f`` and ``number`` of all the frequent words."""
+    for lang, words, numbers, f in values(batches):
+        phrases = [f"{lang}\n{x.decode()}" for x in split(words).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(spread(f)), pa.array(spread(numbers))], ["phrase", "f", "number"])
+
+
 def counted(shard: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
     """``part``, ``shard``, ``keys`` and ``counts``: a shard's counts by the remainder of their keys, which is left out of them."""
     keys, counts = summed(keys, counts)
@@ -402,7 +459,6 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
     """``lang``, ``phrase``, ``size`` and ``f`` of the phrases of 1 to *longest* words that occur *min_count* times
     or more; and ``lang`` and ``n``, the occurrences of all words.  Both are stored tables."""
     all_ = store(shards(docs, text, lang, limit), "phrase-shards")
-    each = all_.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("id", "w")).select("shard", F.concat_ws("\n", "lang", "w.words").alias("phrase"), F.col("w.counts").alias("n"), "id")
     schema = "part long, shard long, keys binary, counts binary"
     word = F.substring_index("phrase", "\n", -1)
 
@@ -420,15 +476,16 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
         return found.select("number", "f", F.expr(f"key div {size}").alias("head"), (F.col("key") % size).alias("last"))
 
     with tidy(docs.sparkSession):
-        totals = store(all_.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")), "phrase-totals")
-        parts = max(PARTS, -(-(totals.agg(F.sum("n")).first()[0] or 0) // PART_TOKENS))
-        words = store(each.withColumn("f", F.sum("n").over(Window.partitionBy("phrase"))).where(F.col("f") >= min_count), "frequent-words")
-        bucket = F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))
-        number = F.row_number().over(Window.partitionBy("bucket").orderBy("phrase")).cast("long") * BUCKETS + F.col("bucket")
-        ids = store(words.select("phrase", "f").distinct().withColumn("bucket", bucket).select("phrase", "f", number.alias("number")), "word-numbers")
+        totals = store(all_.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"), F.sum(F.octet_length(F.array_join("words", " "))).alias("size")), "phrase-totals")
+        n, n_bytes = (x or 0 for x in totals.agg(F.sum("n"), F.sum("size")).first())
+        parts, word_parts = max(PARTS, -(-n // PART_TOKENS)), max(PARTS, -(-n_bytes // PART_BYTES))
+        totals = totals.select("lang", "n")
+        lists = mapped(all_.select("shard", "lang", "words", "counts"), lambda batches: dealt(batches, word_parts), "part long, shard long, lang string, words binary, ids binary, counts binary")
+        words = store(lists.groupBy("part").applyInArrow(lambda table: often_words(table, min_count, word_parts), "shard long, lang string, words binary, ids binary, numbers binary, f binary"), "frequent-words")
+        ids = store(mapped(words.where("shard < 0").select("lang", "words", "numbers", "f"), numbered, "phrase string, f long, number long"), "word-numbers")
         size = (ids.agg(F.max("number")).first()[0] or 0) + 1
         # the shards' many rare words stay where they are
-        kept = words.select("shard", "phrase", "id").join(ids.select("phrase", "number"), "phrase").groupBy("shard").agg(F.collect_list(F.struct("id", "number")).alias("known"))
+        kept = words.where("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("ids", "numbers")).alias("known"))
         thin = mapped(all_.select("shard", "stream").join(kept, "shard"), thinned, "shard long, numbers array<long>, stream binary")
         thin = store(thin, "thinned-shards")
         forget(all_, words)

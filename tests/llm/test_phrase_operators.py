@@ -224,6 +224,34 @@ def test_a_shard_sends_its_counts_as_lists(spark):
     assert of_seven == {k: number for k, (number, _) in found.items() if k in held}
 
 
+def test_a_shard_sends_its_words_as_lists(spark):
+    """One row for each part of the words, however many words a shard holds; sums over shards are exact, by language."""
+    draw, parts, sums, tables, shards = random.Random(6), 3, Counter(), [], {}
+    words = [f"é{i}" for i in range(3000)]
+    for shard, lang in ((1, "en"), (2, "en"), (5, "en\nx"), (7, "en")):
+        held = Counter(draw.choice([draw.choice(words[:60]), draw.choice(words)]) for _ in range(6000))
+        shards[shard] = lang, list(held)
+        sums.update({(lang, x): f for x, f in held.items()})
+        row = pa.table({"shard": [shard], "lang": [lang], "words": [list(held)], "counts": [list(held.values())]})
+        tables.append(pa.Table.from_batches(collocations.dealt(row.to_batches(), parts)))
+        assert tables[-1].num_rows == parts
+    everything, named, known = pa.concat_tables(tables), [], defaultdict(list)
+    for part in range(parts):
+        rows = collocations.often_words(everything.filter(pc.equal(everything["part"], part)), 50, parts)
+        assert rows.num_rows <= 2 + len(shards)
+        all_ = rows.filter(pc.equal(rows["shard"], -1)).select(["lang", "words", "numbers", "f"])
+        named += pa.Table.from_batches(collocations.numbered(all_.to_batches())).to_pylist()
+        for x in rows.filter(pc.greater_equal(rows["shard"], 0)).to_pylist():
+            ids, numbers = np.cumsum(collocations.spread(x["ids"])), collocations.spread(x["numbers"])
+            known[x["shard"]] += zip(ids.tolist(), numbers.tolist(), strict=True)
+    want = {f"{lang}\n{x}": f for (lang, x), f in sums.items() if f >= 50}
+    assert 50 < len(want) < 3000 and {x["phrase"]: x["f"] for x in named} == want
+    number = {x["phrase"]: x["number"] for x in named}
+    assert len(set(number.values())) == len(number)
+    for shard, (lang, held) in shards.items():
+        assert sorted(known[shard]) == [(i, number[f"{lang}\n{x}"]) for i, x in enumerate(held) if f"{lang}\n{x}" in number]
+
+
 @pytest.mark.parametrize("longest", [2, 7])
 def test_phrases_of_any_length(spark, longest):
     texts = ["a b c d e f g h"] * 3 + ["b c d x", "e f g h i j", "a a a a a a a a a"]
