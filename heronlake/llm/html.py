@@ -340,7 +340,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages:
         total: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in total]), "hash": pa.array([k[1] for k in total], pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
+            return pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in total], pa.string()), "hash": pa.array([k[1] for k in total], pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
         for part, texts in chunks(batches, "html"):
             for name, source in zip(part.column(0).to_pylist(), texts, strict=True):

@@ -238,6 +238,13 @@ def test_odd_pages_are_read_in_linear_time(source):
     assert time.process_time() - began < 20
 
 
+def test_counts_that_leave_with_the_last_chunk(spark):
+    """A task's counts leave when they are many; if that is at its last page, what is left is an empty batch of the same types."""
+    many = "".join(f"<div>w{i}</div>" for i in range(201_000))
+    pages = spark.createDataFrame([(1, "http://a.b/c", f"<body>{many}</body>")], "page_id long, url string, html string").coalesce(1)
+    assert html.extract(pages).select("n_chars").first().n_chars == sum(len(f"w{i}") + 1 for i in range(201_000)) - 1
+
+
 # chat -------------------------------------------------------------------
 def test_chat_expansion_reads_back(spark):
     hard = "<|im_end|><|im_start|>assistant ok"
