@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.functions import text, vector
-from heronlake.operators import similarity
+from heronlake.operators import blocks, similarity
 from heronlake.operators.graph import components
 from heronlake.operators.matching import generic_tokens
 from heronlake.plans.ranking import CLUSTER_SQL, eligible
@@ -64,18 +64,17 @@ def agglomerative_clusters(t: Tables) -> DataFrame:
 GENERIC = 0.15
 
 
-def same_event(rows: DataFrame, key: str, words: str, vec: str, cosine: float = 0.64, least_jaccard: float = 0.12, shared: int = 2, generic: float = GENERIC) -> DataFrame:
-    """Pairs ``a`` < ``b`` of *key* that tell of the same event: *shared* words or more, one of them no
-    generic one (on a share of *generic* of the rows), enough overlap, and vectors near enough.
-
-    One shared word has to be specific, so pairs meet on specific words only: generic words form no lists.
-    """
+def event_rows(rows: DataFrame, key: str, words: str, vec: str, generic: float = GENERIC) -> DataFrame:
+    """*rows* as :func:`heronlake.operators.blocks.same_event_judge` asks for them: words that are generic (on a share of
+    *generic* of the rows) apart from the specific ones."""
     # one row with the generic words
-    special = rows.join(F.broadcast(generic_tokens(rows, words, generic))).select(F.col(key), F.array_except(words, "generic").alias("s"))
-    met = paired_by(special, key, "s")
-    side = lambda x: rows.select(F.col(key).alias(x), F.col(words).alias(f"w{x}"), F.col(vec).alias(f"e{x}"))
-    both = met.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("wa", "wb")) >= shared)
-    return both.where((text.jaccard(F.col("wa"), F.col("wb")) >= least_jaccard) & (vector.cosine(F.col("ea"), F.col("eb")) >= cosine)).select("a", "b")
+    told = blocks.usable(rows, vec).join(F.broadcast(generic_tokens(rows, words, generic)))
+    own = F.coalesce(words, F.array().cast("array<string>"))
+    return told.select(F.col(key).cast("long").alias("k"), *blocks.vectors(vec), F.array_except(own, "generic").alias("s"), F.array_intersect(own, F.col("generic")).alias("g"))
+
+
+#: The same-event test of the queries (test cosine .1): two shared words, one of them specific, enough overlap.
+SAME_EVENT = blocks.same_event_judge(0.1, 0.12, 2)
 
 
 SMALL_SQL = f"""
@@ -99,7 +98,7 @@ def small_stories(t: Tables) -> DataFrame:
 @query("M4 M9", SMALL_SQL + "SELECT a, b FROM pass")
 def same_event_stories(t: Tables) -> DataFrame:
     """Pairs of small stories that pass the same-event test (test cosine .1)."""
-    return same_event(small_stories(t), "small_id", "w", "centroid", 0.1)
+    return blocks.pairs(event_rows(small_stories(t), "small_id", "w", "centroid"), SAME_EVENT)
 
 
 @query("M5 U8", SMALL_SQL + """
@@ -110,11 +109,16 @@ SELECT r.small_id AS victim, keeper FROM root r JOIN keeper k USING (root) JOIN
 def tiny_merges(t: Tables) -> DataFrame:
     """Small stories merged into the largest (then newest) of their chain, if they pass the test with that one directly."""
     small = store(small_stories(t), "small")
-    pairs = store(same_event(small, "small_id", "w", "centroid", 0.1), "same-event")
-    root = components(pairs).withColumnRenamed("node", "small_id").join(small.select("small_id", "n", "updated"), "small_id")
-    keeper = root.groupBy("root").agg(F.max_by("small_id", F.struct("n", "updated", -F.col("small_id"))).alias("keeper"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return root.join(keeper, "root").select(F.col("small_id").alias("victim"), "keeper").join(both.select(F.col("a").alias("keeper"), F.col("b").alias("victim")), ["victim", "keeper"], "left_semi")
+    told = store(event_rows(small, "small_id", "w", "centroid"), "small-told")
+    root = store(blocks.linked_components(told, SAME_EVENT).withColumnRenamed("node", "small_id"), "small-roots")
+    keeper = root.join(small.select("small_id", "n", "updated"), "small_id").groupBy("root").agg(F.max_by("small_id", F.struct("n", "updated", -F.col("small_id"))).alias("keeper"))
+    both = root.join(keeper, "root").where("small_id <> keeper").select(F.col("small_id").alias("victim"), "keeper")
+    side = lambda x: told.select(F.col("k").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("cell", "v", "s", "g")))
+    both = both.join(side("victim"), "victim").join(side("keeper"), "keeper").where("cell_victim = cell_keeper")
+    words = lambda x: F.concat(f"s_{x}", f"g_{x}")
+    shared = F.array_intersect(words("victim"), words("keeper"))
+    passes = F.arrays_overlap("s_victim", "s_keeper") & (F.size(shared) >= 2) & (text.jaccard(words("victim"), words("keeper")) >= 0.12) & (vector.cosine(F.col("v_victim"), F.col("v_keeper")) >= 0.1)
+    return both.where(passes).select("victim", "keeper")
 
 
 LAYER_SQL = f"""

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.functions import text, vector
-from heronlake.operators import similarity
+from heronlake.operators import blocks, similarity
 from heronlake.operators.graph import components
 from heronlake.plans.coverage import GROUP_SQL, grouped_sources
-from heronlake.plans.merging import SMALL_SQL, largest_gap_parts, same_event, small_stories
+from heronlake.plans.merging import SAME_EVENT, SMALL_SQL, event_rows, largest_gap_parts, small_stories
 from heronlake.plans.ranking import CLUSTER_SQL, eligible, scored
 from heronlake.plans.registry import query
 from heronlake.plans.similarity import CENTROID_SQL, COSINE, STORED_SQL, against, story_centroids
@@ -193,11 +193,9 @@ SELECT e.b AS hidden, min_by(e.a, p.r) AS pin FROM e JOIN st p ON p.small_id = e
 def pinned_dedup(t: Tables) -> DataFrame:
     """Unpinned stories hidden behind a pinned one of the same event; the pin that ranks first claims each (every sixth is a pin here)."""
     small = store(small_stories(t), "small")
-    pairs = store(same_event(small, "small_id", "w", "centroid", 0.1), "same-event")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = small.select(F.col("small_id").alias("a"), "n")
-    e = both.where("a % 6 = 0 AND b % 6 <> 0").join(size, "a")
-    return e.groupBy(F.col("b").alias("hidden")).agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("pin"))
+    told = event_rows(small, "small_id", "w", "centroid").join(small.select(F.col("small_id").alias("k"), (-F.col("n")).alias("rank")), "k")
+    found = blocks.firsts(told.where("k % 6 = 0"), told.where("k % 6 <> 0"), SAME_EVENT)
+    return found.select(F.col("k").alias("hidden"), F.col("first").alias("pin"))
 
 
 @query("M3", """
