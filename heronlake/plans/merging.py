@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronlake.functions import text, vector
-from heronlake.operators import blocks, similarity
+from heronlake.operators import blocks
 from heronlake.operators.graph import components
 from heronlake.operators.matching import generic_tokens
 from heronlake.plans.ranking import CLUSTER_SQL, eligible
@@ -31,23 +31,14 @@ SIGNAL_SQL = """
 """
 
 
-def paired_by(rows: DataFrame, key: str, values: str) -> DataFrame:
-    """Pairs ``a`` < ``b`` of *key* that share one of *values*."""
-    cells = rows.select(F.col(key).alias("k"), F.explode(values).alias("v"))
-    return cells.select(F.col("k").alias("a"), "v").join(cells.select(F.col("k").alias("b"), "v"), "v").where("a < b").select("a", "b").distinct()
-
-
 def linked(rows: DataFrame, cosine: float = 0.75, days: int = 5) -> DataFrame:
-    """Pairs ``a``, ``b`` of *rows* (of :func:`titled`) that are near in direction and time and share two
-    title words, a quotation or a number.
-
-    Pairs come from what they share (rarest words first), so no two rows meet that share nothing.
-    """
-    met = similarity.shared_token_pairs(rows, "article_id", "w", 2).select("a", "b").unionByName(paired_by(rows, "article_id", "q")).unionByName(paired_by(rows, "article_id", "n")).distinct()
-    side = lambda x: rows.select(F.col("article_id").alias(x), F.col("embedding").alias(f"e{x}"), F.col("published_at").alias(f"p{x}"))
-    both = met.join(side("a"), "a").join(side("b"), "b")
-    gap = F.abs(F.timestamp_diff("SECOND", F.col("pa"), F.col("pb")))
-    return both.where(vector.cosine(F.col("ea"), F.col("eb")) >= cosine).where(gap.isNull() | (gap <= days * 86400)).select("a", "b")
+    """``node`` and ``root``: components of *rows* (of :func:`titled`) that are near in direction and time and share two
+    title words, a quotation or a number."""
+    signs = F.concat(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, c=c: F.concat(F.lit(f"{c} "), x)) for c in ("q", "n")))
+    kept = blocks.usable(rows, "embedding").select(
+        F.col("article_id").cast("long").alias("k"), *blocks.vectors("embedding"), F.coalesce("w", F.array().cast("array<string>")).alias("w"), signs.alias("any"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("at")
+    )
+    return blocks.linked_components(kept, blocks.linked_judge(cosine, days * 86400))
 
 
 @query("M11 U6", SIGNAL_SQL + f"""
@@ -57,7 +48,7 @@ def linked(rows: DataFrame, cosine: float = 0.75, days: int = 5) -> DataFrame:
 SELECT a AS article_id, min(b) AS cluster FROM reach GROUP BY a""")
 def agglomerative_clusters(t: Tables) -> DataFrame:
     """Clusters of articles linked by direction, time and a shared signal (test cosine .02); single articles are none."""
-    return components(linked(titled(t), 0.02)).select(F.col("node").alias("article_id"), F.col("root").alias("cluster"))
+    return linked(titled(t), 0.02).select(F.col("node").alias("article_id"), F.col("root").alias("cluster"))
 
 
 #: Share of all rows from which on a word says nothing about an event.
