@@ -101,3 +101,17 @@ def test_a_cosine_at_the_threshold_is_that_of_the_expression(spark):
     for least in random.Random(5).sample(sorted(scored.values()), 4):
         found = {(r.a, r.b) for r in blocks.pairs(df, blocks.same_event_judge(least, 0.12, 2)).collect()}
         assert found == {p for p, c in scored.items() if c >= least}
+
+
+def test_shared_pairs_of_tokens_link_without_pairs_of_rows(spark):
+    """Rows that share two tokens are connected, and links grow with the rows."""
+    from heronlake.operators import similarity
+    from heronlake.operators.graph import components
+
+    draw = random.Random(6)
+    sets = [draw.sample("abcdefghijklmnopqrst", draw.randint(0, 4)) for _ in range(60)] + [["x", "y"]] * 40 + [None]
+    df = spark.createDataFrame(list(enumerate(sets)), "k long, w array<string>")
+    links = similarity.shared_pair_links(df, "k", "w")
+    edges = [(a, b) for a in range(100) for b in range(a + 1, 100) if len(set(sets[a]) & set(sets[b])) >= 2]
+    assert {r.node: r.root for r in components(links).collect()} == roots(101, edges)
+    assert links.where("a >= 60").count() == 39
