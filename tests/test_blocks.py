@@ -115,3 +115,14 @@ def test_shared_pairs_of_tokens_link_without_pairs_of_rows(spark):
     edges = [(a, b) for a in range(100) for b in range(a + 1, 100) if len(set(sets[a]) & set(sets[b])) >= 2]
     assert {r.node: r.root for r in components(links).collect()} == roots(101, edges)
     assert links.where("a >= 60").count() == 39
+
+
+def test_bands_meet_in_their_own_and_the_next_bucket(spark):
+    draw, m = random.Random(7), np.random.default_rng(7).normal(size=(120, 4)).tolist()
+    rows = [(i, v, draw.choice("pq"), draw.choice("rst"), draw.randint(0, 50)) for i, v in enumerate(m)] + [(900, m[0], None, "r", 1), (901, m[0], "p", "r", None)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, equal string, other string, at long")
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    want = {(x[0], y[0]) for x in rows[:120] for y in rows[:120] if x[0] < y[0] and x[2] == y[2] and x[3] != y[3] and abs(x[4] - y[4]) <= 6 and cosine(x[1], y[1]) > 0.1}
+    for block in (5, None):
+        found = blocks.band_pairs(df, 0.1, 6, block).collect()
+        assert len(found) == len(want) > 20 and {(r.a, r.b) for r in found} == want
