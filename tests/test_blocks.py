@@ -126,3 +126,33 @@ def test_bands_meet_in_their_own_and_the_next_bucket(spark):
     for block in (5, None):
         found = blocks.band_pairs(df, 0.1, 6, block).collect()
         assert len(found) == len(want) > 20 and {(r.a, r.b) for r in found} == want
+
+
+def test_a_chapters_best_story_by_words_and_hints():
+    """Scores of one task, with hints of fewer than six letters, stories that hold the second hint, and ties."""
+    import pyarrow as pa
+
+    from heronlake.plans import judging
+
+    draw = random.Random(10)
+    titles = {i: " ".join("".join(draw.choices("abz", k=draw.randint(1, 4))) for _ in range(draw.randint(1, 5))) for i in range(120)} | {120: "ab", 121: "", 122: "qqqq zzz ab", 123: "ab"}
+    words = lambda t: sorted({w for w in t.split(" ") if len(w) >= 3})
+    grams = lambda t: sorted({t[i : i + 6] for i in range(len(t) - 5)})
+    chapters, stories = [i for i in titles if i % 4 == 0], list(titles)
+
+    def table(rows):
+        k, w, six, text, zzz = zip(*rows, strict=True)
+        listed = pa.list_(pa.string())
+        return pa.table({"k": pa.array(k), "w": pa.array(w, listed), "six": pa.array(six, listed), "text": pa.array(text, pa.string()), "zzz": pa.array(zzz)})
+
+    x = table([(i, words(t), grams(t), t, "zzz" in t) for i in stories for t in [titles[i]]])
+    y = table([(i, words(t[:24]), [t[:6]] if len(t) >= 6 else [], None if len(t) >= 6 else t, False) for i in chapters for t in [titles[i]]])
+    got = {r["chapter"]: (r["cluster_id"], r["s"]) for b in judging.best_fits(x, y, False) for r in b.to_pylist()}
+    want = {}
+    for c in chapters:
+        cw = words(titles[c][:24])
+        score = {s: len(set(cw) & set(words(titles[s]))) / max(len(cw), 1) + min(0.5, 0.25 * ((titles[c][:6] in titles[s]) + ("zzz" in titles[s]))) for s in stories}
+        best = max(stories, key=lambda s: (round(score[s], 9), -s))
+        if max(score.values()) >= 0.35:
+            want[c] = (best, max(score.values()))
+    assert got == want and len(got) > 20 and got[120][1] == 0.5
