@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heronlake.functions import text, vector
-from heronlake.operators import similarity, vector_index
+from heronlake.operators import blocks, similarity, vector_index
 from heronlake.operators.graph import components
 from heronlake.sources.storage import store
 
@@ -136,25 +139,44 @@ def matched(rows: DataFrame, groups: DataFrame, rejected: DataFrame, reserved: D
     return out.select("article_id", decision.alias("decision"), F.col("auto.story_id").alias("story_id"), F.when(decision == "candidates", F.transform("some", lambda s: s["story_id"])).otherwise(F.array()).alias("candidates"))
 
 
-def target_scores(posts: DataFrame, stories: DataFrame, members: DataFrame, least: float) -> DataFrame:
-    """``post``, ``story_id``, ``score`` and ``via`` (centroid or member) of the pairs that score *least* or more.
+def best_targets(posts: DataFrame, stories: DataFrame, members: DataFrame, least: float, block: int | None = None) -> DataFrame:
+    """``post``, ``story_id``, ``score`` and ``via`` (centroid or member) of each post's best story (ties: least id), if it scores *least* or more.
 
     A story's score is the greater of its centroid's cosine and its best member's; at equal
     cosines the centroid counts.  *posts* has ``post`` and ``vec``, *stories* ``story_id`` and ``vec``,
-    *members* ``story_id`` and ``vec`` of any number of members.
+    *members* ``story_id`` and ``vec`` of any number of members.  Posts meet targets in blocks, and one row for a post leaves a task.
     """
-    targets = stories.select("story_id", "vec", F.lit(1).alias("centre")).unionByName(members.select("story_id", "vec", F.lit(0).alias("centre")))
-    targets = store(targets.withColumn("target", F.monotonically_increasing_id()), "link-targets")
-    near = vector_index.near(posts, "post", "vec", targets, "target", "vec", least).select(F.col("a").alias("post"), F.col("b").alias("target"), "score")
-    best = near.join(targets.select("target", "story_id", "centre"), "target").groupBy("post", "story_id").agg(F.max(F.struct("score", "centre")).alias("m"))
-    return best.select("post", "story_id", "m.score", F.when(F.col("m.centre") == 1, "centroid").otherwise("member").alias("via"))
+    sound = F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x))
+    row = lambda k, story, centre: [F.col(k).cast("long").alias("k"), F.size("vec").cast("long").alias("cell"), F.col("vec").cast("array<double>").alias("v"), story.cast("long").alias("story"), F.lit(centre).alias("centre")]
+    asked = posts.where(sound & F.col("post").isNotNull()).select(*row("post", F.lit(0), 0))
+    own = F.col("story_id")
+    targets = stories.where(sound).select(*row("story_id", own, 1)).unionByName(members.where(sound).select(*row("story_id", own, 0)))
+    # keys only deal rows into blocks: members of a story may lie in several
+    targets = targets.withColumn("k", F.xxhash64("k", "v"))
+
+    def run(x: pa.Table, y: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        y = y.sort_by([("story", "ascending"), ("centre", "descending")])
+        v, keys = blocks.Angles(x.column("v"), y.column("v")), blocks.keys_of(x)
+        story, centre = (np.asarray(blocks.whole(y.column(c))) for c in ("story", "centre"))
+        for lo, hi in blocks.tiles(x, y):
+            s = v.cosines(lo, hi)
+            i, j = np.nonzero(s >= np.maximum(s.max(axis=1, keepdims=True), least) - blocks.EDGE)
+            score = v.exact(lo + i, j)
+            order = np.lexsort((j, -score, i))
+            order = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+            order = order[score[order] >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (keys[lo + i[order]], story[j[order]], score[order], centre[j[order]])], ["post", "story_id", "score", "centre"])
+
+    met = blocks.meet(asked, targets, run, "post long, story_id long, score double, centre int", block)
+    best = met.groupBy("post").agg(F.max(F.struct("score", -F.col("story_id"), "centre", "story_id")).alias("m"))
+    return best.select("post", "m.story_id", "m.score", F.when(F.col("m.centre") == 1, "centroid").otherwise("member").alias("via"))
 
 
 def linked(posts: DataFrame, addresses: DataFrame, stories: DataFrame, members: DataFrame, threshold: float = 0.35, aged: float = 0.10, aged_days: float = 2, rescue: float = 0.50, broad: int = 12) -> DataFrame:
     """One row per row of *posts*: ``post``, ``story_id``, ``way`` and ``score``.
 
     First the first cited address that *addresses* (``url``, ``story_id``) knows, as it stands or by host and
-    path; then the best story by vector (:func:`target_scores`; ties: least id), if it reaches
+    path; then the best story by vector (:func:`best_targets`; ties: least id), if it reaches
     *threshold*, *aged* more if it is older than *aged_days*; by a member only from
     *rescue* on, and only of stories with at most *broad* members in *members*.
 
@@ -168,8 +190,7 @@ def linked(posts: DataFrame, addresses: DataFrame, stories: DataFrame, members:
     by_url = store(hits.groupBy("post").agg(F.min_by("story_id", F.struct("i", "how")).alias("story_id")), "by-url")
     narrow = members.groupBy("story_id").agg(F.count("*").alias("n")).where(F.col("n") <= broad).select("story_id")
     left = posts.join(by_url, "post", "left_anti")
-    scores = target_scores(left, stories, members.join(narrow, "story_id", "left_semi"), threshold)
-    best = scores.groupBy("post").agg(F.max(F.struct("score", -F.col("story_id"), "story_id", "via")).alias("m")).select("post", "m.story_id", "m.score", "m.via").join(stories.select("story_id", "age"), "story_id")
+    best = best_targets(left, stories, members.join(narrow, "story_id", "left_semi"), threshold).join(stories.select("story_id", "age"), "story_id")
     floor = F.lit(threshold) + F.when(F.col("age") > aged_days, aged).otherwise(0.0)
     floor = F.when(F.col("via") == "member", F.greatest(floor, F.lit(rescue))).otherwise(floor)
     by_vector = best.where(F.col("score") >= floor).select("post", "story_id", F.when(F.col("via") == "member", "rescue").otherwise("vector").alias("way"), "score")
@@ -182,8 +203,7 @@ def reassigned(posts: DataFrame, stories: DataFrame, members: DataFrame, gap: fl
 
     *posts* has ``post``, ``vec`` and ``story_id``; a post's own story's score is 0 if the story isn't in *stories*.
     """
-    scores = target_scores(posts, stories, members, least)
-    best = scores.groupBy("post").agg(F.max(F.struct("score", -F.col("story_id"), "story_id")).alias("m")).select("post", F.col("m.story_id").alias("to_story"), "m.score")
+    best = best_targets(posts, stories, members, least).select("post", F.col("story_id").alias("to_story"), "score")
     moved = store(best.join(posts.select("post", "vec", "story_id"), "post").where("to_story <> story_id"), "fitting-elsewhere")
     own = stories.select("story_id", F.col("vec").alias("t")).unionByName(members.join(stories.select("story_id"), "story_id", "left_semi").select("story_id", F.col("vec").alias("t")))
     current = moved.join(own, "story_id").groupBy("post").agg(F.max(vector.cosine(F.col("vec").cast("array<double>"), F.col("t").cast("array<double>"))).alias("own"))

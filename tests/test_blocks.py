@@ -128,6 +128,26 @@ def test_bands_meet_in_their_own_and_the_next_bucket(spark):
         assert len(found) == len(want) > 20 and {(r.a, r.b) for r in found} == want
 
 
+def test_best_targets_are_one_for_a_post(spark):
+    """Equal scores go to the least story, and there to the centroid, over all blocks."""
+    from heronlake.operators import matching
+
+    x = np.random.default_rng(8).normal(size=(50, 6)).round(2)
+    posts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [0.0] * 6), (92, [float("nan")] * 6)], "post long, vec array<double>")
+    own = [(s, x[i].tolist()) for i, s in ((1, 7), (1, 5), (2, 8), (3, 9))]
+    stories, members = own, [(5, x[1].tolist()), (4, x[2].tolist()), (9, x[4].tolist())] + [(20 + i, v.tolist()) for i, v in enumerate(np.random.default_rng(9).normal(size=(70, 6)))]
+    schema = "story_id long, vec array<double>"
+    cosine = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 12)
+    for block in (8, None):
+        got = {r.post: (r.story_id, round(r.score, 12), r.via) for r in matching.best_targets(posts, spark.createDataFrame(stories, schema), spark.createDataFrame(members, schema), 0.4, block).collect()}
+        want = {}
+        for i, v in enumerate(x):
+            s, story, centre = max((cosine(v, t), -s, c) for c, rows in ((1, stories), (0, members)) for s, t in rows)
+            if s >= 0.4:
+                want[i] = (-story, s, "centroid" if centre else "member")
+        assert got == want and want[1] == (5, 1.0, "centroid") and want[2][2] == "member"
+
+
 def test_a_chapters_best_story_by_words_and_hints():
     """Scores of one task, with hints of fewer than six letters, stories that hold the second hint, and ties."""
     import pyarrow as pa
