@@ -176,3 +176,18 @@ def test_a_chapters_best_story_by_words_and_hints():
         if max(score.values()) >= 0.35:
             want[c] = (best, max(score.values()))
     assert got == want and len(got) > 20 and got[120][1] == 0.5
+
+
+def test_stories_are_made_without_shuffling_texts(spark):
+    """Titles are cut from texts before documents meet their vectors."""
+    from heronlake.plans import merging
+    from heronlake.sources.adapters import Tables
+
+    todo, inputs = [merging.small_stories(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            inputs += [kid.output().apply(i).name() for kid in kids for i in range(kid.output().size())]
+        todo += kids
+    assert "title" in inputs and "text" not in inputs
